@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, lines, quality, shards, tokenfile
+from . import bpe, contamination, html, lines, neighbours, quality, setjoin, shards, tokenfile
 from .common import Scratch, table
 
 
@@ -26,10 +26,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(spark, path)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -56,8 +64,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_token_files, op4_sharding, op7_decontamination, op8_byte_bpe, op9_line_dedup,
-        op10_html_extraction,
+        op1_quality_classifier, op2_token_files, op3_nearest_neighbours, op4_sharding, op5_jaccard_join,
+        op7_decontamination, op8_byte_bpe, op9_line_dedup, op10_html_extraction,
     )
 }
 
