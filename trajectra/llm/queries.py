@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, lines, neighbours, quality, setjoin, shards, tokenfile
+from . import bpe, contamination, html, lines, neighbours, passages, quality, setjoin, shards, tokenfile
 from .common import Scratch, table
 
 
@@ -38,6 +38,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -65,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_files, op3_nearest_neighbours, op4_sharding, op5_jaccard_join,
-        op7_decontamination, op8_byte_bpe, op9_line_dedup, op10_html_extraction,
+        op6_repeated_passages, op7_decontamination, op8_byte_bpe, op9_line_dedup, op10_html_extraction,
     )
 }
 

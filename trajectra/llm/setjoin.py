@@ -165,7 +165,7 @@ _ROW = "doc_id long, node long, n long, sketch binary, short boolean, bucket int
 _ROWS = [x.split()[0] for x in _ROW.split(", ")]
 
 
-def _pack(sigs: list[np.ndarray], nodes: list[int], buckets: int) -> list[tuple[int, bytes]]:
+def pack(sigs: list[np.ndarray], nodes: list[int], buckets: int) -> list[tuple[int, bytes]]:
     """Signatures by bucket: 40 bits each, and how many each node has."""
     sig = np.concatenate(sigs)
     owner = np.repeat(np.arange(len(nodes)), [len(s) for s in sigs])
@@ -198,7 +198,7 @@ def describe(docs: DataFrame, buckets: int, population: dict[int, int]) -> DataF
         sigs, nodes, held = [], [], 0
 
         def packed() -> pd.DataFrame:
-            blocks = _pack(sigs, nodes, buckets)
+            blocks = pack(sigs, nodes, buckets)
             return pd.DataFrame([(None, None, None, None, None, b, p) for b, p in blocks], columns=_ROWS)
 
         for batch in batches:
@@ -228,8 +228,9 @@ def describe(docs: DataFrame, buckets: int, population: dict[int, int]) -> DataF
 _MEET = "node long, pivot long, shared long, grp long"
 
 
-def meet(blocks: DataFrame, buckets: int) -> DataFrame:
-    """What shares signatures: (node, pivot, shared) with the least node of its groups, and members (node, grp) of each different group."""
+def meet(blocks: DataFrame, buckets: int, members: bool = True) -> DataFrame:
+    """What shares signatures: (node, pivot, shared) with the least node of its groups, and, if asked for,
+    the members (node, grp) of each different group."""
 
     def groups(payloads: list[bytes]) -> pd.DataFrame:
         parts = [_unpack(p) for p in payloads]
@@ -249,13 +250,15 @@ def meet(blocks: DataFrame, buckets: int) -> DataFrame:
         pivot = np.repeat(node[starts], size)
         other = node != pivot
         links = pd.DataFrame({"node": node[other], "pivot": pivot[other]}).value_counts(sort=False).reset_index(name="shared")
+        if not members:
+            return links.assign(grp=None)
         key = np.add.reduceat(common.mix(node.view(np.uint64)), starts)
         _, first = np.unique(key, return_index=True)
         chosen = np.zeros(len(starts), bool)
         chosen[first] = True
         inside = np.repeat(chosen, size)
-        members = pd.DataFrame({"node": node[inside], "grp": np.repeat(key, size)[inside].view(np.int64)})
-        return pd.concat([links, members])
+        inner = pd.DataFrame({"node": node[inside], "grp": np.repeat(key, size)[inside].view(np.int64)})
+        return pd.concat([links, inner])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, held = None, []
