@@ -1,8 +1,75 @@
-"""Corpus preparation in five stages, each of which reads what the one before it wrote."""
+"""Corpus preparation in five stages, each of which reads what the one before it wrote.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir). The first four return the columns of `documents`:
+
+1. quality_classifier: documents whose score is below the threshold go.
+2. line_dedup: boilerplate lines of a source go from its texts; n_chars follows; no document goes.
+3. jaccard_join: of each group of near-duplicates the document with the smallest doc_id stays;
+   texts without words are in no group and stay.
+4. decontamination: documents that hold a window of a benchmark item go.
+5. byte_bpe: what is left, encoded and decoded.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trajectra.llm import bpe, common, contamination, lines, quality, setjoin
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forest = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, forest, out="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.dedup(docs)
+    changed = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = setjoin.join(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")
+    group = found.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.node", F.lit(True).alias("_one"))
+    alone = found.where("n_shingles = 0").select("doc_id", "node", F.lit(False).alias("_one")).distinct()
+    keep = group.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "_one")
+    rows = docs.withColumn("_key", common.text_key())
+    rows = rows.join(keep, (F.col("_key") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # rows that repeat both doc_id and text are copies, too
+    nth = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("source", "lang", "n_chars"))
+    return rows.withColumn("_nth", nth).where(~F.col("_one") | (F.col("_nth") == 1)).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.withColumn("_key", common.text_key())
+    hits = contamination.decontaminate(rows.select(F.col("_key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    bad = hits.where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(bad, "_key", "left_anti").select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: SQL can express neither the trained classifier nor the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    scratch = common.Scratch(spark, "pipeline")
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs
