@@ -88,7 +88,7 @@ def select_greedy(queries: DataFrame, vectors: DataFrame, tp: DataFrame, alpha:
 
 def hybrid(
     queries: DataFrame, vectors: DataFrame, edges: DataFrame, positions: DataFrame, alpha: float = 0.5, gamma: float = 0.1,
-    multiple: int = 3, bridges: bool = True, normalise: bool = False,
+    multiple: int = 3, bridges: bool = True, normalise: bool = False, keep: Callable | None = None,
 ) -> DataFrame:
     """k tools from max(k + 2, multiple * k) candidates, with bridges between their components.
 
@@ -98,7 +98,7 @@ def hybrid(
     """
     cands = candidates(queries, vectors, F.greatest(F.col("k") + 2, multiple * F.col("k")))
     if bridges:
-        cands = with_bridges(cands, edges, queries, vectors)
+        cands = with_bridges(cands, edges, queries, vectors, keep)
     both = edges.select("src", "dst", F.col("weight").alias("w")).unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") * 0.5).alias("w"))
         .join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
@@ -121,17 +121,24 @@ def scaled(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return rows.withColumn(column, scores.min_max(F.col(column), F.min(column).over(w), F.max(column).over(w)))
 
 
-def with_bridges(cands: DataFrame, edges: DataFrame, queries: DataFrame, vectors: DataFrame, depth: int = 3, rounds: int = 6) -> DataFrame:
-    """Candidates and the inner tools of shortest paths between the best tools of successive components."""
+def with_bridges(cands: DataFrame, edges: DataFrame, queries: DataFrame, vectors: DataFrame, keep: Callable | None = None, depth: int = 2, rounds: int = 6) -> DataFrame:
+    """Candidates and the inner tools of shortest paths between the best tools of successive components.
+
+    keep(df, name) writes a round of labels and reads it back; without it, rounds are checkpointed.
+    """
+    keep = keep or (lambda df, _: df.checkpoint())
+    cands = keep(cands, "candidates")
     inside = (
         cands.select("query_id", F.col("tool").alias("src")).join(edges.select("src", "dst"), "src")
         .join(cands.select("query_id", F.col("tool").alias("dst")), ["query_id", "dst"])
     )
     both = inside.select("query_id", "src", "dst").unionByName(inside.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = keep(both, "links")
     labels = cands.select("query_id", "tool", F.col("rank").alias("comp"))
-    for _ in range(rounds):
+    for i in range(rounds):
         near = both.join(labels.withColumnRenamed("tool", "dst"), ["query_id", "dst"]).groupBy("query_id", F.col("src").alias("tool")).agg(F.min("comp").alias("_m"))
         labels = labels.join(near, ["query_id", "tool"], "left").select("query_id", "tool", F.least("comp", F.coalesce("_m", "comp")).alias("comp"))
+        labels = keep(labels, f"labels-{i}")
     comps = labels.join(cands.select("query_id", "tool", "rank"), ["query_id", "tool"])
     best = comps.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "comp").orderBy("rank"))).where("_n <= 3")
     order = best.select("query_id", "comp").distinct().withColumn("_next", F.lead("comp").over(Window.partitionBy("query_id").orderBy("comp"))).where("_next IS NOT NULL")
@@ -139,6 +146,7 @@ def with_bridges(cands: DataFrame, edges: DataFrame, queries: DataFrame, vectors
         order.join(best.select("query_id", "comp", F.col("tool").alias("src"), F.col("rank").alias("_ra")), ["query_id", "comp"])
         .join(best.select("query_id", F.col("comp").alias("_next"), F.col("tool").alias("dst"), F.col("rank").alias("_rb")), ["query_id", "_next"])
     )
+    ends = keep(ends, "ends")
     paths = graph.shortest_paths(edges, ends.select(F.col("src").alias("tool")).distinct(), depth)
     first = ends.join(paths, ["src", "dst"]).groupBy("query_id", "comp").agg(F.min_by("path", F.struct("_ra", "_rb")).alias("path"))
     inner = first.select("query_id", F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("tool")).distinct()

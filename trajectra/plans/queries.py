@@ -90,6 +90,25 @@ def _event_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.weighted(graph.transitions(tables.event_steps(spark, d)))
 
 
+@shared
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    return training.encoded(_vectors(spark, d), _edges(spark, d))
+
+
+@shared
+def _learned(spark: SparkSession, d: str) -> DataFrame:
+    e = _encoded(spark, d)
+    a, b = e.select(F.col("tool").alias("src"), F.col("vec").alias("_a")), e.select(F.col("tool").alias("dst"), F.col("vec").alias("_b"))
+    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", scores.sigmoid(scores.dot(F.col("_a"), F.col("_b"))).alias("weight"))
+
+
+@shared
+def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
+    q = _queries(spark, d)
+    rows = planning.linked(planning.candidates(q, _vectors(spark, d), F.lit(32)), _tp(spark, d), _positions(spark, d))
+    return training.pair_rows(rows, q.select("query_id", "truth"))
+
+
 def _tp(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).select("src", "dst", F.col("transition_prob").alias("w"))
 
@@ -425,17 +444,14 @@ def plan_hybrid(spark, d):
 def plan_hybrid_bridged(spark, d):
     """On the pruned graph, whose induced subgraphs fall apart."""
     q, e = _queries(spark, d), graph.pruned(_edges(spark, d), 2.0, 0.01)
-    return planning.steps_of(planning.hybrid(q, _vectors(spark, d), e, _positions(spark, d)))
+    return planning.steps_of(planning.hybrid(q, _vectors(spark, d), e, _positions(spark, d), keep=working(spark, "bridges")))
 
 
 @query
 def plan_hybrid_scaled(spark, d):
     """With neighbour-averaged vectors' similarities as link scores, scaled within each query."""
-    v = _vectors(spark, d)
-    e = training.encoded(v, _edges(spark, d))
-    a, b = e.select(F.col("tool").alias("src"), F.col("vec").alias("_a")), e.select(F.col("tool").alias("dst"), F.col("vec").alias("_b"))
-    learned = a.join(b, F.col("src") != F.col("dst")).select("src", "dst", scores.sigmoid(scores.dot(F.col("_a"), F.col("_b"))).alias("weight"))
-    return planning.steps_of(planning.hybrid(_queries(spark, d), v, learned, _positions(spark, d), bridges=False, normalise=True))
+    hybrid = planning.hybrid(_queries(spark, d), _vectors(spark, d), _learned(spark, d), _positions(spark, d), bridges=False, normalise=True)
+    return planning.steps_of(hybrid)
 
 
 @query
@@ -521,16 +537,13 @@ def pair_features(spark, d):
 
 @query
 def pair_training_rows(spark, d):
-    q = _queries(spark, d)
-    cands = planning.candidates(q, _vectors(spark, d), F.lit(32))
-    rows = planning.linked(cands, _tp(spark, d), _positions(spark, d))
-    return _six(training.pair_rows(rows, q.select("query_id", "truth")))
+    return _six(_pair_rows(spark, d))
 
 
 @query
 def pair_model_accuracy(spark, d):
     """Share of training pairs that the learned pairwise model puts in the right order."""
-    rows = pair_training_rows(spark, d)
+    rows = _pair_rows(spark, d)
     found = training.pair_model(rows).transform(rows)
     return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 2).alias("accuracy"))
 
