@@ -80,11 +80,18 @@ BLOCKS = """
 15 .10 20 .00 25 .00 0 0 0 1
 30 .30 60 .00 50 .00 0 0 0 1
 120 .00 3 1.0 5 1.0 0 0 0 1
+35 .00 0 .00 0 .00 0 0 0 1
+20 .00 0 .00 0 .00 0 0 0 1
+50 .00 30 .00 0 .00 0 0 0 1
+40 .00 3 1.0 6 .10 0 0 0 1
+25 .00 12 .00 2 .00 0 0 0 1
 1 1.0 1 1.0 1 1.0 0 0 0 0
 3 1.0 2 1.0 4 1.0 0 0 0 0
 12 .80 5 1.0 40 .00 0 0 0 0
 4 .00 3 1.0 2 1.0 0 0 0 0
 5 .00 2 .00 3 1.0 0 0 0 0
+4 .00 0 .00 0 .00 0 0 0 0
+6 .00 30 .00 0 .00 0 0 0 0
 6 .60 70 .00 4 .80 0 0 0 0
 2 1.0 90 .00 60 .00 0 0 0 0
 35 .00 1 1.0 60 .00 0 1 0 0
