@@ -172,8 +172,8 @@ def mean_positions(steps: DataFrame) -> DataFrame:
 
 
 def lookahead(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, next_role, next_len): every turn with the one after it."""
+    """(conv_id, turn, role, next_role, next_len): every turn with the one after it; length 0 without one."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return turns.select(
-        "conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.char_length(F.lead("text").over(w)).alias("next_len")
+        "conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.coalesce(F.char_length(F.lead("text").over(w)), F.lit(0)).alias("next_len")
     )

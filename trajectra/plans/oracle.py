@@ -226,7 +226,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT task_id, count(*)::INT AS num_steps, string_agg(t, '>' ORDER BY pos) AS seq FROM (SELECT task_id, pos, split_part(tool, '_for_', 1) AS t,"
         " lag(split_part(tool, '_for_', 1)) OVER (PARTITION BY task_id ORDER BY pos) AS b FROM t2) WHERE b IS NULL OR b <> t GROUP BY task_id"
     ),
-    "turn_lookahead": """SELECT conv_id, turn, role, lead(role) OVER w AS next_role, length(lead(text) OVER w)::INT AS next_len
+    "turn_lookahead": """SELECT conv_id, turn, role, lead(role) OVER w AS next_role, coalesce(length(lead(text) OVER w), 0)::INT AS next_len
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""",
     "conversation_success": """SELECT conv_id, count(*) AS n_turns, coalesce(ends_with(arg_max(text, (turn, text)), '.'), false) AS ended
         FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
