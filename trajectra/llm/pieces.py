@@ -4,34 +4,64 @@ A text is cut before a single blank that stands between two characters that are
 The byte-level pattern never matches across such a place (a match that holds the character before
 cannot go on with a blank, and one that holds the blank begins there), so the ids of a text are
 those of its pieces, one after the other. For the same reason a last full stop or comma after a
-letter stands for itself. The library encodes every different piece once; a worker remembers
-pieces up to a limit, then starts anew.
+letter stands for itself. The library encodes every different piece once; a worker finds pieces
+it has met by a 64-bit hash, up to a limit, then starts anew.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces a worker remembers, about 250 bytes each.
-LIMIT = 1_500_000
+#: Pieces a worker remembers, about 300 bytes each.
+LIMIT = 1_600_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: New pieces that go through the library as one text.
 _JOINED = 24
 
 
-class _Codes(dict):
-    """Numbers pieces: a str stands for itself after a blank, a tuple for the head of a text."""
+#: Bytes of a piece that is found by its hash; longer ones are handed to the library every time.
+_SHORT = 255
+_RNG = np.random.default_rng(7)
+_VALUE = _RNG.integers(0, 2**64, 256, np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Hasher:
+    """64-bit hashes of many stretches of a buffer, by sums of random byte values times powers."""
 
     def __init__(self):
-        super().__init__()
-        self.new: list[str | tuple[str]] = []
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(raw) >= len(self.up):
+            n = len(raw) * 5 // 4 + 2
+            self.up, self.down = _powers(n, _BASE), _powers(n, np.uint64(pow(int(_BASE), -1, 2**64)))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUE[raw] * self.up[: len(raw)], out=sums[1:])
+        return (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)
 
-    def __missing__(self, piece: str | tuple[str]) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+
+class _Column:
+    """A numpy column that grows; one entry at least is spare."""
+
+    def __init__(self, kind: type):
+        self.x, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values) -> None:
+        n = self.n + len(values)
+        if n >= len(self.x):
+            self.x = np.concatenate([self.x[: self.n], np.zeros(2 * n - self.n, self.x.dtype)])
+        self.x[self.n : n] = values
+        self.n = n
 
 
 class PieceEncoder:
@@ -48,7 +78,8 @@ class PieceEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # a character of a byte-level token is a byte
             self.width[i] = len(token)
-        self.limit = limit
+        self.marks = self._batch([".", ","])
+        self.limit, self.hasher = limit, _Hasher()
         self._reset()
 
     @classmethod
@@ -59,78 +90,131 @@ class PieceEncoder:
         return cls._loaded[path]
 
     def _reset(self) -> None:
-        self.codes, self.stems = _Codes(), {}
-        self.start, self.size, self.odd = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
-        self.flat, self.pieces, self.used = np.zeros(4096, np.uint32), 0, 0
-
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of units that stand after a blank and neither begin nor end with white space."""
-        groups = [units[i : i + _JOINED] for i in range(0, len(units), _JOINED)]
-        out: list[np.ndarray] = []
-        for group, ids in zip(groups, self._batch([" " + " ".join(g) for g in groups]), strict=True):
-            found = np.array(ids, np.uint32)
-            ends = np.cumsum([1 + len(u.encode()) for u in group])
-            out += np.split(found, np.searchsorted(np.cumsum(self.width[found]), ends[:-1], side="right"))
+        self.keys, self.codes, self.stems = np.empty(0, np.uint64), np.empty(0, np.int64), {}
+        # of pieces: their stem, and the id of the mark after it or -1; of stems: where their ids are in flat
+        self.stem, self.mark, self.odd = _Column(np.int32), _Column(np.int32), _Column(bool)
+        self.start, self.size, self.flat = _Column(np.int64), _Column(np.int32), _Column(np.uint32)
+
+    def _batch(self, texts: list[str]) -> list[int]:
+        out: list[int] = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            out += e.ids
         return out
 
-    def _learn(self) -> None:
-        new, self.codes.new = self.codes.new, []
-        odd = [isinstance(p, str) and (not p or p[0].isspace() or p[-1].isspace()) for p in new]
-        split = [
-            (p[:-1], p[-1]) if isinstance(p, str) and len(p) > 1 and p[-1] in ".," and p[-2] < "ɐ" and p[-2].isalpha() else (p, "")
-            for p in new
-        ]
-        units = [u for u in dict.fromkeys(s for (s, _), o in zip(split, odd, strict=True) if not o and isinstance(s, str)) if u not in self.stems]
-        self.stems.update(zip(units, self._ids(units), strict=True))
-        heads = [p[0] for p in new if isinstance(p, tuple)]
-        marks = {x: np.array(self._batch([x])[0], np.uint32) for x in ".,"}
-        head, none = iter(self._batch(heads)), np.empty(0, np.uint32)
-        for (stem, mark), bad, p in zip(split, odd, new, strict=True):
-            ids = none if bad else np.array(next(head), np.uint32) if isinstance(p, tuple) else self.stems[stem]
-            if mark and not bad:
-                ids = np.concatenate([ids, marks[mark]])
-            if self.pieces == len(self.size):
-                self.start, self.size, self.odd = (np.resize(x, 2 * self.pieces) for x in (self.start, self.size, self.odd))
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[self.pieces], self.size[self.pieces], self.odd[self.pieces] = self.used, len(ids), bad
-            self.pieces, self.used = self.pieces + 1, self.used + len(ids)
+    def _add(self, stems: list, ids: list[int], widths: list[int]) -> None:
+        """Remember stems whose ids follow one another; widths are their lengths in bytes."""
+        found = np.array(ids, np.uint32)
+        ends = np.searchsorted(np.cumsum(self.width[found]), np.cumsum(widths), side="left") + 1
+        starts = np.r_[0, ends[:-1]]
+        self.stems.update(zip(stems, range(len(self.stems), len(self.stems) + len(stems)), strict=True))
+        self.start.add(self.flat.n + starts)
+        self.size.add(ends - starts)
+        self.flat.add(found)
+
+    def _learn(self, new: list[str | tuple[str]]) -> None:
+        """Remember pieces: a str stands after a blank, a tuple holds the head of a text."""
+        stems, marks, odd = [], [], []
+        full_stop, comma = self.marks
+        for p in new:
+            mark, bad = -1, False
+            if type(p) is tuple:
+                bad = not p[0] or p[0][0].isspace() or p[0][-1].isspace()
+            else:
+                bad = not p or p[0].isspace() or p[-1].isspace()
+                if bad:
+                    p = ""
+                elif (end := p[-1]) in ".," and len(p) > 1 and p[-2] < "ɐ" and p[-2].isalpha():
+                    p, mark = p[:-1], full_stop if end == "." else comma
+            stems.append(p)
+            marks.append(mark)
+            odd.append(bad)
+        unknown = [u for u in dict.fromkeys(stems) if u not in self.stems]
+        # units after a blank that neither begin nor end with white space may share a text
+        units = [u for u in unknown if type(u) is str and u]
+        if units:
+            joined = [" " + " ".join(units[i : i + _JOINED]) for i in range(0, len(units), _JOINED)]
+            self._add(units, self._batch(joined), [1 + len(u.encode()) for u in units])
+        heads = [u for u in unknown if type(u) is tuple and u[0]]
+        if heads:
+            self._add(heads, self._batch([u[0] for u in heads]), [len(u[0].encode()) for u in heads])
+        for u in unknown:
+            if not u or not u[0]:
+                self.stems[u] = len(self.stems)
+                self.start.add([0])
+                self.size.add([0])
+        self.stem.add(list(map(self.stems.__getitem__, stems)))
+        self.mark.add(marks)
+        self.odd.add(odd)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         return self.encode_all([text])[0]
 
+    def stream(self, texts: Iterable[str], chars: int = 2_000_000) -> Iterator[np.ndarray]:
+        """The ids of whole texts, some at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= chars:
+                yield from self.encode_all(held)
+                held, size = [], 0
+        yield from self.encode_all(held)
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
         if len(self.codes) >= self.limit:
             self._reset()
-        take = self.codes.__getitem__
-        parts = [t.split(" ") for t in texts]
-        coded = []
-        for p in parts:
-            head, p[0] = p[0], ""
-            codes = np.fromiter(map(take, p), np.int64, len(p))
-            codes[0] = take((head,))
-            coded.append(codes)
-        if self.codes.new:
-            self._learn()
-        return [self._gather(c) if not self.odd[c[1:]].any() and not (t[:1].isspace() or t.partition(" ")[0][-1:].isspace()) else self._plain(t) for c, t in zip(coded, texts, strict=True)]
-
-    def _gather(self, codes: np.ndarray) -> np.ndarray:
-        size = self.size[codes]
+        raws = [t.encode() for t in texts]
+        buffer = b"".join(raws)
+        raw = np.frombuffer(buffer, np.uint8)
+        last = np.cumsum([len(r) for r in raws])
+        # pieces begin at each text and after each blank, and end at the next blank or the text's end
+        blanks = np.flatnonzero(raw == 32)
+        begin = np.concatenate([np.r_[0, last[:-1]], blanks + 1]).astype(np.int64)
+        end = np.concatenate([blanks, last]).astype(np.int64)
+        head = np.r_[np.ones(len(raws), bool), np.zeros(len(blanks), bool)]
+        order = np.lexsort((~head, begin))
+        begin, head, end = begin[order], head[order], np.sort(end, kind="stable")
+        key = self.hasher(raw, begin, end) + head.astype(np.uint64) * _BASE
+        first_piece = np.flatnonzero(head)
+        values, at, back = np.unique(key, return_index=True, return_inverse=True)
+        near = np.minimum(np.searchsorted(self.keys, values), max(len(self.keys) - 1, 0))
+        known = self.keys[near] == values if len(self.keys) else np.zeros(len(values), bool)
+        codes = np.empty(len(values), np.int64)
+        codes[known] = self.codes[near[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            pieces = [buffer[a:b].decode() for a, b in zip(begin[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)]
+            new = [(p,) if h else p for p, h in zip(pieces, head[at[fresh]].tolist(), strict=True)]
+            codes[fresh] = np.arange(self.stem.n, self.stem.n + len(new))
+            places = np.searchsorted(self.keys, values[fresh])
+            self.keys, self.codes = np.insert(self.keys, places, values[fresh]), np.insert(self.codes, places, codes[fresh])
+            self._learn(new)
+        codes = codes[back]
+        odd = np.logical_or.reduceat(self.odd.x[codes] | (end - begin > _SHORT), first_piece) if len(texts) else []
+        ids, ends = self._gather(codes)
+        bounds = np.r_[0, ends[np.r_[first_piece[1:], len(codes)] - 1]] if len(texts) else [0]
+        return [
+            self._plain(text) if bad or not text else ids[a:b]
+            for text, bad, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)
+        ]
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and where each piece ends."""
+        stem, mark = self.stem.x[codes], self.mark.x[codes]
+        size = self.size.x[stem] + (mark >= 0)
         ends = np.cumsum(size)
-        at = np.repeat(self.start[codes] - (ends - size), size)
+        at = np.repeat(self.start.x[stem] - (ends - size), size)
         at += np.arange(len(at))
-        return self.flat[at]
+        out = self.flat.x[at]  # a mark's place holds what follows the stem, until it is set
+        out[ends[mark >= 0] - 1] = mark[mark >= 0]
+        return out, ends
 
     def _plain(self, text: str) -> np.ndarray:
         """Texts with white space next to a blank, cut at safe places only."""
         parts = cut(text)
-        return np.array([i for x in self._batch(parts) for i in x], np.uint32)
+        return np.array(self._batch(parts), np.uint32)
 
 
 def cut(text: str) -> list[str]:

@@ -109,9 +109,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
         encoder, at, first, ids, held, kept = PieceEncoder.load(tokenizer_path), 0, 0, [], [], 0
         end, part = np.array([end_id], np.uint32), 0
         for batch in batches:
-            for doc_id, text, part in zip(batch["doc_id"].astype(object), batch["text"], batch["part"], strict=True):
+            for doc_id, coded, part in zip(batch["doc_id"].astype(object), encoder.stream(batch["text"]), batch["part"], strict=True):
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
-                held.append(np.concatenate([encoder.encode(text), end]))
+                held.append(np.concatenate([coded, end]))
                 kept += len(held[-1])
                 if kept >= block_tokens:
                     yield pd.DataFrame([(int(part), at, first, kept, pack(ids, held))], columns=_names)
