@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with ta and tb, the texts of those nodes in docs (node, text).
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text), each once, of the given nodes (node) in docs; texts cross the network once, at every size alike."""
+    need = nodes.select("node").distinct().hint("merge")
+    return docs.select("node", "text").join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
-    Only texts that some pair needs are shuffled, each once; a node that many pairs share is a
-    skewed join key, which adaptive execution splits.
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with ta and tb from texts (node, text).
+
+    A node that many pairs share is a skewed join key, which adaptive execution splits.
     """
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")

@@ -17,10 +17,11 @@ A set that runs out of non-empty segments is compared with all sets of fitting s
 there; every candidate is verified on the sets themselves.
 
 Not all pairs of a group are looked at. Texts that are equal are one node. Each node is verified
-first with the least node it shares most signatures with, and components are formed. Then, for each
-group of nodes that share a signature and still fall into different components, every pair across
-components is compared by parity sketches, whose difference is never larger than that of the sets;
-what they can't tell apart is verified. So no link between different components is missed.
+first with the least node it shares most signatures with, and components are formed. Nodes that share
+a signature but fall into different components are compared by parity sketches, whose difference
+is never larger than that of the sets: for ROUNDS rounds each such node is verified with its likeliest
+partner, which joins most of what belongs together; then every pair across components that
+sketches can't tell apart is verified. So no link between different components is missed.
 
 Shingles and texts are told apart by 64-bit hashes.
 
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,8 @@ WORDS = 5
 PACK = 2_000_000
 #: Sets that are compared with all others at a time.
 BLOCK = 2_000
+#: Rounds in which each open node is verified with one partner only, before all open pairs are.
+ROUNDS = 3
 #: Of two sets that are not similar, the share of pairs with a common passage and its share of a set;
 #: the cost of comparing two sketches, in signatures. They choose an allocation, never a result.
 SHARING, OVERLAP, COMPARE = 0.01, 0.25, 0.05
@@ -143,8 +147,8 @@ def signatures(tokens: np.ndarray, population: dict[int, int]) -> tuple[np.ndarr
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the shingles in each of 2**k >= size places, 64 at least."""
-    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    """Parities of the shingles in each of 2**k >= 2 * size places, 64 at least."""
+    bits = max(64, 2 << (len(tokens) - 1).bit_length())
     at = (tokens & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -280,7 +284,7 @@ def meet(blocks: DataFrame, buckets: int, members: bool = True) -> DataFrame:
     return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, _MEET)
 
 
-def verify(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """The candidates (a, b) whose sets are similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,52 +301,74 @@ def verify(candidates: DataFrame, docs: DataFrame) -> DataFrame:
             ok = [similar(of(b, tb), of(a, ta)) for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
-    return pairs.with_texts(candidates.select("a", "b"), docs).select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return pairs.with_texts(candidates.select("a", "b"), texts).select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _near(n: np.ndarray, sk: np.ndarray, n2: np.ndarray, sk2: np.ndarray) -> np.ndarray:
-    """Which pairs sizes and sketches can't tell apart."""
+def _slack(n: np.ndarray, sk: np.ndarray, n2: np.ndarray, sk2: np.ndarray) -> np.ndarray:
+    """By how much, in ninths, sketches differ less than sets may; below 0 where sizes or sketches tell them apart."""
     far = np.bitwise_count(sk[:, None, :] ^ sk2[None, :, :]).sum(axis=2, dtype=np.int64)
     small, large = np.minimum(n[:, None], n2), np.maximum(n[:, None], n2)
-    return (9 * far <= n[:, None] + n2) & (5 * small >= 4 * large)
+    return np.where(5 * small >= 4 * large, n[:, None] + n2 - 9 * far, -1)
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Candidates (a, b) of different components within groups (grp, node, comp, n, sketch)."""
+def across(members: DataFrame, one: bool) -> DataFrame:
+    """Candidates (a, b, slack) of different components within groups (grp, node, comp, n, sketch).
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
+    With `one`, only the likeliest partner of each node outside its group's largest component.
+    """
+
+    def compare(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
         comp, n, node = g["comp"].to_numpy(), g["n"].to_numpy(), g["node"].to_numpy()
         values, counts = np.unique(comp, return_counts=True)
         if len(values) < 2:
-            return pd.DataFrame({"a": [], "b": []})
+            return
         sk = _folded(g["sketch"].tolist())
         rows = np.flatnonzero(comp != values[counts.argmax()])
-        step, found = max(1, 4_000_000 // (len(g) * sk.shape[1])), []
+        step = max(1, 1_000_000 // (len(g) * sk.shape[1]))
         for i in range(0, len(rows), step):
             r = rows[i : i + step]
-            hit = _near(n[r], sk[r], n, sk) & (comp[r][:, None] != comp)
-            x, y = np.nonzero(hit)
-            found.append(np.stack([node[r[x]], node[y]]))
-        a, b = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+            slack = np.where(comp[r][:, None] != comp, _slack(n[r], sk[r], n, sk), -1)
+            if one:
+                x, y = np.arange(len(r)), slack.argmax(axis=1)
+                x, y = x[slack[x, y] >= 0], y[slack[x, y] >= 0]
+            else:
+                x, y = np.nonzero(slack >= 0)
+            a, b = node[r[x]], node[y]
+            yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "slack": slack[x, y]})
+
+    def settled(found: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(found).drop_duplicates(["a", "b"]).astype("int64")
+        return rows.sort_values(["slack", "b"], ascending=[False, True]).drop_duplicates("a") if one else rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            if not len(batch):
+        rest, found, held = None, [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None and not len(batch):
                 continue
-            rest = batch if rest is None else pd.concat([rest, batch])
-            last = rest["grp"].iloc[-1]
-            full = rest[rest["grp"] != last]
-            if len(full):
-                for _, g in full.groupby("grp", sort=False):
-                    yield compare(g).astype("int64")
-                rest = rest[rest["grp"] == last]
-        if rest is not None:
-            yield compare(rest).astype("int64")
+            rest = batch if rest is None else rest if batch is None else pd.concat([rest, batch])
+            if rest is None:
+                break
+            full = rest if batch is None else rest[rest["grp"] != rest["grp"].iloc[-1]]
+            for _, g in full.groupby("grp", sort=False):
+                for part in compare(g):
+                    found.append(part)
+                    held += len(part)
+                    if held > 500_000:
+                        found = [settled(found)]
+                        held = len(found[0])
+                        if held > 250_000:
+                            yield found[0]
+                            found, held = [], 0
+            rest = rest.iloc[len(full) :] if len(full) else rest
+        if found:
+            yield settled(found)
 
     dealt = members.repartition("grp").sortWithinPartitions("grp")
-    return dealt.select("grp", "node", "comp", "n", "sketch").mapInPandas(run, "a long, b long").distinct()
+    found = dealt.select("grp", "node", "comp", "n", "sketch").mapInPandas(run, "a long, b long, slack long")
+    pair = found.groupBy("a", "b").agg(F.max("slack").alias("slack"))
+    if not one:
+        return pair
+    return pair.groupBy("a").agg(F.max_by("b", F.struct("slack", -F.col("b"))).alias("b"), F.max("slack").alias("slack"))
 
 
 def _deficit(sets: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -360,7 +386,7 @@ def _deficit(sets: DataFrame, scratch: Scratch) -> DataFrame | None:
                     fit = batch[(5 * np.minimum(batch["n"], size) >= 4 * np.maximum(batch["n"], size)) & (batch["node"] != q)]
                     if len(fit):
                         sk = _folded([bits, *fit["sketch"]])
-                        ok = _near(np.array([size]), sk[:1], fit["n"].to_numpy(), sk[1:])[0]
+                        ok = _slack(np.array([size]), sk[:1], fit["n"].to_numpy(), sk[1:])[0] >= 0
                         found += [(max(q, x), min(q, x)) for x in fit["node"][ok]]
                 yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
@@ -395,32 +421,47 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component (smallest doc_id reachable by links), node, rank among the rows of its component."""
     scratch = scratch or Scratch(docs.sparkSession, "setjoin")
     docs = docs.select("doc_id", "text", common.text_key().alias("node"))
-    texts = docs.select("node", "text")
     buckets, population = populations(docs)
     buckets = max(buckets, common.partitions(docs.sparkSession))
     described = scratch.keep(describe(docs, buckets, population), "described")
-    feats = described.where("bucket IS NULL").select("doc_id", "node", "n", "sketch", "short")
+    feats = scratch.keep(described.where("bucket IS NULL").select("doc_id", "node", "n", "sketch", "short"), "feats")
     met = scratch.keep(meet(described.where("bucket IS NOT NULL").select("bucket", "payload"), buckets), "met")
-    first = (
+    del described
+    scratch.drop("described")
+    groups = scratch.keep(met.where("grp IS NOT NULL").select("grp", "node").distinct(), "groups")
+    texts = scratch.keep(pairs.texts_of(groups, docs), "texts", compression="zstd")
+    sets = feats.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
+    tried = scratch.keep(
         met.where("pivot IS NOT NULL").groupBy("node", "pivot").agg(F.sum("shared").alias("_s"))
-        .groupBy(F.col("node").alias("a")).agg(F.max_by("pivot", F.struct("_s", -F.col("pivot"))).alias("b"))
+        .groupBy(F.col("node").alias("a")).agg(F.max_by("pivot", F.struct("_s", -F.col("pivot"))).alias("b")),
+        "tried-0",
     )
-    first = scratch.keep(first, "first")
-    linked = scratch.keep(verify(first, texts), "linked")
-    found = scratch.keep(components(linked, scratch, "early"), "found")
-    groups = met.where("grp IS NOT NULL").select("grp", "node").distinct()
-    members = groups.join(found, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("comp"))
-    members = scratch.keep(members, "members")
-    mixed = members.groupBy("grp").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("grp")
-    sets = feats.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
-    open_groups = members.join(mixed, "grp", "left_semi").join(sets.select("node", "n", "sketch"), "node")
-    more = across(open_groups)
-    if feats.where("short").limit(1).count():
-        more = more.unionByName(_deficit(sets, scratch)).distinct()
-    more = scratch.keep(more.join(first, ["a", "b"], "left_anti"), "more")
-    linked = linked.unionByName(scratch.keep(verify(more, texts), "linked-more"))
-    roots = scratch.keep(components(linked, scratch, "final"), "roots")
-    scratch.drop("met", "first", "found", "members", "more")
+    scratch.drop("met")
+    linked = scratch.keep(verify(tried, texts), "linked-0")
+    roots = scratch.keep(components(linked, scratch, "roots-0"), "found-0")
+    step, last = 0, False
+    while not last:
+        step, last = step + 1, step >= ROUNDS
+        members = groups.join(roots, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("comp"))
+        mixed = members.groupBy("grp").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("grp")
+        # what is open only shrinks: groups within one component are settled
+        left = scratch.keep(members.join(mixed, "grp", "left_semi"), f"left-{step}")
+        more = across(left.join(sets.select("node", "n", "sketch"), "node"), not last).select("a", "b")
+        if last and feats.where("short").limit(1).count():
+            more = more.unionByName(_deficit(sets, scratch)).distinct()
+            texts = pairs.texts_of(sets, docs)
+        more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), f"more-{step}")
+        found = scratch.keep(verify(more, texts), f"linked-{step}")
+        scratch.drop(f"left-{step}")
+        tried = tried.unionByName(more)
+        if not found.limit(1).count():
+            if last:
+                break
+            step = ROUNDS
+            continue
+        linked = linked.unionByName(found)
+        roots = scratch.keep(components(linked, scratch, f"roots-{step}"), f"found-{step}")
+    scratch.drop("texts")
     rows = feats.join(roots, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("_least"))
     joined = rows.join(least, "root")
