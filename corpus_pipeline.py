@@ -47,7 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.withColumn("_key", common.text_key())
     hits = contamination.decontaminate(rows.select(F.col("_key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
     bad = hits.where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(bad, "_key", "left_anti").select(*docs.columns)
+    # one exchange of the texts at every size, so that the stage grows as its input
+    return rows.join(bad.hint("merge"), "_key", "left_anti").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
