@@ -78,6 +78,20 @@ def test_codec_and_pieces():
         assert "".join(pieces.cut(text)) == text
 
 
+def test_pieces_of_many_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, plain, rng = pieces.PieceEncoder(path, limit=200), Tokenizer.from_file(path), np.random.default_rng(3)
+    plain.encode_special_tokens = True
+    parts = ["x", " ", "a.", "don't", "\n", "  ", "é", "hello", "12", ",", "", "\t", "漢字", "🙂", "ɐ.", "'s", "<|endoftext|>", "A "]
+    for _ in range(400):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.integers(0, 9))) for _ in range(rng.integers(0, 6))]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in enc.encode_all(texts)] == want
+        assert [x.tolist() for x in enc.stream(texts, chars=10)] == want
+
+
 def _cosines(x, q):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     return u @ u[q]

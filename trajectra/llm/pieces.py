@@ -163,6 +163,8 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
+        if not texts:
+            return []
         if len(self.codes) >= self.limit:
             self._reset()
         raws = [t.encode() for t in texts]
@@ -174,7 +176,8 @@ class PieceEncoder:
         begin = np.concatenate([np.r_[0, last[:-1]], blanks + 1]).astype(np.int64)
         end = np.concatenate([blanks, last]).astype(np.int64)
         head = np.r_[np.ones(len(raws), bool), np.zeros(len(blanks), bool)]
-        order = np.lexsort((~head, begin))
+        # what follows a text's last blank ends the text and so comes before the next text's head
+        order = np.lexsort((head, begin))
         begin, head, end = begin[order], head[order], np.sort(end, kind="stable")
         key = self.hasher(raw, begin, end) + head.astype(np.uint64) * _BASE
         first_piece = np.flatnonzero(head)
@@ -192,9 +195,9 @@ class PieceEncoder:
             self.keys, self.codes = np.insert(self.keys, places, values[fresh]), np.insert(self.codes, places, codes[fresh])
             self._learn(new)
         codes = codes[back]
-        odd = np.logical_or.reduceat(self.odd.x[codes] | (end - begin > _SHORT), first_piece) if len(texts) else []
+        odd = np.logical_or.reduceat(self.odd.x[codes] | (end - begin > _SHORT), first_piece)
         ids, ends = self._gather(codes)
-        bounds = np.r_[0, ends[np.r_[first_piece[1:], len(codes)] - 1]] if len(texts) else [0]
+        bounds = np.r_[0, ends[np.r_[first_piece[1:], len(codes)] - 1]]
         return [
             self._plain(text) if bad or not text else ids[a:b]
             for text, bad, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)
