@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trajectra import plans
 from trajectra.functions import text
 from trajectra.operators import graph, ordering, planning, retrieval, trajectory
-from trajectra.sources import readers, sinks
+from trajectra.sources import readers, sinks, tables
+from trajectra.sources.working import working
 
 SEQS = {"q1": "abc", "q2": "ab", "q3": "baca", "q4": "c", "q5": "aab"}
 
@@ -101,3 +103,13 @@ def test_best_first_search():
     sims = {"a": 0.9, "b": 0.5, "c": 0.8, "d": 0.4}
     assert planning.search(adjacency, sims, ["a"], 3) == ["a", "b", "d"]
     assert planning.search(adjacency, sims, [], 3) == []
+
+
+def test_all_tasks_are_queried(spark, steps):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    found = tables.all_queries(steps, vectors, working(spark, "test")).orderBy("query_id").collect()
+    assert [(r.query_id, r.task_id, list(r.vec), "".join(r.truth), r.k) for r in found] == [
+        (i, t, [[1.0, 0.0], [0.0, 1.0]][i % 2], s, max(3, len(s))) for i, (t, s) in enumerate(SEQS.items())
+    ]
+    d = "/root/testdata/sf0.001"
+    assert plans.QUERIES["plan_fallback"](spark, d).select("query_id").distinct().count() == tables.order_steps(spark, d).select("task_id").distinct().count()

@@ -65,6 +65,12 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return tables.queries(_t1(spark, d), tables.table(spark, d, "embeddings"))
 
 
+@shared
+def _all_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every task, for the queries without SQL; the SQL of the others ends with the vectors."""
+    return tables.all_queries(_t1(spark, d), tables.table(spark, d, "embeddings"), working(spark, "all_queries"))
+
+
 @shared
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.mean_positions(_t1(spark, d))
@@ -104,7 +110,7 @@ def _learned(spark: SparkSession, d: str) -> DataFrame:
 
 @shared
 def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
-    q = _queries(spark, d)
+    q = _all_queries(spark, d)
     rows = planning.linked(planning.candidates(q, _vectors(spark, d), F.lit(32)), _tp(spark, d), _positions(spark, d))
     return training.pair_rows(rows, q.select("query_id", "truth"))
 
@@ -443,14 +449,14 @@ def plan_hybrid(spark, d):
 @query
 def plan_hybrid_bridged(spark, d):
     """On the pruned graph, whose induced subgraphs fall apart."""
-    q, e = _queries(spark, d), graph.pruned(_edges(spark, d), 2.0, 0.01)
+    q, e = _all_queries(spark, d), graph.pruned(_edges(spark, d), 2.0, 0.01)
     return planning.steps_of(planning.hybrid(q, _vectors(spark, d), e, _positions(spark, d), keep=working(spark, "bridges")))
 
 
 @query
 def plan_hybrid_scaled(spark, d):
     """With neighbour-averaged vectors' similarities as link scores, scaled within each query."""
-    hybrid = planning.hybrid(_queries(spark, d), _vectors(spark, d), _learned(spark, d), _positions(spark, d), bridges=False, normalise=True)
+    hybrid = planning.hybrid(_all_queries(spark, d), _vectors(spark, d), _learned(spark, d), _positions(spark, d), bridges=False, normalise=True)
     return planning.steps_of(hybrid)
 
 
@@ -462,7 +468,7 @@ def plan_beam(spark, d):
 
 @query
 def plan_beam_scaled(spark, d):
-    plans = planning.beam(_queries(spark, d), _vectors(spark, d), _edges(spark, d), target=3, normalise=True)
+    plans = planning.beam(_all_queries(spark, d), _vectors(spark, d), _edges(spark, d), target=3, normalise=True)
     return _six(plans.select("query_id", "rank", F.array_join("seq", ">").alias("seq"), "score"))
 
 
@@ -475,18 +481,18 @@ def plan_hierarchical(spark, d):
 
 @query
 def plan_best_first(spark, d):
-    return planning.steps_of(planning.best_first(_queries(spark, d), _vectors(spark, d), graph.top_neighbours(_edges(spark, d))))
+    return planning.steps_of(planning.best_first(_all_queries(spark, d), _vectors(spark, d), graph.top_neighbours(_edges(spark, d))))
 
 
 @query
 def random_graph_baseline(spark, d):
-    return planning.steps_of(planning.best_first(_queries(spark, d), _vectors(spark, d), planning.random_graph(graph.pruned(_edges(spark, d)))))
+    return planning.steps_of(planning.best_first(_all_queries(spark, d), _vectors(spark, d), planning.random_graph(graph.pruned(_edges(spark, d)))))
 
 
 @query
 def plan_fallback(spark, d):
     """Beams of the pruned graph; queries whose entries it lacks fall back to similarity."""
-    q, v = _queries(spark, d), _vectors(spark, d)
+    q, v = _all_queries(spark, d), _vectors(spark, d)
     plans = planning.beam(q, v, graph.pruned(_edges(spark, d))).where("rank = 0 AND size(seq) > 1").select("query_id", "seq")
     return planning.with_fallback(plans, q, v).select("query_id", F.array_join("seq", ">").alias("seq"), "fallback")
 
@@ -656,7 +662,7 @@ def alpha_best(spark, d):
 @query
 def beam_parameter_search(spark, d):
     """Mean of F1 + 0.5 LCS recall + 0.3 ordered precision of beams of three widths and two lengths."""
-    q, v, e = _queries(spark, d), _vectors(spark, d), _edges(spark, d)
+    q, v, e = _all_queries(spark, d), _vectors(spark, d), _edges(spark, d)
     g, out = q.select("query_id", F.col("truth").alias("g")), None
     for width in (2, 5):
         for target in (3, 4):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +53,10 @@ def tool_vectors(steps: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def queries(steps: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(query_id, task_id, vec, truth, k): the n-th task, with the n-th vector as the encoding of its text."""
+    """(query_id, task_id, vec, truth, k): the n-th task, with the n-th vector as the encoding of its text.
+
+    Tasks beyond the number of vectors are left out, as in the SQL; `all_queries` has them all.
+    """
     tasks = steps.select("task_id").distinct()
     # ordinals are dense: only as many tasks as there are vectors are looked at
     firsts = tasks.orderBy("task_id").limit(embeddings.count())
@@ -62,3 +67,23 @@ def queries(steps: DataFrame, embeddings: DataFrame) -> DataFrame:
         numbered.join(e, "query_id").join(truth, "task_id")
         .select("query_id", "task_id", "vec", F.col("seq").alias("truth"), F.greatest("num_steps", F.lit(3)).alias("k"))
     )
+
+
+def all_queries(steps: DataFrame, embeddings: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(query_id, task_id, vec, truth, k): every task, the n-th with the vector of n modulo their number.
+
+    Tasks are numbered by ranges, so no task of Spark's sees them all; keep(df, name) writes the ranges once.
+    """
+    dealt = steps.select("task_id").distinct().repartitionByRange("task_id").withColumn("_part", F.spark_partition_id())
+    dealt = keep(dealt, "tasks")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("task_id")).cast("long") - 1
+    numbered = dealt.withColumn("_place", place).join(before, "_part").select("task_id", (F.col("_before") + F.col("_place")).alias("query_id"))
+    total = embeddings.agg(F.count(F.lit(1)).alias("_vectors"))  # one row
+    e = embeddings.select("vec_id", F.col("embedding").alias("vec"))
+    return (
+        numbered.crossJoin(total).withColumn("vec_id", F.expr("query_id % _vectors")).join(e, "vec_id").join(sequences(steps), "task_id")
+        .select("query_id", "task_id", "vec", F.col("seq").alias("truth"), F.greatest("num_steps", F.lit(3)).alias("k"))
+    )
