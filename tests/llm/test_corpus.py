@@ -197,6 +197,15 @@ def test_passages(spark, docs, odd):
     assert got == {0: (80, 140), 1: (80, 140), 2: (80, 139)}
 
 
+def test_chains_are_cut_at_gaps():
+    for n in (60, 200):
+        for gap in range(n // 2 + 1, n, 7):
+            p, q, x = np.arange(n), np.arange(n) + 1000, np.arange(gap) + 2000
+            found = passages.align(np.r_[p, x, q].astype(np.uint64), np.r_[p, q].astype(np.uint64))
+            covered = {i for a0, a1, *_ in found for i in range(a0, a1)}
+            assert {*range(n), *range(n + gap, 2 * n + gap)} <= covered
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     extra = spark.createDataFrame([(900, "lone words here"), (901, ""), (902, None), (None, "two blanks"), (900, "lone words here")], "item_id long, text string")
