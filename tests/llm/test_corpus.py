@@ -206,6 +206,21 @@ def test_chains_are_cut_at_gaps():
             assert {*range(n), *range(n + gap, 2 * n + gap)} <= covered
 
 
+def test_passages_that_stand_twice():
+    p, own = np.arange(60, dtype=np.uint64), lambda n, i: np.arange(1000 * i, 1000 * i + n, dtype=np.uint64)
+    fuzzy = np.where(np.arange(60) % 10 == 9, 500 + p, p)
+    for b in (p, np.r_[own(70, 1), p]):
+        for first, both in ((p, True), (fuzzy, True), (p[:30], False)):
+            a = np.r_[first, own(200, 2), p, own(80, 3)]
+            for x, y, side in ((a, b, 0), (b, a, 2)):
+                spans = {f[side : side + 2] for f in passages.align(x, y)}
+                copy = len(first) + 200
+                assert any(s <= copy and e >= copy + 60 for s, e in spans)
+                assert any(s == 0 and e >= len(first) - 1 for s, e in spans) == both
+    same = np.tile(own(10, 4), 300)
+    assert (0, 3000, 0, 3000, 1.0) in passages.align(same, same)
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     extra = spark.createDataFrame([(900, "lone words here"), (901, ""), (902, None), (None, "two blanks"), (900, "lone words here")], "item_id long, text string")
