@@ -221,6 +221,20 @@ def test_passages_that_stand_twice():
     assert (0, 3000, 0, 3000, 1.0) in passages.align(same, same)
 
 
+def test_fuzzy_and_repetitive_passages_are_candidates(spark):
+    rng = np.random.default_rng(5)
+    own = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for n, every in ((60, 5), (60, 7), (60, 8), (60, 10), (80, 5), (80, 7)):
+        p = own(n)
+        texts += [own(70) + p + own(70), own(40) + [f"v{i}" if i % every == every // 2 else w for i, w in enumerate(p)] + own(90)]
+    sentence = own(10)
+    texts += [own(70) + sentence * 5 + own(30), own(20) + sentence * 5 + own(80)]
+    found = passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.partner_id for r in found} == {i: i ^ 1 for i in range(len(texts))}
+    assert all(r.end - r.begin >= 50 for r in found)
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     extra = spark.createDataFrame([(900, "lone words here"), (901, ""), (902, None), (None, "two blanks"), (900, "lone words here")], "item_id long, text string")
