@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajectra import plans
 from trajectra.functions import text
-from trajectra.operators import graph, ordering, planning, retrieval, trajectory
+from trajectra.operators import graph, ordering, planning, retrieval, training, trajectory
 from trajectra.sources import readers, sinks, tables
 from trajectra.sources.working import working
 
@@ -113,3 +113,21 @@ def test_all_tasks_are_queried(spark, steps):
     ]
     d = "/root/testdata/sf0.001"
     assert plans.QUERIES["plan_fallback"](spark, d).select("query_id").distinct().count() == tables.order_steps(spark, d).select("task_id").distinct().count()
+
+
+def test_pairs_of_all_own_tools(spark):
+    names = [f"t{i:03}" for i in range(100)]
+    vectors = spark.createDataFrame([(n, [1.0, i / 100]) for i, n in enumerate(names)], "tool string, vec array<float>")
+    truth = ["t001", "t050", "t002", "t001", "t099"]
+    q = spark.createDataFrame([(0, [0.0, 1.0], truth, 5)], "query_id long, vec array<float>, truth array<string>, k int")
+    links = spark.createDataFrame([("t001", "t002", 0.5)], "src string, dst string, w double")
+    rows = training.pair_rows(planning.linked(planning.own_tools(q, vectors), links), q.select("query_id", "truth")).collect()
+    first = ["t001", "t050", "t002", "t099"]
+    assert {(r.a, r.b): r.label for r in rows} == {(a, b): int(first.index(a) < first.index(b)) for a in first for b in first if a != b}
+    frequency = spark.createDataFrame([(n, 1000 - i) for i, n in enumerate(names)], "tool string, frequency long")
+    many = retrieval.most_frequent(q.withColumn("k", F.lit(90)), frequency).orderBy("rank").collect()
+    assert [r.tool for r in many] == names[:90]
+    d = "/root/testdata/sf0.001"
+    pairs, tasks = plans.QUERIES["pair_training_rows"](spark, d), tables.sequences(tables.order_steps(spark, d))
+    n = F.size(F.array_distinct("seq"))
+    assert pairs.count() == tasks.agg(F.sum(n * (n - 1))).first()[0]

@@ -30,6 +30,13 @@ def candidates(queries: DataFrame, vectors: DataFrame, size: Column) -> DataFram
     return found.join(q.select("query_id", "k", "_size"), "query_id").where("rank < _size").select("query_id", "tool", "sim", "rank", "k")
 
 
+def own_tools(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, tool, sim, rank, k): the distinct tools of each query's truth, ranked among themselves."""
+    tools = queries.select("query_id", "vec", "k", F.explode(F.array_distinct("truth")).alias("tool"))
+    found = tools.join(vectors.select("tool", F.col("vec").alias("_v")), "tool").withColumn("sim", scores.dot(F.col("vec"), F.col("_v")))
+    return retrieval.ranked(found).select("query_id", "tool", "sim", "rank", "k")
+
+
 def linked(cands: DataFrame, links: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """One row a query: (query_id, k, c), c an array by rank of structs (rank, tool, sim, pos, into).
 

@@ -50,9 +50,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, k1: float = 1.5, b: fl
 
 def most_frequent(queries: DataFrame, frequency: DataFrame) -> DataFrame:
     """(query_id, rank, tool): the most frequent tools for every query, as many as its k."""
-    longest = queries.agg(F.max("k").alias("m"))
-    top = frequency.orderBy(F.desc("frequency"), "tool").limit(64)
-    numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("frequency"), "tool")) - 1).crossJoin(longest).where("rank < m")
+    longest = queries.agg(F.max("k")).first()[0] or 0
+    top = frequency.orderBy(F.desc("frequency"), "tool").limit(longest)
+    numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("frequency"), "tool")) - 1)
     return queries.select("query_id", "k").join(numbered.select("rank", "tool"), F.col("rank") < F.col("k")).select("query_id", "rank", "tool")
 
 

@@ -111,7 +111,7 @@ def _learned(spark: SparkSession, d: str) -> DataFrame:
 @shared
 def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
     q = _all_queries(spark, d)
-    rows = planning.linked(planning.candidates(q, _vectors(spark, d), F.lit(32)), _tp(spark, d), _positions(spark, d))
+    rows = planning.linked(planning.own_tools(q, _vectors(spark, d)), _tp(spark, d), _positions(spark, d))
     return training.pair_rows(rows, q.select("query_id", "truth"))
 
 
@@ -618,7 +618,7 @@ def first_tool_table(spark, d):
 def fixed_k_table(spark, d):
     """Similarity retrieval with three fixed numbers of tools and the query's own."""
     q, v = _queries(spark, d), _vectors(spark, d)
-    top = retrieval.ranked(retrieval.similarities(q, v)).where("rank < 32").join(q.select("query_id", "k", "truth"), "query_id")
+    top = retrieval.ranked(retrieval.similarities(q, v)).join(q.select("query_id", "k", "truth"), "query_id").where("rank < greatest(k, 8)")
     out = None
     for name, k in (("3", F.lit(3)), ("5", F.lit(5)), ("8", F.lit(8)), ("oracle", F.col("k"))):
         seqs = top.where(F.col("rank") < k).groupBy("query_id", "truth").agg(F.array_sort(F.collect_list(F.struct("rank", "tool"))).alias("s"))
