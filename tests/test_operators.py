@@ -131,3 +131,21 @@ def test_pairs_of_all_own_tools(spark):
     pairs, tasks = plans.QUERIES["pair_training_rows"](spark, d), tables.sequences(tables.order_steps(spark, d))
     n = F.size(F.array_distinct("seq"))
     assert pairs.count() == tasks.agg(F.sum(n * (n - 1))).first()[0]
+
+
+def test_bridges_of_any_length(spark):
+    chain = [f"c{i:02}" for i in (0, 9, 1, 8, 2, 7, 3, 6, 4, 5)] + ["c10", "c11"]
+    bridge = ["c11", "x1", "x2", "x3", "x4", "far"]
+    edges = spark.createDataFrame([*zip(chain, chain[1:]), *zip(bridge, bridge[1:])], "src string, dst string")
+    tools = [*sorted(chain), "far"]
+    # the chain's end leads on and is among its best three
+    order = ["c11", *[t for t in tools if t != "c11"]]
+    cands = spark.createDataFrame([(0, t, 1.0 - i / 100, i, 3) for i, t in enumerate(order)], "query_id long, tool string, sim double, rank int, k int")
+    q = spark.createDataFrame([(0, [1.0], 3)], "query_id long, vec array<float>, k int")
+    vectors = spark.createDataFrame([(t, [0.0]) for t in {*chain, *bridge}], "tool string, vec array<float>")
+    found = {r.tool for r in planning.with_bridges(cands, edges, q, vectors, working(spark, "test")).collect()}
+    assert found == {*chain, *bridge}
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    ends = spark.createDataFrame([("a", "c"), ("a", "z"), ("q", "a")], "src string, dst string")
+    assert [tuple(r) for r in graph.paths_between(ring, ends, working(spark, "test")).collect()] == [("a", "c", ["a", "b", "c"])]
+    assert planning.with_bridges(cands.where("tool <> 'far'"), edges, q, vectors, working(spark, "test")).count() == len(chain)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -279,6 +280,26 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int = 4) -> Data
     return found
 
 
+def paths_between(edges: DataFrame, wanted: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(src, dst, path) of the wanted pairs (src, dst) that have a path, unweighted, of any length; among equals the least path.
+
+    Sources go on until their wanted ends are found or nothing new can be reached. keep(df, name) writes a round and reads it back.
+    """
+    hop = keep(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "hops")
+    left = keep(wanted.select("src", "dst").distinct(), "wanted")
+    last = keep(left.select("src", F.col("src").alias("dst"), F.array("src").alias("path")).distinct(), "paths-0")
+    seen, out, h = last.select("src", "dst"), last.join(left, ["src", "dst"]), 0
+    while True:
+        left = keep(left.join(last, ["src", "dst"], "left_anti"), f"left-{h}")
+        live = last.join(left.select("src").distinct(), "src", "left_semi")
+        grown = live.join(hop, live.dst == hop._at).select("src", F.col("_to").alias("dst"), F.concat("path", F.array("_to")).alias("path"))
+        h += 1
+        last = keep(grown.groupBy("src", "dst").agg(F.min("path").alias("path")).join(seen, ["src", "dst"], "left_anti"), f"paths-{h}")
+        if not last.limit(1).count():
+            return out
+        seen, out = seen.unionByName(last.select("src", "dst")), out.unionByName(last.join(wanted.select("src", "dst").distinct(), ["src", "dst"]))
+
+
 def topological_order(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """(tool, layer): the longest chain of edges that ends in the tool; tools on or behind a cycle have none."""
     nodes = edges.select(F.col("src").alias("tool")).unionByName(edges.select(F.col("dst").alias("tool"))).distinct()

@@ -128,7 +128,7 @@ def scaled(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return rows.withColumn(column, scores.min_max(F.col(column), F.min(column).over(w), F.max(column).over(w)))
 
 
-def with_bridges(cands: DataFrame, edges: DataFrame, queries: DataFrame, vectors: DataFrame, keep: Callable | None = None, depth: int = 2, rounds: int = 6) -> DataFrame:
+def with_bridges(cands: DataFrame, edges: DataFrame, queries: DataFrame, vectors: DataFrame, keep: Callable | None = None) -> DataFrame:
     """Candidates and the inner tools of shortest paths between the best tools of successive components.
 
     keep(df, name) writes a round of labels and reads it back; without it, rounds are checkpointed.
@@ -141,11 +141,15 @@ def with_bridges(cands: DataFrame, edges: DataFrame, queries: DataFrame, vectors
     )
     both = inside.select("query_id", "src", "dst").unionByName(inside.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = keep(both, "links")
-    labels = cands.select("query_id", "tool", F.col("rank").alias("comp"))
-    for i in range(rounds):
+    labels, i = cands.select("query_id", "tool", F.col("rank").alias("comp")), 0
+    while True:
         near = both.join(labels.withColumnRenamed("tool", "dst"), ["query_id", "dst"]).groupBy("query_id", F.col("src").alias("tool")).agg(F.min("comp").alias("_m"))
-        labels = labels.join(near, ["query_id", "tool"], "left").select("query_id", "tool", F.least("comp", F.coalesce("_m", "comp")).alias("comp"))
-        labels = keep(labels, f"labels-{i}")
+        now = labels.join(near, ["query_id", "tool"], "left").select("query_id", "tool", F.least("comp", F.coalesce("_m", "comp")).alias("comp"))
+        now = keep(now, f"labels-{i}")
+        changed = now.join(labels, ["query_id", "tool", "comp"], "left_anti").limit(1).count()
+        labels, i = now, i + 1
+        if not changed:
+            break
     comps = labels.join(cands.select("query_id", "tool", "rank"), ["query_id", "tool"])
     best = comps.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "comp").orderBy("rank"))).where("_n <= 3")
     order = best.select("query_id", "comp").distinct().withColumn("_next", F.lead("comp").over(Window.partitionBy("query_id").orderBy("comp"))).where("_next IS NOT NULL")
@@ -154,7 +158,7 @@ def with_bridges(cands: DataFrame, edges: DataFrame, queries: DataFrame, vectors
         .join(best.select("query_id", F.col("comp").alias("_next"), F.col("tool").alias("dst"), F.col("rank").alias("_rb")), ["query_id", "_next"])
     )
     ends = keep(ends, "ends")
-    paths = graph.shortest_paths(edges, ends.select(F.col("src").alias("tool")).distinct(), depth)
+    paths = graph.paths_between(edges, ends.select("src", "dst").distinct(), keep)
     first = ends.join(paths, ["src", "dst"]).groupBy("query_id", "comp").agg(F.min_by("path", F.struct("_ra", "_rb")).alias("path"))
     inner = first.select("query_id", F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("tool")).distinct()
     extra = inner.join(cands.select("query_id", "tool"), ["query_id", "tool"], "left_anti")
