@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a per-worker memo may hold before it is emptied; bounds a worker's memory.
-MEMO_LIMIT = 1_000_000
-
-#: ASCII letters A-Z become a-z and every other non-word byte a blank.
-_ALNUM = bytes(
-    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
-    for b in range(256)
-)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,14 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A local session without that setting, as in tests, gets a folder under its warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="trajectra-")
-        shared_dir.own = found
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/trajectra-work"
     return found.rstrip("/")
 
 
@@ -69,30 +61,35 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def blank_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, as UTF-8."""
-    return text.encode().lower().split() if text else []
-
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
 
-def alnum_words(text: str | None) -> list[bytes]:
-    """Runs of 0-9, a-z (A-Z lower-cased) and code points from U+0080, as UTF-8."""
-    return text.encode().translate(_ALNUM).split() if text else []
 
+def release() -> None:
+    """Hand freed memory back to the system; a worker that is used again then holds nothing of the last task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
 
+def lean(run):
+    """A function of batches that leaves no freed memory behind when a partition ends."""
 
-_hashes = _Hashes()
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words."""
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return wrapped
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,8 +107,3 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + mix(h[i : i + n] + np.uint64(i + 1))
     return mix(out)
-
-
-def clean_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the columns an operator reads, so extra columns with clashing names do no harm."""
-    return df.select(*[F.col(n) for n in names])

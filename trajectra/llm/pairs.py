@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text), each once, of the given nodes (node) in docs; texts cross the network once, at every size alike."""
-    need = nodes.select("node").distinct().hint("merge")
-    return docs.select("node", "text").join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    """(node, text), each once, of the given nodes (node) in docs; copies are dropped by each task before they cross the network."""
+    once = docs.select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+    return once.join(nodes.select("node").distinct(), "node", "left_semi")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:

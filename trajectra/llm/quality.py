@@ -6,12 +6,15 @@ score all documents of a batch at once, level by level.
 
 Edge cases: a null text counts as empty and gets the score of the empty text; labels with a
 null id or value are left out; a document labelled more than once takes the mean, 0.5 counting
-as 1; without any usable label every score is 0.5; repeated rows are scored alike.
+as 1; without any usable label every score is 0.5; repeated rows are scored alike, and ties are
+scored alike; texts of any length are described whole; of the input's columns only doc_id and text
+are looked at, and one with the name of the output is replaced; an empty table returns no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -20,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Rows a model may be fitted on, taken in the order of a hash of doc_id.
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -171,11 +176,15 @@ def score(docs: DataFrame, forest: Forest, text: str = "text", out: str = "score
     """Add the score of every whole text as column `out`."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        found = np.empty(len(texts))
-        for i in range(0, len(texts), 512):
-            x = np.array([statistics(t) for t in texts.iloc[i : i + 512]])
-            found[i : i + len(x)] = forest.score(x)
-        return pd.Series(found)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                found = np.empty(len(texts))
+                for i in range(0, len(texts), 512):
+                    x = np.array([statistics(t) for t in texts.iloc[i : i + 512]])
+                    found[i : i + len(x)] = forest.score(x)
+                yield pd.Series(found)
+        finally:
+            common.release()
 
     return docs.withColumn(out, scored(F.col(text)))

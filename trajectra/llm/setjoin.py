@@ -8,66 +8,114 @@ part in its own band and, as the larger one, in the one or two below it.
 Signatures of a set in a band, by the allocation that costs least for the band's population:
 
 * exact: the contents of its first H + 1 segments that are not empty. At most H segments differ,
-  and identical empty ones are as few as the set has skipped, so two similar sets share one.
+  and identical empty ones are as few as the set has skipped, so two similar sets share one, unless
+  both ran out of segments.
 * one deletion: its first H / 2 + 1 (larger) segments, each whole and without each of its
   shingles. Some segment differs by one shingle at most, which one of those contents bridges.
 
-A set that runs out of non-empty segments is compared with all sets of fitting size instead
-(`_deficit`), by sketches, in blocks. Signatures travel as packed blocks by bucket and meet
-there; every candidate is verified on the sets themselves.
+A set that runs out of segments gives all it has and goes on to the next of four levels, each with a
+partition of its own, where it meets the only sets that it could have missed: those that ran out, too.
+The first two levels leave out shingles that many documents of a bounded sample have. Sets differ by
+H of the other shingles at most, too, so nothing is missed whatever the sample holds, and documents
+that have no more than a common passage in common do not meet. The third level has all shingles; the
+last takes H + 1 segments as they are, empty or not, and no set runs out of them.
+
+Signatures travel as packed blocks by bucket and meet there; every candidate is verified on the sets
+themselves. A task holds HOLD signatures of a bucket at most, and then goes on with the least set of
+each, which stands for those before.
 
 Not all pairs of a group are looked at. Texts that are equal are one node. Each node is verified
 first with the least node it shares most signatures with, and components are formed. Nodes that share
 a signature but fall into different components are compared by parity sketches, whose difference
 is never larger than that of the sets: for ROUNDS rounds each such node is verified with its likeliest
 partner, which joins most of what belongs together; then every pair across components that
-sketches can't tell apart is verified. So no link between different components is missed.
+sketches can't tell apart is verified. So no link between different components is missed. Groups of
+more than GROUP open nodes are dealt to tasks in blocks of parts against parts.
 
 Shingles and texts are told apart by 64-bit hashes.
 
 Edge cases: a text without words (null, empty, white space) has no shingles and links with nothing;
 fewer than five words make one shingle; equal texts are one component; rows that repeat a doc_id
-are separate documents; a null doc_id is no component id unless all its component's are null.
+are separate documents; a null doc_id is no component id unless all its component's are null; texts
+of any length are hashed a tile at a time; other columns are not looked at, whatever their names; an
+empty table returns no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, pairs
+from . import common, pairs, words
 from .common import Scratch
 from .components import components
 
 WORDS = 5
-#: Signatures that a task packs at a time, and that a bucket holds on average.
-PACK = 2_000_000
-#: Sets that are compared with all others at a time.
-BLOCK = 2_000
+#: Signatures that a task packs at a time, that it holds of a bucket, and that a bucket has on average.
+PACK, HOLD, BUCKET = 400_000, 1_000_000, 500_000
+#: Buckets of the exchange at most; beyond, a task deals what it gets to finer ones.
+BUCKETS = 8_192
+#: Open nodes of a group that one task compares with one another, or with as many others.
+GROUP = 4_096
 #: Rounds in which each open node is verified with one partner only, before all open pairs are.
 ROUNDS = 3
 #: Of two sets that are not similar, the share of pairs with a common passage and its share of a set;
 #: the cost of comparing two sketches, in signatures. They choose an allocation, never a result.
 SHARING, OVERLAP, COMPARE = 0.01, 0.25, 0.05
+#: Texts in the sample for common shingles, the share of them that makes one common, and how many of
+#: these are used at most. They make groups smaller, and never change a result.
+SAMPLE, COMMON, USED = 4_000, 0.01, 200_000
+#: Nodes that a task remembers to have seen, so that it signs copies once.
+SEEN = 100_000
+
+
+def token_sets(texts: pa.Array, k: int = WORDS, inside: np.ndarray = words.BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of k-word shingles of all texts, one after the other, and their sizes.
+
+    With fewer words, the whole sequence is one shingle.
+    """
+    h, counts = words.hashed(texts, inside)
+    ends = np.cumsum(counts)
+    row = np.repeat(np.arange(len(counts)), counts)
+    found, owner = [], []
+    for n in range(1, k + 1):
+        if n < k and not (counts == n).any():
+            continue
+        g = common.grams(h, n)
+        at = np.arange(len(g))
+        fits = at + n <= ends[row[: len(g)]]
+        # texts with fewer than k words have one shingle, of all of their words
+        fits &= counts[row[: len(g)]] >= k if n == k else counts[row[: len(g)]] == n
+        found.append(g[fits])
+        owner.append(row[: len(g)][fits])
+    tokens, owner = np.concatenate(found), np.concatenate(owner)
+    if len(found) > 1:
+        order = np.argsort(owner, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+    at = np.flatnonzero(np.r_[np.ones(min(len(owner), 1), bool), owner[1:] != owner[:-1]]).tolist()
+    for a, b in zip(at, [*at[1:], len(owner)], strict=False):
+        tokens[a:b].sort()
+    new = np.r_[np.ones(min(len(tokens), 1), bool), (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
+    return tokens[new], np.bincount(owner[new], minlength=len(counts))
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
-    """The sorted set of k-word shingles of a text; with fewer words, the whole sequence as one."""
-    h = common.word_hashes(common.blank_words(text))
-    return np.unique(common.grams(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
+    """The sorted set of one text."""
+    return token_sets(pa.array([text], pa.string()), k)[0]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether 100 * intersection >= 80 * union, for sorted sets that are not empty."""
     if 100 * min(len(a), len(b)) < 80 * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
@@ -102,48 +150,107 @@ def differences(size: int, j: int) -> int:
     return (size + partner) // 9
 
 
+def reach(j: int) -> int:
+    """The most differences of any two similar sets in a band."""
+    return max(differences(int(bands()[j + 1]) - 1, j), differences(most(j), j))
+
+
 @lru_cache(maxsize=4096)
-def allocation(j: int, population: int) -> tuple[bool, int, bool]:
-    """(one deletion?, segments, skip empty ones?) of a band, by estimated cost."""
-    end = int(bands()[j + 1]) - 1
-    h = max(differences(end, j), differences(most(j), j))
-    if end <= 40:
-        return False, h + 1, False
-    exact, loose = (h + 1) * 6 // 5, h // 2 + 1
+def allocation(j: int, population: int) -> tuple[bool, int]:
+    """(one deletion?, segments) of a band, by estimated cost."""
+    end, h = int(bands()[j + 1]) - 1, reach(j)
+    exact, loose = (h + 1) * 6 // 5, (h // 2 + 1) * 6 // 5
     per, per_loose = end / exact, end / loose
     pairs_of = population**2 / 2 * SHARING * COMPARE
     cost = (h + 1) * population + pairs_of * (h + 1) * OVERLAP**per
     cost_loose = loose * (1 + per_loose) * population + pairs_of * loose * per_loose * OVERLAP ** (per_loose - 1)
-    return (True, loose, False) if cost_loose < cost else (False, exact, True)
-
-
-def signatures(tokens: np.ndarray, population: dict[int, int]) -> tuple[np.ndarray, bool]:
-    """64-bit signatures of a set in all of its bands; whether it ran out of segments."""
-    out, short = [], False
-    for j in bands_of(len(tokens)):
-        loose, m, skip = allocation(j, population.get(j, 1))
-        h = differences(len(tokens), j)
-        where = (common.mix(tokens + np.uint64(j + 1)) >> np.uint64(20)) % np.uint64(m)
-        order = np.argsort(where, kind="stable")
-        where, inside = where[order], tokens[order]
-        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        used, sums = where[starts], np.add.reduceat(inside, starts)
-        tag = np.uint64(j + 1) << np.uint64(40)
-        if skip:
-            short |= len(used) < h + 1
-            out.append(common.mix(sums[: h + 1] + common.mix(used[: h + 1] + tag)))
-            continue
-        take = h // 2 + 1 if loose else h + 1
-        whole = np.zeros(take, np.uint64)
-        low = used < take
-        whole[used[low].astype(np.int64)] = sums[low]
-        segment = common.mix(np.arange(take, dtype=np.uint64) + tag)
-        out.append(common.mix(whole + segment))
-        if loose:
-            n = int(np.searchsorted(where, take))
-            at = where[:n].astype(np.int64)
-            out.append(common.mix(whole[at] - inside[:n] + segment[at]))
-    return (out[0] if len(out) == 1 else np.concatenate(out)), short
+    return (True, loose) if h > 1 and cost_loose < cost else (False, exact)
+
+
+def _segments(tokens: np.ndarray, sizes: np.ndarray, salt: int, m: int):
+    """Tokens by set and segment: the order, where each segment begins in it, its set and its place."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    where = ((common.mix(tokens + np.uint64(salt)) >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(owner * m + where, kind="stable")
+    where, owner = where[order], owner[order]
+    starts = np.flatnonzero(np.r_[np.ones(min(len(where), 1), bool), (where[1:] != where[:-1]) | (owner[1:] != owner[:-1])])
+    return order, starts, owner[starts], where[starts]
+
+
+def _until_enough(tokens: np.ndarray, sizes: np.ndarray, need: np.ndarray, salt: int, m: int, loose: bool):
+    """Signatures of each set's segments up to the one that makes `need`; whose each is; the sets that ran out.
+
+    With one deletion, only segments of two shingles or more count: without one of them they are not empty.
+    """
+    order, starts, own, at = _segments(tokens, sizes, salt, m)
+    if not len(starts):
+        return np.empty(0, np.uint64), own, np.ones(len(sizes), bool)
+    inner, length = tokens[order], np.diff(np.r_[starts, len(tokens)])
+    counts = (length > loose).astype(np.int64)
+    total = np.bincount(own, counts, len(sizes)).astype(np.int64)
+    before = np.cumsum(counts) - counts
+    first = np.searchsorted(own, own)
+    taken = before - before[first] < need[own]
+    sums = np.add.reduceat(inner, starts)
+    tag = common.mix(at.astype(np.uint64) + (np.uint64(salt) << np.uint64(24)))
+    sigs, owners = common.mix(sums[taken] + tag[taken]), own[taken]
+    if loose:
+        slot = np.repeat(np.arange(len(starts)), length)
+        cut = taken[slot] & (length[slot] > 1)
+        sigs = np.concatenate([sigs, common.mix(sums[slot[cut]] - inner[cut] + tag[slot[cut]])])
+        owners = np.concatenate([owners, own[slot[cut]]])
+    return sigs, owners, total < need
+
+
+def _as_they_are(tokens: np.ndarray, sizes: np.ndarray, take: np.ndarray, salt: int, m: int):
+    """Signatures of each set's first `take` segments, empty ones, too; whose each is."""
+    order, starts, own, at = _segments(tokens, sizes, salt, m)
+    base = np.cumsum(take) - take
+    holder = np.repeat(np.arange(len(sizes)), take)
+    whole = np.zeros(len(holder), np.uint64)
+    low = at < take[own]
+    whole[base[own[low]] + at[low]] = np.add.reduceat(tokens[order], starts)[low]
+    tag = common.mix((np.arange(len(whole)) - base[holder]).astype(np.uint64) + (np.uint64(salt) << np.uint64(24)))
+    return common.mix(whole + tag), holder
+
+
+def signatures(tokens: np.ndarray, sizes: np.ndarray, population: dict[int, int], ordinary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit signatures of sets (one after the other, none empty) in all their bands, and which set has each.
+
+    `ordinary` are the sorted common shingles that the first two levels leave out.
+    """
+    sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    rare = np.ones(len(tokens), bool)
+    if ordinary is not None and len(ordinary):
+        rare = ordinary[np.minimum(np.searchsorted(ordinary, tokens), len(ordinary) - 1)] != tokens
+    starts = np.cumsum(sizes) - sizes
+    members: dict[int, list[int]] = {}
+    for i, size in enumerate(sizes.tolist()):
+        for j in bands_of(size):
+            members.setdefault(j, []).append(i)
+    for j, inside in members.items():
+        rows = np.array(inside)
+        loose, m = allocation(j, population.get(j, 1))
+        h = np.array([differences(int(sizes[i]), j) for i in inside])
+        for level, parts in enumerate((m, 4 * m, m, reach(j) + 1)):
+            n = sizes[rows]
+            at = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            salt = (level << 16) + j + 1
+            if level == 3:
+                s, o = _as_they_are(tokens[at], n, h + 1, salt, parts)
+                out = np.zeros(len(rows), bool)
+            else:
+                if level < 2:
+                    kept = rare[at]
+                    n = np.bincount(np.repeat(np.arange(len(rows)), n)[kept], minlength=len(rows))
+                    at = at[kept]
+                s, o, out = _until_enough(tokens[at], n, h // 2 + 1 if loose else h + 1, salt, parts, loose)
+            sigs.append(s)
+            owners.append(rows[o])
+            if not out.any():
+                break
+            rows, h = rows[out], h[out]
+    return np.concatenate(sigs), np.concatenate(owners)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -165,25 +272,26 @@ def _folded(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-_ROW = "doc_id long, node long, n long, sketch binary, short boolean, bucket int, payload binary"
-_ROWS = [x.split()[0] for x in _ROW.split(", ")]
-
-
-def pack(sigs: list[np.ndarray], nodes: list[int], buckets: int) -> list[tuple[int, bytes]]:
-    """Signatures by bucket: 40 bits each, and how many each node has."""
-    sig = np.concatenate(sigs)
-    owner = np.repeat(np.arange(len(nodes)), [len(s) for s in sigs])
-    bucket = ((sig >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, sig, owner = bucket[order], sig[order], owner[order]
-    ids, out = np.array(nodes, np.int64), []
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    for a, b in zip(starts, np.r_[starts[1:], len(sig)], strict=True):
-        own, counts = np.unique(owner[a:b], return_counts=True)
-        low = (sig[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-        high = ((sig[a:b] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
-        head = np.array([b - a, len(own)], "<u4").tobytes()
-        out.append((int(bucket[a]), head + low + high + ids[own].tobytes() + counts.astype("<u4").tobytes()))
+_ROW = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("payload", pa.binary())])
+_ROW_SQL = "doc_id long, node long, n long, sketch binary, bucket int, payload binary"
+
+
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return ((sig >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+
+
+def pack(sig: np.ndarray, node: np.ndarray, bucket: np.ndarray) -> list[tuple[int, bytes]]:
+    """Signatures by bucket: 40 bits each, the nodes they are of, and how many each node has."""
+    order = np.lexsort((node, bucket))
+    bucket, sig, node = bucket[order], sig[order], node[order]
+    out = []
+    starts = np.flatnonzero(np.r_[np.ones(min(len(sig), 1), bool), bucket[1:] != bucket[:-1]])
+    low, high = (sig & np.uint64(0xFFFFFFFF)).astype("<u4"), ((sig >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
+        first = np.flatnonzero(np.r_[True, node[a + 1 : b] != node[a : b - 1]])
+        counts = np.diff(np.r_[first, b - a]).astype("<u4")
+        head = np.array([b - a, len(first)], "<u4")
+        out.append((int(bucket[a]), b"".join(x.tobytes() for x in (head, low[a:b], high[a:b], node[a:b][first].astype("<i8"), counts))))
     return out
 
 
@@ -195,113 +303,213 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig, np.repeat(ids, np.frombuffer(payload[8 + 5 * n + 8 * owners :], "<u4"))
 
 
-def describe(docs: DataFrame, buckets: int, population: dict[int, int]) -> DataFrame:
-    """Rows of two kinds: one a document (doc_id, node, n, sketch, short), and packed signatures (bucket, payload)."""
+class Packer:
+    """Collects signatures of nodes and packs them, PACK at a time, by the bucket that `bucket` gives them."""
+
+    def __init__(self, bucket, schema: pa.Schema):
+        self.bucket, self.schema, self.held, self.n = bucket, schema, [], 0
+
+    def add(self, sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(sig), PACK):
+            self.held.append((sig[i : i + PACK], node[i : i + PACK]))
+            self.n += len(self.held[-1][0])
+            if self.n >= PACK:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            sig, node = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+            self.held, self.n = [], 0
+            blocks = pack(sig, node, self.bucket(sig))
+            cols = {"bucket": pa.array([b for b, _ in blocks], pa.int32()), "payload": pa.array([p for _, p in blocks], pa.binary())}
+            yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(blocks), f.type)) for f in self.schema], schema=self.schema)
+
+
+def unseen(nodes: np.ndarray, seen: set) -> np.ndarray:
+    """Which rows are the first of their node in this task, as far as it remembers (SEEN nodes)."""
+    out = np.zeros(len(nodes), bool)
+    for i, node in enumerate(nodes.tolist()):
+        if node not in seen:
+            out[i] = True
+            if len(seen) < SEEN:
+                seen.add(node)
+    return out
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs, nodes, held = [], [], 0
 
-        def packed() -> pd.DataFrame:
-            blocks = pack(sigs, nodes, buckets)
-            return pd.DataFrame([(None, None, None, None, None, b, p) for b, p in blocks], columns=_ROWS)
+def describe(docs: DataFrame, buckets: int, population: dict[int, int], ordinary: np.ndarray | None = None) -> DataFrame:
+    """Rows of two kinds: one a document (doc_id, node, n, and a sketch once a node and task), and packed signatures (bucket, payload)."""
 
-        for batch in batches:
-            out = []
-            for doc_id, node, text in zip(batch["doc_id"].astype(object), batch["node"], batch["text"], strict=True):
-                tokens = shingles(text)
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                if not len(tokens):
-                    out.append((doc_id, node, 0, None, False, None, None))
-                    continue
-                found, short = signatures(tokens, population)
-                out.append((doc_id, node, len(tokens), sketch(tokens), short, None, None))
-                sigs.append(found)
-                nodes.append(node)
-                held += len(found)
-                if held >= PACK:
-                    yield packed()
-                    sigs, nodes, held = [], [], 0
-            frame = pd.DataFrame(out, columns=_ROWS)
-            yield frame.astype({"doc_id": "Int64", "n": "Int64", "bucket": "Int32"})
-        if sigs:
-            yield packed()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "node", "text").mapInPandas(rows, _ROW)
-
-
-_MEET = "node long, pivot long, shared long, grp long"
+    @common.lean
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = Packer(lambda sig: bucket_of(sig, buckets), _ROW), set()
+        for whole in batches:
+            for i, k in words.slices([whole["text"]]):
+                batch = whole.slice(i, k - i)
+                node = batch["node"].to_numpy()
+                tokens, sizes = token_sets(batch["text"])
+                new = unseen(node, seen) & (sizes > 0)
+                starts = np.cumsum(sizes) - sizes
+                sketches = [sketch(tokens[a : a + n]) if f else None for a, n, f in zip(starts.tolist(), sizes.tolist(), new.tolist(), strict=True)]
+                empty = lambda t, n=len(node): pa.nulls(n, t)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], batch["node"], pa.array(sizes), pa.array(sketches, pa.binary()), empty(pa.int32()), empty(pa.binary())], schema=_ROW
+                )
+                sig, owner = signatures(tokens[np.repeat(new, sizes)], sizes[new], population, ordinary)
+                yield from packer.add(sig, node[new][owner])
+        yield from packer.rest()
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "node", "text").mapInArrow(rows, _ROW_SQL)
 
-def meet(blocks: DataFrame, buckets: int, members: bool = True) -> DataFrame:
-    """What shares signatures: (node, pivot, shared) with the least node of its groups, and, if asked for,
-    the members (node, grp) of each different group."""
 
-    def groups(payloads: list[bytes]) -> pd.DataFrame:
-        parts = [_unpack(p) for p in payloads]
-        sig, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[new], node[new]
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        size = np.diff(np.r_[starts, len(sig)])
-        keep = np.repeat(size > 1, size)
-        sig, node = sig[keep], node[keep]
-        if not len(sig):
-            return pd.DataFrame(columns=["node", "pivot", "shared", "grp"])
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+def common_shingles(docs: DataFrame, rows: int) -> np.ndarray:
+    """The shingles that many of at most about SAMPLE different texts have: USED of them at most, sorted."""
+    every = max(1, rows // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).groupBy("node").agg(F.first("text").alias("text"))
+
+    @common.lean
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i, k in words.slices([whole["text"]]):
+                found = token_sets(whole["text"].slice(i, k - i))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["token"])
+
+    counts = some.mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") > max(2, int(COMMON * min(SAMPLE, rows)))).orderBy(F.desc("n"), "token").limit(USED)
+    return np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
+
+
+_BLOCK = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+_MEET = pa.schema([("node", pa.int64()), ("pivot", pa.int64()), ("shared", pa.int64()), ("grp", pa.int64())])
+_MEET_SQL = "node long, pivot long, shared long, grp long"
+
+
+class _Bucket:
+    """The signatures of a bucket: what shares one is linked with the least node that has it.
+
+    Beyond HOLD signatures, those held are linked and only the least node of each stays.
+    """
+
+    def __init__(self, members: bool):
+        self.members, self.held, self.n, self.before = members, [], 0, None
+
+    def add(self, payload: bytes) -> Iterator[pa.RecordBatch]:
+        self.held.append(payload)
+        self.n += len(payload) // 5
+        if self.n >= HOLD:
+            yield from self.linked(False)
+
+    def linked(self, last: bool = True) -> Iterator[pa.RecordBatch]:
+        parts = [_unpack(p) for p in self.held]
+        sig, node = [p[0] for p in parts], [p[1] for p in parts]
+        out = [np.zeros(len(s), bool) for s in sig]
+        if self.before:
+            sig.append(self.before[0])
+            node.append(self.before[1])
+            out.append(self.before[2])
+        whole = last and not self.before
+        sig, node, out = np.concatenate(sig), np.concatenate(node), np.concatenate(out)
+        self.held, self.n, parts = [], 0, None
+        order = np.lexsort((~out, node, sig))
+        sig, node, out = sig[order], node[order], out[order]
+        new = np.r_[np.ones(min(len(sig), 1), bool), (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        sig, node, out = sig[new], node[new], out[new]
+        starts = np.flatnonzero(np.r_[np.ones(min(len(sig), 1), bool), sig[1:] != sig[:-1]])
         size = np.diff(np.r_[starts, len(sig)])
+        many = np.repeat(size > 1, size)
+        if not last:
+            self.before = (sig[starts], node[starts], np.logical_or.reduceat(out, starts) | (size > 1)) if len(sig) else None
         pivot = np.repeat(node[starts], size)
-        other = node != pivot
-        links = pd.DataFrame({"node": node[other], "pivot": pivot[other]}).value_counts(sort=False).reset_index(name="shared")
-        if not members:
-            return links.assign(grp=None)
-        key = np.add.reduceat(common.mix(node.view(np.uint64)), starts)
-        _, first = np.unique(key, return_index=True)
-        chosen = np.zeros(len(starts), bool)
-        chosen[first] = True
-        inside = np.repeat(chosen, size)
-        inner = pd.DataFrame({"node": node[inside], "grp": np.repeat(key, size)[inside].view(np.int64)})
-        return pd.concat([links, inner])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, held = None, []
-
-        def done() -> pd.DataFrame:
-            out = groups(held)
-            return out.astype({"pivot": "Int64", "shared": "Int64", "grp": "Int64"})[["node", "pivot", "shared", "grp"]]
+        other = many & (node != pivot)
+        link = np.stack([node[other], pivot[other]], axis=1)
+        link = link[np.lexsort((link[:, 1], link[:, 0]))]
+        first = np.flatnonzero(np.r_[np.ones(min(len(link), 1), bool), (link[1:] != link[:-1]).any(axis=1)])
+        yield _met(link[first, 0], link[first, 1], np.diff(np.r_[first, len(link)]), None)
+        if not self.members:
+            return
+        if whole:  # groups of the same nodes are one
+            starts, size = starts[size > 1], size[size > 1]
+            if len(starts):
+                sig, node = sig[many], node[many]
+                begin = np.cumsum(size) - size
+                key = np.add.reduceat(common.mix(node.view(np.uint64)), begin)
+                chosen = np.zeros(len(size), bool)
+                chosen[np.unique(key, return_index=True)[1]] = True
+                inside = np.repeat(chosen, size)
+                yield _met(node[inside], None, None, np.repeat(key, size)[inside].view(np.int64))
+        else:
+            inside = many & ~out
+            yield _met(node[inside], None, None, common.mix(sig[inside]).view(np.int64))
+
+
+def _met(node: np.ndarray, pivot: np.ndarray | None, shared: np.ndarray | None, grp: np.ndarray | None) -> pa.RecordBatch:
+    cols = [pa.nulls(len(node), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (node, pivot, shared, grp)]
+    return pa.RecordBatch.from_arrays(cols, schema=_MEET)
+
 
+def meet(blocks: DataFrame, buckets: int, members: bool = True) -> DataFrame:
+    """What shares signatures: (node, pivot, shared) with the least node of its groups, and, if asked for,
+    the members (node, grp) of each different group."""
+
+    @common.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, None
         for batch in batches:
-            for b, payload in zip(batch["bucket"], batch["payload"], strict=True):
-                if bucket is not None and b != bucket:
-                    yield done()
-                    held = []
-                bucket = b
-                held.append(payload)
+            for b, payload in zip(batch["bucket"].to_pylist(), batch["payload"], strict=True):
+                if b != bucket:
+                    if held:
+                        yield from held.linked()
+                    bucket, held = b, _Bucket(members)
+                yield from held.add(payload.as_buffer().to_pybytes())
         if held:
-            yield done()
+            yield from held.linked()
 
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, _MEET)
+    if buckets <= BUCKETS:
+        tasks = min(buckets, max(common.partitions(blocks.sparkSession), buckets // 4))
+        return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MEET_SQL)
+    fine = -(-buckets // BUCKETS)
 
+    @common.lean
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(lambda sig: sig_bucket(sig), _BLOCK)
+        current = 0
 
-def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """The candidates (a, b) whose sets are similar."""
+        def sig_bucket(sig: np.ndarray) -> np.ndarray:
+            return current * fine + (sig % np.uint64(fine)).astype(np.int64)
+
+        for batch in batches:
+            for b, payload in zip(batch["bucket"].to_pylist(), batch["payload"], strict=True):
+                if b != current:
+                    yield from packer.rest()
+                    current = b
+                yield from packer.add(*_unpack(payload.as_buffer().to_pybytes()))
+        yield from packer.rest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[int, np.ndarray] = {}
+    dealt = blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket").mapInArrow(finer, "bucket int, payload binary")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, _MEET_SQL)
 
-        def of(node: int, text: str) -> np.ndarray:
-            if node not in memo:
-                if len(memo) >= 32:
-                    memo.pop(next(iter(memo)))
-                memo[node] = shingles(text)
-            return memo[node]
 
-        for batch in batches:
-            ok = [similar(of(b, tb), of(a, ta)) for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
-            yield batch.loc[np.array(ok, bool), ["a", "b"]]
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
-    return pairs.with_texts(candidates.select("a", "b"), texts).select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+def verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose sets are similar."""
+
+    @common.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i, k in words.slices([whole["ta"], whole["tb"]]):
+                batch = whole.slice(i, k - i)
+                a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+                # each different text once
+                nodes, at = np.unique(np.r_[a, b], return_index=True)
+                both = pa.concat_arrays([batch["ta"], batch["tb"]])
+                tokens, sizes = token_sets(both.take(pa.array(at)))
+                ends = np.cumsum(sizes)
+                of = [tokens[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                ok = [similar(of[x], of[y]) for x, y in zip(np.searchsorted(nodes, a), np.searchsorted(nodes, b), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.with_texts(candidates.select("a", "b"), texts).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _slack(n: np.ndarray, sk: np.ndarray, n2: np.ndarray, sk2: np.ndarray) -> np.ndarray:
@@ -311,100 +519,101 @@ def _slack(n: np.ndarray, sk: np.ndarray, n2: np.ndarray, sk2: np.ndarray) -> np
     return np.where(5 * small >= 4 * large, n[:, None] + n2 - 9 * far, -1)
 
 
-def across(members: DataFrame, one: bool) -> DataFrame:
+def _blocks(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Members (grp, ...) with the block (lo, hi) that they are compared in, and which of both sides they are on.
+
+    A group of more than GROUP nodes is cut into parts, and each two parts, and each alone, make a block.
+    """
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP)
+    large = scratch.keep(sizes.select("grp", F.ceil(F.col("_n") / GROUP).cast("int").alias("_k")), name)
+    zero = F.lit(0)
+    small = members.join(large, "grp", "left_anti").select("*", zero.alias("lo"), zero.alias("hi"), zero.alias("side"))
+    part = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
+    split = members.join(large, "grp").withColumn("side", part).withColumn("_o", F.explode(F.sequence(zero, F.col("_k") - 1)))
+    split = split.select(*members.columns, F.least("side", "_o").alias("lo"), F.greatest("side", "_o").alias("hi"), "side")
+    return small.unionByName(split)
+
+
+def across(members: DataFrame, one: bool, scratch: Scratch, name: str) -> DataFrame:
     """Candidates (a, b, slack) of different components within groups (grp, node, comp, n, sketch).
 
     With `one`, only the likeliest partner of each node outside its group's largest component.
     """
 
-    def compare(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        comp, n, node = g["comp"].to_numpy(), g["n"].to_numpy(), g["node"].to_numpy()
-        values, counts = np.unique(comp, return_counts=True)
+    def compare(node: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> Iterator[tuple]:
+        values, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
         if len(values) < 2:
             return
-        sk = _folded(g["sketch"].tolist())
-        rows = np.flatnonzero(comp != values[counts.argmax()])
-        step = max(1, 1_000_000 // (len(g) * sk.shape[1]))
+        sk, cross = _folded(sketches), side.min() != side.max()
+        # of any two components, one is not the largest
+        rows = np.flatnonzero(back != counts.argmax())
+        step = max(1, 500_000 // (len(node) * sk.shape[1]))
         for i in range(0, len(rows), step):
             r = rows[i : i + step]
-            slack = np.where(comp[r][:, None] != comp, _slack(n[r], sk[r], n, sk), -1)
+            apart = comp[r][:, None] != comp
+            if cross:
+                apart &= side[r][:, None] != side
+            slack = np.where(apart, _slack(n[r], sk[r], n, sk), -1)
             if one:
                 x, y = np.arange(len(r)), slack.argmax(axis=1)
                 x, y = x[slack[x, y] >= 0], y[slack[x, y] >= 0]
             else:
                 x, y = np.nonzero(slack >= 0)
             a, b = node[r[x]], node[y]
-            yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "slack": slack[x, y]})
-
-    def settled(found: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(found).drop_duplicates(["a", "b"]).astype("int64")
-        return rows.sort_values(["slack", "b"], ascending=[False, True]).drop_duplicates("a") if one else rows
+            yield np.maximum(a, b), np.minimum(a, b), slack[x, y]
+
+    def settled(found: list[tuple]) -> list[np.ndarray]:
+        a, b, slack = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.lexsort((b, -slack, a))
+        a, b, slack = a[order], b[order], slack[order]
+        new = np.r_[np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if not one else False)]
+        return [a[new], b[new], slack[new]]
+
+    @common.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, found, count = None, [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in settled(found)], names=["a", "b", "slack"])
+
+        def group() -> None:
+            nonlocal count
+            if held:
+                cols = [np.concatenate([h[i] for h in held]) for i in range(4)]
+                for part in compare(*cols, [x for h in held for x in h[4]]):
+                    found.append(part)
+                    count += len(part[0])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, found, held = None, [], 0
-        for batch in chain(batches, [None]):
-            if batch is not None and not len(batch):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            rest = batch if rest is None else rest if batch is None else pd.concat([rest, batch])
-            if rest is None:
-                break
-            full = rest if batch is None else rest[rest["grp"] != rest["grp"].iloc[-1]]
-            for _, g in full.groupby("grp", sort=False):
-                for part in compare(g):
-                    found.append(part)
-                    held += len(part)
-                    if held > 500_000:
-                        found = [settled(found)]
-                        held = len(found[0])
-                        if held > 250_000:
-                            yield found[0]
-                            found, held = [], 0
-            rest = rest.iloc[len(full) :] if len(full) else rest
-        if found:
-            yield settled(found)
-
-    dealt = members.repartition("grp").sortWithinPartitions("grp")
-    found = dealt.select("grp", "node", "comp", "n", "sketch").mapInPandas(run, "a long, b long, slack long")
+            keys = np.stack([batch[c].to_numpy() for c in ("grp", "lo", "hi")], axis=1)
+            cols = [batch[c].to_numpy() for c in ("node", "comp", "n", "side")]
+            sketches = batch["sketch"].to_pylist()
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist()
+            for i, k in zip(first, [*first[1:], len(keys)], strict=True):
+                if tuple(keys[i]) != at:
+                    group()
+                    held, at = [], tuple(keys[i])
+                    if count > 500_000:
+                        yield from out()
+                        found, count = [], 0
+                held.append((*[c[i:k] for c in cols], sketches[i:k]))
+        group()
+        yield from out()
+
+    keys = ["grp", "lo", "hi"]
+    dealt = _blocks(members, scratch, name).select(*keys, "node", "comp", "n", "side", "sketch")
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, slack long")
     pair = found.groupBy("a", "b").agg(F.max("slack").alias("slack"))
     if not one:
         return pair
     return pair.groupBy("a").agg(F.max_by("b", F.struct("slack", -F.col("b"))).alias("b"), F.max("slack").alias("slack"))
 
 
-def _deficit(sets: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Candidates of the sets that ran out of segments with all sets of fitting size, in blocks."""
-    out, queries = None, sets.where("short").select("node", "n", "sketch").toLocalIterator()
-    block: list = []
-
-    def compared(rows: list) -> DataFrame:
-        nodes, n, raw = [r[0] for r in rows], np.array([r[1] for r in rows]), [bytes(r[2]) for r in rows]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = []
-                for q, size, bits in zip(nodes, n, raw, strict=True):
-                    fit = batch[(5 * np.minimum(batch["n"], size) >= 4 * np.maximum(batch["n"], size)) & (batch["node"] != q)]
-                    if len(fit):
-                        sk = _folded([bits, *fit["sketch"]])
-                        ok = _slack(np.array([size]), sk[:1], fit["n"].to_numpy(), sk[1:])[0] >= 0
-                        found += [(max(q, x), min(q, x)) for x in fit["node"][ok]]
-                yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-        return sets.select("node", "n", "sketch").mapInPandas(run, "a long, b long")
-
-    for row in queries:
-        block.append(row)
-        if len(block) == BLOCK:
-            part, block = compared(block), []
-            out = part if out is None else out.unionByName(part)
-    if block:
-        part = compared(block)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def populations(docs: DataFrame) -> tuple[int, dict[int, int]]:
-    """The count of buckets, and about how many sets each band has, from the lengths of the texts."""
+def populations(docs: DataFrame) -> tuple[int, int, dict[int, int]]:
+    """Rows, about how many signatures they have, and about how many sets each band has, from the lengths of the texts."""
     chars = F.coalesce(F.length("text"), F.lit(0))
     rows = (
         docs.groupBy(F.floor(F.log(chars / 6 + 1) / F.log(F.lit(1.25))).alias("k"))
@@ -414,31 +623,33 @@ def populations(docs: DataFrame) -> tuple[int, dict[int, int]]:
     for r in rows:
         for j in bands_of(max(1, int(1.25 ** r["k"]))):
             out[j] = out.get(j, 0) + r["n"]
-    return max(1, -(-sum(r["c"] for r in rows) * 3 // 40 // PACK)), out
-
-
-def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Per document: doc_id, n_shingles, component (smallest doc_id reachable by links), node, rank among the rows of its component."""
-    scratch = scratch or Scratch(docs.sparkSession, "setjoin")
-    docs = docs.select("doc_id", "text", common.text_key().alias("node"))
-    buckets, population = populations(docs)
-    buckets = max(buckets, common.partitions(docs.sparkSession))
-    described = scratch.keep(describe(docs, buckets, population), "described")
-    feats = scratch.keep(described.where("bucket IS NULL").select("doc_id", "node", "n", "sketch", "short"), "feats")
+    return sum(r["n"] for r in rows), sum(r["c"] for r in rows) * 3 // 40, out
+
+
+def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n) of all documents (doc_id, text, node), and (node, root) of all nodes that have links."""
+    spark = docs.sparkSession
+    rows, expected, population = populations(docs)
+    buckets = max(1, common.partitions(spark), expected // BUCKET)
+    ordinary = common_shingles(docs, rows)
+    described = scratch.keep(describe(docs, min(buckets, BUCKETS), population, ordinary), "described")
+    feats = scratch.keep(described.where("bucket IS NULL").select("doc_id", "node", "n"), "feats")
+    # a node has one row for each task that met it first
+    sets = described.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = scratch.keep(sets, "sets")
     met = scratch.keep(meet(described.where("bucket IS NOT NULL").select("bucket", "payload"), buckets), "met")
     del described
     scratch.drop("described")
     groups = scratch.keep(met.where("grp IS NOT NULL").select("grp", "node").distinct(), "groups")
     texts = scratch.keep(pairs.texts_of(groups, docs), "texts", compression="zstd")
-    sets = feats.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     tried = scratch.keep(
         met.where("pivot IS NOT NULL").groupBy("node", "pivot").agg(F.sum("shared").alias("_s"))
         .groupBy(F.col("node").alias("a")).agg(F.max_by("pivot", F.struct("_s", -F.col("pivot"))).alias("b")),
         "tried-0",
     )
     scratch.drop("met")
-    linked = scratch.keep(verify(tried, texts), "linked-0")
-    roots = scratch.keep(components(linked, scratch, "roots-0"), "found-0")
+    links = scratch.keep(verify(tried, texts), "linked-0")
+    roots = scratch.keep(components(links, scratch, "roots-0"), "found-0")
     step, last = 0, False
     while not last:
         step, last = step + 1, step >= ROUNDS
@@ -446,10 +657,7 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         mixed = members.groupBy("grp").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("grp")
         # what is open only shrinks: groups within one component are settled
         left = scratch.keep(members.join(mixed, "grp", "left_semi"), f"left-{step}")
-        more = across(left.join(sets.select("node", "n", "sketch"), "node"), not last).select("a", "b")
-        if last and feats.where("short").limit(1).count():
-            more = more.unionByName(_deficit(sets, scratch)).distinct()
-            texts = pairs.texts_of(sets, docs)
+        more = across(left.join(sets, "node"), not last, scratch, f"large-{step}").select("a", "b")
         more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), f"more-{step}")
         found = scratch.keep(verify(more, texts), f"linked-{step}")
         scratch.drop(f"left-{step}")
@@ -459,11 +667,21 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                 break
             step = ROUNDS
             continue
-        linked = linked.unionByName(found)
-        roots = scratch.keep(components(linked, scratch, f"roots-{step}"), f"found-{step}")
-    scratch.drop("texts")
-    rows = feats.join(roots, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("_least"))
-    joined = rows.join(least, "root")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_least"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node", "root")
+        links = links.unionByName(found)
+        roots = scratch.keep(components(links, scratch, f"roots-{step}"), f"found-{step}")
+    scratch.drop("texts", "groups", "sets")
+    return feats, roots
+
+
+def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), node, root."""
+    scratch = scratch or Scratch(docs.sparkSession, "setjoin")
+    feats, roots = linked(docs.select("doc_id", "text", common.text_key().alias("node")), scratch)
+    # summed up by node and root before any join, so that no join sees more than the nodes
+    least = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_least"))
+    least = scratch.keep(least.join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root")), "least")
+    of_root = scratch.keep(least.groupBy("root").agg(F.min("_least").alias("component_id")), "components")
+    by_node = scratch.keep(least.join(of_root, "root").select("node", "root", "component_id"), "by-node")
+    some = feats.where("n > 0").join(by_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "root")
+    none = feats.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", F.col("node").alias("root"))
+    return some.unionByName(none)
