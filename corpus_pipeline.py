@@ -21,34 +21,46 @@ from trajectra.llm import bpe, common, contamination, lines, quality, setjoin
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forest = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, forest, out="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = common.fresh(docs, "score")
+    return quality.score(docs, forest, out=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup(docs)
+    # under names that no column of the input has
+    own = {c: common.fresh(docs, f"own_{c}") for c in ("n_lines", "n_dropped") if c in docs.columns}
+    out = lines.dedup(docs.withColumnsRenamed(own))
     changed = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    return out.withColumn("n_chars", changed).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = setjoin.join(docs)
+    scratch = common.Scratch(spark, "near-duplicates")
+    found = scratch.keep(setjoin.join(docs), "found")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")
-    group = found.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.node", F.lit(True).alias("_one"))
-    alone = found.where("n_shingles = 0").select("doc_id", "node", F.lit(False).alias("_one")).distinct()
-    keep = group.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "_one")
-    rows = docs.withColumn("_key", common.text_key())
-    rows = rows.join(keep, (F.col("_key") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    # rows that repeat both doc_id and text are copies, too
-    nth = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("source", "lang", "n_chars"))
-    return rows.withColumn("_nth", nth).where(~F.col("_one") | (F.col("_nth") == 1)).select(*docs.columns)
+    some, none = found.where("n_shingles > 0"), found.where("n_shingles = 0")
+    least = some.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.node")
+    keep = scratch.keep(least.unionByName(none.select("doc_id", "node").distinct()), "keep")
+    key, doc = common.fresh(docs, "key"), common.fresh(docs, "doc")
+    same = lambda other: (F.col(key) == F.col("_of.node")) & F.col(doc).eqNullSafe(F.col("_of.doc_id"))
+    rows = docs.withColumns({key: common.text_key(), doc: F.col("doc_id")})
+    rows = rows.join(keep.select(F.struct("*").alias("_of")), same(keep), "left_semi")
+    # rows that repeat both doc_id and text are copies, too; there are rarely any
+    twice = scratch.keep(some.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+    if twice.limit(1).count():
+        of = twice.select(F.struct("*").alias("_of"))
+        nth = F.row_number().over(Window.partitionBy(key, doc).orderBy("source", "lang", "n_chars"))
+        again, n = rows.join(of, same(of), "left_semi"), common.fresh(docs, "nth")
+        rows = rows.join(of, same(of), "left_anti").unionByName(again.withColumn(n, nth).where(F.col(n) == 1).drop(n))
+    return rows.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("_key", common.text_key())
-    hits = contamination.decontaminate(rows.select(F.col("_key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    bad = hits.where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
-    # one exchange of the texts at every size, so that the stage grows as its input
-    return rows.join(bad.hint("merge"), "_key", "left_anti").select(*docs.columns)
+    key = common.fresh(docs, "key")
+    rows = docs.withColumn(key, common.text_key())
+    hits = contamination.decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    # written, so that Spark knows the size by which it chooses how to join
+    bad = common.Scratch(spark, "contaminated").keep(hits.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "bad")
+    return rows.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
