@@ -4,14 +4,24 @@ A page is cut at block-level tags into flat blocks. Each block is described by i
 link density, those of the blocks before and after it, and by the containers it stands in. A
 decision tree, grown here from the small labelled table BLOCKS, keeps or drops each block.
 
-Edge cases: a null or empty page gives an empty text; unclosed tags end with their nearest closed
-container; character references are decoded; repeated rows are treated alike.
+A container counts as an outer one by its tag or role, or by a word in its class or id. The latter
+does not count within an article or main element that it holds, nor if it holds more than half of a
+page's words: such an element wraps the page rather than standing beside its text.
+
+Pages are read once from the left, in time that grows with their length. Edge cases: a null or empty
+page gives an empty text; unclosed tags end with their nearest closed container; a tag without an end
+is ended by the next >, or is text; of elements that hold no text, an unclosed script or style reaches
+to the end of the page, any other is passed over; character references are decoded; repeated rows are
+treated alike; a column of the output's name is replaced, all others stay as they are; an empty table
+returns no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Tags that end the block before them.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset"
@@ -38,7 +50,12 @@ HINTS = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_QUOTE_OR_END = re.compile("[\"'>]")
+#: Elements whose content is not read for tags, and those of them that reach to the end without an end tag.
+RAW_TAGS = frozenset("script style textarea iframe noscript template".split())
+TO_THE_END = frozenset("script style".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS}
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 #: Labelled blocks, one a line: words, link density, words and link density of the block before and
@@ -98,10 +115,46 @@ BLOCKS = """
 80 .00 60 .00 50 .00 0 1 0 0
 9 .00 5 .00 2 1.0 0 1 0 0
 1 1.0 3 1.0 50 .00 0 1 0 0
+6 .00 40 .00 7 .00 0 0 0 1
+7 .00 6 .00 8 .00 0 0 0 1
+8 .00 7 .00 45 .00 0 0 0 1
+3 .00 5 .00 4 .00 0 0 0 1
+9 .10 12 .00 10 .20 0 0 0 1
+4 .00 90 .05 6 .00 0 0 0 1
+12 .00 5 .00 6 .15 0 0 0 1
+2 .00 3 .00 30 .00 0 0 0 1
+8 .50 40 .00 60 .00 0 0 0 1
+14 .40 80 .10 25 .00 0 0 0 1
+5 .00 4 .90 3 .00 0 0 0 0
+5 .00 30 .00 4 1.0 0 0 0 0
+9 .00 2 1.0 12 .60 0 0 0 0
+7 .00 6 .80 5 .90 0 0 0 0
+11 .10 3 1.0 2 1.0 0 0 0 0
+6 .00 1 1.0 8 .00 0 0 0 0
+9 .70 45 .00 50 .00 0 0 0 0
+16 .90 8 1.0 70 .00 0 0 0 0
+30 .80 20 .75 25 .70 0 0 0 0
+13 .60 6 1.0 5 1.0 0 0 0 0
+22 .05 4 .90 60 .00 0 0 0 1
+26 .00 50 .00 3 1.0 0 0 0 1
+40 .20 6 .80 4 1.0 0 0 0 1
+4 .00 3 .00 3 .00 0 0 0 1
+4 .00 3 .00 2 .00 0 0 0 1
+4 .00 3 1.0 3 .00 0 0 0 0
+4 .00 3 .00 2 1.0 0 0 0 0
+5 .00 5 .00 5 .00 0 0 0 1
+5 .00 5 1.0 5 .00 0 0 0 0
+5 .00 5 .00 5 1.0 0 0 0 0
+8 .00 4 .00 3 .00 0 0 0 1
+8 .00 4 1.0 3 .00 0 0 0 0
+8 .00 4 .00 3 1.0 0 0 0 0
+2 .00 2 .00 2 .00 0 0 0 1
+2 .00 2 1.0 2 .00 0 0 0 0
+2 .00 2 .00 2 1.0 0 0 0 0
 """
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple:
     """A decision tree by Gini impurity: (feature, threshold, left, right), leaves are 0 or 1."""
     if depth == 0 or y.min() == y.max():
         return (int(y.mean() >= 0.5),)
@@ -118,11 +171,26 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
     return best[1], best[2], grow(x[go], y[go], depth - 1), grow(x[~go], y[~go], depth - 1)
 
 
+def standing(main: bool, outer: bool, any_main: bool) -> int:
+    """In an outer container 0, beside the article 1, on a page without one 2, in the article 3."""
+    return 0 if outer else 3 if main else 1 if any_main else 2
+
+
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    """The tree of the labelled table."""
-    rows = np.array([line.split() for line in BLOCKS.split("\n") if line], float)
-    return grow(rows[:, :-1], rows[:, -1])
+    """The tree of the labelled table.
+
+    Blocks of pages without an article, of all kinds, stand once more for such blocks elsewhere: main text in an
+    article, none beside it or in an outer container.
+    """
+    rows = [[float(x) for x in line.split()] for line in BLOCKS.split("\n") if line]
+    x = [[*r[:6], standing(*map(bool, r[6:9]))] for r in rows]
+    y = [r[9] for r in rows]
+    free = [r[:6] for r in x if r[6] == 2]
+    for place in (0, 1, 3):
+        x += [[*r, place] for r in free]
+        y += [float(place == 3)] * len(free)
+    return grow(np.array(x), np.array(y))
 
 
 def keeps(features: tuple) -> bool:
@@ -132,64 +200,143 @@ def keeps(features: tuple) -> bool:
     return bool(node[0])
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """(text, words, link density, in main container, in outer container) of each flat block."""
-    out: list[tuple[str, int, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, main, outer, silent: with what surrounds it
-    raw: list[str] = []
-    linked: list[str] = []
-    main = outer = silent = False
-    links = 0
-
-    def close() -> None:
-        if raw:
-            words = entities.unescape("".join(raw)).split()
-            if words:
-                n = len(entities.unescape(" ".join(linked)).split())
-                out.append((" ".join(words), len(words), min(1.0, n / len(words)), main, outer))
-            raw.clear()
-            linked.clear()
-
-    at, size = 0, len(page)
-    while at < size and (m := _TOKEN.search(page, at)):
-        at = m.end()
-        ending, tag, attributes, text = m.groups()
-        if text is not None:
-            if not silent:
-                raw.append(text)
-                if links:
-                    linked.append(text)
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, "", "") of stretches between tags, and ("", name, attributes) of tags; the name of an end tag begins with a slash."""
+    at, size, loose, endless = 0, len(page), False, set()
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at:
+            yield page[at:begin], "", ""
+        if begin == size:
+            return
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            mark = "]]>" if page.startswith("<![CDATA[", begin) else ">"
+            end = page.find(mark, begin)
+            at = size if end < 0 else end + len(mark)
             continue
-        if tag is None:
+        slash = page.startswith("/", begin + 1)
+        name = _NAME.match(page, begin + 1 + slash)
+        if not name:
+            yield "<", "", ""
+            at = begin + 1
             continue
-        tag = tag.lower()
-        if not ending and tag in ("script", "style", "textarea", "iframe", "noscript", "template"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+        end = -1 if loose else _end_of_tag(page, name.end())
+        if end < 0:  # quotes are not closed: from here on, they mean nothing
+            loose, end = True, page.find(">", name.end())
+        if end < 0:
+            yield page[begin:], "", ""
+            return
+        at, tag = end + 1, name[0].lower()
+        if tag in RAW_TAGS and not slash:
+            if tag not in endless and (raw := _RAW_END[tag].search(page, at)):
+                at = raw.end()
+                continue
+            endless.add(tag)
+            if tag in TO_THE_END:
+                return
             continue
+        yield "", "/" * slash + tag, page[name.end() : end]
+
+
+def _end_of_tag(page: str, at: int) -> int:
+    """The first > outside quotes, or -1."""
+    while m := _QUOTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+class _Blocks:
+    """The flat blocks of a page."""
+
+    def __init__(self, page: str):
+        #: (text, words, link density, in main container, in outer container, containers with such a name)
+        self.found: list[tuple[str, int, float, bool, bool, tuple[int, ...]]] = []
+        # open elements: tag, and what holds within: main, outer, silent, named containers
+        self.stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
+        self.open: Counter[str] = Counter()
+        self.now = (False, False, False, ())
+        self.raw: list[str] = []
+        self.linked: list[str] = []
+        self.links = self.named = 0
+        for text, tag, attributes in tokens(page):
+            if text:
+                if not self.now[2]:
+                    self.raw.append(text)
+                    if self.links:
+                        self.linked.append(text)
+            else:
+                self.tag(tag, attributes)
+        self.close()
+
+    def close(self) -> None:
+        if self.raw:
+            words = entities.unescape("".join(self.raw)).split()
+            if words:
+                n = len(entities.unescape(" ".join(self.linked)).split())
+                main, outer, _, named = self.now
+                self.found.append((" ".join(words), len(words), min(1.0, n / len(words)), main, outer, named))
+            self.raw.clear()
+            self.linked.clear()
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.open[tag] -= 1
+        self.now = self.stack[-1][1:] if self.stack else (False, False, False, ())
+        return tag
+
+    def tag(self, tag: str, attributes: str) -> None:
+        ending, tag = tag[0] == "/", tag.lstrip("/")
         if tag in BLOCK_TAGS:
-            close()
+            self.close()
         if tag == "a":
-            links = max(0, links + (-1 if ending else 1))
+            self.links = max(0, self.links + (-1 if ending else 1))
         if ending:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
+            if self.open[tag]:
+                while self.pop() != tag:
                     pass
-                _, main, outer, silent = stack[-1] if stack else ("", False, False, False)
-            continue
+            return
         if tag in VOID_TAGS:
-            continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-            _, main, outer, silent = stack[-1] if stack else ("", False, False, False)
+            return
+        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
+            self.pop()
+        (main, outer, silent, named), hinted = self.now, False
         if attributes.strip() and tag not in ("html", "body", "main", "article"):
             for key, *values in _ATTR.findall(attributes):
-                value = "".join(values)
-                outer = outer or (bool(HINTS.search(value)) if key.lower() in ("class", "id") else value.lower() in ROLES if key.lower() == "role" else value.lower() != "false" if key.lower() == "aria-hidden" else True)
-        main, outer, silent = main or tag in MAIN_TAGS, outer or tag in OUTER_TAGS, silent or tag in SILENT_TAGS
-        stack.append((tag, main, outer, silent))
-    close()
-    return out
+                value, key = "".join(values), key.lower()
+                if key in ("class", "id"):
+                    hinted = hinted or bool(HINTS.search(value))
+                else:
+                    outer = outer or (value.lower() in ROLES if key == "role" else value.lower() != "false" if key == "aria-hidden" else True)
+        if hinted:
+            self.named += 1
+            named = (*named[-8:], self.named)
+        if tag in MAIN_TAGS:
+            main, named = True, ()
+        self.stack.append((tag, main, outer or tag in OUTER_TAGS, silent or tag in SILENT_TAGS, named))
+        self.open[tag] += 1
+        self.now = self.stack[-1][1:]
+
+
+def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
+    """(text, words, link density, in main container, in outer container) of each flat block."""
+    found = _Blocks(page).found
+    held: Counter[int] = Counter()
+    for _, n, _, _, _, named in found:
+        for c in named:
+            held[c] += n
+    total = sum(b[1] for b in found)
+    # a container that holds more than half of the words wraps the page
+    return [(text, n, density, main, outer or any(2 * held[c] <= total for c in named)) for text, n, density, main, outer, named in found]
 
 
 def main_text(page: str | None) -> str:
@@ -199,7 +346,7 @@ def main_text(page: str | None) -> str:
     edge = ("", 0, 0.0, False, False)
     kept = []
     for before, (text, n, density, main, outer), after in zip([edge, *found], found, [*found[1:], edge], strict=False):
-        if keeps((n, density, before[1], before[2], after[1], after[2], main, outer, any_main)):
+        if keeps((n, density, before[1], before[2], after[1], after[2], standing(main, outer, any_main))):
             kept.append(text)
     return " ".join(kept)
 
@@ -208,7 +355,11 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     """Add the main text of every page as column `out`."""
 
     @F.pandas_udf("string")
-    def texts(column: pd.Series) -> pd.Series:
-        return column.map(lambda page: main_text(None if page is None or page != page else page))
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for column in batches:
+                yield column.map(lambda page: main_text(None if page is None or page != page else page))
+        finally:
+            common.release()
 
     return pages.withColumn(out, texts(F.col(html)))
