@@ -2,26 +2,28 @@
 
 Vectors are scaled to unit length, so that the largest cosine is the least Euclidean distance. A
 table hashes a vector by M functions floor((a . x + b) / w), a normal. A query visits, in each of
-L tables, its own bucket and then the T - 1 buckets whose hash values are perturbed by one, in the
-order of their estimated success: the sum of squared distances from the query's projections to the
-edges that are crossed. Candidates of all tables are merged and ranked by exact cosines.
+L tables, its own bucket and then T - 1 buckets whose hash values are perturbed by one, in the order
+of their estimated success: sets of the query's nearest edges by the expected sum of their squared
+distances. Candidates of all tables are merged and ranked by exact cosines.
 
 M, L, w and T are chosen on a bounded sample (SAMPLE vectors): the cheapest setting whose recall
-among the sample's own neighbours reaches TARGET. All vectors are indexed. Large buckets are
-split, by their estimated size; a query visits every part, and a task streams over the vectors of
-a part and holds only the queries that visit it. Equal vectors are indexed once, with the k + 1 smallest
-of their ids, which are all that any query can return. A query that finds fewer than k candidates
-is compared with all vectors instead.
+among the sample's own neighbours reaches TARGET; where none does, every query is compared with all
+vectors. All vectors are indexed. Large buckets are split, by their estimated size; a query visits
+every part, and a task streams over the vectors of a part and holds only the queries that visit it.
+Equal vectors are indexed once, with the k + 1 smallest of their ids, which are all that any query can
+return. A query that finds fewer than k candidates is compared with all vectors instead.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do those of another length than the commonest; a null vec_id takes no part; rows that repeat
-id and vector count once; rows that share a query's id are its own; equal cosines order by
-vec_id; an empty table returns no rows.
+id and vector count once; rows that share a query's id are its own; equal cosines order by vec_id;
+vectors of any length are compared whole; other columns are not looked at, whatever their names; an
+empty table returns no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 from math import fsum, sqrt
@@ -35,12 +37,14 @@ from .common import Scratch, mix
 
 SAMPLE = 4_000
 #: Queries of the sample on which settings are compared.
-TRIALS = 80
-TARGET = 0.99
+TRIALS = 100
+TARGET = 0.96
+#: Tables, functions, widths and visits that are tried.
+GRID = (2, 4, 8, 16), (2, 4, 8, 12), (0.75, 1.0, 1.5, 2.0), 256
 #: Rows of a bucket's part, and queries compared with all vectors at a time.
-PART, BLOCK = 8_192, 2_000
-#: Cost of a visit, in vectors compared.
-VISIT = 20
+PART, BLOCK = 2_048, 2_000
+#: Costs in vectors compared: of a visit, and of a vector in one more table, shared by the queries.
+VISIT, DEAL = 20, 5_000
 SEED = 20_240_601
 
 
@@ -56,6 +60,30 @@ def valid(vectors: DataFrame) -> DataFrame:
     return x.where(F.size("embedding") == (sizes[0]["d"] if sizes else 0))
 
 
+@lru_cache(maxsize=64)
+def perturbations(functions: int, most: int) -> list[tuple[int, ...]]:
+    """Sets of edges to cross, as ranks among a query's 2 * functions edges from the nearest on, by expected cost.
+
+    The j-th smallest distance to an edge has a known expectation; ranks r and 2 * functions - 1 - r are
+    the two edges of one function, of which one is crossed at most.
+    """
+    m = functions
+    j = np.arange(1, m + 1)
+    near = j * (j + 1) / (4 * (m + 1) * (m + 2))
+    far = (1 - (m + 1 - j) / (m + 1) + (m + 1 - j) * (m + 2 - j) / (4 * (m + 1) * (m + 2)))
+    cost = np.r_[near, far].tolist()
+    out, heap = [()], [(cost[0], (0,))]
+    while heap and len(out) < most:
+        value, chosen = heappop(heap)
+        if not any(2 * m - 1 - r in chosen for r in chosen):
+            out.append(chosen)
+        last = chosen[-1]
+        if last + 1 < 2 * m:
+            heappush(heap, (value - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
+            heappush(heap, (value + cost[last + 1], (*chosen, last + 1)))
+    return out
+
+
 class Tables:
     """L hash tables of M functions each, and how many buckets a query visits in each."""
 
@@ -64,6 +92,8 @@ class Tables:
         self.a = rng.standard_normal((tables, functions, dim))
         self.b = rng.random((tables, functions)) * width
         self.width, self.probes, self.parts = width, probes, {}
+        #: Measured on the sample: recall, and the share of all vectors that a query is compared with.
+        self.recall = self.share = 0.0
 
     def places(self, unit: np.ndarray) -> np.ndarray:
         """(tables, rows, functions): projections in widths; the floor is the hash value."""
@@ -77,63 +107,54 @@ class Tables:
         return h.view(np.int64)
 
     def visits(self, place: np.ndarray) -> np.ndarray:
-        """The hash values of the buckets that a query at `place` visits, likeliest first."""
+        """(rows, visits, functions): the hash values of the buckets that queries at `place` visit, likeliest first."""
         base = np.floor(place)
-        inside = place - base
-        edges = sorted([(x * x, m, -1) for m, x in enumerate(inside)] + [((1 - x) ** 2, m, 1) for m, x in enumerate(inside)])
-        out, heap = [base], [(edges[0][0], (0,))]
-        while heap and len(out) < self.probes:
-            cost, chosen = heappop(heap)
-            if len({edges[i][1] for i in chosen}) == len(chosen):
-                code = base.copy()
-                for i in chosen:
-                    code[edges[i][1]] += edges[i][2]
-                out.append(code)
-            last = chosen[-1]
-            if last + 1 < len(edges):
-                heappush(heap, (cost - edges[last][0] + edges[last + 1][0], (*chosen[:-1], last + 1)))
-                heappush(heap, (cost + edges[last + 1][0], (*chosen, last + 1)))
-        return np.array(out)
-
-
-def fit(sample: np.ndarray, rows: int, k: int = 5) -> Tables:
-    """The cheapest tables for `rows` unit vectors that reach TARGET on the sample."""
+        inside, m = place - base, place.shape[-1]
+        order = np.argsort(np.concatenate([inside, 1 - inside], axis=1), axis=1, kind="stable")
+        sets = perturbations(m, self.probes)
+        out = np.repeat(base[:, None, :], len(sets), axis=1)
+        for t, chosen in enumerate(sets):
+            for r in chosen:
+                edge = order[:, r]
+                out[np.arange(len(out)), t, edge % m] += np.where(edge < m, -1, 1)
+        return out
+
+
+def fit(sample: np.ndarray, rows: int, k: int = 5) -> Tables | None:
+    """The cheapest tables for `rows` unit vectors that reach TARGET on the sample; None if there are none."""
     n, dim = sample.shape
     queries = sample[:TRIALS]
     sims = queries @ sample.T
     sims[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     k = min(k, n - 1)
-    best = None
-    if k > 0:
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        for functions in (2, 4, 8):
-            for width in (1.0, 2.0):
-                most = min(128, 3**functions)
-                t = Tables(dim, 4, functions, width, most)
-                places = t.places(sample)
-                codes = np.floor(places)
-                hits, work = np.zeros((4, len(queries), most, k), bool), np.zeros((4, most))
-                for table in range(4):
-                    keys = t.key(table, codes[table])
-                    values, counts = np.unique(keys, return_counts=True)
-                    for q in range(len(queries)):
-                        seen = t.key(table, t.visits(places[table, q]))
-                        at = np.minimum(np.searchsorted(values, seen), len(values) - 1)
-                        size = np.where(values[at] == seen, counts[at], 0)
-                        work[table, : len(seen)] += np.cumsum(size) / len(queries) / n
-                        work[table, len(seen) :] += size.sum() / len(queries) / n
-                        hit = np.logical_or.accumulate(keys[near[q]][None, :] == seen[:, None], axis=0)
-                        hits[table, q, : len(seen)], hits[table, q, len(seen) :] = hit, hit[-1]
-                for tables in (2, 4):
-                    recall = hits[:tables].any(axis=0).mean(axis=(0, 2))
+    if k < 1:
+        return None
+    near, best = np.argpartition(-sims, k - 1, axis=1)[:, :k], None
+    counts, functions_tried, widths, probes_tried = GRID
+    for functions in functions_tried:
+        for width in widths:
+            t = Tables(dim, counts[-1], functions, width, min(probes_tried, 3**functions))
+            places, hit, work = t.places(sample), None, 0.0
+            for table in range(counts[-1]):
+                keys = t.key(table, np.floor(places[table]))
+                values, sizes = np.unique(keys, return_counts=True)
+                seen = t.key(table, t.visits(places[table, : len(queries)]))
+                at = np.minimum(np.searchsorted(values, seen), len(values) - 1)
+                work = work + np.cumsum(np.where(values[at] == seen, sizes[at], 0), axis=1).mean(axis=0) / n
+                found = np.logical_or.accumulate(keys[near][:, None, :] == seen[:, :, None], axis=1)
+                hit = found if hit is None else hit | found
+                if table + 1 in counts:
+                    recall = hit.mean(axis=(0, 2))
                     enough = np.flatnonzero(recall >= TARGET)
                     if len(enough):
-                        probes = int(enough[0]) + 1
-                        cost = work[:tables, probes - 1].sum() * rows + VISIT * tables * probes
+                        p = int(enough[0])
+                        cost = work[p] * rows + VISIT * (table + 1) * (p + 1) + DEAL * (table + 1)
                         if best is None or cost < best[0]:
-                            best = (cost, tables, functions, width, probes)
-    _, tables, functions, width, probes = best or (0, 2, 2, 4.0, 9)
-    t = Tables(dim, tables, functions, width, probes)
+                            best = (cost, table + 1, functions, width, p + 1, float(recall[p]), float(work[p]))
+    if best is None:
+        return None
+    t = Tables(dim, *best[1:5])
+    t.recall, t.share = best[5:]
     for table, codes in enumerate(np.floor(t.places(sample))):
         for key, count in zip(*np.unique(t.key(table, codes), return_counts=True), strict=True):
             t.parts[int(key)] = max(1, -(-int(count) * rows // n // PART))
@@ -163,15 +184,15 @@ def _deal(rows: DataFrame, tables: Tables, kind: int) -> DataFrame:
                 continue
             x = np.stack(batch["embedding"].to_numpy())
             places = tables.places(_unit(x))
-            out = []
-            for i, (cid, ids) in enumerate(zip(batch["cid"], batch["ids"], strict=True)):
-                raw = x[i].astype("<f8").tobytes()
-                for t in range(len(places)):
-                    codes = tables.visits(places[t, i]) if kind == 0 else np.floor(places[t, i : i + 1])
-                    for key in tables.key(t, codes).tolist():
+            out, raws = [], [v.astype("<f8").tobytes() for v in x]
+            ids = [None] * len(x) if kind == 0 else batch["ids"].tolist()
+            for t in range(len(places)):
+                keys = tables.key(t, tables.visits(places[t]) if kind == 0 else np.floor(places[t])[:, None, :])
+                for i, cid in enumerate(batch["cid"].tolist()):
+                    for key in keys[i].tolist():
                         parts = tables.parts.get(key, 1)
                         for part in range(parts) if kind == 0 else [cid % parts]:
-                            out.append((key, part, kind, cid, None if kind == 0 else ids, raw))
+                            out.append((key, part, kind, cid, ids[i], raws[i]))
             yield pd.DataFrame(out, columns=["key", "part", "kind", "cid", "ids", "x"])
 
     return rows.select("cid", "ids", "embedding").mapInPandas(deal, _DEAL)
@@ -241,10 +262,12 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     asked = classes.join(queries.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi")
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("cid"), "cid").select("embedding").limit(SAMPLE).collect()
-    dim = len(sample[0]["embedding"]) if sample else 1
-    tables = fit(_unit(np.array([r["embedding"] for r in sample])), n, k) if sample else Tables(dim, 2, 2, 4.0, 9)
-    dealt = _deal(asked, tables, 0).unionByName(_deal(classes, tables, 1))
-    found = scratch.keep(_visit(dealt, k + 1), "found")
+    tables = fit(_unit(np.array([r["embedding"] for r in sample])), n, k) if sample else None
+    if tables:
+        dealt = _deal(asked, tables, 0).unionByName(_deal(classes, tables, 1))
+        found = scratch.keep(_visit(dealt, k + 1), "found")
+    else:
+        found = classes.sparkSession.createDataFrame([], _FOUND)
 
     def ranked(found: DataFrame) -> DataFrame:
         best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
