@@ -280,27 +280,28 @@ def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
     return ((sig >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
 
 
-def pack(sig: np.ndarray, node: np.ndarray, bucket: np.ndarray) -> list[tuple[int, bytes]]:
-    """Signatures by bucket: 40 bits each, the nodes they are of, and how many each node has."""
+def pack(sig: np.ndarray, node: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """Signatures by bucket: 40 bits each and their places, if any, the nodes they are of, and how many each node has."""
     order = np.lexsort((node, bucket))
-    bucket, sig, node = bucket[order], sig[order], node[order]
+    bucket, sig, node, place = bucket[order], sig[order], node[order], place[order] if len(place) else place
     out = []
     starts = np.flatnonzero(np.r_[np.ones(min(len(sig), 1), bool), bucket[1:] != bucket[:-1]])
     low, high = (sig & np.uint64(0xFFFFFFFF)).astype("<u4"), ((sig >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
         first = np.flatnonzero(np.r_[True, node[a + 1 : b] != node[a : b - 1]])
         counts = np.diff(np.r_[first, b - a]).astype("<u4")
-        head = np.array([b - a, len(first)], "<u4")
-        out.append((int(bucket[a]), b"".join(x.tobytes() for x in (head, low[a:b], high[a:b], node[a:b][first].astype("<i8"), counts))))
+        own = place[a:b].astype("<u2")
+        head = np.array([b - a, len(first), len(own)], "<u4")
+        out.append((int(bucket[a]), b"".join(x.tobytes() for x in (head, low[a:b], high[a:b], own, node[a:b][first].astype("<i8"), counts))))
     return out
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, owners = (int(x) for x in np.frombuffer(payload, "<u4", 2))
-    sig = np.frombuffer(payload, "<u4", n, 8).astype(np.uint64)
-    sig |= np.frombuffer(payload, np.uint8, n, 8 + 4 * n).astype(np.uint64) << np.uint64(32)
-    ids = np.frombuffer(payload[8 + 5 * n : 8 + 5 * n + 8 * owners], "<i8")
-    return sig, np.repeat(ids, np.frombuffer(payload[8 + 5 * n + 8 * owners :], "<u4"))
+def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, owners, placed = (int(x) for x in np.frombuffer(payload, "<u4", 3))
+    sig = np.frombuffer(payload, "<u4", n, 12).astype(np.uint64)
+    sig |= np.frombuffer(payload, np.uint8, n, 12 + 4 * n).astype(np.uint64) << np.uint64(32)
+    place, at = np.frombuffer(payload, "<u2", placed, 12 + 5 * n), 12 + 5 * n + 2 * placed
+    return sig, np.repeat(np.frombuffer(payload[at : at + 8 * owners], "<i8"), np.frombuffer(payload[at + 8 * owners :], "<u4")), place
 
 
 class Packer:
@@ -309,18 +310,18 @@ class Packer:
     def __init__(self, bucket, schema: pa.Schema):
         self.bucket, self.schema, self.held, self.n = bucket, schema, [], 0
 
-    def add(self, sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, sig: np.ndarray, node: np.ndarray, place: np.ndarray = np.empty(0, np.uint16)) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(sig), PACK):
-            self.held.append((sig[i : i + PACK], node[i : i + PACK]))
+            self.held.append((sig[i : i + PACK], node[i : i + PACK], place[i : i + PACK]))
             self.n += len(self.held[-1][0])
             if self.n >= PACK:
                 yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            sig, node = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+            sig, node, place = (np.concatenate([h[i] for h in self.held]) for i in range(3))
             self.held, self.n = [], 0
-            blocks = pack(sig, node, self.bucket(sig))
+            blocks = pack(sig, node, self.bucket(sig), place)
             cols = {"bucket": pa.array([b for b, _ in blocks], pa.int32()), "payload": pa.array([p for _, p in blocks], pa.binary())}
             yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(blocks), f.type)) for f in self.schema], schema=self.schema)
 
@@ -380,7 +381,6 @@ def common_shingles(docs: DataFrame, rows: int) -> np.ndarray:
 
 _BLOCK = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 _MEET = pa.schema([("node", pa.int64()), ("pivot", pa.int64()), ("shared", pa.int64()), ("grp", pa.int64())])
-_MEET_SQL = "node long, pivot long, shared long, grp long"
 
 
 class _Bucket:
@@ -389,56 +389,63 @@ class _Bucket:
     Beyond HOLD signatures, those held are linked and only the least node of each stays.
     """
 
-    def __init__(self, members: bool):
-        self.members, self.held, self.n, self.before = members, [], 0, None
+    SQL = "node long, pivot long, shared long, grp long"
+
+    def __init__(self):
+        self.held, self.n, self.before = [], 0, None
 
     def add(self, payload: bytes) -> Iterator[pa.RecordBatch]:
         self.held.append(payload)
-        self.n += len(payload) // 5
+        self.n += int.from_bytes(payload[:4], "little")
         if self.n >= HOLD:
             yield from self.linked(False)
 
-    def linked(self, last: bool = True) -> Iterator[pa.RecordBatch]:
+    def _sorted(self, last: bool) -> tuple[np.ndarray, ...]:
+        """What is held by signature and node, each once: signature, node, whether a row was made of it, place."""
         parts = [_unpack(p) for p in self.held]
-        sig, node = [p[0] for p in parts], [p[1] for p in parts]
-        out = [np.zeros(len(s), bool) for s in sig]
-        if self.before:
-            sig.append(self.before[0])
-            node.append(self.before[1])
-            out.append(self.before[2])
-        whole = last and not self.before
-        sig, node, out = np.concatenate(sig), np.concatenate(node), np.concatenate(out)
-        self.held, self.n, parts = [], 0, None
+        parts = [(s, n, np.zeros(len(s), bool), p if len(p) else np.zeros(len(s), np.uint16)) for s, n, p in parts] + ([self.before] if self.before else [])
+        self.held, self.n = [], 0
+        sig, node, out, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((~out, node, sig))
-        sig, node, out = sig[order], node[order], out[order]
+        sig, node, out, place = sig[order], node[order], out[order], place[order]
         new = np.r_[np.ones(min(len(sig), 1), bool), (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node, out = sig[new], node[new], out[new]
-        starts = np.flatnonzero(np.r_[np.ones(min(len(sig), 1), bool), sig[1:] != sig[:-1]])
+        return sig[new], node[new], out[new], place[new]
+
+    def linked(self, last: bool = True) -> Iterator[pa.RecordBatch]:
+        whole = last and not self.before
+        sig, node, out, place = self._sorted(last)
+        if not len(sig):
+            return
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.diff(np.r_[starts, len(sig)])
-        many = np.repeat(size > 1, size)
         if not last:
-            self.before = (sig[starts], node[starts], np.logical_or.reduceat(out, starts) | (size > 1)) if len(sig) else None
+            self.before = sig[starts], node[starts], np.logical_or.reduceat(out, starts) | (size > 1), place[starts]
+        yield from self.rows(sig, node, out, place, starts, size, whole)
+
+    def rows(self, sig, node, out, place, starts, size, whole: bool) -> Iterator[pa.RecordBatch]:
+        """Links (node, pivot, shared), and the members (node, grp) of each different group."""
+        many = np.repeat(size > 1, size)
         pivot = np.repeat(node[starts], size)
         other = many & (node != pivot)
-        link = np.stack([node[other], pivot[other]], axis=1)
-        link = link[np.lexsort((link[:, 1], link[:, 0]))]
-        first = np.flatnonzero(np.r_[np.ones(min(len(link), 1), bool), (link[1:] != link[:-1]).any(axis=1)])
-        yield _met(link[first, 0], link[first, 1], np.diff(np.r_[first, len(link)]), None)
-        if not self.members:
-            return
-        if whole:  # groups of the same nodes are one
-            starts, size = starts[size > 1], size[size > 1]
-            if len(starts):
-                sig, node = sig[many], node[many]
-                begin = np.cumsum(size) - size
-                key = np.add.reduceat(common.mix(node.view(np.uint64)), begin)
-                chosen = np.zeros(len(size), bool)
-                chosen[np.unique(key, return_index=True)[1]] = True
-                inside = np.repeat(chosen, size)
-                yield _met(node[inside], None, None, np.repeat(key, size)[inside].view(np.int64))
-        else:
+        yield _counted(node[other], pivot[other])
+        if not whole:
             inside = many & ~out
             yield _met(node[inside], None, None, common.mix(sig[inside]).view(np.int64))
+        elif many.any():  # groups of the same nodes are one
+            node, size = node[many], size[size > 1]
+            key = np.add.reduceat(common.mix(node.view(np.uint64)), np.cumsum(size) - size)
+            chosen = np.zeros(len(size), bool)
+            chosen[np.unique(key, return_index=True)[1]] = True
+            inside = np.repeat(chosen, size)
+            yield _met(node[inside], None, None, np.repeat(key, size)[inside].view(np.int64))
+
+
+def _counted(node: np.ndarray, pivot: np.ndarray) -> pa.RecordBatch:
+    """Each different link once, and how often it was there."""
+    order = np.lexsort((pivot, node))
+    node, pivot = node[order], pivot[order]
+    first = np.flatnonzero(np.r_[np.ones(min(len(order), 1), bool), (node[1:] != node[:-1]) | (pivot[1:] != pivot[:-1])])
+    return _met(node[first], pivot[first], np.diff(np.r_[first, len(order)]), None)
 
 
 def _met(node: np.ndarray, pivot: np.ndarray | None, shared: np.ndarray | None, grp: np.ndarray | None) -> pa.RecordBatch:
@@ -446,9 +453,8 @@ def _met(node: np.ndarray, pivot: np.ndarray | None, shared: np.ndarray | None,
     return pa.RecordBatch.from_arrays(cols, schema=_MEET)
 
 
-def meet(blocks: DataFrame, buckets: int, members: bool = True) -> DataFrame:
-    """What shares signatures: (node, pivot, shared) with the least node of its groups, and, if asked for,
-    the members (node, grp) of each different group."""
+def meet(blocks: DataFrame, buckets: int, kind: type[_Bucket] = _Bucket) -> DataFrame:
+    """What shares signatures (bucket, payload), as a bucket of this kind says."""
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,24 +464,20 @@ def meet(blocks: DataFrame, buckets: int, members: bool = True) -> DataFrame:
                 if b != bucket:
                     if held:
                         yield from held.linked()
-                    bucket, held = b, _Bucket(members)
+                    bucket, held = b, kind()
                 yield from held.add(payload.as_buffer().to_pybytes())
         if held:
             yield from held.linked()
 
     if buckets <= BUCKETS:
         tasks = min(buckets, max(common.partitions(blocks.sparkSession), buckets // 4))
-        return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MEET_SQL)
+        return blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, kind.SQL)
     fine = -(-buckets // BUCKETS)
 
     @common.lean
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(lambda sig: sig_bucket(sig), _BLOCK)
         current = 0
-
-        def sig_bucket(sig: np.ndarray) -> np.ndarray:
-            return current * fine + (sig % np.uint64(fine)).astype(np.int64)
-
+        packer = Packer(lambda sig: current * fine + (sig % np.uint64(fine)).astype(np.int64), _BLOCK)
         for batch in batches:
             for b, payload in zip(batch["bucket"].to_pylist(), batch["payload"], strict=True):
                 if b != current:
@@ -485,7 +487,7 @@ def meet(blocks: DataFrame, buckets: int, members: bool = True) -> DataFrame:
         yield from packer.rest()
 
     dealt = blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket").mapInArrow(finer, "bucket int, payload binary")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(run, _MEET_SQL)
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, kind.SQL)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
