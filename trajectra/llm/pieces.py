@@ -5,7 +5,8 @@ The byte-level pattern never matches across such a place (a match that holds the
 cannot go on with a blank, and one that holds the blank begins there), so the ids of a text are
 those of its pieces, one after the other. For the same reason a last full stop or comma after a
 letter stands for itself. The library encodes every different piece once; a worker finds pieces
-it has met by a 64-bit hash, up to a limit, then starts anew.
+it has met by a 64-bit hash, up to a limit, then starts anew. The bytes of a piece are compared with
+those it was learned from; a text with a piece that differs goes through the library as it is.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces a worker remembers, about 300 bytes each.
-LIMIT = 1_600_000
+LIMIT = 800_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: New pieces that go through the library as one text.
 _JOINED = 24
@@ -50,6 +51,26 @@ class _Hasher:
         return (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)
 
 
+_ONES = np.uint64(2**64 - 1)
+
+
+def _eight(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the last byte."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def _differ(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of `size` bytes differ, _SHORT bytes of each at most; a and b are what _eight returns."""
+    out, some = np.zeros(len(size), bool), np.arange(len(size))
+    for k in range(0, _SHORT, 8):
+        some = some[size[some] > k]
+        if not len(some):
+            break
+        ones = _ONES >> (np.uint64(64) - np.uint64(8) * np.minimum(size[some] - k, 8).astype(np.uint64))
+        out[some] |= ((a[at_a[some] + k] ^ b[at_b[some] + k]) & ones) != 0
+    return out
+
+
 class _Column:
     """A numpy column that grows; one entry at least is spare."""
 
@@ -94,6 +115,8 @@ class PieceEncoder:
         # of pieces: their stem, and the id of the mark after it or -1; of stems: where their ids are in flat
         self.stem, self.mark, self.odd = _Column(np.int32), _Column(np.int32), _Column(bool)
         self.start, self.size, self.flat = _Column(np.int64), _Column(np.int32), _Column(np.uint32)
+        # what pieces were learned from: where their bytes are in raw, how many, and whether they head a text
+        self.raw, self.where, self.bytes, self.heads = _Column(np.uint8), _Column(np.int64), _Column(np.int64), _Column(bool)
 
     def _batch(self, texts: list[str]) -> list[int]:
         out: list[int] = []
@@ -150,7 +173,7 @@ class PieceEncoder:
         """The ids of a whole text."""
         return self.encode_all([text])[0]
 
-    def stream(self, texts: Iterable[str], chars: int = 2_000_000) -> Iterator[np.ndarray]:
+    def stream(self, texts: Iterable[str], chars: int = 1_000_000) -> Iterator[np.ndarray]:
         """The ids of whole texts, some at a time."""
         held, size = [], 0
         for text in texts:
@@ -186,6 +209,14 @@ class PieceEncoder:
         known = self.keys[near] == values if len(self.keys) else np.zeros(len(values), bool)
         codes = np.empty(len(values), np.int64)
         codes[known] = self.codes[near[known]]
+        # what has a hash must have the bytes of the first that had it, in this call and before
+        length, here, same = end - begin, _eight(raw), at[back]
+        other = (length != length[same]) | (head != head[same]) | _differ(here, begin, here, begin[same], np.where(same == np.arange(len(same)), 0, length))
+        met, piece = at[known], codes[known]
+        changed = (length[met] != self.bytes.x[piece]) | (head[met] != self.heads.x[piece])
+        wrong = np.zeros(len(values), bool)
+        wrong[known] = changed | _differ(here, begin[met], _eight(self.raw.x[: self.raw.n]), self.where.x[piece], np.where(changed, 0, length[met]))
+        other |= wrong[back]
         fresh = np.flatnonzero(~known)
         if len(fresh):
             pieces = [buffer[a:b].decode() for a, b in zip(begin[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)]
@@ -193,9 +224,15 @@ class PieceEncoder:
             codes[fresh] = np.arange(self.stem.n, self.stem.n + len(new))
             places = np.searchsorted(self.keys, values[fresh])
             self.keys, self.codes = np.insert(self.keys, places, values[fresh]), np.insert(self.codes, places, codes[fresh])
+            kept = np.minimum(length[at[fresh]], _SHORT)
+            first = np.cumsum(kept) - kept
+            self.where.add(self.raw.n + first)
+            self.bytes.add(length[at[fresh]])
+            self.heads.add(head[at[fresh]])
+            self.raw.add(raw[np.repeat(begin[at[fresh]] - first, kept) + np.arange(int(kept.sum()))])
             self._learn(new)
         codes = codes[back]
-        odd = np.logical_or.reduceat(self.odd.x[codes] | (end - begin > _SHORT), first_piece)
+        odd = np.logical_or.reduceat(self.odd.x[codes] | other | (length > _SHORT), first_piece)
         ids, ends = self._gather(codes)
         bounds = np.r_[0, ends[np.r_[first_piece[1:], len(codes)] - 1]]
         return [

@@ -11,8 +11,9 @@ control bytes; data bytes. Blocks are rows of a Parquet table, so that any store
 can hold them. A block's table counts all of its tokens; no pass over the corpus comes before.
 
 Edge cases: a null text counts as empty and gets the end id alone; a null doc_id is kept and
-comes first; rows with equal doc_id follow one another in the order of their texts; an empty
-table makes no block and reads back as no rows.
+comes first; rows with equal doc_id follow one another in the order of their texts; a very long text
+makes a block of its own; only doc_id and text are looked at, whatever other columns are named; an
+empty table makes no block and reads back as no rows.
 """
 
 from __future__ import annotations
@@ -97,14 +98,16 @@ def unpack(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every text and write the blocks in ascending doc_id order.
 
-    One shuffle deals documents by ranges of doc_id; each range is encoded as it streams by.
+    One shuffle deals documents by ranges of doc_id and text, so that one id, or none at all, may have any number
+    of them; each range is encoded as it streams by.
     """
     ordered = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(max(common.partitions(docs.sparkSession), 1), "doc_id")
+        .repartitionByRange(max(common.partitions(docs.sparkSession), 1), "doc_id", "text")
         .sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     )
 
+    @common.lean
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, at, first, ids, held, kept = PieceEncoder.load(tokenizer_path), 0, 0, [], [], 0
         end, part = np.array([end_id], np.uint32), 0
@@ -147,6 +150,7 @@ def _from_files(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
     before = sums.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("before"))
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @common.lean
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, payload in zip(batch["first"], batch["payload"], strict=True):
