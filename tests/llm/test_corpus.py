@@ -1,19 +1,24 @@
 """The corpus operators on edge cases, against brute force, and on round trips."""
 
 import hashlib
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trajectra.llm import bpe, contamination, html, lines, neighbours, passages, pieces, quality, setjoin, shards, tokenfile
-from trajectra.llm.common import Scratch
+from trajectra.llm import bpe, contamination, html, lines, neighbours, passages, pieces, quality, queries, setjoin, shards, tokenfile, words
+from trajectra.llm.common import Scratch, fresh
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, score double"
+ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BLANK = re.compile(rb"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 97}x{i % 13}" for i in range(3000))
 ODD = [
     (1, None, "en", "a", 0, "x", 0.0), (2, "", None, "a", 0, "x", 0.0), (None, "lone words here", "en", None, None, "x", 0.0), (4, LONG, "en", "a", 1, "x", 0.0),
@@ -32,6 +37,53 @@ def docs(spark):
     return spark.read.parquet(f"{DIR}/documents.parquet")
 
 
+def _lower(text):
+    return bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+
+
+def test_words(monkeypatch):
+    rng, seen = np.random.default_rng(1), {}
+    parts = ["a", "B", " ", "\n", "é", "9", ".", "xyz", "\0", "  ", "q" * 30, "\x7f", "\x0b", "漢"]
+    for tile in (words.TILE, 7, 1):
+        monkeypatch.setattr(words, "TILE", tile)
+        for inside, pattern in ((words.BLANK, BLANK), (words.ALNUM, ALNUM)):
+            for _ in range(40):
+                texts = [None if rng.random() < 0.1 else "".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(rng.integers(0, 9))]
+                h, counts = words.hashed(pa.array([*texts, "x"], pa.string()).slice(0, len(texts)), inside)
+                want = [pattern.findall(_lower(t)) for t in texts]
+                assert counts.tolist() == [len(w) for w in want]
+                for word, x in zip([w for row in want for w in row], h.tolist(), strict=True):
+                    assert seen.setdefault(word, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_forest_against_plain_code():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = ((x[:, 1] > 4) ^ (x[:, 2] > 6)).astype(float)
+    forest = quality.fit_forest(x, y, trees=5, depth=2, least=1.0)
+
+    def walk(row):
+        total = forest.base
+        for t in range(5):
+            node = 0
+            for _ in range(2):
+                node = 2 * node + 1 + int(row[forest.feature[t, node]] > forest.threshold[t, node])
+            total += forest.value[t, node]
+        return total
+
+    assert np.allclose(forest.margin(x), [walk(r) for r in x])
+    # the first split has the largest gain of all
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = {}
+    for j in range(4):
+        for cut in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= cut
+            gain[j, cut] = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left))
+    assert np.isclose(gain[int(forest.feature[0, 0]), np.floor(forest.threshold[0, 0])], max(gain.values()))
+
+
 def test_quality(spark, odd):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -40,7 +92,9 @@ def test_quality(spark, odd):
     rows = quality.score(held, forest).select("score", "quality").collect()
     right = sum((r.score >= quality.THRESHOLD) == (r.quality == 1) for r in rows) / len(rows)
     assert len(rows) > 500 and right > 0.97
-    assert all(0 <= r.score <= 1 for r in quality.score(odd.drop("score"), forest).collect())
+    assert all(0 <= r.score <= 1 for r in quality.score(odd, forest).collect())
+    kept = quality.score(odd, forest, out=fresh(odd, "score")).collect()
+    assert all(r.score == 0.0 and 0 <= r._score <= 1 and r.node == "x" for r in kept)
     assert quality.score(odd.limit(0), forest).count() == 0
     empty = quality.train(d, labels.limit(0))
     assert {r.score for r in quality.score(odd.drop("score"), empty).collect()} == {0.5}
@@ -97,10 +151,12 @@ def _cosines(x, q):
     return u @ u[q]
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    chosen, fit = [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a: chosen.append(fit(*a)) or chosen[-1])
     got = {}
-    for r in neighbours.nearest(d).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(d.withColumn("key", F.lit(1)).withColumn("q", F.lit(2))).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     p = d.toPandas()
     x, ids = np.stack(p.embedding.to_numpy()).astype(float), p.vec_id.to_numpy()
@@ -109,9 +165,20 @@ def test_neighbours(spark):
         s = np.round(_cosines(x, q), 12)
         best = [ids[i] for i in np.lexsort((ids, -s)) if i != q][:5]
         hits += len(set(best) & set(got[ids[q]]))
+    print(f"recall {hits / (5 * len(got)):.3f}, on the sample {chosen[0].recall:.3f}, vectors compared by a query {chosen[0].share:.3f} of all")
     assert hits / (5 * len(got)) >= 0.9 and all(len(v) == 5 for v in got.values())
 
 
+def test_neighbours_select_in_clusters():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((100, 64))
+    x = centres[rng.integers(0, 100, 4000)] + 0.3 * rng.standard_normal((4000, 64))
+    found = neighbours.fit(neighbours._unit(x), 10**9)
+    print(f"recall {found.recall:.3f}, vectors compared by a query {found.share:.4f} of all")
+    assert found.recall >= neighbours.TARGET and found.share < 0.1
+    assert neighbours.perturbations(2, 5) == [(), (0,), (1,), (0, 1), (2,)]
+
+
 def test_neighbours_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [0.0, 1.0]), (50, [1.0, 0.0]), (None, [1.0, 1.0]), (8, [1.0])]
@@ -132,12 +199,46 @@ def test_shards(spark, docs, odd):
         assert max(counts) - min(counts) <= 1
         want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in df.select("doc_id", "text").collect())
         assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
-    n = spark.range(1000)
-    assert sorted(r[0] for r in n.select(shards.permute(F.col("id"), 1000)).collect()) == list(range(1000))
+    for n in (1, 2, 3, 50, 1000):
+        got = [r[0] for r in spark.range(n).orderBy("id").select(shards.permute(F.col("id"), n)).collect()]
+        assert got == [_walk(i, n) for i in range(n)] and sorted(got) == list(range(n))
+    rows = sorted(df_rows(docs), key=lambda r: (r[0], r[1], r[2]))
+    want = Counter((*r, _walk(i, len(rows)) % 8, _walk(i, len(rows)) // 8) for i, r in enumerate(rows))
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in shards.assign(docs).collect()) == want
+
+
+def df_rows(df):
+    return [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in df.select("doc_id", "text").collect()]
+
+
+def _walk(row, n, key=shards.KEY):
+    """The permutation in plain code: rounds alternate between the halves, and numbers outside walk on."""
+    a = next(x for x in range(1, n + 2) if x * x >= n)
+    b = -(-n // a)
+
+    def mixed(x, k, modulus):
+        once = (x + k) % shards.PRIME
+        twice = (once * once + k % 65537) % shards.PRIME
+        return (twice * (twice % 1048573 + 1) + once) % shards.PRIME % modulus
+
+    while True:
+        u, low = divmod(row, b)
+        for i, k in enumerate(key):
+            if i % 2:
+                low = (low + mixed(u, k, b)) % b
+            else:
+                u = (u + mixed(low, k, a)) % a
+        row = u * b + low
+        if row < n:
+            return row
 
 
 def _brute_components(rows):
-    sets = [(d, set(setjoin.shingles(t).tolist())) for d, t in rows]
+    sets = []
+    for d, t in rows:
+        w = BLANK.findall(_lower(t))
+        k = min(5, len(w))
+        sets.append((d, {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()))
     parent = list(range(len(sets)))
 
     def find(i):
@@ -166,22 +267,35 @@ def test_set_join(docs, odd):
     assert setjoin.join(odd.limit(0)).count() == 0
 
 
+def test_set_join_of_bounded_tasks(docs, odd, monkeypatch):
+    some = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = _brute_components([tuple(r) for r in some.collect()])
+    for name, value in (("GROUP", 3), ("ROUNDS", 0), ("PACK", 1000), ("HOLD", 2000), ("BUCKETS", 3)):
+        monkeypatch.setattr(setjoin, name, value)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in setjoin.join(some).collect()) == want
+
+
 def test_signatures_never_miss():
     rng = np.random.default_rng(5)
     for population in (10, 10**9):
         every = {j: population for j in range(100)}
-        for n in (1, 4, 5, 9, 30, 45, 100, 400, 2000):
+        for n in (1, 2, 3, 4, 5, 9, 16, 30, 45, 100, 400, 2000):
             for _ in range(20):
                 a = np.unique(rng.integers(0, 2**63, n, np.uint64))
                 b = a.copy()
                 for _ in range(max(1, n // 18)):
-                    b[rng.integers(0, len(b))] = rng.integers(0, 2**63)
+                    i = rng.integers(0, len(b))
+                    b = (b[:i], np.delete(b, i), np.r_[b, rng.integers(0, 2**63, 1, np.uint64)])[rng.integers(1, 3)]
+                    b = b if len(b) else a.copy()
                 b = np.unique(b)
-                if setjoin.similar(a, b):
-                    (x, short), (y, short2) = setjoin.signatures(a, every), setjoin.signatures(b, every)
-                    assert short or short2 or np.intersect1d(x, y).size
-                    slack = setjoin._slack(np.array([len(a)]), setjoin._folded([setjoin.sketch(a), setjoin.sketch(b)])[:1], np.array([len(b)]), setjoin._folded([setjoin.sketch(a), setjoin.sketch(b)])[1:])
-                    assert slack[0, 0] >= 0
+                if not setjoin.similar(a, b):
+                    continue
+                for share in (0, 0.4, 0.8, 1):
+                    ordinary = np.union1d(a, b) if share == 1 else np.sort(rng.permutation(a)[: int(share * len(a))])
+                    sig, own = setjoin.signatures(np.r_[a, b], np.array([len(a), len(b)]), every, ordinary)
+                    assert np.intersect1d(sig[own == 0], sig[own == 1]).size
+                folded = setjoin._folded([setjoin.sketch(a), setjoin.sketch(b)])
+                assert setjoin._slack(np.array([len(a)]), folded[:1], np.array([len(b)]), folded[1:])[0, 0] >= 0
 
 
 def test_passages(spark, docs, odd):
@@ -197,6 +311,37 @@ def test_passages(spark, docs, odd):
     assert got == {0: (80, 140), 1: (80, 140), 2: (80, 139)}
 
 
+def _common_stretches(a, b, least=50):
+    """Maximal stretches of words of a that stand in b, by comparing all places."""
+    out, before = [], {}
+    for i, x in enumerate(a):
+        now = {j: before.get(j - 1, 0) + 1 for j, y in enumerate(b) if x == y}
+        out += [(i + 1 - n, i + 1) for j, n in now.items() if n >= least and not (i + 1 < len(a) and j + 1 < len(b) and a[i + 1] == b[j + 1])]
+        before = now
+    return out
+
+
+def test_passages_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    own = lambda n: [f"u{x}" for x in rng.integers(0, 400, n)]
+    line = own(12)
+    shared = [own(50), own(70), line * 5, own(10) * 7]
+    texts = []
+    for i in range(14):
+        parts = [own(int(rng.integers(5, 90)))]
+        for p in rng.permutation(4)[: int(rng.integers(0, 3))]:
+            parts += [shared[p], own(int(rng.integers(5, 60)))]
+        texts.append([w for x in parts for w in x] + line * (i % 3))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got: dict = {}
+    for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.begin, r.end))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            for begin, end in _common_stretches(a, b) if i != j else ():
+                assert any(x <= begin and end <= y for x, y in got.get(i, ())), (i, j, begin, end)
+
+
 def test_chains_are_cut_at_gaps():
     for n in (60, 200):
         for gap in range(n // 2 + 1, n, 7):
@@ -242,12 +387,12 @@ def test_decontamination(spark, docs, odd):
         texts = [tuple(r) for r in items.collect()]
         phrases: dict = {}
         for item, text in texts:
-            w = contamination.common.alnum_words(text)
+            w = ALNUM.findall(_lower(text))
             for i in range(max(1, len(w) - 9) if w else 0):
                 phrases.setdefault(tuple(w[i : i + 10]), set()).add(item)
         want = Counter()
         for doc_id, text in df.select("doc_id", "text").collect():
-            w = contamination.common.alnum_words(text)
+            w = ALNUM.findall(_lower(text))
             hit, ids = set(), set()
             for size in {len(p) for p in phrases}:
                 for i in range(len(w) - size + 1):
@@ -255,12 +400,36 @@ def test_decontamination(spark, docs, odd):
                         hit.update(range(i, i + size))
                         ids |= {str(x) for x in phrases[p] if x is not None}
             want[(doc_id, len(w), len(hit), tuple(sorted(ids)))] += 1
+        for size in (100, 10**6):
+            again = Scratch(spark, "index").keep(contamination.build(df, size), "segments")
+            assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in contamination.search(again, items).collect()) == want
         index = Scratch(spark, "index").keep(contamination.build(df, 3000), "segments")
         for block in (contamination.PHRASES, 300):
             got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in contamination.search(index, items, block=block).collect())
             assert got == want
 
 
+def test_phrase_and_proximity_matches(spark):
+    docs = spark.createDataFrame([(1, "x a b c d y"), (2, "d c q b a"), (3, "a b z z z c d"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c d"), (8, "")], "item_id long, text string")
+    index = Scratch(spark, "index").keep(contamination.build(docs), "segments")
+    assert [tuple(r) for r in contamination.matches(index, bench).collect()] == [(1, "7", 1, 5)]
+    near = {(r.doc_id, r.item_id) for r in contamination.proximity(index, bench, 4).collect()}
+    assert near == {(1, "7"), (2, "7")}
+    assert {r.doc_id for r in contamination.proximity(index, bench, 6).collect()} == {1, 2, 3}
+
+
+def test_bpe_query_against_the_library(spark, docs, odd):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = bpe.encoding(path, pattern)
+    for df in (docs, odd, odd.limit(0)):
+        want = Counter()
+        for doc_id, text in df.select("doc_id", "text").collect():
+            ids = enc.encode_ordinary(text or "")
+            want[doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
+        assert Counter(tuple(r) for r in bpe.round_trip(df, path, pattern).collect()) == want
+
+
 def test_bpe(odd):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     want = Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
@@ -276,6 +445,19 @@ def test_line_dedup(spark, odd):
     assert got[1].text == "own 1\n" and got[1].n_dropped == 2 and got[11].text == "own 11\n" and got[2].text == "own 2"
     assert got[0].text is None and (got[0].n_lines, got[0].n_dropped) == (0, 0)
     assert lines.dedup(odd).count() == len(ODD) and lines.dedup(odd.limit(0)).count() == 0
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("_host", "_drop", "_kept", "_salt", "_row", "n_lines", "n_dropped")])
+    got = lines.dedup(clash)
+    assert sorted(got.columns) == sorted(clash.columns) and got.count() == len(ODD)
+    assert {(r._host, r._drop, r._salt) for r in got.collect()} == {(1, 1, 1)}
+
+
+def test_line_dedup_against_sql(spark):
+    import duckdb
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+        want = db.execute(f"SELECT doc_id, source, text, n_lines, n_dropped FROM ({queries.ORACLE_SQL['op9_line_dedup']})").fetchall()
+    assert Counter(map(tuple, queries.op9_line_dedup(spark, DIR).collect())) == Counter(want)
 
 
 def test_html(spark):
@@ -291,11 +473,87 @@ def test_html(spark):
     assert got[1] == "" and got[2] == "" and got[3].startswith("Head") and got[4].startswith("words and")
 
 
+PARAGRAPH = "<p>" + "words and more words in a paragraph here " * 4 + "</p>"
+
+
+def test_html_structures():
+    text = PARAGRAPH[3:-5].strip()
+    wrapped = f'<div class="has-sidebar share-enabled"><article><h1>T</h1>{PARAGRAPH}<div class="share">tweet this</div></article></div>'
+    assert html.main_text(wrapped) == f"T {text}"
+    assert html.main_text(f'<div class="page has-sidebar">{PARAGRAPH}{PARAGRAPH}<div class=sidebar>side things here</div></div>') == f"{text} {text}"
+    listed = f"{PARAGRAPH}<ul><li>one item here<li>two items are here<li>three items</ul>{PARAGRAPH}"
+    assert html.main_text(listed) == f"{text} one item here two items are here three items {text}"
+    linked = f"{PARAGRAPH}<ul>" + "<li><a href=/>go there</a>" * 4 + "</ul>"
+    assert html.main_text(linked) == text
+    for tag in ("noscript", "template", "textarea"):
+        assert html.main_text(f"<article><p>before <{tag}> in it {PARAGRAPH}") == f"before in it {text}"
+    assert html.main_text("<article>a < b & c &lt; d <br>more") == "a < b & c < d more"
+    used, todo = set(), [html.tree()]
+    while todo:
+        node = todo.pop()
+        if len(node) > 1:
+            used.add(node[0])
+            todo += node[2:]
+    assert {3, 5} <= used  # the link densities of the blocks before and after
+
+
+@pytest.mark.parametrize("page", ['<a "', "<a \"'>", "<div>", "<div></p>", "<noscript>", "<", "<!--", "<p><b>x", "<div class='share x'>y", "<![CDATA["])
+def test_html_in_linear_time(page):
+    began = time.time()
+    html.main_text(page * (1_000_000 // len(page)))
+    assert time.time() - began < 20
+
+
+def _without_boilerplate(rows):
+    pages, on = Counter(r.source for r in rows), Counter()
+    for r in rows:
+        on.update({(r.source, x.strip(" ")) for x in (r.text or "").split("\n") if x.strip(" ")})
+    out = []
+    for r in rows:
+        kept = None
+        if r.text is not None:
+            kept = "\n".join(x for x in r.text.split("\n") if not (on[r.source, x.strip(" ")] >= lines.LEAST and on[r.source, x.strip(" ")] > lines.RATIO * pages[r.source]))
+        out.append((r.doc_id, kept))
+    return out
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
+    assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "line_dedup", "jaccard_join", "decontamination", "byte_bpe"]
     d = spark.read.parquet(f"{DIR}/documents.parquet")
-    out = pipeline.run(spark, DIR)
-    assert 0 < out.count() < d.count() and len(pipeline.STAGES) == 5
-    for name, stage in pipeline.STAGES[:4]:
-        assert stage(spark, d.limit(0), DIR).columns == d.columns, name
+    forest = quality.train(d, spark.read.parquet(f"{DIR}/labels.parquet"))
+    rows = [r for r in d.collect() if forest.score(np.array([quality.statistics(r.text)]))[0] >= quality.THRESHOLD]
+    kept = _without_boilerplate(rows)
+    least = {i: c for i, _, c in _brute_components(kept)}
+    kept = [(i, t) for i, t in kept if least[i] == i]
+    test = set()
+    for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect():
+        w = ALNUM.findall(_lower(r.text))
+        test |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+    clean = []
+    for i, t in kept:
+        w = ALNUM.findall(_lower(t))
+        if not any(tuple(w[k : k + n]) in test for n in {len(p) for p in test} for k in range(len(w) - n + 1)):
+            clean.append((i, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert 0 < len(clean) < d.count()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in pipeline.run(spark, DIR).collect()) == Counter(clean)
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd):
+    import corpus_pipeline as pipeline
+
+    clash = odd.select("*", *[F.lit(5).alias(c) for c in ("_score", "_key", "_doc", "_nth", "n_lines", "n_dropped", "root", "n_hit")])
+    for df in (clash, clash.unionByName(clash), clash.limit(0), clash.where("text IS NULL")):
+        total = df.count()
+        for name, stage in pipeline.STAGES[:4]:
+            out = stage(spark, df, DIR)
+            assert out.columns == df.columns, name
+            rows = out.collect()
+            assert all((r._score, r._key, r._doc, r._nth, r.n_lines, r.n_dropped, r.root) == (5,) * 7 for r in rows), name
+            if name in ("line_dedup", "decontamination"):
+                assert len(rows) == total, name
+            if name == "jaccard_join":
+                # texts without words stay, and one document of each group of the others
+                assert len(rows) == sum(not BLANK.findall(_lower(r.text)) for r in df.collect()) + min(total, 3) * (total > 6)
+        assert pipeline.byte_bpe(spark, df, DIR).count() == total
