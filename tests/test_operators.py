@@ -107,7 +107,7 @@ def test_best_first_search():
 
 def test_all_tasks_are_queried(spark, steps):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    found = tables.all_queries(steps, vectors, working(spark, "test")).orderBy("query_id").collect()
+    found = tables.queries(steps, vectors, working(spark, "test")).orderBy("query_id").collect()
     assert [(r.query_id, r.task_id, list(r.vec), "".join(r.truth), r.k) for r in found] == [
         (i, t, [[1.0, 0.0], [0.0, 1.0]][i % 2], s, max(3, len(s))) for i, (t, s) in enumerate(SEQS.items())
     ]

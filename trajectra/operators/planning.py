@@ -12,6 +12,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ MAX_EDGES = 5_000_000
 def candidates(queries: DataFrame, vectors: DataFrame, size: Column) -> DataFrame:
     """(query_id, tool, sim, rank, k): the best `size` tools (an expression over k) of each query."""
     q = queries.select("query_id", "vec", "k", size.alias("_size"))
-    found = retrieval.ranked(retrieval.similarities(q, vectors))
+    found = retrieval.ranked(retrieval.similarities(q, vectors, retrieval.largest(q, F.col("_size"))))
     return found.join(q.select("query_id", "k", "_size"), "query_id").where("rank < _size").select("query_id", "tool", "sim", "rank", "k")
 
 
@@ -45,7 +46,7 @@ def linked(cands: DataFrame, links: DataFrame, positions: DataFrame | None = Non
     a = cands.select("query_id", F.col("rank").alias("_ra"), F.col("tool").alias("src"))
     b = cands.select("query_id", F.col("rank").alias("_rb"), F.col("tool").alias("dst"))
     found = (
-        a.join(links.select("src", "dst", "w"), "src").join(b, ["query_id", "dst"])
+        a.join(b, "query_id").join(links.select("src", "dst", "w"), ["src", "dst"])
         .groupBy("query_id", F.col("_rb").alias("rank")).agg(F.map_from_entries(F.collect_list(F.struct("_ra", "w"))).alias("_m"))
     )
     if positions is None:
@@ -86,11 +87,49 @@ _last = lambda acc: F.get(acc, F.size(acc) - 1)
 _strongest = lambda x, acc: F.coalesce(F.array_max(F.transform(acc, lambda r: F.get(x["into"], r))), F.lit(0.0))
 
 
-def select_greedy(queries: DataFrame, vectors: DataFrame, tp: DataFrame, alpha: float = 0.5, pool: int = 24) -> DataFrame:
-    """k tools: the most similar one, then by alpha * the strongest link from any chosen one + (1 - alpha) * similarity."""
-    rows = linked(candidates(queries, vectors, F.lit(pool)), tp)
-    score = lambda x, acc: alpha * _strongest(x, acc) + (1 - alpha) * x["sim"]
-    return named(greedy(rows, score, F.col("k") - 1))
+def _adjacency(edges: DataFrame, weight: str) -> dict[str, list[tuple[str, float]]]:
+    """The links of each tool, for the tasks; a graph beyond MAX_EDGES edges is refused."""
+    rows = edges.select("src", "dst", F.col(weight).alias("w")).limit(MAX_EDGES + 1).collect()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"this planner takes a graph of at most {MAX_EDGES} edges; prune it, or use beam()")
+    found: dict[str, list[tuple[str, float]]] = defaultdict(list)
+    for r in rows:
+        found[r["src"]].append((r["dst"], r["w"]))
+    return dict(found)
+
+
+def grow(sims: dict[str, float], adjacency: dict, k: int, alpha: float) -> list[str]:
+    """The most similar tool, then k - 1 times the best of all others; ties by similarity, then by name."""
+    order = sorted(sims, key=lambda t: (-round(sims[t], 9), t))
+    rank = {t: i for i, t in enumerate(order)}
+    own = np.array([sims[t] for t in order])
+    strongest, chosen = np.zeros(len(order)), []
+    left = np.ones(len(order), bool)
+    while len(chosen) < min(k, len(order)):
+        score = alpha * strongest + (1 - alpha) * own if chosen else own
+        best = int(np.where(left, np.round(score, 9), -np.inf).argmax())
+        left[best] = False
+        chosen.append(order[best])
+        for to, w in adjacency.get(order[best], ()):
+            if to in rank:
+                strongest[rank[to]] = max(strongest[rank[to]], w)
+    return chosen
+
+
+def select_greedy(queries: DataFrame, vectors: DataFrame, tp: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """k tools: the most similar one, then of all others by alpha * the strongest link from any chosen one + (1 - alpha) * similarity."""
+    adjacency = _adjacency(tp, "w")
+    per = (
+        retrieval.similarities(queries, vectors).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("tool", "sim"))).alias("sims"))
+        .join(queries.select("query_id", "k"), "query_id").select("query_id", "k", "sims")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(q, grow(dict(s), adjacency, int(k), alpha)) for q, k, s in zip(batch["query_id"], batch["k"], batch["sims"], strict=True)]
+            yield pd.DataFrame(out, columns=["query_id", "seq"])
+
+    return per.mapInPandas(run, "query_id long, seq array<string>")
 
 
 def hybrid(
@@ -182,14 +221,14 @@ def beam(
     wt, ws, wd = weights
     nbr = graph.top_neighbours(edges, neighbours).select(F.col("src").alias("_cur"), F.col("dst").alias("_to"), "transition_prob")
     comm = vectors.select(F.col("tool").alias("_to"), "community")
-    sims = retrieval.similarities(queries, vectors).select("query_id", F.col("tool").alias("_to"), "sim")
+    reached, asked = vectors.select(F.col("tool").alias("_to"), F.col("vec").alias("_v"), "community"), queries.select("query_id", "vec")
     start = retrieval.top_k(queries, vectors, min(entries, width)).join(comm.withColumnRenamed("_to", "tool"), "tool")
     live = start.select("query_id", F.array("tool").alias("path"), F.array("community").alias("comms"), F.col("sim").alias("cum"))
     done = None
     for _ in range(target - 1):
         grown = (
-            live.withColumn("_cur", _last(F.col("path"))).join(nbr, "_cur").where(~F.array_contains("path", F.col("_to")))
-            .join(sims, ["query_id", "_to"]).join(comm, "_to")
+            live.withColumn("_cur", _last(F.col("path"))).join(asked, "query_id").join(nbr, "_cur").where(~F.array_contains("path", F.col("_to")))
+            .join(reached, "_to").withColumn("sim", scores.dot(F.col("vec"), F.col("_v"))).drop("vec", "_v")
         )
         if normalise:
             grown = scaled(scaled(grown, "transition_prob", ["query_id", "path"]), "sim", ["query_id", "path"])
@@ -268,13 +307,7 @@ def best_first(queries: DataFrame, vectors: DataFrame, edges: DataFrame, target:
 
     The graph goes to the tasks only up to MAX_EDGES edges; of a larger one, prune it first.
     """
-    rows = edges.select("src", "dst", "weight").limit(MAX_EDGES + 1).collect()
-    if len(rows) > MAX_EDGES:
-        raise ValueError(f"best-first search takes a graph of at most {MAX_EDGES} edges; prune it, or use beam()")
-    adjacency: dict = defaultdict(list)
-    for r in rows:
-        adjacency[r["src"]].append((r["dst"], r["weight"]))
-    adjacency = dict(adjacency)
+    adjacency = _adjacency(edges, "weight")
     per = (
         retrieval.ranked(retrieval.similarities(queries, vectors)).groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "tool", "sim"))).alias("c"))

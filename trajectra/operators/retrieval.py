@@ -2,16 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import text
+
+
+#: Rows of a block of vectors.
+BLOCK = 1_024
+
+
+def _packed(rows: DataFrame, name: str, kind: str, label: str) -> DataFrame:
+    """Blocks of at most BLOCK rows: their names as an array, and their vectors as one matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, BLOCK):
+                part = whole.slice(i, BLOCK)
+                x = part.column(1).flatten().to_numpy().astype("<f8")
+                names = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([names, pa.array([x.tobytes()], pa.binary())], names=[label, f"{label}_x"])
 
+    return rows.where("vec IS NOT NULL").select(name, F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, f"{label} array<{kind}>, {label}_x binary")
 
-def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, tool, sim) of every query and tool."""
-    v = vectors.select("tool", F.col("vec").alias("_v"))
-    return queries.select("query_id", "vec").crossJoin(v).select("query_id", "tool", scores.dot(F.col("vec"), F.col("_v")).alias("sim"))
+
+def similarities(queries: DataFrame, vectors: DataFrame, size: int | None = None) -> DataFrame:
+    """(query_id, tool, sim) of every query and tool; with `size`, at least of each query's `size` most similar tools.
+
+    Blocks of queries meet blocks of tools, and a pair of blocks is one matrix product; what cannot be among a
+    query's best of a block does not leave it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                q, v = batch["q"][r].values, batch["v"][r].values
+                x, y = (np.frombuffer(batch[c][r].as_py(), "<f8").reshape(len(n), -1) for c, n in (("q_x", q), ("v_x", v)))
+                sims = x @ y.T
+                if size is not None and 0 < size < len(v):
+                    # ties are settled on rounded values, so what is a little below the last stays, too
+                    i, j = np.nonzero(sims >= np.partition(sims, -size, axis=1)[:, -size, None] - 1e-8)
+                else:
+                    i, j = (g.ravel() for g in np.indices(sims.shape))
+                for a in range(0, len(i), 200_000):
+                    m, n = i[a : a + 200_000], j[a : a + 200_000]
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(m)), v.take(pa.array(n)), pa.array(sims[m, n])], names=["query_id", "tool", "sim"])
+
+    spark = queries.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = queries.select("query_id", "vec").repartition(tasks, "query_id")
+    pairs = _packed(dealt, "query_id", "bigint", "q").crossJoin(_packed(vectors.select("tool", "vec"), "tool", "string", "v"))
+    return pairs.mapInArrow(run, "query_id long, tool string, sim double")
+
+
+def largest(queries: DataFrame, size: Column) -> int:
+    """The largest value of an expression over the queries; 0 without any."""
+    return queries.agg(F.max(size)).first()[0] or 0
 
 
 def ranked(scored: DataFrame, by: str = "sim", name: str = "tool") -> DataFrame:
@@ -22,7 +72,7 @@ def ranked(scored: DataFrame, by: str = "sim", name: str = "tool") -> DataFrame:
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, rank, tool, sim): the k nearest tools, or as many as the query's own k."""
-    found = ranked(similarities(queries, vectors))
+    found = ranked(similarities(queries, vectors, largest(queries, F.col("k")) if k is None else k))
     if k is not None:
         return found.where(F.col("rank") < k).select("query_id", "rank", "tool", "sim")
     return found.join(queries.select("query_id", "k"), "query_id").where("rank < k").select("query_id", "rank", "tool", "sim")
@@ -33,16 +83,18 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, k1: float = 1.5, b: fl
 
     Only terms that a query holds are joined, so the postings that meet are those of query terms.
     """
-    words = docs.where("text IS NOT NULL").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
-    tf = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = docs.where("text IS NOT NULL").select("doc_id", F.size(text.tokens(F.col("text"))).alias("dl"))
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tokens = docs.where("text IS NOT NULL").select("doc_id", text.tokens(F.col("text")).alias("_t"))
     asked = queries.select("item_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    tf = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    length = tokens.select("doc_id", F.size("_t").alias("dl"))
+    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    words = tokens.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    # only terms that a query holds are counted
+    words = words.join(asked.select("term").distinct(), "term", "left_semi")
+    tf = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(stats).select("term", "avgdl", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weight = tf.join(idf, "term").join(length, "doc_id").select("term", "doc_id", (F.col("idf") * share).alias("w"))
+    weight = tf.join(idf, "term").select("term", "doc_id", (F.col("idf") * share).alias("w"))
     hits = asked.join(weight, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qf") * F.col("w")).alias("score"))
     w = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("item_id", "rank", "doc_id", "score")

@@ -29,10 +29,13 @@ PARTS = {
         SELECT tool, embedding::DOUBLE[] AS vec, label AS community FROM (SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS i FROM (SELECT DISTINCT tool FROM t1))
         JOIN embeddings ON vec_id = i""",
     "q": """
-        SELECT i AS query_id, task_id, embedding::DOUBLE[] AS vec, seq AS truth, greatest(num_steps, 3) AS k
-        FROM (SELECT task_id, seq, num_steps, row_number() OVER (ORDER BY task_id) - 1 AS i FROM seqs) JOIN embeddings ON vec_id = i""",
-    "sims": "SELECT query_id, k, tool, list_inner_product(q.vec, v.vec) AS sim FROM q CROSS JOIN vectors v",
-    "ranked": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, tool) - 1 AS rank FROM sims",
+        SELECT i AS query_id, task_id, vec_id AS vi, embedding::DOUBLE[] AS vec, seq AS truth, greatest(num_steps, 3) AS k
+        FROM (SELECT task_id, seq, num_steps, row_number() OVER (ORDER BY task_id) - 1 AS i FROM seqs) JOIN embeddings ON vec_id = i % (SELECT count(*) FROM embeddings)""",
+    "near_": """
+        SELECT *, row_number() OVER (PARTITION BY vi ORDER BY round(sim, 9) DESC, tool) - 1 AS rank
+        FROM (SELECT vi, tool, list_inner_product(u.vec, v.vec) AS sim FROM (SELECT DISTINCT vi, vec FROM q) u CROSS JOIN vectors v)""",
+    "sims": "SELECT query_id, k, tool, sim FROM q JOIN near_ USING (vi)",
+    "ranked": "SELECT query_id, k, tool, sim, rank FROM q JOIN near_ USING (vi)",
     "top": "SELECT * FROM ranked WHERE rank < k",
     "knn": """
         SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS n FROM
@@ -327,8 +330,6 @@ ORACLE_SQL: dict[str, str] = {
         len_="SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> ''))::DOUBLE AS dl FROM documents WHERE text IS NOT NULL",
         asked="SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')) AS term FROM benchmark"),
     "frequency_baseline": _with("SELECT query_id, rank::INT AS rank, tool FROM q JOIN freq_top ON rank < k"),
-    "select_hybrid_greedy": _with(_STEPS.format("chosen"), pool="SELECT query_id, k, tool, sim, rank FROM ranked WHERE rank < 24", rows="{linked:pool:edges}",
-        chosen="{greedy:rows:0.5::DOUBLE * list_max(list_transform(acc, lambda r: x.links[r + 1])) + 0.5::DOUBLE * x.sim:k - 1}"),
     "plan_hybrid": _with(_STEPS.format("chosen"), pool="SELECT query_id, k, tool, sim, rank FROM ranked WHERE rank < greatest(k + 2, 3 * k)",
         links_="SELECT src, dst, weight AS transition_prob FROM edges UNION ALL SELECT dst, src, weight * 0.5 FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges f WHERE f.src = e.dst AND f.dst = e.src)",
         rows="{linked:pool:links_}",
@@ -364,7 +365,7 @@ ORACLE_SQL: dict[str, str] = {
     "by_length": _with("SELECT method, bucket, count(*) AS n, " + ", ".join(f"round(avg({v}), 6) AS {v}" for v in MAIN) + " FROM measured GROUP BY ALL"),
     "first_tool_table": _with("SELECT method, count(*) AS n, " + ", ".join(f"round(avg({v}), 6) AS {v}" for v in ("first_tool_acc", "ordered_precision", "set_f1")) + " FROM measured GROUP BY ALL"),
     "fixed_k_table": _with("SELECT method, count(*) AS n, " + ", ".join(f"round(avg({v}), 6) AS {v}" for v in ("set_f1", "ordered_precision", "first_tool_acc")) + " FROM m GROUP BY ALL",
-        fixed="SELECT query_id, method, list(tool ORDER BY rank) AS p, any_value(truth) AS g FROM ranked JOIN (SELECT query_id, truth FROM q) USING (query_id), (VALUES ('3', 3), ('5', 5), ('8', 8), ('oracle', NULL)) v(method, kk) WHERE rank < coalesce(kk, k) AND rank < 32 GROUP BY ALL",
+        fixed="SELECT query_id, method, list(tool ORDER BY rank) AS p, any_value(truth) AS g FROM ranked JOIN (SELECT query_id, truth FROM q) USING (query_id), (VALUES ('3', 3), ('5', 5), ('8', 8), ('oracle', NULL)) v(method, kk) WHERE rank < coalesce(kk, k) GROUP BY ALL",
         m=_measured("fixed", ["set_f1", "ordered_precision", "first_tool_acc"])),
     "bootstrap_ci": _with("""
         SELECT n, round(mean_delta, 6) AS mean_delta, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p_value, 6) AS p_value, lo > 0 AS significant FROM (SELECT count(*) AS n, avg(delta) AS mean_delta FROM deltas),

@@ -62,13 +62,17 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @shared
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return tables.queries(_t1(spark, d), tables.table(spark, d, "embeddings"))
+    """Every task, with the first query that has the same vector (by_vec), and the same vector and k (by_k)."""
+    q = tables.queries(_t1(spark, d), tables.table(spark, d, "embeddings"), working(spark, "all_queries"))
+    first = lambda *keys: F.min("query_id").over(Window.partitionBy(*keys))
+    return q.withColumns({"by_vec": first("vec"), "by_k": first("vec", "k")})
 
 
-@shared
-def _all_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every task, for the queries without SQL; the SQL of the others ends with the vectors."""
-    return tables.all_queries(_t1(spark, d), tables.table(spark, d, "embeddings"), working(spark, "all_queries"))
+def _once(queries: DataFrame, same: str, plan) -> DataFrame:
+    """plan(queries) for all queries, made once for those that agree in what it looks at (by_vec or by_k)."""
+    found = plan(queries.where(F.col("query_id") == F.col(same)))
+    rest = [c for c in found.columns if c != "query_id"]
+    return queries.select("query_id", F.col(same).alias("_of")).join(found.withColumnRenamed("query_id", "_of"), "_of").select("query_id", *rest)
 
 
 @shared
@@ -110,7 +114,7 @@ def _learned(spark: SparkSession, d: str) -> DataFrame:
 
 @shared
 def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
-    q = _all_queries(spark, d)
+    q = _queries(spark, d)
     rows = planning.linked(planning.own_tools(q, _vectors(spark, d)), _tp(spark, d), _positions(spark, d))
     return training.pair_rows(rows, q.select("query_id", "truth"))
 
@@ -127,8 +131,8 @@ def _communities(spark: SparkSession, d: str) -> DataFrame:
 @shared
 def _selected(spark: SparkSession, d: str) -> DataFrame:
     """Each query's k most similar tools with their links, for the orderings."""
-    cands = planning.candidates(_queries(spark, d), _vectors(spark, d), F.col("k"))
-    return planning.linked(cands, _tp(spark, d), _positions(spark, d))
+    v, tp, at = _vectors(spark, d), _tp(spark, d), _positions(spark, d)
+    return _once(_queries(spark, d), "by_k", lambda q: planning.linked(planning.candidates(q, v, F.col("k")), tp, at))
 
 
 @shared
@@ -417,9 +421,13 @@ def shortest_path_hops(spark, d):
 # -- retrieval ---------------------------------------------------------------------------------
 
 
+def _top_k(spark, d) -> DataFrame:
+    return _once(_queries(spark, d), "by_k", lambda q: retrieval.top_k(q, _vectors(spark, d)))
+
+
 @query
 def semantic_topk(spark, d):
-    return _six(retrieval.top_k(_queries(spark, d), _vectors(spark, d)))
+    return _six(_top_k(spark, d))
 
 
 @query
@@ -437,38 +445,38 @@ def frequency_baseline(spark, d):
 
 @query
 def select_hybrid_greedy(spark, d):
-    return planning.steps_of(planning.select_greedy(_queries(spark, d), _vectors(spark, d), _tp(spark, d)))
+    return planning.steps_of(_once(_queries(spark, d), "by_k", lambda q: planning.select_greedy(q, _vectors(spark, d), _tp(spark, d))))
 
 
 @query
 def plan_hybrid(spark, d):
-    q, e = _queries(spark, d), _edges(spark, d)
-    return planning.steps_of(planning.hybrid(q, _vectors(spark, d), e, _positions(spark, d), bridges=False))
+    v, e, at = _vectors(spark, d), _edges(spark, d), _positions(spark, d)
+    return planning.steps_of(_once(_queries(spark, d), "by_k", lambda q: planning.hybrid(q, v, e, at, bridges=False)))
 
 
 @query
 def plan_hybrid_bridged(spark, d):
     """On the pruned graph, whose induced subgraphs fall apart."""
-    q, e = _all_queries(spark, d), graph.pruned(_edges(spark, d), 2.0, 0.01)
-    return planning.steps_of(planning.hybrid(q, _vectors(spark, d), e, _positions(spark, d), keep=working(spark, "bridges")))
+    v, e, at = _vectors(spark, d), graph.pruned(_edges(spark, d), 2.0, 0.01), _positions(spark, d)
+    return planning.steps_of(_once(_queries(spark, d), "by_k", lambda q: planning.hybrid(q, v, e, at, keep=working(spark, "bridges"))))
 
 
 @query
 def plan_hybrid_scaled(spark, d):
     """With neighbour-averaged vectors' similarities as link scores, scaled within each query."""
-    hybrid = planning.hybrid(_all_queries(spark, d), _vectors(spark, d), _learned(spark, d), _positions(spark, d), bridges=False, normalise=True)
-    return planning.steps_of(hybrid)
+    v, links, at = _vectors(spark, d), _learned(spark, d), _positions(spark, d)
+    return planning.steps_of(_once(_queries(spark, d), "by_k", lambda q: planning.hybrid(q, v, links, at, bridges=False, normalise=True)))
 
 
 @query
 def plan_beam(spark, d):
-    plans = planning.beam(_queries(spark, d), _vectors(spark, d), _edges(spark, d))
+    plans = _once(_queries(spark, d), "by_vec", lambda q: planning.beam(q, _vectors(spark, d), _edges(spark, d)))
     return _six(plans.select("query_id", "rank", F.array_join("seq", ">").alias("seq"), "score"))
 
 
 @query
 def plan_beam_scaled(spark, d):
-    plans = planning.beam(_all_queries(spark, d), _vectors(spark, d), _edges(spark, d), target=3, normalise=True)
+    plans = _once(_queries(spark, d), "by_vec", lambda q: planning.beam(q, _vectors(spark, d), _edges(spark, d), target=3, normalise=True))
     return _six(plans.select("query_id", "rank", F.array_join("seq", ">").alias("seq"), "score"))
 
 
@@ -476,25 +484,28 @@ def plan_beam_scaled(spark, d):
 def plan_hierarchical(spark, d):
     v, t = _vectors(spark, d), _t1(spark, d)
     meta = graph.meta_graph(_edges(spark, d), v)
-    return _six(planning.hierarchical(_queries(spark, d), v, graph.centroids(t, v), meta, _positions(spark, d)))
+    made = lambda q: planning.hierarchical(q, v, graph.centroids(t, v), meta, _positions(spark, d))
+    return _six(_once(_queries(spark, d), "by_vec", made))
 
 
 @query
 def plan_best_first(spark, d):
-    return planning.steps_of(planning.best_first(_all_queries(spark, d), _vectors(spark, d), graph.top_neighbours(_edges(spark, d))))
+    e = graph.top_neighbours(_edges(spark, d))
+    return planning.steps_of(_once(_queries(spark, d), "by_vec", lambda q: planning.best_first(q, _vectors(spark, d), e)))
 
 
 @query
 def random_graph_baseline(spark, d):
-    return planning.steps_of(planning.best_first(_all_queries(spark, d), _vectors(spark, d), planning.random_graph(graph.pruned(_edges(spark, d)))))
+    e = planning.random_graph(graph.pruned(_edges(spark, d)))
+    return planning.steps_of(_once(_queries(spark, d), "by_vec", lambda q: planning.best_first(q, _vectors(spark, d), e)))
 
 
 @query
 def plan_fallback(spark, d):
     """Beams of the pruned graph; queries whose entries it lacks fall back to similarity."""
-    q, v = _all_queries(spark, d), _vectors(spark, d)
-    plans = planning.beam(q, v, graph.pruned(_edges(spark, d))).where("rank = 0 AND size(seq) > 1").select("query_id", "seq")
-    return planning.with_fallback(plans, q, v).select("query_id", F.array_join("seq", ">").alias("seq"), "fallback")
+    q, v = _queries(spark, d), _vectors(spark, d)
+    beams = lambda q: planning.beam(q, v, graph.pruned(_edges(spark, d))).where("rank = 0 AND size(seq) > 1").select("query_id", "seq")
+    return _once(q, "by_k", lambda q: planning.with_fallback(beams(q), q, v)).select("query_id", F.array_join("seq", ">").alias("seq"), "fallback")
 
 
 @query
@@ -618,7 +629,9 @@ def first_tool_table(spark, d):
 def fixed_k_table(spark, d):
     """Similarity retrieval with three fixed numbers of tools and the query's own."""
     q, v = _queries(spark, d), _vectors(spark, d)
-    top = retrieval.ranked(retrieval.similarities(q, v)).join(q.select("query_id", "k", "truth"), "query_id").where("rank < greatest(k, 8)")
+    most = max(8, retrieval.largest(q, F.col("k")))
+    near = _once(q, "by_vec", lambda q: retrieval.ranked(retrieval.similarities(q, v, most)))
+    top = near.join(q.select("query_id", "k", "truth"), "query_id").where("rank < greatest(k, 8)")
     out = None
     for name, k in (("3", F.lit(3)), ("5", F.lit(5)), ("8", F.lit(8)), ("oracle", F.col("k"))):
         seqs = top.where(F.col("rank") < k).groupBy("query_id", "truth").agg(F.array_sort(F.collect_list(F.struct("rank", "tool"))).alias("s"))
@@ -662,11 +675,11 @@ def alpha_best(spark, d):
 @query
 def beam_parameter_search(spark, d):
     """Mean of F1 + 0.5 LCS recall + 0.3 ordered precision of beams of three widths and two lengths."""
-    q, v, e = _all_queries(spark, d), _vectors(spark, d), _edges(spark, d)
+    q, v, e = _queries(spark, d), _vectors(spark, d), _edges(spark, d)
     g, out = q.select("query_id", F.col("truth").alias("g")), None
     for width in (2, 5):
         for target in (3, 4):
-            part = planning.beam(q, v, e, target=target, width=width).where("rank = 0")
+            part = _once(q, "by_vec", lambda q, t=target, w=width: planning.beam(q, v, e, target=t, width=w).where("rank = 0"))
             part = part.select("query_id", F.lit(width).alias("width"), F.lit(target).alias("target"), F.col("seq").alias("p"))
             out = part if out is None else out.unionByName(part)
     p, t = F.col("p"), F.col("g")
@@ -699,7 +712,7 @@ def invariant_set_integrity(spark, d):
 def invariant_parity(spark, d):
     """Sorted selection is the retrieval itself: rows in which they differ."""
     a = planning.steps_of(ordering.by_similarity(_selected(spark, d)))
-    b = retrieval.top_k(_queries(spark, d), _vectors(spark, d)).select("query_id", F.col("rank").alias("step"), "tool")
+    b = _top_k(spark, d).select("query_id", F.col("rank").alias("step"), "tool")
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("violations"))
 
 

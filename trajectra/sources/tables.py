@@ -52,24 +52,7 @@ def tool_vectors(steps: DataFrame, embeddings: DataFrame) -> DataFrame:
     return tools.join(e, "vec_id").select("tool", "vec", "community")
 
 
-def queries(steps: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(query_id, task_id, vec, truth, k): the n-th task, with the n-th vector as the encoding of its text.
-
-    Tasks beyond the number of vectors are left out, as in the SQL; `all_queries` has them all.
-    """
-    tasks = steps.select("task_id").distinct()
-    # ordinals are dense: only as many tasks as there are vectors are looked at
-    firsts = tasks.orderBy("task_id").limit(embeddings.count())
-    numbered = firsts.withColumn("query_id", F.row_number().over(Window.orderBy("task_id")).cast("long") - 1)
-    truth = sequences(steps.join(numbered.select("task_id"), "task_id", "left_semi"))
-    e = embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return (
-        numbered.join(e, "query_id").join(truth, "task_id")
-        .select("query_id", "task_id", "vec", F.col("seq").alias("truth"), F.greatest("num_steps", F.lit(3)).alias("k"))
-    )
-
-
-def all_queries(steps: DataFrame, embeddings: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def queries(steps: DataFrame, embeddings: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(query_id, task_id, vec, truth, k): every task, the n-th with the vector of n modulo their number.
 
     Tasks are numbered by ranges, so no task of Spark's sees them all; keep(df, name) writes the ranges once.
