@@ -201,24 +201,25 @@ def _pairwise(mask: tuple[int, ...]) -> str:
 
 
 def _beam(target: int = 4, width: int = 5) -> dict[str, str]:
-    """The levels of a beam search, unrolled."""
+    """The levels of a beam search, unrolled, once for each vector (as query_id, until the end)."""
     parts = {
         "nbr": "SELECT src, dst, transition_prob FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS n FROM edges) WHERE n <= 30",
-        "live0": "SELECT query_id, [tool] AS path, [community] AS comms, sim AS cum FROM ranked JOIN comm USING (tool) WHERE rank < 5",
+        "live0": "SELECT query_id, [tool] AS path, [community] AS comms, sim AS cum FROM (SELECT vi AS query_id, tool, sim, rank FROM near_) JOIN comm USING (tool) WHERE rank < 5",
     }
     ended = []
     for i in range(1, target):
         parts[f"grown{i}"] = f"""SELECT b.query_id, path, comms, cum, dst, community, 0.4::DOUBLE * transition_prob + 0.4::DOUBLE * sim
             + 0.2::DOUBLE * (1 - len(list_filter(comms, lambda z: z = community)) / len(path)) AS s
-            FROM live{i - 1} b JOIN nbr ON src = path[len(path)] AND NOT list_contains(path, dst) JOIN sims s ON s.query_id = b.query_id AND s.tool = dst JOIN comm m ON m.tool = dst"""
+            FROM live{i - 1} b JOIN nbr ON src = path[len(path)] AND NOT list_contains(path, dst) JOIN near_ s ON s.vi = b.query_id AND s.tool = dst JOIN comm m ON m.tool = dst"""
         parts[f"ended{i}"] = f"""SELECT b.query_id, b.path, b.cum FROM live{i - 1} b LEFT JOIN (SELECT query_id, path, max(s) AS m FROM grown{i} GROUP BY ALL) g
             ON g.query_id = b.query_id AND g.path = b.path WHERE coalesce(m, 0) < 0.05"""
         parts[f"live{i}"] = f"""SELECT query_id, path, comms, cum FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cum, 9) DESC, path) AS n FROM
             (SELECT query_id, list_append(path, dst) AS path, list_append(comms, community) AS comms, cum + s AS cum FROM grown{i})) WHERE n <= {width}"""
         ended.append(f"SELECT query_id, path, cum FROM ended{i}")
     final = " UNION ALL ".join([*ended, f"SELECT query_id, path, cum FROM live{target - 1}"])
-    parts["plans"] = f"""SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) - 1)::INT AS rank, path AS seq, score FROM
+    parts["of_vector"] = f"""SELECT query_id AS vi, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) - 1)::INT AS rank, path AS seq, score FROM
         (SELECT query_id, path, max(cum / len(path)) AS score FROM ({final}) GROUP BY ALL)"""
+    parts["plans"] = "SELECT q.query_id, rank, seq, score FROM of_vector JOIN q USING (vi)"
     return parts
 
 
