@@ -149,3 +149,28 @@ def test_bridges_of_any_length(spark):
     ends = spark.createDataFrame([("a", "c"), ("a", "z"), ("q", "a")], "src string, dst string")
     assert [tuple(r) for r in graph.paths_between(ring, ends, working(spark, "test")).collect()] == [("a", "c", ["a", "b", "c"])]
     assert planning.with_bridges(cands.where("tool <> 'far'"), edges, q, vectors, working(spark, "test")).count() == len(chain)
+
+
+def test_grow_takes_the_best_of_all_tools():
+    import random
+
+    rng = random.Random(4)
+    tools = [f"t{i:02d}" for i in range(40)]
+    for _ in range(30):
+        sims = {t: round(rng.uniform(-1, 1), 2) for t in tools}
+        links = {t: [(u, rng.random()) for u in rng.sample(tools, 6) if u != t] for t in tools}
+        order, chosen = sorted(tools, key=lambda t: (-sims[t], t)), []
+        weight = {(a, b): w for a, out in links.items() for b, w in out}
+        while len(chosen) < 7:
+            value = lambda t: 0.5 * max((weight.get((c, t), 0.0) for c in chosen), default=0.0) + 0.5 * sims[t]
+            left = [t for t in order if t not in chosen]
+            chosen.append(left[0] if not chosen else min(left, key=lambda t: (-round(value(t), 9), order.index(t))))
+        assert planning.grow(sims, links, 7, 0.5) == chosen
+
+
+def test_json_object_is_one_document(spark, tmp_path):
+    import json
+
+    path = f"{tmp_path}/object"
+    sinks.json_object(spark.createDataFrame([("b", 2), ("a", 1), (None, 3)], "k string, v int").repartition(3), "k", "v", path)
+    assert json.loads("".join(r.value for r in spark.read.text(path).collect())) == {"a": 1, "b": 2}

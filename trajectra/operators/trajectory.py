@@ -116,8 +116,9 @@ def length_stats(seqs: DataFrame) -> DataFrame:
     b = seqs.withColumn("bucket", text.length_bucket(F.col("num_steps")))
     return b.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.avg("num_steps").alias("mean_len"), F.percentile("num_steps", F.lit(0.5)).alias("median_len"),
-        F.percentile("num_steps", F.lit(0.5)).alias("_m"), F.min("num_steps").alias("min_len"), F.max("num_steps").alias("max_len"),
-    ).drop("_m")
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY num_steps DESC)").cast("double").alias("upper_median_len"),
+        F.min("num_steps").alias("min_len"), F.max("num_steps").alias("max_len"),
+    )
 
 
 def length_histogram(seqs: DataFrame, most: int = 50) -> DataFrame:

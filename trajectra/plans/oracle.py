@@ -250,7 +250,7 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY tool""",
     "length_stats": _with(
         "SELECT bucket, count(*) AS n, round(avg(num_steps), 6) AS mean_len, round(quantile_cont(num_steps::DOUBLE, 0.5), 6) AS median_len,"
-        " min(num_steps) AS min_len, max(num_steps) AS max_len FROM sized GROUP BY bucket"
+        " list_sort(list(num_steps))[count(*) // 2 + 1]::DOUBLE AS upper_median_len, min(num_steps) AS min_len, max(num_steps) AS max_len FROM sized GROUP BY bucket"
     ),
     "length_hist": _with("SELECT least(num_steps, 50) AS num_steps, count(*) AS n FROM seqs GROUP BY 1"),
     "split_stratified": _with("SELECT bucket, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test FROM splits GROUP BY bucket"),

@@ -184,7 +184,7 @@ def turn_lookahead(spark, d):
 
 @query
 def conversation_success(spark, d):
-    """Per conversation: whether its last assistant turn ends in a full stop, and its share over all."""
+    """Per conversation: its assistant turns, and whether the last one ends in a full stop."""
     c = tables.table(spark, d, "conversations").where("role = 'assistant'")
     last = c.groupBy("conv_id").agg(F.max_by("text", F.struct("turn", "text")).alias("t"), F.count(F.lit(1)).alias("n_turns"))
     return last.select("conv_id", "n_turns", F.coalesce(F.col("t").endswith("."), F.lit(False)).alias("ended"))
@@ -405,8 +405,10 @@ def weak_components(spark, d):
 @query
 def louvain_communities(spark, d):
     """Communities of the pruned event graph, small enough for the driver by its vocabulary of 50 tools."""
-    e = graph.undirected(_event_edges(spark, d)).orderBy("u", "v").limit(1_000_000)
-    found = graph.louvain([(r["u"], r["v"], r["weight"]) for r in e.collect()])
+    e = graph.undirected(_event_edges(spark, d)).limit(planning.MAX_EDGES + 1).collect()
+    if len(e) > planning.MAX_EDGES:
+        raise ValueError(f"these communities take a graph of at most {planning.MAX_EDGES} edges; use label propagation")
+    found = graph.louvain(sorted((r["u"], r["v"], r["weight"]) for r in e))
     return spark.createDataFrame(sorted(found.items()), "tool string, community int")
 
 

@@ -21,9 +21,10 @@ def csv(df: DataFrame, path: str, order: list, decimals: dict[str, int] | None =
 
 
 def json_object(df: DataFrame, key: str, value: str, path: str, mode: str = "errorifexists") -> None:
-    """Rows (key, value) as one JSON object a partition of keys."""
-    one = df.select(F.to_json(F.create_map(F.col(key), F.col(value))).alias("value"))
-    one.write.mode(mode).text(path)
+    """Rows (key, value) as one JSON object in one file, keys in order; for maps that fit a row, such as registries."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+    one = df.where(F.col(key).isNotNull()).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    one.coalesce(1).write.mode(mode).text(path)
 
 
 def report(df: DataFrame, title: str, columns: list[str], rows: int = 100) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ def working(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFr
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="trajectra-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/trajectra-work"
     root = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def keep(df: DataFrame, step: str) -> DataFrame:
