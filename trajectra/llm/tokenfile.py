@@ -98,12 +98,13 @@ def unpack(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every text and write the blocks in ascending doc_id order.
 
-    One shuffle deals documents by ranges of doc_id and text, so that one id, or none at all, may have any number
-    of them; each range is encoded as it streams by.
+    One shuffle deals documents by ranges of doc_id and the first characters of the text, so that one id, or none at
+    all, may have any number of them; ranges are found on a sample of these short keys, and each is encoded as it
+    streams by.
     """
     ordered = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(max(common.partitions(docs.sparkSession), 1), "doc_id", "text")
+        .repartitionByRange(max(common.partitions(docs.sparkSession), 1), "doc_id", F.substring("text", 1, 32))
         .sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     )
 
