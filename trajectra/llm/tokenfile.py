@@ -33,6 +33,8 @@ END_ID = 2
 #: A block is closed at so many tokens; a longer document makes a block of its own.
 BLOCK_TOKENS = 1_000_000
 _MAGIC = 0x31544B54
+#: Ids below this are counted without sorting them.
+_DENSE = 1 << 22
 #: Bytes of the four ranks of each control byte, and their sum.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _BLOCK = "part int, block int, first_token long, n_tokens long, payload binary"
@@ -40,17 +42,32 @@ _BLOCK = "part int, block int, first_token long, n_tokens long, payload binary"
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """The rank table and the control and data bytes of ids."""
-    found, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    top = int(ids.max(initial=0))
+    if top < _DENSE:  # counted in an array of all ids; else by sorting
+        counts = np.bincount(ids, minlength=top + 1)
+        found = np.flatnonzero(counts)
+        counts = counts[found]
+    else:
+        found, counts = np.unique(ids, return_counts=True)
     order = np.lexsort((found, -counts))
     rank = np.empty(len(found), np.uint32)
     rank[order] = np.arange(len(found), dtype=np.uint32)
-    codes = rank[back]
-    size = 1 + (codes > 0xFF) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
+    if top < _DENSE:
+        of = np.zeros(top + 1, np.uint32)
+        of[found] = rank
+        codes = of[ids]
+    else:
+        codes = rank[np.searchsorted(found, ids)]
+    size = (1 + (codes > 0xFF) + (codes > 0xFFFF) + (codes > 0xFFFFFF)).astype(np.uint8)
     bits = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
     bits[: len(codes)] = size - 1
     control = (bits.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return found[order].astype("<u4"), control.tobytes() + raw[np.arange(4) < size[:, None]].tobytes()
+    ends = np.cumsum(size, dtype=np.int64)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        some = np.flatnonzero(size > k)
+        data[ends[some] - size[some] + k] = codes[some] >> np.uint32(8 * k)
+    return found[order].astype("<u4"), control.tobytes() + data.tobytes()
 
 
 def decode_ids(table: np.ndarray, coded: bytes, n: int) -> np.ndarray:
