@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajectra import plans
-from trajectra.functions import text
-from trajectra.operators import graph, ordering, planning, retrieval, training, trajectory
+from trajectra.functions import metrics, text
+from trajectra.operators import evaluation, graph, ordering, planning, registered, retrieval, training, trajectory
 from trajectra.sources import readers, sinks, tables
 from trajectra.sources.working import working
 
@@ -174,3 +174,89 @@ def test_json_object_is_one_document(spark, tmp_path):
     path = f"{tmp_path}/object"
     sinks.json_object(spark.createDataFrame([("b", 2), ("a", 1), (None, 3)], "k string, v int").repartition(3), "k", "v", path)
     assert json.loads("".join(r.value for r in spark.read.text(path).collect())) == {"a": 1, "b": 2}
+
+
+def test_similar_examples(spark):
+    """Examples are different, of neighbouring lengths, or of any length if there are none."""
+    pool = spark.createDataFrame([(i, 2 + i % 3) for i in range(30)], "task_id long, num_steps int")
+    targets = spark.createDataFrame([(100, 2), (101, 4), (102, 9)], "task_id long, num_steps int")
+    found = trajectory.similar_examples(targets, pool, 4).collect()
+    assert len(found) == 12
+    for task, allowed in ((100, {2, 3}), (101, {3, 4}), (102, {2, 3, 4})):
+        mine = [r.example for r in found if r.task_id == task]
+        assert len(set(mine)) == 4 and {2 + x % 3 for x in mine} <= allowed
+    few = trajectory.similar_examples(targets, pool.where("task_id < 2"), 4).groupBy("task_id").count().collect()
+    assert {r.task_id: r["count"] for r in few} == {100: 2, 101: 1, 102: 2}
+    assert trajectory.similar_examples(targets, pool.where("false")).count() == 0
+
+
+def test_non_edges(spark):
+    nodes = spark.createDataFrame([(f"t{i}",) for i in range(20)], "tool string")
+    edges = spark.createDataFrame([(f"t{i}", f"t{(i + 1) % 20}") for i in range(20)], "src string, dst string")
+    drawn = [tuple(r) for r in graph.non_edges(nodes, edges).collect()]
+    assert 10 < len(drawn) == len(set(drawn)) <= 20
+    assert not {tuple(r) for r in edges.collect()} & set(drawn) and all(a != b for a, b in drawn)
+
+
+def test_plan_by_learned_scores(spark):
+    """The chain of greatest scores from the most similar tool on, against a plain loop."""
+    names = "abcdef"
+    vectors = spark.createDataFrame([(t, [1.0 - 0.1 * i, 0.1 * i]) for i, t in enumerate(names)], "tool string, vec array<double>")
+    score = {(a, b): ((i * 7 + j * 5) % 11) / 11 for i, a in enumerate(names) for j, b in enumerate(names) if a != b}
+    learned = spark.createDataFrame([(a, b, w) for (a, b), w in score.items()], "src string, dst string, weight double")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [0.0, 1.0], 3)], "query_id long, vec array<double>, k int")
+    found = {r.query_id: list(r.seq) for r in planning.by_learned(queries, vectors, learned, 4, 1).collect()}
+    for q, pool in ((1, "abcdef"), (2, "fedcba")):
+        seq, left = [pool[0]], list(pool[1:])
+        while len(seq) < 4:
+            best = max(left, key=lambda t: score[seq[-1], t])
+            seq.append(best)
+            left.remove(best)
+        assert found[q] == seq
+
+
+def test_registered_functions(spark):
+    """The SQL functions give what the column functions give, and the table function what the search gives."""
+    rows = [(1, "abc", "abd"), (2, "cba", "abc"), (3, "", "ab"), (4, None, "ab"), (5, "ab", ""), (6, "abab", "baab"), (7, "xyabz", "abz"), (8, None, None)]
+    rows = [(i, None if p is None else list(p), None if g is None else list(g)) for i, p, g in rows]
+    df = spark.createDataFrame(rows, "i int, p array<string>, g array<string>")
+    df.createOrReplaceTempView("some_predictions")
+    assert set(registered.FUNCTIONS) < set(registered.register(spark))
+    none = F.array().cast("array<string>")
+    same = {
+        "seq_precision_at_k": metrics.precision_at, "seq_recall_at_k": metrics.recall_at, "seq_hit_rate": metrics.hit_rate, "seq_jaccard": metrics.jaccard,
+        "seq_set_precision": metrics.set_precision, "seq_set_recall": metrics.set_recall, "seq_set_f1": metrics.set_f1, "seq_lcs": metrics.lcs,
+        "seq_lcs_recall": metrics.lcs_recall, "seq_ordered_overlap": metrics.ordered_overlap, "seq_ordered_precision": metrics.ordered_precision,
+        "seq_first_accuracy": metrics.first_accuracy,
+    }
+    assert same.keys() == registered.FUNCTIONS.keys()
+    got = spark.sql(f"SELECT {', '.join(f'{n}(p, g) AS {n}' for n in same)} FROM some_predictions ORDER BY i").collect()
+    base = df.select("i", F.coalesce("p", none).alias("p"), F.coalesce("g", none).alias("g")).orderBy("i")
+    for a, b in zip(got, base.select(*[f(F.col("p"), F.col("g")).alias(n) for n, f in same.items()]).collect(), strict=True):
+        assert a.asDict() == pytest.approx(b.asDict(), abs=1e-12)
+    found = spark.sql(
+        "SELECT s.* FROM (SELECT array(named_struct('src', 'a', 'dst', 'b', 'weight', 0.9D), named_struct('src', 'b', 'dst', 'c', 'weight', 0.8D)) AS e,"
+        " map('a', 0.9D, 'b', 0.5D, 'c', 0.4D) AS m), LATERAL seq_best_first(e, m, array('a'), 3) s"
+    ).collect()
+    assert [r.tool for r in found] == planning.search({"a": [("b", 0.9)], "b": [("c", 0.8)]}, {"a": 0.9, "b": 0.5, "c": 0.4}, ["a"], 3)
+
+
+def test_matched_names_and_lengths(spark):
+    lists = spark.createDataFrame([(1, ["x", "b", "A", "B", "c"]), (2, []), (3, None)], "key int, names array<string>")
+    tools = spark.createDataFrame([("a",), ("B",), ("c",), ("C",)], "tool string")
+    found = evaluation.matched_names(lists, tools, 2).orderBy("rank").collect()
+    assert [tuple(r) for r in found] == [(1, 0, "B"), (1, 1, "a")]
+    preds = spark.createDataFrame([(1, "m", ["a"], None), (2, "m", [], ["a", "b"])], "query_id int, method string, p array<string>, g array<string>")
+    assert [tuple(r)[2:] for r in evaluation.lengths(preds).orderBy("query_id").collect()] == [(1, 0), (0, 2)]
+
+
+def test_result_files(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("method,F1\nbeam,0.5\nhybrid,bad\n")
+    found = readers.results(spark, str(tmp_path / "one.csv"), "method string, f1 double, tau double").collect()
+    assert [tuple(r) for r in found] == [("beam", 0.5, None), ("hybrid", None, None)]
+    import os
+
+    os.utime(tmp_path / "one.csv", (1_000_000, 1_000_000))
+    (tmp_path / "two.csv").write_text("method\n")
+    names = [r.path.rsplit("/", 1)[-1] for r in readers.newest(spark, str(tmp_path), "*.csv").collect()]
+    assert names == ["two.csv", "one.csv"]

@@ -118,3 +118,29 @@ def link_scores(rows: DataFrame, score: str, label: str) -> DataFrame:
         F.coalesce(F.try_divide("_ap", "_p"), F.lit(0.0)).alias("average_precision"),
         F.coalesce(F.try_divide(2 * F.col("_hit"), F.col("_said") + F.col("_p")), F.lit(0.0)).alias("f1"),
     )
+
+
+def delta_table(rows: DataFrame, old: str, new: str, values: list[str]) -> DataFrame:
+    """(metric, old, new, delta): means of two methods, a row for each metric."""
+    means_ = rows.where(F.col("method").isin(old, new)).groupBy("method").agg(*[F.avg(v).alias(v) for v in values])
+    long = means_.unpivot("method", values, "metric", "value")
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("value")))
+    return long.groupBy("metric").agg(of(old).alias("old"), of(new).alias("new")).withColumn("delta", F.col("new") - F.col("old"))
+
+
+def lengths(predictions: DataFrame) -> DataFrame:
+    """(query_id, method, pred_len, gt_len); null arrays count as empty."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return predictions.select("query_id", "method", F.greatest(size("p"), F.lit(0)).alias("pred_len"), F.greatest(size("g"), F.lit(0)).alias("gt_len"))
+
+
+def matched_names(lists: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
+    """(key, rank, tool): the first k names of each list (key, names) that the vocabulary (tool) has, whatever their case.
+
+    Of tools that differ in case only, the least is taken.
+    """
+    known = vocabulary.groupBy(F.lower("tool").alias("_name")).agg(F.min("tool").alias("tool"))
+    named = lists.select("key", F.posexplode("names").alias("_at", "_n")).withColumn("_name", F.lower("_n")).join(known, "_name")
+    first = named.groupBy("key", "tool").agg(F.min("_at").alias("_at"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("_at")) - 1
+    return first.withColumn("rank", rank).where(F.col("rank") < k).select("key", "rank", "tool")

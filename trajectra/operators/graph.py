@@ -314,3 +314,41 @@ def topological_order(edges: DataFrame, rounds: int = 32) -> DataFrame:
         if not left.limit(1).count() or not ready.limit(1).count():
             break
     return out.unionByName(left.withColumn("layer", F.lit(None).cast("int")))
+
+
+def largest_communities(communities: DataFrame, top: int = 40) -> DataFrame:
+    """(community, size) of the `top` communities with the most tools; ties by community."""
+    return communities.groupBy("community").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "community").limit(top)
+
+
+def community_flow(edges: DataFrame, communities: DataFrame, top: int = 10, least: float = 1.0) -> DataFrame:
+    """(c1, c2, weight): sums of weights from c1 to c2 among the `top` largest communities, if of at least `least`."""
+    c = communities.join(largest_communities(communities, top), "community").select("tool", "community")
+    a, b = c.select(F.col("tool").alias("src"), F.col("community").alias("c1")), c.select(F.col("tool").alias("dst"), F.col("community").alias("c2"))
+    sums = edges.join(a, "src").join(b, "dst").where("c1 <> c2").groupBy("c1", "c2").agg(F.sum("weight").alias("weight"))
+    return sums.where(F.round("weight", 9) >= least)
+
+
+def non_edges(nodes: DataFrame, edges: DataFrame, draws: int = 3, seed: str = "42") -> DataFrame:
+    """(src, dst): for each edge the first of `draws` random pairs of different nodes that is no edge, if one is; each pair once.
+
+    Draws are by md5 of the edge, so no list of all pairs is made.
+    """
+    numbered = nodes.select("tool", (F.row_number().over(Window.orderBy("tool")) - 1).cast("long").alias("_i"))
+    total = nodes.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    number = lambda end: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_s", "_d", F.col("_j").cast("string"), F.lit(end))), 1, 8), 16, 10).cast("long") % F.col("_total")
+    drawn = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_j"))
+    drawn = drawn.crossJoin(total).withColumns({"_u": number("u"), "_v": number("v")}).where("_u <> _v")
+    ends = lambda n: numbered.select(F.col("tool").alias(n), F.col("_i").alias(f"_{n}"))
+    pairs = drawn.join(ends("src"), F.col("_u") == F.col("_src")).join(ends("dst"), F.col("_v") == F.col("_dst"))
+    free = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return free.groupBy("_s", "_d").agg(F.min_by(F.struct("src", "dst"), "_j").alias("p")).select("p.*").distinct()
+
+
+def score_histogram(parts: dict[str, DataFrame], bins: int = 20) -> DataFrame:
+    """(kind, bin, n): counts of `score` by kind, in bins of 1 / bins from 0 on."""
+    out = None
+    for kind, rows in parts.items():
+        one = rows.select(F.lit(kind).alias("kind"), F.floor(F.round("score", 9) * bins).alias("bin"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -341,6 +341,13 @@ def with_fallback(plans: DataFrame, queries: DataFrame, vectors: DataFrame) -> D
     )
 
 
+def by_learned(queries: DataFrame, vectors: DataFrame, learned: DataFrame, target: int = 4, times: int = 3) -> DataFrame:
+    """(query_id, seq): of the `times` * target most similar tools, from the best one on, the one with the greatest learned score."""
+    links = learned.select("src", "dst", F.col("weight").alias("w"))
+    rows = linked(candidates(queries, vectors, F.lit(max(target + 2, times * target))), links)
+    return named(greedy(rows, lambda x, acc: F.get(x["into"], _last(acc)), F.lit(target - 1)))
+
+
 def plan(method: str, **inputs) -> DataFrame:
     """One planner by name: best_first (dijkstra), beam, hierarchical (hier), hybrid or greedy."""
     named_as = {"dijkstra": best_first, "best_first": best_first, "beam": beam, "hierarchical": hierarchical, "hier": hierarchical, "hybrid": hybrid, "greedy": select_greedy}

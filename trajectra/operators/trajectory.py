@@ -178,3 +178,27 @@ def lookahead(turns: DataFrame) -> DataFrame:
     return turns.select(
         "conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.coalesce(F.char_length(F.lead("text").over(w)), F.lit(0)).alias("next_len")
     )
+
+
+def similar_examples(targets: DataFrame, pool: DataFrame, size: int = 3, within: int = 1, seed: str = "42") -> DataFrame:
+    """(task_id, place, example): `size` different tasks of the pool (fewer, if it has fewer) for each target.
+
+    They come from those whose num_steps differs by at most `within`; if there are none, from the whole pool. The pool is
+    numbered by length and a hash, so those of neighbouring lengths are a range of numbers, and no task numbers a whole length.
+    """
+    cell = F.substring(F.md5(F.col("task_id").cast("string")), 1, 2)
+    p = pool.select(F.col("task_id").alias("example"), F.col("num_steps").alias("_len"), cell.alias("_cell"))
+    sizes = p.groupBy("_len", "_cell").agg(F.count(F.lit(1)).alias("_n"))  # 256 rows a length
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_len", "_cell")) - F.col("_n"))
+    nth = F.row_number().over(Window.partitionBy("_len", "_cell").orderBy("example")) - 1
+    numbered = p.withColumn("_nth", nth).join(starts, ["_len", "_cell"]).select("example", (F.col("_start") + F.col("_nth")).alias("_i"))
+    lengths = starts.groupBy("_len").agg(F.min("_start").alias("_from"), F.sum("_n").alias("_n"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))  # one row
+    near = targets.select("num_steps").distinct().withColumn("_len", F.explode(F.sequence(F.col("num_steps") - within, F.col("num_steps") + within)))
+    span = near.join(lengths, "_len").groupBy("num_steps").agg(F.min("_from").alias("_from"), F.sum("_n").alias("_n"))
+    t = targets.select("task_id", "num_steps").join(span, "num_steps", "left").crossJoin(total)
+    t = t.select("task_id", F.coalesce("_from", F.lit(0)).alias("_from"), F.coalesce("_n", "_total").alias("_n")).where("_n > 0")
+    first = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("task_id").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n")
+    drawn = t.withColumn("_first", first).withColumn("place", F.explode(F.sequence(F.lit(0), (F.least(F.lit(size), "_n") - 1).cast("int"))))
+    drawn = drawn.withColumn("_i", F.col("_from") + (F.col("_first") + F.col("place")) % F.col("_n"))
+    return drawn.join(numbered, "_i").select("task_id", "place", "example")

@@ -417,3 +417,49 @@ _SWEEP["m"] = _measured("swept", ["ordered_precision"])
 _SWEEP["means"] = "SELECT method::DOUBLE AS alpha, avg(ordered_precision) AS ordered_precision FROM m GROUP BY method"
 ORACLE_SQL["alpha_sweep"] = _with("SELECT alpha, round(ordered_precision, 6) AS ordered_precision FROM means", **_SWEEP)
 ORACLE_SQL["alpha_best"] = _with("SELECT alpha, round(ordered_precision, 6) AS ordered_precision FROM (SELECT * FROM means ORDER BY round(means.ordered_precision, 9) DESC, alpha LIMIT 1)", **_SWEEP)
+
+_MEANS = "SELECT method, {} FROM measured WHERE method IN ('semantic', 'semantic_links') GROUP BY method"
+ORACLE_SQL |= {
+    "largest_communities": _with("SELECT community, count(*) AS size FROM comm GROUP BY community ORDER BY size DESC, community LIMIT 40"),
+    "community_flow": _with(
+        "SELECT a.community AS c1, b.community AS c2, round(sum(weight), 6) AS weight FROM edges JOIN large a ON a.tool = src JOIN large b ON b.tool = dst"
+        " WHERE a.community <> b.community GROUP BY 1, 2 HAVING round(sum(weight), 9) >= 1",
+        large="SELECT tool, community FROM comm WHERE community IN (SELECT community FROM comm GROUP BY community ORDER BY count(*) DESC, community LIMIT 10)",
+    ),
+    "edge_score_hist": _with(
+        "SELECT kind, floor(round(list_inner_product(a.vec, b.vec), 9) * 20)::BIGINT AS bin, count(*) AS n FROM both_ JOIN vectors a ON a.tool = src JOIN vectors b ON b.tool = dst GROUP BY 1, 2",
+        nodes="SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS i, count(*) OVER () AS n FROM vectors",
+        drawn="""SELECT src AS s, dst AS d, j, ('0x' || substr(md5('42:' || src || ':' || dst || ':' || j || ':u'), 1, 8))::BIGINT % n AS u,
+            ('0x' || substr(md5('42:' || src || ':' || dst || ':' || j || ':v'), 1, 8))::BIGINT % n AS v FROM pruned, range(3) t(j), (SELECT max(n) AS n FROM nodes)""",
+        free="""SELECT s, d, j, a.tool AS src, b.tool AS dst FROM drawn JOIN nodes a ON a.i = u JOIN nodes b ON b.i = v
+            WHERE u <> v AND NOT EXISTS (SELECT 1 FROM pruned e WHERE e.src = a.tool AND e.dst = b.tool)""",
+        both_="""SELECT 'edge' AS kind, src, dst FROM pruned UNION ALL SELECT DISTINCT 'none', p.src, p.dst FROM
+            (SELECT arg_min({'src': src, 'dst': dst}, j) AS p FROM free GROUP BY s, d)""",
+    ),
+    "similar_length_pool": _with(
+        "SELECT task_id, place::INT AS place, example FROM picked JOIN pool USING (i)",
+        pool="SELECT task_id AS example, num_steps AS len, row_number() OVER (ORDER BY num_steps, substr(md5(task_id::VARCHAR), 1, 2), task_id) - 1 AS i FROM splits WHERE NOT is_test",
+        spans="SELECT t.num_steps, min(p.i) AS lo, count(p.i) AS n FROM (SELECT DISTINCT num_steps FROM splits WHERE is_test) t LEFT JOIN pool p ON abs(p.len - t.num_steps) <= 1 GROUP BY 1",
+        sized_="""SELECT task_id, coalesce(lo, 0) AS lo, CASE WHEN n = 0 THEN (SELECT count(*) FROM pool) ELSE n END AS n FROM splits JOIN spans USING (num_steps) WHERE is_test""",
+        picked="""SELECT task_id, place, lo + (('0x' || substr(md5('42:' || task_id), 1, 8))::BIGINT % n + place) % n AS i FROM sized_, range(3) t(place) WHERE place < n""",
+    ),
+    "prediction_lengths": _with("SELECT query_id, method, len(p)::INT AS pred_len, len(g)::INT AS gt_len FROM preds"),
+    "delta_table": _with(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS metric, round(a.{c}, 6) AS old, round(b.{c}, 6) AS new, round(b.{c} - a.{c}, 6) AS delta"
+            " FROM (SELECT * FROM both_ WHERE method = 'semantic') a, (SELECT * FROM both_ WHERE method = 'semantic_links') b"
+            for c in MAIN
+        ),
+        both_=_MEANS.format(", ".join(f"avg({c}) AS {c}" for c in MAIN)),
+    ),
+    "merged_tables": _with("SELECT method, bucket, count(*) AS n, round(avg(set_f1), 6) AS set_f1, round(avg(lcs_r), 6) AS lcs_r FROM measured GROUP BY method, bucket"),
+    "success_rate": f"SELECT count(*) AS n, round(avg(ended::INT), 6) AS rate FROM ({ORACLE_SQL['conversation_success']})",
+    "ranked_list_match": """
+        WITH names AS (SELECT lower(p_name) AS name, min(p_name) AS tool FROM part WHERE p_size > 10 GROUP BY 1),
+        lists AS (SELECT p_partkey AS key, unnest([0, 1]) AS place, unnest([lower(p_type), lower(p_name)]) AS name FROM part)
+        SELECT key, (row_number() OVER (PARTITION BY key ORDER BY place) - 1)::INT AS rank, tool FROM lists JOIN names USING (name)""",
+    "registered_metrics": _with(
+        f"SELECT query_id, method, {_six('set_f1 jaccard lcs_r ordered_precision first_tool_acc')} FROM m",
+        m=_measured("preds", ["set_f1", "jaccard", "lcs_r", "ordered_precision", "first_tool_acc"]),
+    ),
+}

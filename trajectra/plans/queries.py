@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, scores, text
-from ..operators import evaluation, graph, ordering, planning, retrieval, training, trajectory
+from ..operators import evaluation, graph, ordering, planning, registered, retrieval, training, trajectory
 from ..sources import tables
 from ..sources.working import working
 from ..streaming import events as stream
@@ -757,3 +757,80 @@ def stream_session_counts(spark, d):
 def stream_transitions(spark, d):
     parts = _drained(spark, stream.transition_parts(stream.read(spark, d)), "append")
     return _six(parts.groupBy("src", "dst").agg(F.sum("count").alias("count")))
+
+
+# -- figure data, tables and registered functions ----------------------------------------------
+
+
+@query
+def largest_communities(spark, d):
+    return graph.largest_communities(_communities(spark, d))
+
+
+@query
+def community_flow(spark, d):
+    return _six(graph.community_flow(_edges(spark, d), _communities(spark, d)))
+
+
+@query
+def edge_score_hist(spark, d):
+    """Similarities of linked tools against those of as many random pairs without a link."""
+    v, e = _vectors(spark, d).select("tool", "vec"), graph.pruned(_edges(spark, d)).select("src", "dst")
+    a, b = v.select(F.col("tool").alias("src"), F.col("vec").alias("_a")), v.select(F.col("tool").alias("dst"), F.col("vec").alias("_b"))
+    scored = lambda pairs: pairs.join(a, "src").join(b, "dst").select(scores.dot(F.col("_a"), F.col("_b")).alias("score"))
+    return graph.score_histogram({"edge": scored(e), "none": scored(graph.non_edges(v, e))})
+
+
+@query
+def similar_length_pool(spark, d):
+    """Three examples of similar length from the training part for each test task."""
+    s = trajectory.split(tables.sequences(_t1(spark, d))).select("task_id", "num_steps", "is_test")
+    return trajectory.similar_examples(s.where("is_test"), s.where("NOT is_test"))
+
+
+@query
+def plan_learned_greedy(spark, d):
+    v, learned = _vectors(spark, d), _learned(spark, d)
+    return planning.steps_of(_once(_queries(spark, d), "by_vec", lambda q: planning.by_learned(q, v, learned)))
+
+
+@query
+def prediction_lengths(spark, d):
+    return evaluation.lengths(_predictions(spark, d))
+
+
+@query
+def delta_table(spark, d):
+    return _six(evaluation.delta_table(_measured(spark, d), "semantic", "semantic_links", VALUES))
+
+
+@query
+def merged_tables(spark, d):
+    """Two result tables by method and length, merged on both."""
+    rows = _measured(spark, d)
+    a, b = evaluation.means(rows, ["method", "bucket"], ["set_f1"]), evaluation.means(rows, ["method", "bucket"], ["lcs_r"]).drop("n")
+    return _six(a.join(b, ["method", "bucket"]))
+
+
+@query
+def success_rate(spark, d):
+    return _six(conversation_success(spark, d).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ended").cast("double")).alias("rate")))
+
+
+@query
+def ranked_list_match(spark, d):
+    """The two first names of a free-text list that are part names of larger parts."""
+    p = tables.table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    raw = F.concat(F.lit("1. "), F.col("p_type"), F.lit("\n2) "), F.initcap("p_name"), F.lit('\n3. "'), F.col("p_name"), F.lit('"'))
+    lists = p.select(F.col("p_partkey").alias("key"), text.ranked_names(raw).alias("names"))
+    return evaluation.matched_names(lists, p.where("p_size > 10").select(F.col("p_name").alias("tool")), 2)
+
+
+@query
+def registered_metrics(spark, d):
+    """Metrics by the functions that are registered for SQL."""
+    registered.register(spark)
+    view = f"predictions_{uuid.uuid4().hex}"
+    _predictions(spark, d).createOrReplaceTempView(view)
+    names = {"seq_set_f1": "set_f1", "seq_jaccard": "jaccard", "seq_lcs_recall": "lcs_r", "seq_ordered_precision": "ordered_precision", "seq_first_accuracy": "first_tool_acc"}
+    return _six(spark.sql(f"SELECT query_id, method, {', '.join(f'{f}(p, g) AS {n}' for f, n in names.items())} FROM {view}"))

@@ -91,3 +91,19 @@ def inspect(spark: SparkSession, path: str) -> dict:
     size = F.size(layouts[layout]) if layout else F.lit(None).cast("int")
     n, mean = rows.agg(F.count(F.lit(1)), F.avg(size)).first()
     return {"layout": layout, "wrapper": wrapper, "schema": rows.schema.treeString(5), "count": n, "mean_length": mean}
+
+
+def newest(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """(path, modified, bytes): files of a folder, those changed last first; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    found = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    return found.orderBy(F.desc("modified"), "path")
+
+
+def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A result file with a header, by the names of its columns: those of the schema that it lacks are null."""
+    there = spark.read.option("header", True).csv(path)
+    names = {c.lower(): c for c in there.columns}
+    wanted = spark.createDataFrame([], schema).schema
+    cast = lambda f: F.expr(f"try_cast(`{names[f.name.lower()]}` AS {f.dataType.simpleString()})") if f.name.lower() in names else F.lit(None).cast(f.dataType)
+    return there.select(*[cast(f).alias(f.name) for f in wanted])
