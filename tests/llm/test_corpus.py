@@ -137,8 +137,8 @@ def test_pieces_of_many_texts():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc, plain, rng = pieces.PieceEncoder(path, limit=200), Tokenizer.from_file(path), np.random.default_rng(3)
-    plain.encode_special_tokens = True
     parts = ["x", " ", "a.", "don't", "\n", "  ", "é", "hello", "12", ",", "", "\t", "漢字", "🙂", "ɐ.", "'s", "<|endoftext|>", "A "]
+    assert enc.encode("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]  # as the library has it by default
     for _ in range(400):
         texts = ["".join(rng.choice(parts) for _ in range(rng.integers(0, 9))) for _ in range(rng.integers(0, 6))]
         want = [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -3,8 +3,9 @@
 A text is cut before a single blank that stands between two characters that are no white space.
 The byte-level pattern never matches across such a place (a match that holds the character before
 cannot go on with a blank, and one that holds the blank begins there), so the ids of a text are
-those of its pieces, one after the other. For the same reason a last full stop or comma after a
-letter stands for itself. The library encodes every different piece once; a worker finds pieces
+those of its pieces, one after the other. A special string inside a text holds no blank, so it
+stays in one piece and gets its own id, as the library does by default. For the same reason a last
+full stop or comma after a letter stands for itself. The library encodes every different piece once; a worker finds pieces
 it has met by a 64-bit hash, up to a limit, then starts anew. The bytes of a piece are compared with
 those it was learned from; a text with a piece that differs goes through the library as it is.
 """
@@ -94,7 +95,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # a character of a byte-level token is a byte
