@@ -89,6 +89,24 @@ def hashed(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.diff(edges)
 
 
+def counts(column: pa.Array, inside: np.ndarray) -> np.ndarray:
+    """The count of each row's words."""
+    raw, at = bytes_of(column)
+    heads, low, last = np.zeros(len(at), np.int64), int(at[0]), int(at[-1])
+    while low < last:  # tiles of TILE bytes; a row's words so far are those that begin before its end
+        high = min(low + TILE, last)
+        word = inside[raw[low:high]]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        first[0] &= low == int(at[0]) or not inside[raw[low - 1]]
+        rows = at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low
+        first[rows] = word[rows]
+        sums = np.r_[0, np.cumsum(first)]
+        heads += sums[np.clip(at - low, 0, high - low)]
+        low = high
+    return np.diff(heads)
+
+
 def slices(columns: list[pa.Array], size: int = 1 << 22) -> list[tuple[int, int]]:
     """Ranges of rows with at most `size` bytes in the string columns, or a single row."""
     ends = sum(bytes_of(c)[1][1:] - bytes_of(c)[1][0] for c in columns)
