@@ -122,15 +122,16 @@ def test_pairs_of_all_own_tools(spark):
     q = spark.createDataFrame([(0, [0.0, 1.0], truth, 5)], "query_id long, vec array<float>, truth array<string>, k int")
     links = spark.createDataFrame([("t001", "t002", 0.5)], "src string, dst string, w double")
     rows = training.pair_rows(planning.linked(planning.own_tools(q, vectors), links), q.select("query_id", "truth")).collect()
-    first = ["t001", "t050", "t002", "t099"]
-    assert {(r.a, r.b): r.label for r in rows} == {(a, b): int(first.index(a) < first.index(b)) for a in first for b in first if a != b}
+    before = {(a, b) for i, a in enumerate(truth) for b in truth[i + 1 :]}  # with (t001, t001), and both orders of t001 and others
+    assert sorted((r.a, r.b, r.label) for r in rows) == sorted([(a, b, 1) for a, b in before] + [(b, a, 0) for a, b in before])
+    assert all(r[i] == 0 for r in rows if r.a == r.b for i in range(4, len(r)))
     frequency = spark.createDataFrame([(n, 1000 - i) for i, n in enumerate(names)], "tool string, frequency long")
     many = retrieval.most_frequent(q.withColumn("k", F.lit(90)), frequency).orderBy("rank").collect()
     assert [r.tool for r in many] == names[:90]
     d = "/root/testdata/sf0.001"
     pairs, tasks = plans.QUERIES["pair_training_rows"](spark, d), tables.sequences(tables.order_steps(spark, d))
-    n = F.size(F.array_distinct("seq"))
-    assert pairs.count() == tasks.agg(F.sum(n * (n - 1))).first()[0]
+    want = sum(2 * len({(a, b) for i, a in enumerate(r.seq) for b in r.seq[i + 1 :]}) for r in tasks.collect())
+    assert pairs.count() == want
 
 
 def test_bridges_of_any_length(spark):

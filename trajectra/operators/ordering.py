@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import planning
+from . import descent, planning
 
 #: Tools up to which all orders are compared; more are ordered greedily.
 CAP = 8
@@ -103,3 +104,22 @@ def by_pairs(rows: DataFrame, weights: tuple[float, ...], mask: tuple[int, ...]
 
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "rank")
     return scored.select("query_id", (F.row_number().over(w) - 1).alias("pos"), "tool", "score")
+
+
+def by_net(rows: DataFrame, fitted) -> DataFrame:
+    """(query_id, pos, tool, score): each tool scores the sum over all others of the trained net's probability that it comes before them."""
+    names = ["sim", "f_rank", *FEATURES[2:]]
+    entry = F.struct("rank", "tool", F.array(*[F.col(n).cast("double") for n in names]).alias("x"))
+    per = features(rows).groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("c"))  # a query's candidates
+
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups:
+            for query_id, c in group.itertuples(index=False):
+                x = np.stack([t["x"] for t in c])
+                n = len(x)
+                p = descent.sigmoid(fitted.net.logits(fitted.params, (x[:, None] - x[None]).reshape(n * n, -1))[0]).reshape(n, n)
+                score = p.sum(axis=1) - np.diag(p)
+                order = np.lexsort((np.arange(n), -np.round(score, 9)))
+                yield pd.DataFrame({"query_id": query_id, "pos": range(n), "tool": [c[i]["tool"] for i in order], "score": score[order]})
+
+    return per.mapInPandas(run, "query_id long, pos int, tool string, score double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,26 @@ def similarities(queries: DataFrame, vectors: DataFrame, size: int | None = None
     return pairs.mapInArrow(run, "query_id long, tool string, sim double")
 
 
+def blocks_met(a: DataFrame, b: DataFrame, run: Callable, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(src, dst, score) of what run(names, matrix, names, matrix) gives for each block of a (tool, vec) with each of b.
+
+    Blocks are written first, so Spark knows their size when it chooses how to bring them together; run gives lists of
+    names and scores, some at a time.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                names = [batch[c][r].as_py() for c in "ab"]
+                x, y = (np.frombuffer(batch[f"{c}_x"][r].as_py(), "<f8").reshape(len(n), -1) for c, n in zip("ab", names, strict=True))
+                for src, dst, score in run(names[0], x, names[1], y):
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(score, pa.float64())], names=["src", "dst", "score"])
+
+    left = keep(_packed(a.select("tool", "vec"), "tool", "string", "a"), "blocks-a")
+    right = keep(_packed(b.select("tool", "vec"), "tool", "string", "b"), "blocks-b")
+    return left.crossJoin(right).mapInArrow(met, "src string, dst string, score double")
+
+
 def largest(queries: DataFrame, size: Column) -> int:
     """The largest value of an expression over the queries; 0 without any."""
     return queries.agg(F.max(size)).first()[0] or 0

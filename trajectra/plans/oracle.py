@@ -27,7 +27,7 @@ PARTS = {
     "pruned": "SELECT * FROM edges WHERE count >= 3 AND weight >= 0.01",
     "vectors": """
         SELECT tool, embedding::DOUBLE[] AS vec, label AS community FROM (SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS i FROM (SELECT DISTINCT tool FROM t1))
-        JOIN embeddings ON vec_id = i""",
+        JOIN embeddings ON vec_id = i % (SELECT count(*) FROM embeddings)""",
     "q": """
         SELECT i AS query_id, task_id, vec_id AS vi, embedding::DOUBLE[] AS vec, seq AS truth, greatest(num_steps, 3) AS k
         FROM (SELECT task_id, seq, num_steps, row_number() OVER (ORDER BY task_id) - 1 AS i FROM seqs) JOIN embeddings ON vec_id = i % (SELECT count(*) FROM embeddings)""",
@@ -190,6 +190,7 @@ _FEATURES = """
             list_max(list_transform(c, lambda y: y.links[x.rank + 1])) AS mo, list_max(x.links) AS mi FROM (SELECT query_id, c, len(c) AS n, unnest(c) AS x FROM selected))"""
 _WEIGHTS = (1.0, -0.5, 0.4, -0.3, 0.8, -0.6, -1.5, 0.2)
 _MASKS = {"all": (1,) * 8, "no_similarity": (0, 0, 1, 1, 1, 1, 1, 1), "no_links": (1, 1, 0, 0, 0, 0, 1, 1), "no_position": (1, 1, 1, 1, 1, 1, 0, 1)}
+_DIFFERENCES = {"d_sim": "sim", "d_f_rank": "rank_share"} | {f"d_{n}": n for n in ("sum_out", "sum_in", "max_out", "max_in", "position", "size")}
 _NAMES = ("sim", "rank_share", "sum_out", "sum_in", "max_out", "max_in", "position", "size")
 
 
@@ -355,11 +356,25 @@ ORACLE_SQL: dict[str, str] = {
     "order_pairwise_fixed_weights": _with(f"SELECT query_id, pos, tool, {_six('score')} FROM p", features=_FEATURES, p=_pairwise(_MASKS["all"])),
     "order_masked": _with(" UNION ALL ".join(f"SELECT '{n}' AS mask, query_id, pos, tool FROM p_{n}" for n in _MASKS), features=_FEATURES, **{f"p_{n}": _pairwise(m) for n, m in _MASKS.items()}),
     "pair_features": _with(f"SELECT query_id, rank, tool, {_six('sim rank_share sum_out sum_in max_out max_in position size')} FROM features", features=_FEATURES),
+    "pair_training_rows": _with(
+        "SELECT query_id, a, b, 1::INT AS label, " + ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in _DIFFERENCES) + " FROM after UNION ALL SELECT query_id, b, a, 0, "
+        + ", ".join(f"round(-{n}, 6) + 0.0" for n in _DIFFERENCES) + " FROM after",
+        own="SELECT query_id, k, tool, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, tool) - 1 AS rank FROM sims JOIN (SELECT DISTINCT query_id, unnest(truth) AS tool FROM q) USING (query_id, tool)",
+        selected="{linked:own:edges}", features=_FEATURES,
+        place="SELECT query_id, tool, min(i) AS first, max(i) AS last FROM (SELECT query_id, unnest(truth) AS tool, unnest(range(len(truth))) AS i FROM q) GROUP BY ALL",
+        after="SELECT query_id, x.tool AS a, y.tool AS b, " + ", ".join(f"x.{n} - y.{n} AS {d}" for d, n in _DIFFERENCES.items())
+        + " FROM features x JOIN place p USING (query_id, tool) JOIN features y USING (query_id) JOIN place r ON r.query_id = y.query_id AND r.tool = y.tool WHERE p.first < r.last"),
     "link_dataset": _with("""
         SELECT src, dst, label, CASE WHEN h < 8 THEN 'train' WHEN h = 8 THEN 'val' ELSE 'test' END AS part FROM (SELECT *, ('0x' || substr(md5('42|' || src || '|' || dst), 1, 4))::INT % 10 AS h FROM
-        (SELECT src, dst, 1::INT AS label FROM positive UNION ALL SELECT src, dst, 0 FROM (SELECT *, row_number() OVER (ORDER BY md5('42>' || src || '>' || dst)) AS n FROM negative) WHERE n <= 5 * (SELECT count(*) FROM positive)))""",
+        (SELECT src, dst, 1::INT AS label FROM positive UNION ALL SELECT src, dst, 0 FROM drawn))""",
         positive="SELECT DISTINCT src, dst FROM (SELECT tool AS src, lead(tool) OVER (PARTITION BY task_id ORDER BY pos) AS dst FROM t2) WHERE dst IS NOT NULL AND src <> dst",
-        names="SELECT DISTINCT tool FROM t2", negative="SELECT a.tool AS src, b.tool AS dst FROM names a JOIN names b ON a.tool <> b.tool WHERE (a.tool, b.tool) NOT IN (SELECT (src, dst) FROM positive)"),
+        names="SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS n FROM (SELECT DISTINCT tool FROM t2)",
+        sizes="SELECT c, c * (c - 1) AS total, (SELECT min(h) FROM range(0, 31) t(h) WHERE pow(4, h) >= c * (c - 1)) AS half FROM (SELECT count(*) AS c FROM names)",
+        mixed0="SELECT i, c, total, pow(2, half)::BIGINT AS wide, i // pow(2, half)::BIGINT AS hi, i % pow(2, half)::BIGINT AS lo FROM (SELECT *, unnest(range(pow(4, half)::BIGINT)) AS i FROM sizes)",
+        **{f"mixed{r + 1}": f"SELECT i, c, total, wide, lo AS hi, (hi + ('0x' || substr(md5('42:{r}:' || lo), 1, 8))::BIGINT) % wide AS lo FROM mixed{r}" for r in range(4)},
+        ends="SELECT i, p // (c - 1) AS s, p % (c - 1) + (p % (c - 1) >= p // (c - 1))::INT AS d FROM (SELECT i, c, hi * wide + lo AS p, total FROM mixed4) WHERE p < total",
+        drawn="""SELECT a.tool AS src, b.tool AS dst FROM ends JOIN names a ON a.n = s JOIN names b ON b.n = d WHERE (a.tool, b.tool) NOT IN (SELECT (src, dst) FROM positive)
+            ORDER BY i LIMIT (SELECT 5 * count(*) FROM positive)"""),
     "sage_mean_agg": _with("SELECT tool, dim, round(avg(x), 6) AS value FROM (SELECT dst AS tool, unnest(range(len(vec)))::INT AS dim, unnest(vec) AS x FROM pruned JOIN vectors v ON v.tool = src) GROUP BY ALL"),
     "rollup_grouping_sets": _with("SELECT method, bucket, count(*) AS n, " + ", ".join(f"round(avg({v}), 6) AS mean_{v}, round(stddev_samp({v}), 6) AS std_{v}" for v in ("set_f1", "ordered_precision", "transition_acc"))
         + " FROM measured GROUP BY GROUPING SETS ((method, bucket), (method))"),

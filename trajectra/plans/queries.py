@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, scores, text
-from ..operators import evaluation, graph, ordering, planning, registered, retrieval, training, trajectory
+from ..operators import evaluation, graph, links, ordering, planning, registered, retrieval, training, trajectory
 from ..sources import tables
 from ..sources.working import working
 from ..streaming import events as stream
@@ -41,6 +41,22 @@ def shared(f):
     return once
 
 
+_fitted: dict = {}
+
+
+def fitted(f):
+    """A model that several queries use, trained once a session and input."""
+
+    @wraps(f)
+    def once(spark: SparkSession, d: str):
+        key = (spark.sparkContext.applicationId, d, f.__name__)
+        if key not in _fitted:
+            _fitted[key] = f(spark, d)
+        return _fitted[key]
+
+    return once
+
+
 def _six(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, counts to bigint, ranks stay."""
     return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
@@ -57,7 +73,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 @shared
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return tables.tool_vectors(_t1(spark, d), tables.table(spark, d, "embeddings"))
+    return tables.tool_vectors(_t1(spark, d), tables.table(spark, d, "embeddings"), working(spark, "tools"))
 
 
 @shared
@@ -101,15 +117,30 @@ def _event_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @shared
-def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    return training.encoded(_vectors(spark, d), _edges(spark, d))
+def _learned(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of an encoder trained on the pruned graph: of its edges, and of all pairs of a query's candidates."""
+    v, e, q = _vectors(spark, d), graph.pruned(_edges(spark, d)).select("src", "dst"), _queries(spark, d)
+    keep = working(spark, "learned")
+    rows = training.with_negatives(keep(e, "positive"), tables.numbered(v.select("tool"), "tool", keep), keep)
+    message = rows.where("label = 1 AND part = 'train'")
+    net, encoded = links.fit(rows, v, message, keep, epochs=40, patience=8, rate=1e-2)
+    c = keep(planning.candidates(q.where("query_id = by_k"), v, F.greatest(F.col("k") + 2, 3 * F.col("k"), F.lit(12))), "candidates")
+    a, b = c.select("query_id", F.col("tool").alias("src")), c.select("query_id", F.col("tool").alias("dst"))
+    pairs = a.join(b, "query_id").where("src <> dst").select("src", "dst").distinct().unionByName(_edges(spark, d).select("src", "dst")).distinct()
+    return links.scores(net, pairs, encoded).select("src", "dst", F.col("score").alias("weight"))
+
+
+@fitted
+def _pair_net(spark: SparkSession, d: str):
+    """A net trained on the pairs of the training tasks."""
+    return training.pair_net(_pair_parts(spark, d).where("NOT is_test").drop("is_test"), working(spark, "pair-net"), batches=4, rate=1e-2)
 
 
 @shared
-def _learned(spark: SparkSession, d: str) -> DataFrame:
-    e = _encoded(spark, d)
-    a, b = e.select(F.col("tool").alias("src"), F.col("vec").alias("_a")), e.select(F.col("tool").alias("dst"), F.col("vec").alias("_b"))
-    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", scores.sigmoid(scores.dot(F.col("_a"), F.col("_b"))).alias("weight"))
+def _pair_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the truths, and whether their task is a test task."""
+    parts = trajectory.split(tables.sequences(_t1(spark, d))).select("task_id", "is_test")
+    return _pair_rows(spark, d).join(_queries(spark, d).select("query_id", "task_id").join(parts, "task_id").drop("task_id"), "query_id")
 
 
 @shared
@@ -465,7 +496,7 @@ def plan_hybrid_bridged(spark, d):
 
 @query
 def plan_hybrid_scaled(spark, d):
-    """With neighbour-averaged vectors' similarities as link scores, scaled within each query."""
+    """With the scores of a trained graph encoder as link weights, scaled within each query."""
     v, links, at = _vectors(spark, d), _learned(spark, d), _positions(spark, d)
     return planning.steps_of(_once(_queries(spark, d), "by_k", lambda q: planning.hybrid(q, v, links, at, bridges=False, normalise=True)))
 
@@ -478,7 +509,10 @@ def plan_beam(spark, d):
 
 @query
 def plan_beam_scaled(spark, d):
-    plans = _once(_queries(spark, d), "by_vec", lambda q: planning.beam(q, _vectors(spark, d), _edges(spark, d), target=3, normalise=True))
+    """On the graph's strongest edges, with the scores of a trained graph encoder in the place of transition probabilities."""
+    learned = _learned(spark, d).select("src", "dst", F.col("weight").alias("_learned"))
+    e = _edges(spark, d).join(learned, ["src", "dst"]).withColumn("transition_prob", F.col("_learned")).drop("_learned")
+    plans = _once(_queries(spark, d), "by_vec", lambda q: planning.beam(q, _vectors(spark, d), e, target=3, normalise=True))
     return _six(plans.select("query_id", "rank", F.array_join("seq", ">").alias("seq"), "score"))
 
 
@@ -561,25 +595,63 @@ def pair_training_rows(spark, d):
 
 @query
 def pair_model_accuracy(spark, d):
-    """Share of training pairs that the learned pairwise model puts in the right order."""
-    rows = _pair_rows(spark, d)
-    found = training.pair_model(rows).transform(rows)
-    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 2).alias("accuracy"))
+    """Share of the test tasks' pairs that a net trained on the training tasks puts in the right order, those of a tool with itself left out."""
+    net = _pair_net(spark, d)
+    found = training.pair_predictions(net, _pair_parts(spark, d).where("is_test AND a <> b"))
+    right = ((F.col("probability") > 0.5) == (F.col("label") == 1)).cast("double")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(right), 2).alias("accuracy")).withColumn("best_epoch", F.lit(net.epoch))
+
+
+@query
+def order_pairwise_net(spark, d):
+    """The candidates' orders by a net trained on the training tasks."""
+    return _six(ordering.by_net(_selected(spark, d), _pair_net(spark, d)))
 
 
 @query
 def link_dataset(spark, d):
-    return training.link_dataset(tables.event_steps(spark, d))
+    return _event_links(spark, d)
+
+
+@shared
+def _event_links(spark: SparkSession, d: str) -> DataFrame:
+    return training.link_dataset(tables.event_steps(spark, d), working(spark, "link-dataset"))
+
+
+@fitted
+def _event_encoder(spark: SparkSession, d: str):
+    """An encoder trained on the event graph, its tools' vectors, and the tools' own."""
+    rows, keep = _event_links(spark, d), working(spark, "event-encoder")
+    v = tables.tool_vectors(tables.event_steps(spark, d), tables.table(spark, d, "embeddings"), keep)
+    net, encoded = links.fit(rows, v, rows.where("label = 1 AND part = 'train'"), keep, epochs=30, patience=6, rate=1e-2)
+    return net, encoded, v
 
 
 @query
 def link_prediction(spark, d):
-    """Link scores of the event graph's test pairs by encoded vectors and a decoder."""
-    steps = tables.event_steps(spark, d)
-    v = training.encoded(tables.tool_vectors(steps, tables.table(spark, d, "embeddings")), graph.transitions(steps))
-    rows = training.link_features(training.link_dataset(steps), v)
-    model = training.link_model(rows.where("part = 'train'"))
-    return _six(training.link_probabilities(model, rows.where("part = 'test'")))
+    """Link scores of the event graph's test pairs by a trained graph encoder."""
+    net, encoded, _ = _event_encoder(spark, d)
+    return _six(links.scores(net, _event_links(spark, d).where("part = 'test'"), encoded, 0.01))
+
+
+@query
+def link_scores_of_all(spark, d):
+    """Link scores of all pairs of the event graph's tools that score more than 0.01."""
+    net, encoded, _ = _event_encoder(spark, d)
+    return _six(links.all_scores(net, encoded, working(spark, "all-scores")))
+
+
+@query
+def link_encoders(spark, d):
+    """How well a trained encoder, and vectors averaged with their neighbours', tell the event graph's test links from other pairs."""
+    rows = _event_links(spark, d)
+    net, encoded, v = _event_encoder(spark, d)
+    test = rows.where("part = 'test'").select("src", "dst", "label")
+    trained = links.scores(net, test, encoded).join(test, ["src", "dst"])
+    means = training.link_features(rows, training.encoded(v, rows.where("label = 1 AND part = 'train'")))
+    plain = training.link_probabilities(training.link_model(means.where("part = 'train'")), means.where("part = 'test'"), -1.0).join(test, ["src", "dst"])
+    each = [evaluation.link_scores(x, "score", "label").select(F.lit(name).alias("encoder"), F.lit(epoch).alias("best_epoch"), "*") for name, epoch, x in (("trained", net.epoch, trained), ("averaged", 0, plain))]
+    return _six(each[0].unionByName(each[1]))
 
 
 @query

@@ -45,28 +45,33 @@ def sequences(steps: DataFrame) -> DataFrame:
     return found.select("task_id", F.transform("_s", lambda x: x["tool"]).alias("seq"), F.size("_s").alias("num_steps"))
 
 
-def tool_vectors(steps: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(tool, vec, community): the n-th tool by name has the n-th vector; its label is the community."""
-    tools = steps.select("tool").distinct().withColumn("vec_id", F.row_number().over(Window.orderBy("tool")).cast("long") - 1)
-    e = embeddings.select("vec_id", F.col("embedding").alias("vec"), F.col("label").alias("community"))
-    return tools.join(e, "vec_id").select("tool", "vec", "community")
+def numbered(names: DataFrame, key: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(key, n): the distinct names, numbered from 0 in ascending order.
 
-
-def queries(steps: DataFrame, embeddings: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(query_id, task_id, vec, truth, k): every task, the n-th with the vector of n modulo their number.
-
-    Tasks are numbered by ranges, so no task of Spark's sees them all; keep(df, name) writes the ranges once.
+    They are numbered by ranges, so no task of Spark's sees them all; keep(df, name) writes the ranges once.
     """
-    dealt = steps.select("task_id").distinct().repartitionByRange("task_id").withColumn("_part", F.spark_partition_id())
-    dealt = keep(dealt, "tasks")
+    dealt = keep(names.select(key).distinct().repartitionByRange(key).withColumn("_part", F.spark_partition_id()), f"numbered-{key}")
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row a range
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("task_id")).cast("long") - 1
-    numbered = dealt.withColumn("_place", place).join(before, "_part").select("task_id", (F.col("_before") + F.col("_place")).alias("query_id"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)).cast("long") - 1
+    return dealt.withColumn("_place", place).join(before, "_part").select(key, (F.col("_before") + F.col("_place")).alias("n"))
+
+
+def tool_vectors(steps: DataFrame, embeddings: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(tool, vec, community): the n-th tool by name has the vector of n modulo their number; its label is the community."""
+    total = embeddings.agg(F.count(F.lit(1)).alias("_vectors"))  # one row
+    tools = numbered(steps.select("tool"), "tool", keep).crossJoin(total).withColumn("vec_id", F.expr("n % _vectors"))
+    e = embeddings.select("vec_id", F.col("embedding").alias("vec"), F.col("label").alias("community"))
+    return tools.join(e, "vec_id").select("tool", "vec", "community")
+
+
+def queries(steps: DataFrame, embeddings: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(query_id, task_id, vec, truth, k): every task, the n-th with the vector of n modulo their number."""
+    tasks = numbered(steps.select("task_id"), "task_id", keep).withColumnRenamed("n", "query_id")
     total = embeddings.agg(F.count(F.lit(1)).alias("_vectors"))  # one row
     e = embeddings.select("vec_id", F.col("embedding").alias("vec"))
     return (
-        numbered.crossJoin(total).withColumn("vec_id", F.expr("query_id % _vectors")).join(e, "vec_id").join(sequences(steps), "task_id")
+        tasks.crossJoin(total).withColumn("vec_id", F.expr("query_id % _vectors")).join(e, "vec_id").join(sequences(steps), "task_id")
         .select("query_id", "task_id", "vec", F.col("seq").alias("truth"), F.greatest("num_steps", F.lit(3)).alias("k"))
     )
