@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -147,48 +146,77 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def louvain(edges: list[tuple[str, str, float]], passes: int = 20) -> dict[str, int]:
-    """Communities of a pruned, undirected edge list by greedy modularity moves and aggregation, on the driver."""
-    weight: dict = defaultdict(lambda: defaultdict(float))
-    for u, v, w in edges:
-        if u != v:
-            weight[u][v] += w
-            weight[v][u] += w
-    member = {n: n for n in weight}
+def _moved(links: DataFrame, labels: DataFrame, total: float, half: Column) -> DataFrame:
+    """labels (tool, community, degree) after the tools of one half have moved to the community that gains most.
+
+    A community gains links - degree * mass / total, mass without the tool itself; ties stay, then go to the least name.
+    Of two tools alone in their communities only the one with the greater name moves, so that they don't change places.
+    """
+    mass = labels.groupBy("community").agg(F.sum("degree").alias("_mass"), F.count(F.lit(1)).alias("_size"))
+    at = labels.select(F.col("tool").alias("b"), "community")
+    near = links.where(half).where("a <> b").join(at, "b").groupBy(F.col("a").alias("tool"), "community").agg(F.sum("w").alias("_k"))
+    own = labels.join(mass.withColumnRenamed("_size", "_alone"), "community").select("tool", F.col("community").alias("_own"), "degree", F.col("_alone") == 1, F.col("_mass").alias("_own_mass"))
+    own = own.toDF("tool", "_own", "degree", "_alone", "_own_mass")
+    scored = near.join(mass, "community").join(own, "tool")
+    stay = F.col("community") == F.col("_own")
+    gain = F.col("_k") - F.col("degree") * (F.col("_mass") - F.when(stay, F.col("degree")).otherwise(0)) / total
+    allowed = stay | ~F.col("_alone") | (F.col("_size") > 1) | (F.col("community") < F.col("_own"))
+    best = scored.where(allowed).withColumn("_g", F.round(gain, 12)).groupBy("tool").agg(
+        F.min(F.struct((-F.col("_g")).alias("g"), (~stay).alias("other"), "community")).alias("_b"), F.first("_own").alias("_own"),
+        F.first(F.round(-F.col("degree") * (F.col("_own_mass") - F.col("degree")) / total, 12)).alias("_left"),
+    )
+    # a tool without a link into its own community still may stay there
+    goes = best.where((F.col("_b.community") != F.col("_own")) & (-F.col("_b.g") > F.col("_left"))).select("tool", F.col("_b.community").alias("_to"))
+    return labels.join(goes, "tool", "left").select("tool", F.coalesce("_to", "community").alias("community"), "degree")
+
+
+def _quality(links: DataFrame, labels: DataFrame, total: float) -> float:
+    """Modularity of links (a, b, w; both directions) under labels."""
+    a, b = labels.select(F.col("tool").alias("a"), F.col("community").alias("_a")), labels.select(F.col("tool").alias("b"), F.col("community").alias("_b"))
+    inside = links.join(a, "a").join(b, "b").where("_a = _b").agg(F.sum("w").alias("_in"))
+    masses = labels.groupBy("community").agg(F.sum("degree").alias("_m")).agg(F.sum(F.col("_m") * F.col("_m")).alias("_m2"))
+    row = inside.crossJoin(masses).first()  # one row each
+    return (row[0] or 0.0) / total - (row[1] or 0.0) / total**2
+
+
+def louvain(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], least: float = 1e-6) -> DataFrame:
+    """(tool, community) of the undirected graph: greedy modularity by moves of alternate halves of the tools, and aggregation.
+
+    In a round one half of the tools, by md5 of name and round, moves at once, then the other. Rounds go on while
+    modularity rises by more than `least`; then communities become the tools of the next level, until a level changes
+    nothing. A community has the name of one of its members. keep(df, name) writes a step and reads it back; the
+    driver sees a sum or two a round.
+    """
+    u = undirected(edges).where("u <> v")
+    links = keep(u.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("weight").alias("w")).unionByName(u.select(F.col("v"), F.col("u"), "weight").toDF("a", "b", "w")), "links-0")
+    member, level, round_ = None, 0, 0
     while True:
-        total = sum(sum(x.values()) for x in weight.values())
+        degree = links.groupBy(F.col("a").alias("tool")).agg(F.sum("w").alias("degree"))
+        labels = keep(degree.select("tool", F.col("tool").alias("community"), "degree"), f"labels-{level}")
+        total = labels.agg(F.sum("degree")).first()[0]
+        if member is None:
+            member = labels.select("tool", "community")
         if not total:
-            break
-        degree = {n: sum(x.values()) for n, x in weight.items()}
-        of = {n: n for n in weight}
-        mass = dict(degree)
-        moved_any = False
-        for _ in range(passes):
-            moved = False
-            for n in sorted(weight):
-                mass[of[n]] -= degree[n]
-                near: dict = defaultdict(float)
-                for m, w in weight[n].items():
-                    if m != n:
-                        near[of[m]] += w
-                gain = lambda c: near.get(c, 0.0) - mass[c] * degree[n] / total  # noqa: B023, E731
-                best = min([*near, of[n]], key=lambda c: (-round(gain(c), 12), c != of[n], c))  # noqa: B023
-                moved |= best != of[n]
-                of[n] = best
-                mass[best] += degree[n]
-            moved_any |= moved
-            if not moved:
+            return member
+        best = start = _quality(links, labels, total)
+        while True:
+            now = labels
+            for half in (0, 1):
+                mine = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(round_)), "a")), 1, 1), 16, 10).cast("int") % 2 == half
+                now = keep(_moved(links, now, total, mine), f"labels-{level}-{round_}-{half}")
+            round_ += 1
+            quality = _quality(links, now, total)
+            if quality <= best + least:
                 break
-        if not moved_any:
-            break
-        member = {n: of[c] for n, c in member.items()}
-        merged: dict = defaultdict(lambda: defaultdict(float))
-        for n, x in weight.items():
-            for m, w in x.items():
-                merged[of[n]][of[m]] += w
-        weight = merged
-    ids = {c: i for i, c in enumerate(sorted(set(member.values())))}
-    return {n: ids[c] for n, c in member.items()}
+            labels, best = now, quality
+        if best <= start + least:
+            return member
+        into = labels.select(F.col("tool").alias("community"), F.col("community").alias("_c"))
+        level += 1
+        member = keep(member.join(into, "community").select("tool", F.col("_c").alias("community")), f"member-{level}")
+        a, b = labels.select(F.col("tool").alias("a"), F.col("community").alias("_a")), labels.select(F.col("tool").alias("b"), F.col("community").alias("_b"))
+        merged = links.join(a, "a").join(b, "b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.sum("w").alias("w"))
+        links = keep(merged, f"links-{level}")
 
 
 def purity(tools: DataFrame) -> DataFrame:
@@ -267,15 +295,22 @@ def centroids(steps: DataFrame, vectors: DataFrame, floor: float = 0.01) -> Data
     return sums.join(length, "community").select("community", "dim", F.coalesce(F.try_divide("_v", "_l"), F.lit(0.0)).alias("value"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int = 4) -> DataFrame:
-    """(src, dst, hops, path) from sources (tool), unweighted, at most `depth` hops; among equals the least path."""
-    hop = edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct()
-    found = sources.select(F.col("tool").alias("src"), F.col("tool").alias("dst"), F.lit(0).alias("hops"), F.array("tool").alias("path")).distinct()
-    last = found
-    for h in range(1, depth + 1):
-        grown = last.join(hop, last.dst == hop._at).select("src", F.col("_to").alias("dst"), F.lit(h).alias("hops"), F.concat("path", F.array("_to")).alias("path"))
-        best = grown.groupBy("src", "dst").agg(F.first("hops").alias("hops"), F.min("path").alias("path"))
-        last = best.join(found.select("src", "dst"), ["src", "dst"], "left_anti")
+def shortest_paths(edges: DataFrame, sources: DataFrame, keep: Callable[[DataFrame, str], DataFrame], depth: int | None = None) -> DataFrame:
+    """(src, dst, hops, path) from sources (tool), unweighted, of any length or at most `depth` hops; among equals the least path.
+
+    keep(df, name) writes a round and reads it back.
+    """
+    hop = keep(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "hops")
+    start = sources.select(F.col("tool").alias("src"), F.col("tool").alias("dst"), F.lit(0).alias("hops"), F.array("tool").alias("path")).distinct()
+    found = last = keep(start, "paths-0")
+    h = 0
+    while depth is None or h < depth:
+        h += 1
+        grown = last.join(hop, last.dst == hop._at).select("src", F.col("_to").alias("dst"), F.concat("path", F.array("_to")).alias("path"))
+        best = grown.groupBy("src", "dst").agg(F.lit(h).alias("hops"), F.min("path").alias("path"))
+        last = keep(best.join(found.select("src", "dst"), ["src", "dst"], "left_anti"), f"paths-{h}")
+        if not last.limit(1).count():
+            break
         found = found.unionByName(last)
     return found
 
@@ -300,20 +335,62 @@ def paths_between(edges: DataFrame, wanted: DataFrame, keep: Callable[[DataFrame
         seen, out = seen.unionByName(last.select("src", "dst")), out.unionByName(last.join(wanted.select("src", "dst").distinct(), ["src", "dst"]))
 
 
-def topological_order(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(tool, layer): the longest chain of edges that ends in the tool; tools on or behind a cycle have none."""
-    nodes = edges.select(F.col("src").alias("tool")).unionByName(edges.select(F.col("dst").alias("tool"))).distinct()
-    left, links, out = nodes, edges.select("src", "dst").distinct(), None
-    for layer in range(rounds):
-        ready = left.join(links.select(F.col("dst").alias("tool")).distinct(), "tool", "left_anti")
-        part = ready.withColumn("layer", F.lit(layer))
-        out = part if out is None else out.unionByName(part)
-        left = left.join(ready, "tool", "left_anti")
-        links = links.join(ready.withColumnRenamed("tool", "src"), "src", "left_anti")
-        left, links = left.checkpoint(), links.checkpoint()
-        if not left.limit(1).count() or not ready.limit(1).count():
-            break
-    return out.unionByName(left.withColumn("layer", F.lit(None).cast("int")))
+def _spread(start: DataFrame, links: DataFrame, keep: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+    """(tool, label): the least label that reaches each tool of start (tool, label) along links (src, dst)."""
+    labels, i = keep(start, f"{name}-0"), 0
+    while True:
+        sent = links.join(labels.withColumnRenamed("tool", "src"), "src").select(F.col("dst").alias("tool"), "label")
+        i += 1
+        now = keep(labels.unionByName(sent).groupBy("tool").agg(F.min("label").alias("label")), f"{name}-{i}")
+        if not now.join(labels, ["tool", "label"], "left_anti").limit(1).count():
+            return now
+        labels = now
+
+
+def strong_components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(tool, component): tools that reach one another, named after the least of them.
+
+    Tools without a way in or a way out are alone and go first. Of the rest every tool takes the least name that reaches it;
+    what gets back to the tool of that name, within those that took it, is its component. This goes on with what is left.
+    """
+    links = keep(edges.where("src <> dst").select("src", "dst").distinct(), "links")
+    left = keep(edges.select(F.explode(F.array("src", "dst")).alias("tool")).distinct(), "left")
+    found, i = None, 0
+    while left.limit(1).count():
+        inner = links.select(F.col("src").alias("tool")).distinct().join(links.select(F.col("dst").alias("tool")).distinct(), "tool", "left_semi")
+        alone = keep(left.join(inner, "tool", "left_anti").select("tool", F.col("tool").alias("component")), f"alone-{i}")
+        if not alone.limit(1).count():
+            least = _spread(left.select("tool", F.col("tool").alias("label")), links, keep, f"least-{i}")
+            a, b = least.select(F.col("tool").alias("src"), F.col("label").alias("_a")), least.select(F.col("tool").alias("dst"), F.col("label").alias("_b"))
+            same = keep(links.join(a, "src").join(b, "dst").where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")), f"same-{i}")
+            back = _spread(least.where("tool = label"), same, keep, f"back-{i}")
+            alone = keep(back.select("tool", F.col("label").alias("component")), f"strong-{i}")
+        found = alone if found is None else found.unionByName(alone)
+        left = keep(left.join(alone, "tool", "left_anti"), f"left-{i}")
+        links = keep(induced(links, left), f"links-{i}")
+        i += 1
+    return found if found is not None else left.select("tool", F.col("tool").alias("component"))
+
+
+def topological_order(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(tool, component, cyclic, layer): the longest chain of components that ends in the tool's, of any length.
+
+    Tools on a cycle share a component and a layer; a graph is acyclic if none is cyclic.
+    """
+    member = keep(strong_components(edges, keep), "member")
+    size = member.groupBy("component").agg((F.count(F.lit(1)) > 1).alias("cyclic"))
+    a, b = member.select(F.col("tool").alias("src"), F.col("component").alias("_a")), member.select(F.col("tool").alias("dst"), F.col("component").alias("_b"))
+    between = edges.select("src", "dst").join(a, "src").join(b, "dst").where("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct()
+    links, left, layers, i = keep(between, "between"), keep(size, "components"), None, 0
+    while left.limit(1).count():  # a graph of components has no cycle, so every round takes some
+        ready = keep(left.join(links.select(F.col("dst").alias("component")).distinct(), "component", "left_anti").withColumn("layer", F.lit(i)), f"layer-{i}")
+        layers = ready if layers is None else layers.unionByName(ready)
+        left = keep(left.join(ready, "component", "left_anti"), f"rest-{i}")
+        links = keep(links.join(ready.select(F.col("component").alias("src")), "src", "left_anti"), f"between-{i}")
+        i += 1
+    if layers is None:
+        layers = left.withColumn("layer", F.lit(0))
+    return member.join(layers, "component").select("tool", "component", "cyclic", "layer")
 
 
 def largest_communities(communities: DataFrame, top: int = 40) -> DataFrame:
@@ -345,6 +422,52 @@ def non_edges(nodes: DataFrame, edges: DataFrame, draws: int = 3, seed: str = "4
     return free.groupBy("_s", "_d").agg(F.min_by(F.struct("src", "dst"), "_j").alias("p")).select("p.*").distinct()
 
 
+def _mixed(number: Column, half: int, seed: str) -> Column:
+    """A permutation of the numbers below 4 ** half: four rounds that mix one half of the bits with the md5 of the other."""
+    high, low = F.shiftright(number, half), number.bitwiseAND(F.lit((1 << half) - 1))
+    for r in range(4):
+        drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(r)), low.cast("string"))), 1, 8), 16, 10).cast("long")
+        high, low = low, (high + drawn) % (1 << half)
+    return F.shiftleft(high, half) + low
+
+
+def drawn_pairs(tools: DataFrame, wanted: int, keep: Callable[[DataFrame, str], DataFrame], seed: str = "42", without: DataFrame | None = None) -> DataFrame:
+    """(src, dst): exactly `wanted` different pairs of different tools (tool, n; n from 0 on), none of them in `without`, or all there are.
+
+    Pairs of tools are numbered, and the numbers are gone through in the order of a permutation: no pair comes twice, and no
+    list of all pairs is made. What falls outside the numbers or on a pair of `without` is passed over, and draws go on until
+    there are enough.
+    """
+    n_tools, taken = tools.count(), without.count() if without is not None else 0
+    total, half = n_tools * (n_tools - 1), 0
+    while 4**half < total:
+        half += 1
+    wanted, domain = min(wanted, total - taken), 4**half
+    if wanted <= 0:
+        return tools.sparkSession.createDataFrame([], "src string, dst string")
+    found, low, high, parts = None, 0, min(domain, int(1.1 * wanted * domain / (total - taken)) + 64), 0
+    while low < high:
+        drawn = tools.sparkSession.range(low, high).select(F.col("id").alias("i"), _mixed(F.col("id"), half, seed).alias("_p")).where(F.col("_p") < total)
+        ends = drawn.select("i", F.floor(F.col("_p") / (n_tools - 1)).alias("_s"), (F.col("_p") % (n_tools - 1)).alias("_d"))
+        ends = ends.withColumn("_d", F.col("_d") + (F.col("_d") >= F.col("_s")).cast("long"))
+        named = ends.join(tools.select(F.col("tool").alias("src"), F.col("n").alias("_s")), "_s").join(tools.select(F.col("tool").alias("dst"), F.col("n").alias("_d")), "_d")
+        named = named.select("i", "src", "dst")
+        part = keep(named if without is None else named.join(without.select("src", "dst"), ["src", "dst"], "left_anti"), f"drawn-{parts}")
+        found, parts = (part if found is None else found.unionByName(part)), parts + 1
+        low, high = high, min(domain, 2 * high) if found.count() < wanted else high
+    # the first `wanted`: whole ranges of numbers, then a part of one of about a thousand
+    step, left, last = max(1, high // 1024), wanted, None
+    for r in found.groupBy(F.floor(F.col("i") / step).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect():
+        if r["n"] > left:
+            last = r["b"]
+            break
+        left -= r["n"]
+    if last is None:
+        return found.select("src", "dst")
+    rest = found.where((F.col("i") >= last * step) & (F.col("i") < (last + 1) * step)).orderBy("i").limit(left)
+    return found.where(F.col("i") < last * step).unionByName(rest).select("src", "dst")
+
+
 def score_histogram(parts: dict[str, DataFrame], bins: int = 20) -> DataFrame:
     """(kind, bin, n): counts of `score` by kind, in bins of 1 / bins from 0 on."""
     out = None

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..sources import tables
 from . import graph, retrieval
 
 #: Edges of a graph that a best-first search may hold in a task.
@@ -302,11 +303,17 @@ def search(adjacency: dict, sims: dict, entries: list[str], target: int, max_ste
     return list(max(plans, key=lambda p: p[0])[1]) if plans else []
 
 
-def best_first(queries: DataFrame, vectors: DataFrame, edges: DataFrame, target: int = 4, entries: int = 5) -> DataFrame:
-    """(query_id, seq): `search` from each query's best entries. The heap is sequential, so a query is one call.
+def best_first(
+    queries: DataFrame, vectors: DataFrame, edges: DataFrame, target: int = 4, entries: int = 5, expansions: int = 1500,
+    keep: Callable | None = None, most: int = MAX_EDGES,
+) -> DataFrame:
+    """(query_id, seq): `search` from each query's best entries.
 
-    The graph goes to the tasks only up to MAX_EDGES edges; of a larger one, prune it first.
+    A graph of up to `most` edges goes to the tasks, where a query is one call; a larger one is searched in rounds of
+    joins, with the same plans. keep(df, name) writes a round and reads it back.
     """
+    if edges.limit(most + 1).count() > most:
+        return best_first_rounds(queries, vectors, edges, keep or (lambda df, _: df.checkpoint()), target, entries, expansions)
     adjacency = _adjacency(edges, "weight")
     per = (
         retrieval.ranked(retrieval.similarities(queries, vectors)).groupBy("query_id")
@@ -318,19 +325,61 @@ def best_first(queries: DataFrame, vectors: DataFrame, edges: DataFrame, target:
             out = []
             for query_id, c in zip(batch["query_id"], batch["c"], strict=True):
                 sims = {x["tool"]: x["sim"] for x in c}
-                out.append((query_id, search(adjacency, sims, [x["tool"] for x in c[:entries]], target)))
+                out.append((query_id, search(adjacency, sims, [x["tool"] for x in c[:entries]], target, expansions=expansions)))
             yield pd.DataFrame(out, columns=["query_id", "seq"])
 
     return per.mapInPandas(run, "query_id long, seq array<string>")
 
 
-def random_graph(edges: DataFrame, seed: str = "42") -> DataFrame:
-    """A graph with the same nodes, about as many edges and weights of 1, drawn by a hash of each pair."""
-    nodes = graph.degrees(edges).select("tool")
-    n = graph.density(edges).select(F.col("density").alias("_p"))
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), "src", F.lit(">"), "dst")), 1, 8), 16, 10).cast("double") / 2.0**32
-    pairs = nodes.select(F.col("tool").alias("src")).join(nodes.select(F.col("tool").alias("dst")), F.col("src") != F.col("dst"))
-    return pairs.crossJoin(n).where(h < F.col("_p")).select("src", "dst", F.lit(1.0).alias("weight"))  # one row
+def best_first_rounds(
+    queries: DataFrame, vectors: DataFrame, edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], target: int = 4, entries: int = 5,
+    expansions: int = 1500, max_steps: int = 8, beta: float = 0.3, eps: float = 1e-6, low: float = 0.05, window: int = 3,
+) -> DataFrame:
+    """`search` for a graph of any size: (query_id, seq).
+
+    The heap of `search` settles a tool by its cheapest path over tools settled and expanded before it. Here every round
+    makes all tools' paths anew from the paths of the round before, for all queries and entries at once, and keeps the
+    `expansions` cheapest; as steps cost more than nothing and paths end at max_steps, this comes to rest at the paths
+    that the heap settles.
+    """
+    near = retrieval.top_k(queries, vectors, entries)
+    asked = queries.select("query_id", "vec")
+    state = "query_id", F.col("rank").alias("entry"), "tool", F.lit(0.0).alias("cost"), F.array("tool").alias("path"), F.array("sim").alias("sims")
+    start = keep(near.select(*state), "entries")
+    hop = edges.select(F.col("src").alias("tool"), F.col("dst").alias("_to"), (1 / (F.col("weight") + eps)).alias("_c"))
+    reached = vectors.select(F.col("tool").alias("_to"), F.col("vec").alias("_v"))
+    order = Window.partitionBy("query_id", "entry").orderBy("cost", "path")
+    now, i = start, 0
+    while True:
+        dull = (F.size("sims") >= window) & (F.array_max(F.slice("sims", -window, window)) < low)
+        on = now.where((F.size("path") < max_steps) & ~F.when(F.size("sims") >= window, dull).otherwise(False))
+        grown = on.join(hop, "tool").join(asked, "query_id").join(reached, "_to", "left").withColumn("_s", F.coalesce(scores.dot(F.col("vec"), F.col("_v")), F.lit(0.0)))
+        grown = grown.select(
+            "query_id", "entry", F.col("_to").alias("tool"), (F.col("cost") + F.col("_c") + beta * (1 - F.col("_s"))).alias("cost"),
+            F.concat("path", F.array("_to")).alias("path"), F.concat("sims", F.array("_s")).alias("sims"),
+        )
+        best = start.unionByName(grown).groupBy("query_id", "entry", "tool").agg(F.min(F.struct("cost", "path", "sims")).alias("b")).select("query_id", "entry", "tool", "b.*")
+        kept = keep(best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= expansions).drop("_n"), f"round-{i}")
+        columns = ["query_id", "entry", "tool", "cost", "path"]
+        same = not kept.join(now, columns, "left_anti").limit(1).count() and not now.join(kept, columns, "left_anti").limit(1).count()
+        now, i = kept, i + 1
+        if same:
+            break
+    mean = F.aggregate("sims", F.lit(0.0), lambda a, x: a + x) / F.size("sims")
+    of_length = now.groupBy("query_id", "entry", F.size("path").alias("n")).agg(F.min(F.struct((-mean).alias("m"), "cost", "path")).alias("b"))
+    # the length nearest to the target, in search's order; without one of those, the best mean
+    wanted = F.array(*[F.lit(target + x) for x in (0, 1, -1, 2, -2, 3)])
+    place = F.array_position(wanted, F.col("n"))
+    choice = F.struct(F.when(place > 0, place).otherwise(F.lit(99)).alias("p"), F.when(place > 0, F.lit(0.0)).otherwise(F.col("b.m")).alias("m"), F.col("b.cost").alias("c"), F.col("b.path").alias("path"), F.col("b.m").alias("mean"))
+    plans = of_length.groupBy("query_id", "entry").agg(F.min(choice).alias("x"))
+    best = plans.groupBy("query_id").agg(F.min(F.struct("x.mean", "entry", "x.path")).alias("y")).select("query_id", F.col("y.path").alias("seq"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("seq", F.array().cast("array<string>")).alias("seq"))
+
+
+def random_graph(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], seed: str = "42") -> DataFrame:
+    """A graph with the same tools, as many edges, drawn from all pairs of them, and weights of 1."""
+    tools = tables.numbered(graph.degrees(edges).select("tool"), "tool", keep)
+    return graph.drawn_pairs(tools, edges.count(), keep, seed).withColumn("weight", F.lit(1.0))
 
 
 def with_fallback(plans: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:

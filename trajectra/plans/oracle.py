@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from textwrap import dedent
 
 #: Common table expressions, in order; each may use those before it.
@@ -85,6 +86,8 @@ _GREEDY = """
          FROM {0})"""
 _LCS = """(CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0 ELSE list_reduce({0}, lambda row, x: list_reduce(range(1, len({1}) + 1), lambda acc, j: list_append(acc,
            CASE WHEN {1}[j] = x THEN row[j] + 1 ELSE greatest(row[j + 1], acc[j]) END), [0::BIGINT]), list_transform(range(0, len({1}) + 1), lambda z: 0::BIGINT))[len({1}) + 1] END)"""
+#: Bounds of 0, 1, ... draws, in 65,536ths.
+_DRAWN = [int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) + 0.5) for k in range(9)]
 _LAST = "(len({0}) - list_position(list_reverse({0}), {1}))"
 
 
@@ -151,18 +154,25 @@ def _with(final: str, **more: str) -> str:
     """The final SELECT after the parts that it needs, and some of its own."""
     parts = PARTS | more
     need: list[str] = []
+    open_: list[str] = []  # a recursive part reads itself
+    recursive = set()
 
     def visit(text: str) -> None:
         import re
 
         for word in dict.fromkeys(re.findall(r"\b[a-z_0-9]+\b", text)):
             if word in parts and word not in need and re.search(rf"\b(?:FROM|JOIN)\s+{word}\b", text):
+                if word in open_:
+                    recursive.add(word)
+                    continue
+                open_.append(word)
                 visit(_expand(parts[word]))
+                open_.pop()
                 if word not in need:
                     need.append(word)
 
     visit(final)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({dedent(_expand(parts[n])).strip()})" for n in need) + "\n" + final if need else final
+    return f"WITH {'RECURSIVE ' * bool(recursive)}" + ",\n".join(f"{n} AS{'' if n in recursive else ' MATERIALIZED'} ({dedent(_expand(parts[n])).strip()})" for n in need) + "\n" + final if need else final
 
 
 def _six(columns: str) -> str:
@@ -201,6 +211,18 @@ def _pairwise(mask: tuple[int, ...]) -> str:
          JOIN (SELECT query_id, {total} AS v FROM features) b USING (query_id) GROUP BY ALL)"""
 
 
+def _drawn(tools: str, wanted: str, without: str = "") -> dict[str, str]:
+    """`drawn`: pairs of tools in the order of a permutation of the pairs' numbers, as many as wanted."""
+    return {
+        "names": f"SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS n FROM ({tools})",
+        "sizes": "SELECT c, c * (c - 1) AS total, (SELECT min(h) FROM range(0, 31) t(h) WHERE pow(4, h) >= c * (c - 1)) AS half FROM (SELECT count(*) AS c FROM names)",
+        "mixed0": "SELECT i, c, total, pow(2, half)::BIGINT AS wide, i // pow(2, half)::BIGINT AS hi, i % pow(2, half)::BIGINT AS lo FROM (SELECT *, unnest(range(pow(4, half)::BIGINT)) AS i FROM sizes)",
+        **{f"mixed{r + 1}": f"SELECT i, c, total, wide, lo AS hi, (hi + ('0x' || substr(md5('42:{r}:' || lo), 1, 8))::BIGINT) % wide AS lo FROM mixed{r}" for r in range(4)},
+        "ends": "SELECT i, p // (c - 1) AS s, p % (c - 1) + (p % (c - 1) >= p // (c - 1))::INT AS d FROM (SELECT i, c, hi * wide + lo AS p, total FROM mixed4) WHERE p < total",
+        "drawn": f"SELECT a.tool AS src, b.tool AS dst FROM ends JOIN names a ON a.n = s JOIN names b ON b.n = d {without} ORDER BY i LIMIT ({wanted})",
+    }
+
+
 def _beam(target: int = 4, width: int = 5) -> dict[str, str]:
     """The levels of a beam search, unrolled, once for each vector (as query_id, until the end)."""
     parts = {
@@ -316,11 +338,17 @@ ORACLE_SQL: dict[str, str] = {
         l0="SELECT DISTINCT a AS tool, a AS community FROM links_",
         **{f"l{i}": f"SELECT a AS tool, arg_min(community, (-round(s, 9), community)) AS community FROM (SELECT a, community, sum(w) AS s FROM links_ JOIN l{i - 1} ON b = tool GROUP BY ALL) GROUP BY a" for i in (1, 2, 3)},
     ),
-    "shortest_path_hops": _with(
-        "SELECT (SELECT min(src) FROM e) AS src, dst, min(h)::INT AS hops FROM (SELECT (SELECT min(src) FROM e) AS dst, 0 AS h UNION ALL SELECT dst, 1 FROM h1 UNION ALL SELECT dst, 2 FROM h2 UNION ALL SELECT dst, 3 FROM h3) GROUP BY dst",
-        e="SELECT src, dst FROM edges WHERE count >= 1 AND weight >= 0.05", h1="SELECT DISTINCT dst FROM e WHERE src = (SELECT min(src) FROM e)",
-        h2="SELECT DISTINCT e.dst FROM e JOIN h1 ON e.src = h1.dst", h3="SELECT DISTINCT e.dst FROM e JOIN h2 ON e.src = h2.dst",
-    ),
+    "shortest_path_hops": _with("SELECT (SELECT min(src) FROM e) AS src, dst, min(h)::INT AS hops FROM reach GROUP BY dst",
+        e="SELECT src, dst FROM edges WHERE count >= 1 AND weight >= 0.05",
+        reach="SELECT (SELECT min(src) FROM e) AS dst, 0 AS h UNION SELECT e.dst, h + 1 FROM reach JOIN e ON e.src = reach.dst WHERE h <= (SELECT count(DISTINCT src) FROM e)"),
+    "topological_order": _with("SELECT tool, component, n > 1 AS cyclic, layer::INT AS layer FROM member JOIN (SELECT component, count(*) AS n FROM member GROUP BY component) USING (component) JOIN (SELECT component, max(layer) AS layer FROM layers GROUP BY component) USING (component)",
+        e="SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS n FROM pruned) WHERE n <= 2",
+        reach="SELECT src, dst FROM e UNION SELECT reach.src, e.dst FROM reach JOIN e ON e.src = reach.dst",
+        ends="SELECT DISTINCT unnest([src, dst]) AS tool FROM e",
+        member="SELECT tool, least(tool, coalesce(min(y.src), tool)) AS component FROM ends LEFT JOIN (SELECT a.src, a.dst FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src) y ON y.dst = tool GROUP BY tool",
+        between="SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN member a ON a.tool = src JOIN member b ON b.tool = dst WHERE a.component <> b.component",
+        layers="SELECT DISTINCT component, 0 AS layer FROM member UNION SELECT dst, layer + 1 FROM layers JOIN between ON src = component"),
+    "random_graph_edges": _with("SELECT src, dst, 1.0::DOUBLE AS weight FROM drawn", **_drawn("SELECT DISTINCT unnest([src, dst]) AS tool FROM pruned", "SELECT count(*) FROM pruned")),
     "semantic_topk": _with(f"SELECT query_id, rank::INT AS rank, tool, {_six('sim')} FROM top"),
     "bm25_topk": _with("""
         SELECT item_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) - 1)::INT AS rank FROM
@@ -368,13 +396,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT src, dst, label, CASE WHEN h < 8 THEN 'train' WHEN h = 8 THEN 'val' ELSE 'test' END AS part FROM (SELECT *, ('0x' || substr(md5('42|' || src || '|' || dst), 1, 4))::INT % 10 AS h FROM
         (SELECT src, dst, 1::INT AS label FROM positive UNION ALL SELECT src, dst, 0 FROM drawn))""",
         positive="SELECT DISTINCT src, dst FROM (SELECT tool AS src, lead(tool) OVER (PARTITION BY task_id ORDER BY pos) AS dst FROM t2) WHERE dst IS NOT NULL AND src <> dst",
-        names="SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS n FROM (SELECT DISTINCT tool FROM t2)",
-        sizes="SELECT c, c * (c - 1) AS total, (SELECT min(h) FROM range(0, 31) t(h) WHERE pow(4, h) >= c * (c - 1)) AS half FROM (SELECT count(*) AS c FROM names)",
-        mixed0="SELECT i, c, total, pow(2, half)::BIGINT AS wide, i // pow(2, half)::BIGINT AS hi, i % pow(2, half)::BIGINT AS lo FROM (SELECT *, unnest(range(pow(4, half)::BIGINT)) AS i FROM sizes)",
-        **{f"mixed{r + 1}": f"SELECT i, c, total, wide, lo AS hi, (hi + ('0x' || substr(md5('42:{r}:' || lo), 1, 8))::BIGINT) % wide AS lo FROM mixed{r}" for r in range(4)},
-        ends="SELECT i, p // (c - 1) AS s, p % (c - 1) + (p % (c - 1) >= p // (c - 1))::INT AS d FROM (SELECT i, c, hi * wide + lo AS p, total FROM mixed4) WHERE p < total",
-        drawn="""SELECT a.tool AS src, b.tool AS dst FROM ends JOIN names a ON a.n = s JOIN names b ON b.n = d WHERE (a.tool, b.tool) NOT IN (SELECT (src, dst) FROM positive)
-            ORDER BY i LIMIT (SELECT 5 * count(*) FROM positive)"""),
+        **_drawn("SELECT DISTINCT tool FROM t2", "SELECT 5 * count(*) FROM positive", "WHERE (a.tool, b.tool) NOT IN (SELECT (src, dst) FROM positive)")),
     "sage_mean_agg": _with("SELECT tool, dim, round(avg(x), 6) AS value FROM (SELECT dst AS tool, unnest(range(len(vec)))::INT AS dim, unnest(vec) AS x FROM pruned JOIN vectors v ON v.tool = src) GROUP BY ALL"),
     "rollup_grouping_sets": _with("SELECT method, bucket, count(*) AS n, " + ", ".join(f"round(avg({v}), 6) AS mean_{v}, round(stddev_samp({v}), 6) AS std_{v}" for v in ("set_f1", "ordered_precision", "transition_acc"))
         + " FROM measured GROUP BY GROUPING SETS ((method, bucket), (method))"),
@@ -384,10 +406,11 @@ ORACLE_SQL: dict[str, str] = {
         fixed="SELECT query_id, method, list(tool ORDER BY rank) AS p, any_value(truth) AS g FROM ranked JOIN (SELECT query_id, truth FROM q) USING (query_id), (VALUES ('3', 3), ('5', 5), ('8', 8), ('oracle', NULL)) v(method, kk) WHERE rank < coalesce(kk, k) GROUP BY ALL",
         m=_measured("fixed", ["set_f1", "ordered_precision", "first_tool_acc"])),
     "bootstrap_ci": _with("""
-        SELECT n, round(mean_delta, 6) AS mean_delta, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p_value, 6) AS p_value, lo > 0 AS significant FROM (SELECT count(*) AS n, avg(delta) AS mean_delta FROM deltas),
-        (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg((m <= 0)::INT::DOUBLE) AS p_value FROM
-         (SELECT r, avg(x.delta) AS m FROM (SELECT r, ('0x' || substr(md5('42:' || r || ':' || d.i), 1, 8))::BIGINT % (SELECT count(*) FROM deltas) AS draw FROM range(200) t(r), deltas d) JOIN deltas x ON x.i = draw GROUP BY r))""",
-        deltas="SELECT a.ordered_precision - b.ordered_precision AS delta, row_number() OVER (ORDER BY query_id) - 1 AS i FROM (SELECT * FROM measured WHERE method = 'semantic_links') a JOIN (SELECT * FROM measured WHERE method = 'semantic') b USING (query_id)"),
+        SELECT n, round(mean_delta, 6) AS mean_delta, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p_value, 6) AS p_value, round(lo, 12) > 0 AS significant FROM (SELECT count(*) AS n, avg(delta) AS mean_delta FROM deltas),
+        (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg((round(m, 12) <= 0)::INT::DOUBLE) AS p_value FROM
+         (SELECT c, j, sum(times * delta) / sum(times) AS m FROM (SELECT c, j, delta, """ + " + ".join(f"(v >= {b})::INT" for b in _DRAWN) + """ AS times FROM
+          (SELECT c, j, delta, ('0x' || substr(h, 4 * j + 1, 4))::INT AS v FROM (SELECT c, delta, md5('42:' || c || ':' || query_id) AS h FROM deltas, range(1250) t(c)), range(8) s(j))) GROUP BY c, j))""",
+        deltas="SELECT a.ordered_precision - b.ordered_precision AS delta, query_id FROM (SELECT * FROM measured WHERE method = 'semantic_links') a JOIN (SELECT * FROM measured WHERE method = 'semantic') b USING (query_id)"),
     "random_order_null": _with("SELECT shuffle, round(avg(ordered_precision), 6) AS ordered_precision, round(avg(kendall_tau), 6) AS kendall_tau FROM (SELECT s.shuffle, m.* FROM m JOIN (SELECT query_id, method, shuffle FROM shuffled) s USING (query_id, method)) GROUP BY shuffle",
         shuffled="""SELECT query_id, shuffle::VARCHAR AS method, shuffle::INT AS shuffle, list_transform(list_sort(list_transform(range(1, len(p) + 1), lambda i: {'h': md5('42:' || shuffle || ':' || query_id || ':' || p[i] || ':' || (i - 1)), 't': p[i]})), lambda y: y.t) AS p, g
             FROM preds, range(20) r(shuffle) WHERE method = 'semantic'""",

@@ -435,20 +435,31 @@ def weak_components(spark, d):
 
 @query
 def louvain_communities(spark, d):
-    """Communities of the pruned event graph, small enough for the driver by its vocabulary of 50 tools."""
-    e = graph.undirected(_event_edges(spark, d)).limit(planning.MAX_EDGES + 1).collect()
-    if len(e) > planning.MAX_EDGES:
-        raise ValueError(f"these communities take a graph of at most {planning.MAX_EDGES} edges; use label propagation")
-    found = graph.louvain(sorted((r["u"], r["v"], r["weight"]) for r in e))
-    return spark.createDataFrame(sorted(found.items()), "tool string, community int")
+    """Communities of the event graph, numbered by the least names of their members."""
+    keep = working(spark, "louvain")
+    found = keep(graph.louvain(_event_edges(spark, d), keep), "found")
+    named = found.join(found.groupBy("community").agg(F.min("tool").alias("name")), "community")
+    return named.join(tables.numbered(named.select("name"), "name", keep), "name").select("tool", F.col("n").cast("int").alias("community"))
 
 
 @query
 def shortest_path_hops(spark, d):
-    """Hops from the least tool of the pruned order graph, at most three."""
+    """Hops from the least tool of the pruned order graph."""
     e = graph.pruned(_edges(spark, d), 1.0, 0.05)
     first = e.agg(F.min("src").alias("tool"))
-    return graph.shortest_paths(e, first, 3).select("src", "dst", "hops")
+    return graph.shortest_paths(e, first, working(spark, "hops")).select("src", "dst", "hops")
+
+
+@query
+def topological_order(spark, d):
+    """Components and layers of the graph of each tool's two heaviest edges of the pruned order graph."""
+    return graph.topological_order(graph.top_neighbours(graph.pruned(_edges(spark, d)), 2), working(spark, "layers"))
+
+
+@query
+def random_graph_edges(spark, d):
+    """A random graph with the tools and the number of edges of the pruned order graph."""
+    return planning.random_graph(graph.pruned(_edges(spark, d)), working(spark, "random-graph"))
 
 
 # -- retrieval ---------------------------------------------------------------------------------
@@ -532,8 +543,9 @@ def plan_best_first(spark, d):
 
 @query
 def random_graph_baseline(spark, d):
-    e = planning.random_graph(graph.pruned(_edges(spark, d)))
-    return planning.steps_of(_once(_queries(spark, d), "by_vec", lambda q: planning.best_first(q, _vectors(spark, d), e)))
+    """Best-first search, of 300 expansions, on a random graph."""
+    e = random_graph_edges(spark, d)
+    return planning.steps_of(_once(_queries(spark, d), "by_vec", lambda q: planning.best_first(q, _vectors(spark, d), e, expansions=300)))
 
 
 @query
@@ -718,7 +730,7 @@ def fixed_k_table(spark, d):
 @query
 def bootstrap_ci(spark, d):
     deltas = evaluation.paired(_measured(spark, d), "semantic_links", "semantic", "ordered_precision")
-    return _six(evaluation.bootstrap(deltas, 200))
+    return _six(evaluation.bootstrap(deltas))
 
 
 @query
