@@ -57,10 +57,48 @@ def test_text(spark):
     assert tuple(r) == ("foo_for_bar", True, "find x", "c", "a_for_b", ["b", "a", "c"], None, False, ["a", "b", "a"], True, False, "?")
 
 
+def test_literals_as_python_reads_them(spark):
+    """Tool lists by the column expression against ast.literal_eval."""
+    import ast
+    import random
+
+    rng, rows = random.Random(1), []
+    pieces = ["a", "'", '"', "\\", "\n", "\t", "é", "\x07", "don't", "\\n", "{", "}", "[", ", ", ": ", "None", "True", "🙂", "\x85", "/"]
+    for _ in range(300):
+        tools = []
+        for _ in range(rng.randint(0, 4)):
+            tool = {"name": "".join(rng.choices(pieces, k=rng.randint(0, 5))) if rng.random() < 0.8 else "Finish"}
+            if rng.random() < 0.8:
+                tool["description"] = "".join(rng.choices(pieces, k=rng.randint(0, 9))) if rng.random() < 0.9 else None
+            if rng.random() < 0.5:
+                tool["more"] = {"x": [1, 2.5, -3e-5, None, True, False, "it's"], "y": {}}
+            tools.append(tool)
+        rows.append(repr(tools))
+    rows += ["[{'name': 'a', 'description': 'unfinished}]", "[{'name': f(1)}]", "[{'name': 'x' 'y'}]", "[{'name': 'a',},]", r"[{'name': '\d\x41'}]"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, raw string")
+    said = F.concat(F.lit("Specifically, you have access to the following APIs: "), "raw")
+    got = {r.i: [tuple(t) for t in r.t] for r in df.select("i", text.tool_list(said).alias("t")).collect()}
+    for i, raw in enumerate(rows):
+        try:
+            want = ast.literal_eval(raw)
+        except (SyntaxError, ValueError):
+            want = []
+        if "'x' 'y'" in raw:
+            want = []  # literals side by side are left out
+        tools = [(t["name"], (t.get("description") or "").strip().rstrip('"')) for t in want if t["name"] not in ("", "Finish")]
+        assert got[i] == tools, raw
+
+
+def test_descriptions_of_their_own_objects(spark):
+    raw = '{"name": "a"} {"name": "b", "description": "of b"} {"name":"c","x":1} { "name" : "d", "y": 2, "description" : "of d"} {"description": "e", "name": "f"}'
+    got = spark.createDataFrame([(raw,), (None,), ("",)], "raw string").select(text.described_apis(F.col("raw")).alias("t")).collect()
+    assert [None if r.t is None else [tuple(t) for t in r.t] for r in got] == [[("b", "of b"), ("d", "of d")], None, []]
+
+
 def test_chats(spark, tmp_path):
     chat = [
         {"id": "x", "conversations": [
-            {"from": "system", "value": "Specifically, you have access to the following APIs: [{'name': 'get_for_w', 'description': 'Gets it'}, {'name': 'Finish', 'description': 'f'}]"},
+            {"from": "system", "value": "Specifically, you have access to the following APIs: [{'name': 'get_for_w', 'description': 'Got it'}, {'name': 'get_for_w', 'description': \"Gets 'it'\"}, {'name': 'Finish', 'description': 'f'}]"},
             {"from": "user", "value": "Step 1: ask"}, {"from": "assistant", "value": "Action: get_for_w\nAction Input: {}"},
             {"from": "function", "value": '{"error": "", "response": "r"}'}, {"from": "assistant", "value": "Action: Finish give_answer"},
         ]},
@@ -69,7 +107,7 @@ def test_chats(spark, tmp_path):
     (tmp_path / "chats.json").write_text(json.dumps(chat))
     assert readers.chats(spark, f"{tmp_path}/none.json").count() == 0
     rows = trajectory.successful(trajectory.from_chats(readers.chats(spark, f"{tmp_path}/chats.json"))).collect()
-    assert [(r.task_id, r.task_description, r.tool_details[0].description, r.tool_details[0].call_success) for r in rows] == [("x", "ask", "Gets it", True)]
+    assert [(r.task_id, r.task_description, r.tool_details[0].description, r.tool_details[0].call_success) for r in rows] == [("x", "ask", "Gets 'it'", True)]
 
 
 def test_edges_csv(spark, tmp_path, steps):

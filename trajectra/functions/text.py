@@ -50,26 +50,58 @@ def api_name(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"\[(\w+)\(", 1), F.lit(""))
 
 
+#: One object with a name and, before it ends, a description.
+_DESCRIBED = r'\{\s*"name"\s*:\s*"([^"]+)"[^}]*"description"\s*:\s*"([^"]+)"'
+
+
 def described_apis(text: Column) -> Column:
-    """array<struct<name, description>>: all name and description pairs of a JSON-like text."""
-    names = F.regexp_extract_all(text, F.lit('"name"\\s*:\\s*"([^"]*)"'), 1)
-    descriptions = F.regexp_extract_all(text, F.lit('"description"\\s*:\\s*"([^"]*)"'), 1)
-    return F.filter(F.arrays_zip(names.alias("name"), descriptions.alias("description")), lambda p: p["name"].isNotNull() & p["description"].isNotNull())
+    """array<struct<name, description>>: the objects of a JSON-like text that have both, each with its own."""
+    objects = F.regexp_extract_all(text, F.lit(_DESCRIBED), 0)
+    return F.transform(objects, lambda o: F.struct(F.regexp_extract(o, _DESCRIBED, 1).alias("name"), F.regexp_extract(o, _DESCRIBED, 2).alias("description")))
+
+
+#: The tokens of a Python literal: strings in either quote, names, numbers, and marks; anything else makes a token of its own.
+_TOKEN = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[A-Za-z_]\w*+|[-+.\d][-+.\w]*+|\S"""
+
+
+def literal_json(literal: Column) -> Column:
+    """A Python literal of lists, dicts, strings, numbers, True, False and None as JSON text.
+
+    Strings are found by their own quotes, so apostrophes and quotes inside them stay what they are. Escapes that JSON
+    has not are put into its own; a backslash before any other character stands for itself, as it does in Python.
+    """
+
+    def string(token: Column) -> Column:
+        body = F.substring(token, F.lit(2), F.char_length(token) - 2)
+        body = F.regexp_replace(body, r"\\'", "'")
+        body = F.regexp_replace(body, r'(?<!\\)((?:\\\\)*)"', '$1\\\\"')
+        body = F.regexp_replace(body, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
+        body = F.regexp_replace(body, r'(?<!\\)((?:\\\\)*)\\([^"\\/bfnrtu])', r"$1\\\\$2")
+        return F.concat(F.lit('"'), body, F.lit('"'))
+
+    def token(t: Column) -> Column:
+        words = F.when(t == "True", "true").when(t == "False", "false").when(t == "None", "null").otherwise(t)
+        return F.when(t.startswith("'") | t.startswith('"'), string(t)).otherwise(words)
+
+    tokens_ = F.regexp_extract_all(literal, F.lit(_TOKEN), 0)
+    last = lambda t, i: (t == ",") & F.coalesce(F.get(tokens_, i + 1).isin("]", "}"), F.lit(False))  # noqa: E731  Python allows a last comma
+    return F.array_join(F.transform(F.filter(tokens_, lambda t, i: ~last(t, i)), token), " ")
+
+
+#: What a description begins with in chat samples, up to its first quote.
+_PREAMBLE = r'This is the subfunction for tool "[^"]+", you can use this tool\.The description of this function is: "?'
 
 
 def tool_list(system: Column, marker: str = "Specifically, you have access to the following APIs:") -> Column:
-    """array<struct<name, description>>: the literal list of tools after a fixed sentence, without Finish."""
-    literal = F.regexp_extract(system, f"(?s){marker}\\s*(\\[.*\\])", 1)
-    as_json = F.regexp_replace(F.regexp_replace(F.regexp_replace(literal, "'", '"'), r"\bNone\b", "null"), r"\b(True|False)\b", '"$1"')
-    rows = F.coalesce(F.from_json(as_json, "array<struct<name: string, description: string>>"), F.expr("array()"))
-    described = F.transform(
-        F.filter(rows, lambda r: r["name"] != "Finish"),
-        lambda r: F.struct(
-            r["name"].alias("name"),
-            F.trim(F.regexp_replace(F.regexp_replace(r["description"], r'^.*The description of this function is:\s*"?', ""), '"+$', "")).alias("description"),
-        ),
-    )
-    return described
+    """array<struct<name, description>>: the literal list of tools after a fixed sentence, without Finish and without nameless ones.
+
+    A list that is no such literal gives no tools; a tool without a description has an empty one.
+    """
+    literal = F.regexp_extract(system, f"(?s){marker}\\s*(\\[.+\\])", 1)
+    parsed = F.from_json(literal_json(literal), "array<struct<name: string, description: string>>", {"allowUnquotedControlChars": "true"})
+    rows = F.filter(F.coalesce(parsed, F.expr("array()")), lambda r: F.coalesce(r["name"], F.lit("")).isin("", "Finish") == F.lit(False))
+    plain = lambda d: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(d, F.lit("")), _PREAMBLE, ""), r"(?U)^\s+|\s+\z", ""), r'"+\z', "")
+    return F.transform(rows, lambda r: F.struct(r["name"].alias("name"), plain(r["description"]).alias("description")))
 
 
 def collapsed(seq: Column) -> Column:

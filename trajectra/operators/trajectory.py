@@ -36,7 +36,7 @@ def from_chats(chats: DataFrame) -> DataFrame:
         "_calls",
         lambda c: F.struct(
             c["name"].alias("name"), text.category(c["name"], F.lit("")).alias("category"),
-            F.coalesce(F.get(F.filter("_tools", lambda t: t["name"] == c["name"]), F.lit(0))["description"], F.lit("")).alias("description"),
+            F.coalesce(F.element_at(F.filter(F.concat(F.array(F.struct(c["name"].alias("name"), F.lit("").alias("description"))), "_tools"), lambda t: t["name"] == c["name"]), -1)["description"], F.lit("")).alias("description"),
             c["call_success"].alias("call_success"),
         ),
     )

@@ -265,6 +265,11 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN p_partkey % 9 <= 3 THEN 'short' WHEN p_partkey % 9 <= 6 THEN 'medium' ELSE 'long' END AS bucket_short,
                CASE WHEN p_partkey % 9 <= 2 THEN 'short(2)' ELSE 'medium(3+)' END AS bucket_two
         FROM (SELECT *, replace(p_name, ' ', '_') || '_for_' || lower(p_type) AS tool FROM part)""",
+    "parsed_tool_lists": _with("SELECT p_partkey, i::INT AS place, t.name AS name, t.description AS description FROM (SELECT p_partkey, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM tools)",
+        tools="""SELECT p_partkey, [{'name': replace(p_name, ' ', '_') || '_for_x', 'description': 'It''s "' || p_type || '", isn''t it?'}, {'name': replace(p_name, ' ', '_'), 'description': 'don''t' || chr(10) || p_brand},
+            {'name': 'z' || p_partkey, 'description': ''}, {'name': 'told', 'description': p_type}] AS ts FROM part WHERE p_partkey % 10 <> 3"""),
+    "parsed_descriptions": _with("""SELECT p_partkey, 0::INT AS place, p_name AS name, 'of ' || p_type AS description FROM part
+        UNION ALL SELECT p_partkey, 1, 'b', 'of b' FROM part WHERE p_partkey % 2 = 0"""),
     "tool_frequency": _with("SELECT * FROM frequency"),
     "tool_registry": """
         SELECT tool, coalesce(arg_min(category, p_partkey) FILTER (category <> ''), '') AS category, coalesce(arg_min(description, p_partkey) FILTER (description <> ''), '') AS description,

@@ -241,6 +241,29 @@ def text_functions(spark, d):
     )
 
 
+@query
+def parsed_tool_lists(spark, d):
+    """Tools and descriptions of Python literals made of the parts: apostrophes, quotes, escapes, missing values, and lists that are none."""
+    p = tables.table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    first = F.format_string("""{'name': '%s_for_x', 'description': 'It\\'s "%s", isn\\'t it?', 'required': [], 'n': 1.5}""", name, "p_type")
+    second = F.format_string("""{"name": "%s", "description": "don't\\n%s", 'optional': None, 'on': True,}""", name, "p_brand")
+    third = F.format_string("""{'name': 'z%s'}, {'description': 'no name'}, {'name': 'Finish', 'description': 'f'}""", F.col("p_partkey").cast("string"))
+    told = F.format_string("""{'name': 'told', 'description': 'This is the subfunction for tool "t", you can use this tool.The description of this function is: "%s"'}""", "p_type")
+    rows = F.when(F.col("p_partkey") % 10 == 3, "[{'name': broken").otherwise(F.concat(F.lit("["), F.concat_ws(", ", first, second, third, told), F.lit("]")))
+    said = F.concat(F.lit("You are AutoGPT.\nSpecifically, you have access to the following APIs: "), rows)
+    return p.select("p_partkey", F.posexplode(text.tool_list(said)).alias("place", "t")).select("p_partkey", "place", "t.*")
+
+
+@query
+def parsed_descriptions(spark, d):
+    """Names and descriptions of JSON objects in a log line, some of which have no description."""
+    p = tables.table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    described = F.format_string('{"name": "%s", "in": [1], "description": "of %s"}', "p_name", "p_type")
+    line = F.concat_ws(" ", F.lit('found {"name": "bare"}'), described, F.when(F.col("p_partkey") % 2 == 0, '{ "name":"b" , "x": 2, "description" : "of b"}'), F.lit('{"name": "", "description": "none"}'))
+    return p.select("p_partkey", F.posexplode(text.described_apis(line)).alias("place", "t")).select("p_partkey", "place", "t.*")
+
+
 @query
 def tool_frequency(spark, d):
     return _frequency(spark, d)
