@@ -488,13 +488,43 @@ def test_html_structures():
     for tag in ("noscript", "template", "textarea"):
         assert html.main_text(f"<article><p>before <{tag}> in it {PARAGRAPH}") == f"before in it {text}"
     assert html.main_text("<article>a < b & c &lt; d <br>more") == "a < b & c < d more"
-    used, todo = set(), [html.tree()]
-    while todo:
-        node = todo.pop()
-        if len(node) > 1:
-            used.add(node[0])
-            todo += node[2:]
-    assert {3, 5} <= used  # the link densities of the blocks before and after
+    # comments, notices and discussions go at any length, also if they hold most of the words
+    title = f"<h1>T</h1>{PARAGRAPH}"
+    for name in ('<div class="comments">', "<section class='discussion'>", "<div id=cookie-notice>", '<div class="alert alert-info">', "<div role=alert>", "<ul class='comment-list'>"):
+        assert html.main_text(f"<article>{title}{name}{PARAGRAPH * 9}</div></section></ul></article>") == f"T {text}"
+        assert html.main_text(f"<article>{title}</article>{name}{PARAGRAPH * 9}") == f"T {text}"
+        assert html.main_text(f"{title}{PARAGRAPH}{name}{PARAGRAPH * 9}") == f"T {text} {text}"
+    # a state of a wrapper is no name
+    assert html.main_text(f'<div class="comments-open with-sidebar">{PARAGRAPH * 2}</div>') == f"{text} {text}"
+    # an article's header holds its title, the page's does not
+    assert html.main_text(f"<header><h1>Site</h1></header><article><header><h1>Title here</h1></header>{PARAGRAPH}</article>") == f"Title here {text}"
+    # in an article, a list of links goes and a linked line stays
+    links = "<ul>" + "<li><a href=/>read that</a>" * 3 + "</ul>"
+    assert html.main_text(f"<article>{PARAGRAPH}<p><a href=/>one link</a></p>{PARAGRAPH}{links}</article>") == f"{text} one link {text}"
+
+
+def test_numbers_decide_wherever_a_block_stands():
+    """For every standing there are blocks that are kept or dropped by their neighbours' numbers alone."""
+    sizes, densities = (1, 6, 25, 60, 110, 160), (0.0, 0.3, 1.0)
+    for place in range(1, 6):
+        by_own = [
+            {html.keeps((n, d, a, x, b, y, place)) for a in sizes for x in densities for b in sizes for y in densities} for n in sizes for d in densities
+        ]
+        assert {True, False} in by_own, place
+        every = [html.keeps((n, d, 30, 0.0, 30, 0.0, place)) for n in sizes for d in densities]
+        assert any(every) or place == 2
+    for n in range(1, 200):  # plain text in an article stays, whatever is around it
+        assert all(html.keeps((n, 0.1, a, x, b, y, 5)) for a in sizes for x in densities for b in sizes for y in densities)
+
+
+def test_html_on_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long"
+    rows = [(1, None, f"<article>{PARAGRAPH}", "old", 3)] * 2 + [(None, "u", None, None, None), (2, "u", "   \n ", "x", 1), (3, "u", PARAGRAPH * 30_000, "", 0)]
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows, schema)).collect())
+    text = PARAGRAPH[3:-5].strip()
+    assert got == [(0, "", None), (1, text, 3), (1, text, 3), (2, "", 1), (3, " ".join([text] * 30_000), 0)]
+    none = html.extract(spark.createDataFrame([], schema))
+    assert none.count() == 0 and sorted(none.columns) == sorted(schema.replace(" long", "").replace(" string", "").split(", "))
 
 
 @pytest.mark.parametrize("page", ['<a "', "<a \"'>", "<div>", "<div></p>", "<noscript>", "<", "<!--", "<p><b>x", "<div class='share x'>y", "<![CDATA["])

@@ -1,12 +1,16 @@
 """Main text of HTML pages: flat text blocks classified by a small decision tree.
 
 A page is cut at block-level tags into flat blocks. Each block is described by its word count and
-link density, those of the blocks before and after it, and by the containers it stands in. A
+link density, those of the blocks before and after it, and by where it stands (see `standing`). A
 decision tree, grown here from the small labelled table BLOCKS, keeps or drops each block.
 
-A container counts as an outer one by its tag or role, or by a word in its class or id. The latter
-does not count within an article or main element that it holds, nor if it holds more than half of a
-page's words: such an element wraps the page rather than standing beside its text.
+What stands in an outer container (a tag such as nav, an ARIA role, or a class or id that says so: adverts,
+comments, notices, ...) is no main text at any length, and is not classified. Everywhere else the numbers decide: in an
+article, lists of links go and linked lines between paragraphs stay; beside one, only runs of long
+paragraphs without links stay; without one, paragraphs stay and short lines among links go. A class or id that
+merely tells a state (has-sidebar, comments-open) or names a header is weak, and again the numbers decide. A header
+element within an article belongs to it (its title), one outside is the site's. Names of containers around an
+article don't count for what the article holds.
 
 Pages are read once from the left, in time that grows with their length. Edge cases: a null or empty
 page gives an empty text; unclosed tags end with their nearest closed container; a tag without an end
@@ -43,12 +47,16 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Containers that rule a block in, and out.
 MAIN_TAGS = frozenset("article main".split())
 OUTER_TAGS = frozenset("nav footer aside form header menu dialog button".split())
+#: Words of a class or id that name an outer container, and those that may as well name a part of the article.
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal"
-    r"|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|remark|replies|respond|share|sharing|sidebar|social"
-    r"|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|alerts?|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|discussions?|disqus|footer|menu|modal"
+    r"|nav\w*|newsletter|notices?|notification|pagination|popup|promo\w*|related|remarks?|replies|respond|share|sharing|sidebar|social"
+    r"|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[_-])",
     re.I,
 )
+WEAK_HINTS = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
+#: Classes that tell a state of what they stand on.
+STATES = re.compile(r"^(?:has|with|without|no|is|show|hide)[_-]|[_-](?:enabled|disabled|active|open|closed|on|off|visible|layout|page)$", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _QUOTE_OR_END = re.compile("[\"'>]")
@@ -58,100 +66,185 @@ TO_THE_END = frozenset("script style".split())
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS}
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
-#: Labelled blocks, one a line: words, link density, words and link density of the block before and
-#: of the one after, inside article or main (1), inside an outer container or one with such a name
-#: (1), any article or main on the page (1); then main text (1) or not (0).
-BLOCKS = """
-60 .00 40 .00 55 .00 1 0 1 1
-12 .00 60 .00 30 .00 1 0 1 1
-1 .00 0 .00 80 .00 1 0 1 1
-3 .00 20 .00 4 .00 1 0 1 1
-9 .00 4 1.0 70 .00 1 0 1 1
-45 .08 60 .00 30 .00 1 0 1 1
-6 1.0 50 .00 40 .00 1 0 1 1
-14 .60 35 .00 8 .00 1 0 1 1
-200 .01 10 .00 0 .00 1 0 1 1
-2 .00 1 1.0 1 .00 1 0 1 1
-5 .00 60 .00 0 .00 1 1 1 0
-40 .00 80 .00 30 .00 1 1 1 0
-3 1.0 4 1.0 5 1.0 1 1 1 0
-90 .00 70 .00 20 .05 1 1 1 0
-8 .25 3 .00 6 .00 1 1 1 0
-1 1.0 1 1.0 1 1.0 0 1 1 0
-2 1.0 0 .00 1 1.0 0 1 1 0
-7 .00 1 1.0 9 .00 0 1 1 0
-30 .00 7 .00 12 .00 0 1 1 0
-10 .00 60 .00 0 .00 0 1 1 0
-12 .00 1 1.0 10 .00 0 0 1 0
-6 .50 30 .00 8 .00 0 0 1 0
-55 .00 12 .00 6 .00 0 0 1 0
-4 .00 0 .00 9 .00 0 0 1 0
-25 .00 14 .10 3 1.0 0 0 1 0
-60 .00 40 .00 55 .00 0 0 0 1
-25 .00 60 .00 70 .02 0 0 0 1
-18 .00 45 .00 35 .00 0 0 0 1
-80 .05 9 .00 4 1.0 0 0 0 1
-7 .00 1 1.0 75 .00 0 0 0 1
-5 .00 50 .00 60 .00 0 0 0 1
-4 .00 44 .00 38 .00 0 0 0 1
-15 .10 20 .00 25 .00 0 0 0 1
-30 .30 60 .00 50 .00 0 0 0 1
-120 .00 3 1.0 5 1.0 0 0 0 1
-35 .00 0 .00 0 .00 0 0 0 1
-20 .00 0 .00 0 .00 0 0 0 1
-50 .00 30 .00 0 .00 0 0 0 1
-40 .00 3 1.0 6 .10 0 0 0 1
-25 .00 12 .00 2 .00 0 0 0 1
-1 1.0 1 1.0 1 1.0 0 0 0 0
-3 1.0 2 1.0 4 1.0 0 0 0 0
-12 .80 5 1.0 40 .00 0 0 0 0
-4 .00 3 1.0 2 1.0 0 0 0 0
-5 .00 2 .00 3 1.0 0 0 0 0
-4 .00 0 .00 0 .00 0 0 0 0
-6 .00 30 .00 0 .00 0 0 0 0
-6 .60 70 .00 4 .80 0 0 0 0
-2 1.0 90 .00 60 .00 0 0 0 0
-35 .00 1 1.0 60 .00 0 1 0 0
-80 .00 60 .00 50 .00 0 1 0 0
-9 .00 5 .00 2 1.0 0 1 0 0
-1 1.0 3 1.0 50 .00 0 1 0 0
-6 .00 40 .00 7 .00 0 0 0 1
-7 .00 6 .00 8 .00 0 0 0 1
-8 .00 7 .00 45 .00 0 0 0 1
-3 .00 5 .00 4 .00 0 0 0 1
-9 .10 12 .00 10 .20 0 0 0 1
-4 .00 90 .05 6 .00 0 0 0 1
-12 .00 5 .00 6 .15 0 0 0 1
-2 .00 3 .00 30 .00 0 0 0 1
-8 .50 40 .00 60 .00 0 0 0 1
-14 .40 80 .10 25 .00 0 0 0 1
-5 .00 4 .90 3 .00 0 0 0 0
-5 .00 30 .00 4 1.0 0 0 0 0
-9 .00 2 1.0 12 .60 0 0 0 0
-7 .00 6 .80 5 .90 0 0 0 0
-11 .10 3 1.0 2 1.0 0 0 0 0
-6 .00 1 1.0 8 .00 0 0 0 0
-9 .70 45 .00 50 .00 0 0 0 0
-16 .90 8 1.0 70 .00 0 0 0 0
-30 .80 20 .75 25 .70 0 0 0 0
-13 .60 6 1.0 5 1.0 0 0 0 0
-22 .05 4 .90 60 .00 0 0 0 1
-26 .00 50 .00 3 1.0 0 0 0 1
-40 .20 6 .80 4 1.0 0 0 0 1
-4 .00 3 .00 3 .00 0 0 0 1
-4 .00 3 .00 2 .00 0 0 0 1
-4 .00 3 1.0 3 .00 0 0 0 0
-4 .00 3 .00 2 1.0 0 0 0 0
-5 .00 5 .00 5 .00 0 0 0 1
-5 .00 5 1.0 5 .00 0 0 0 0
-5 .00 5 .00 5 1.0 0 0 0 0
-8 .00 4 .00 3 .00 0 0 0 1
-8 .00 4 1.0 3 .00 0 0 0 0
-8 .00 4 .00 3 1.0 0 0 0 0
-2 .00 2 .00 2 .00 0 0 0 1
-2 .00 2 1.0 2 .00 0 0 0 0
-2 .00 2 .00 2 1.0 0 0 0 0
-"""
+#: Labelled blocks, one a line: words, link density, words and link density of the block before and of the one after;
+#: then main text (1) or not (0). The groups are those of `standing`.
+BLOCKS = {
+    # on a page without an article, weakly named
+    1: """
+35 .00 30 .00 40 .00 1
+60 .00 0 .00 50 .02 1
+5 .00 50 .00 60 .00 1
+28 .05 40 .00 8 .00 1
+90 .00 4 1.0 60 .00 1
+7 .00 30 .00 45 .00 1
+45 .00 55 .00 0 .00 1
+8 .00 2 1.0 3 1.0 0
+4 .00 0 .00 3 1.0 0
+12 .00 6 .00 8 .00 0
+30 .30 4 1.0 3 1.0 0
+2 1.0 3 1.0 2 1.0 0
+15 .00 3 1.0 60 .00 0
+5 .00 0 .00 9 .00 0
+6 .70 40 .00 50 .00 0
+32 .00 32 .00 3 .00 1
+30 .00 40 .00 5 1.0 1
+60 .00 30 .00 0 .00 1
+45 .00 2 .00 35 .00 1
+26 .00 80 .00 12 .00 1
+32 .00 0 .00 32 .00 1
+""",
+    # beside the article
+    2: """
+12 .00 1 1.0 10 .00 0
+6 .50 30 .00 8 .00 0
+55 .00 12 .00 6 .00 0
+4 .00 0 .00 9 .00 0
+25 .00 14 .10 3 1.0 0
+120 .00 100 .00 90 .02 1
+150 .01 90 .00 110 .00 1
+105 .00 140 .00 85 .00 1
+200 .03 120 .00 160 .00 1
+70 .00 20 .00 10 .00 0
+60 .00 60 .00 50 .00 0
+90 .00 5 .00 8 .00 0
+130 .00 10 .00 9 .00 0
+140 .00 120 .00 15 .00 0
+140 .00 15 .00 120 .00 0
+180 .20 120 .00 110 .00 0
+80 .00 90 .00 100 .00 0
+1 1.0 1 1.0 1 1.0 0
+9 .00 0 .00 12 .00 0
+35 .00 30 .00 40 .00 0
+60 .00 0 .00 50 .02 0
+5 .00 50 .00 60 .00 0
+28 .05 40 .00 8 .00 0
+90 .00 4 1.0 60 .00 0
+7 .00 30 .00 45 .00 0
+45 .00 55 .00 0 .00 0
+95 .00 70 .00 75 .00 0
+""",
+    # on a page without an article
+    3: """
+60 .00 40 .00 55 .00 1
+25 .00 60 .00 70 .02 1
+18 .00 45 .00 35 .00 1
+80 .05 9 .00 4 1.0 1
+7 .00 1 1.0 75 .00 1
+5 .00 50 .00 60 .00 1
+4 .00 44 .00 38 .00 1
+15 .10 20 .00 25 .00 1
+30 .30 60 .00 50 .00 1
+120 .00 3 1.0 5 1.0 1
+35 .00 0 .00 0 .00 1
+20 .00 0 .00 0 .00 1
+50 .00 30 .00 0 .00 1
+40 .00 3 1.0 6 .10 1
+25 .00 12 .00 2 .00 1
+1 1.0 1 1.0 1 1.0 0
+3 1.0 2 1.0 4 1.0 0
+12 .80 5 1.0 40 .00 0
+4 .00 3 1.0 2 1.0 0
+5 .00 2 .00 3 1.0 0
+4 .00 0 .00 0 .00 0
+6 .00 30 .00 0 .00 0
+6 .60 70 .00 4 .80 0
+2 1.0 90 .00 60 .00 0
+6 .00 40 .00 7 .00 1
+7 .00 6 .00 8 .00 1
+8 .00 7 .00 45 .00 1
+3 .00 5 .00 4 .00 1
+9 .10 12 .00 10 .20 1
+4 .00 90 .05 6 .00 1
+12 .00 5 .00 6 .15 1
+2 .00 3 .00 30 .00 1
+8 .50 40 .00 60 .00 1
+14 .40 80 .10 25 .00 1
+5 .00 4 .90 3 .00 0
+5 .00 30 .00 4 1.0 0
+9 .00 2 1.0 12 .60 0
+7 .00 6 .80 5 .90 0
+11 .10 3 1.0 2 1.0 0
+6 .00 1 1.0 8 .00 0
+9 .70 45 .00 50 .00 0
+16 .90 8 1.0 70 .00 0
+30 .80 20 .75 25 .70 0
+13 .60 6 1.0 5 1.0 0
+22 .05 4 .90 60 .00 1
+26 .00 50 .00 3 1.0 1
+40 .20 6 .80 4 1.0 1
+4 .00 3 .00 3 .00 1
+4 .00 3 .00 2 .00 1
+4 .00 3 1.0 3 .00 0
+4 .00 3 .00 2 1.0 0
+5 .00 5 .00 5 .00 1
+5 .00 5 1.0 5 .00 0
+5 .00 5 .00 5 1.0 0
+8 .00 4 .00 3 .00 1
+8 .00 4 1.0 3 .00 0
+8 .00 4 .00 3 1.0 0
+2 .00 2 .00 2 .00 1
+2 .00 2 1.0 2 .00 0
+2 .00 2 .00 2 1.0 0
+""",
+    # in the article, weakly named
+    4: """
+6 .00 0 .00 3 .00 1
+8 .00 6 .00 40 .00 1
+50 .00 60 .00 50 .00 1
+4 .25 9 .00 60 .00 1
+5 .00 4 1.0 70 .00 1
+2 .00 8 .00 3 .00 1
+30 .10 5 .00 20 .00 1
+3 1.0 6 .00 2 1.0 0
+2 1.0 0 .00 5 .00 0
+5 .60 4 .00 30 .00 0
+4 .80 2 1.0 50 .00 0
+9 .70 3 .00 4 .00 0
+12 1.0 0 .00 60 .00 1
+8 1.0 0 .00 40 .00 1
+25 1.0 6 .00 50 .00 1
+12 1.0 3 1.0 2 1.0 0
+8 1.0 2 1.0 40 .00 0
+25 1.0 6 .00 4 1.0 0
+6 1.0 0 .00 90 .00 1
+6 1.0 4 1.0 90 .00 0
+""",
+    # in the article
+    5: """
+60 .00 40 .00 55 .00 1
+12 .00 60 .00 30 .00 1
+1 .00 0 .00 80 .00 1
+3 .00 20 .00 4 .00 1
+9 .00 4 1.0 70 .00 1
+45 .08 60 .00 30 .00 1
+6 1.0 50 .00 40 .00 1
+14 .60 35 .00 8 .00 1
+200 .01 10 .00 0 .00 1
+2 .00 1 1.0 1 .00 1
+1 .00 1 1.0 1 1.0 1
+4 1.0 0 .00 70 .00 1
+5 .00 5 .00 5 .00 1
+5 .00 5 1.0 5 1.0 1
+2 .00 2 1.0 2 1.0 1
+30 .45 12 1.0 40 .00 1
+8 .40 3 1.0 4 1.0 1
+60 .70 50 .10 45 .05 1
+25 .10 3 1.0 4 1.0 1
+80 .20 9 1.0 8 1.0 1
+9 1.0 4 .00 0 .00 1
+3 1.0 6 .00 5 .20 1
+2 1.0 2 1.0 3 1.0 0
+4 1.0 3 1.0 60 .00 0
+3 1.0 40 .00 2 1.0 0
+5 .90 4 1.0 6 .95 0
+8 1.0 8 .90 7 1.0 0
+6 .80 0 .00 5 1.0 0
+10 1.0 9 1.0 0 .00 0
+3 .75 2 1.0 30 .00 0
+3 .75 30 .00 2 1.0 0
+20 .95 18 .90 15 1.0 0
+""",
+}
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple:
@@ -171,26 +264,18 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple:
     return best[1], best[2], grow(x[go], y[go], depth - 1), grow(x[~go], y[~go], depth - 1)
 
 
-def standing(main: bool, outer: bool, any_main: bool) -> int:
-    """In an outer container 0, beside the article 1, on a page without one 2, in the article 3."""
-    return 0 if outer else 3 if main else 1 if any_main else 2
+def standing(main: bool, weak: bool, any_main: bool) -> int:
+    """On a page without an article 3 (weakly named 1), beside the article 2, in it 5 (weakly named 4)."""
+    if main:
+        return 4 if weak else 5
+    return 2 if any_main else 1 if weak else 3
 
 
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    """The tree of the labelled table.
-
-    Blocks of pages without an article, of all kinds, stand once more for such blocks elsewhere: main text in an
-    article, none beside it or in an outer container.
-    """
-    rows = [[float(x) for x in line.split()] for line in BLOCKS.split("\n") if line]
-    x = [[*r[:6], standing(*map(bool, r[6:9]))] for r in rows]
-    y = [r[9] for r in rows]
-    free = [r[:6] for r in x if r[6] == 2]
-    for place in (0, 1, 3):
-        x += [[*r, place] for r in free]
-        y += [float(place == 3)] * len(free)
-    return grow(np.array(x), np.array(y))
+    """The tree of the labelled table."""
+    rows = [(*map(float, line.split()), place) for place, lines in BLOCKS.items() for line in lines.split("\n") if line]
+    return grow(np.array([[*r[:6], r[7]] for r in rows]), np.array([r[6] for r in rows]))
 
 
 def keeps(features: tuple) -> bool:
@@ -255,19 +340,22 @@ def _end_of_tag(page: str, at: int) -> int:
     return -1
 
 
+_NOWHERE = (False, False, False, False, False)
+
+
 class _Blocks:
     """The flat blocks of a page."""
 
     def __init__(self, page: str):
-        #: (text, words, link density, in main container, in outer container, containers with such a name)
-        self.found: list[tuple[str, int, float, bool, bool, tuple[int, ...]]] = []
-        # open elements: tag, and what holds within: main, outer, silent, named containers
-        self.stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
+        #: (text, words, link density, in main container, in outer container, in one with a weak name)
+        self.found: list[tuple[str, int, float, bool, bool, bool]] = []
+        # open elements: tag, and what holds within: main, outer by tag or role, silent, outer by name, weak name
+        self.stack: list[tuple[str, bool, bool, bool, bool, bool]] = []
         self.open: Counter[str] = Counter()
-        self.now = (False, False, False, ())
+        self.now = _NOWHERE
         self.raw: list[str] = []
         self.linked: list[str] = []
-        self.links = self.named = 0
+        self.links = 0
         for text, tag, attributes in tokens(page):
             if text:
                 if not self.now[2]:
@@ -283,15 +371,15 @@ class _Blocks:
             words = entities.unescape("".join(self.raw)).split()
             if words:
                 n = len(entities.unescape(" ".join(self.linked)).split())
-                main, outer, _, named = self.now
-                self.found.append((" ".join(words), len(words), min(1.0, n / len(words)), main, outer, named))
+                main, outer, _, named, weak = self.now
+                self.found.append((" ".join(words), len(words), min(1.0, n / len(words)), main, outer or named, weak))
             self.raw.clear()
             self.linked.clear()
 
     def pop(self) -> str:
         tag = self.stack.pop()[0]
         self.open[tag] -= 1
-        self.now = self.stack[-1][1:] if self.stack else (False, False, False, ())
+        self.now = self.stack[-1][1:] if self.stack else _NOWHERE
         return tag
 
     def tag(self, tag: str, attributes: str) -> None:
@@ -309,44 +397,36 @@ class _Blocks:
             return
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
             self.pop()
-        (main, outer, silent, named), hinted = self.now, False
+        main, outer, silent, named, weak = self.now
         if attributes.strip() and tag not in ("html", "body", "main", "article"):
             for key, *values in _ATTR.findall(attributes):
                 value, key = "".join(values), key.lower()
                 if key in ("class", "id"):
-                    hinted = hinted or bool(HINTS.search(value))
+                    for word in value.split():
+                        hinted = bool(HINTS.search(word))
+                        state = hinted and bool(STATES.search(word))
+                        named, weak = named or (hinted and not state), weak or state or bool(WEAK_HINTS.search(word))
                 else:
                     outer = outer or (value.lower() in ROLES if key == "role" else value.lower() != "false" if key == "aria-hidden" else True)
-        if hinted:
-            self.named += 1
-            named = (*named[-8:], self.named)
         if tag in MAIN_TAGS:
-            main, named = True, ()
-        self.stack.append((tag, main, outer or tag in OUTER_TAGS, silent or tag in SILENT_TAGS, named))
+            main, named, weak = True, False, False
+        elif tag == "header" and main:
+            weak = True
+        elif tag in OUTER_TAGS:
+            outer = True
+        self.stack.append((tag, main, outer, silent or tag in SILENT_TAGS, named, weak))
         self.open[tag] += 1
         self.now = self.stack[-1][1:]
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """(text, words, link density, in main container, in outer container) of each flat block."""
-    found = _Blocks(page).found
-    held: Counter[int] = Counter()
-    for _, n, _, _, _, named in found:
-        for c in named:
-            held[c] += n
-    total = sum(b[1] for b in found)
-    # a container that holds more than half of the words wraps the page
-    return [(text, n, density, main, outer or any(2 * held[c] <= total for c in named)) for text, n, density, main, outer, named in found]
-
-
 def main_text(page: str | None) -> str:
     """The main text of a page: kept blocks in page order, joined by one blank."""
-    found = blocks(page or "")
+    found = _Blocks(page or "").found
     any_main = any(b[3] for b in found)
-    edge = ("", 0, 0.0, False, False)
+    edge = ("", 0, 0.0)
     kept = []
-    for before, (text, n, density, main, outer), after in zip([edge, *found], found, [*found[1:], edge], strict=False):
-        if keeps((n, density, before[1], before[2], after[1], after[2], standing(main, outer, any_main))):
+    for before, (text, n, density, main, outer, weak), after in zip([edge, *found], found, [*found[1:], edge], strict=False):
+        if not outer and keeps((n, density, before[1], before[2], after[1], after[2], standing(main, weak, any_main))):
             kept.append(text)
     return " ".join(kept)
 
