@@ -9,8 +9,10 @@ rank, which breaks its own ties by name.
 from __future__ import annotations
 
 import heapq
+import random
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -403,3 +405,106 @@ def plan(method: str, **inputs) -> DataFrame:
     if method not in named_as:
         raise ValueError(f"no planner named {method!r}")
     return named_as[method](**inputs)
+
+
+def beam_of(order: list[str], sims: dict, near: dict, community: dict, target: int = 4, width: int = 5, entries: int = 5, weights: tuple = (0.4, 0.4, 0.2), floor: float = 0.05) -> list[str]:
+    """The best plan of `beam` for one query; near has the strongest links (to, transition probability) of each tool."""
+    wt, ws, wd = weights
+    live = [((t,), sims[t]) for t in order[: min(entries, width)]]
+    done: dict[tuple, float] = {}
+    for _ in range(target - 1):
+        grown = []
+        for path, cum in live:
+            kinds, best = [community[t] for t in path], 0.0
+            for to, p in near.get(path[-1], ()):
+                if to in sims and to not in path:
+                    step = wt * p + ws * sims[to] + wd * (1 - kinds.count(community[to]) / len(path))
+                    best = max(best, step)
+                    grown.append(((*path, to), cum + step))
+            if best < floor:
+                done[path] = max(done.get(path, -np.inf), cum / len(path))
+        live = sorted(grown, key=lambda x: (-round(x[1], 9), x[0]))[:width]
+    for path, cum in live:
+        done[path] = max(done.get(path, -np.inf), cum / len(path))
+    return list(min(done, key=lambda p: (-round(done[p], 9), p))) if done else []
+
+
+def hybrid_of(order: list[str], sims: dict, links: dict, at: dict, k: int, multiple: int = 3, alpha: float = 0.5, gamma: float = 0.1) -> list[str]:
+    """The plan of `hybrid` without bridges for one query; links has the weights by source and target, a reverse one counts half."""
+    left = order[: max(k + 2, multiple * k)]
+    chosen = [left.pop(0)] if left else []
+    while left and len(chosen) < k:
+        place, last = len(chosen) / max(1, k - 1), chosen[-1]
+
+        def score(t: str) -> float:
+            link = links.get(last, {}).get(t)  # noqa: B023
+            link = links.get(t, {}).get(last, 0.0) * 0.5 if link is None else link  # noqa: B023
+            return round(alpha * link + (1 - alpha) * sims[t] + gamma * max(0.0, 1.0 - abs(at.get(t, 0.5) - place)), 9)  # noqa: B023
+
+        best = max(range(len(left)), key=lambda i: (score(left[i]), -i))
+        chosen.append(left.pop(best))
+    return chosen
+
+
+#: Values that the parameter search goes through.
+BEST_FIRST_GRID = {"beta": (0.1, 0.2, 0.3, 0.4, 0.5), "entries": (3, 5, 8, 10)}
+BEAM_GRID = {"wt": (0.2, 0.3, 0.4, 0.5), "ws": (0.3, 0.4, 0.5, 0.6), "width": (3, 5, 8, 10)}
+HYBRID_GRID = {"multiple": (2, 3, 4), "alpha": (0.3, 0.4, 0.5, 0.6, 0.7), "gamma": (0.0, 0.05, 0.1, 0.15, 0.2)}
+
+
+def settings(trials: int = 100, seed: int = 42) -> list[tuple[str, dict]]:
+    """(method, parameters) of the three grids; of a grid with more than `trials` settings, that many drawn by the seed."""
+    beams = []
+    for wt, ws, width in product(*BEAM_GRID.values()):
+        wd = round(1 - wt - ws, 3)
+        if wd >= 0.05:
+            beams.append({"weights": (wt, ws, wd), "width": width})
+    grids = {
+        "best_first": [dict(zip(BEST_FIRST_GRID, x, strict=True)) for x in product(*BEST_FIRST_GRID.values())], "beam": beams,
+        "hybrid": [dict(zip(HYBRID_GRID, x, strict=True)) for x in product(*HYBRID_GRID.values())],
+    }
+    rng = random.Random(seed)
+    return [(m, x) for m, grid in grids.items() for x in (grid if len(grid) <= trials else [grid[i] for i in sorted(rng.sample(range(len(grid)), trials))])]
+
+
+def shown_setting(parameters: dict) -> str:
+    return " ".join(f"{k}={'/'.join(f'{x:g}' for x in v) if isinstance(v, tuple) else f'{v:g}'}" for k, v in parameters.items())
+
+
+def plans_of_settings(queries: DataFrame, vectors: DataFrame, edges: DataFrame, positions: DataFrame, tried: list[tuple[str, dict]], target: int = 4, neighbours: int = 30) -> DataFrame:
+    """(query_id, method, setting, seq): every query's plan by every setting, in one pass over the queries.
+
+    A query's similarities are ranked once and serve all settings; the graph goes to the tasks, up to MAX_EDGES edges.
+    """
+    whole = _adjacency(edges, "weight")
+    links = {src: dict(out) for src, out in whole.items()}
+    best = graph.top_neighbours(edges, neighbours)
+    near, strongest = _adjacency(best, "transition_prob"), _adjacency(best, "weight")
+    at = {r["tool"]: r["avg_pos"] for r in positions.toLocalIterator()} if positions is not None else {}
+    community = {r["tool"]: r["community"] for r in vectors.select("tool", "community").toLocalIterator()}
+    ranked = (
+        retrieval.ranked(retrieval.similarities(queries, vectors)).groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "tool", "sim"))).alias("c")).join(queries.select("query_id", "k"), "query_id").select("query_id", "k", "c")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for query_id, k, c in batch.itertuples(index=False):
+                order, sims = [x["tool"] for x in c], {x["tool"]: x["sim"] for x in c}
+                searched: dict = {}
+                out = []
+                for method, x in tried:
+                    if method == "best_first":
+                        if x["beta"] not in searched:  # each entry's own plan serves all numbers of entries
+                            most = max(y["entries"] for m, y in tried if m == "best_first" and y["beta"] == x["beta"])
+                            searched[x["beta"]] = [search(strongest, sims, [e], target, beta=x["beta"]) for e in order[:most]]
+                        mean = lambda p: sum(sims.get(t, 0.0) for t in p) / len(p)  # noqa: E731, B023
+                        seq = max(searched[x["beta"]][: x["entries"]], key=mean, default=[])
+                    elif method == "beam":
+                        seq = beam_of(order, sims, near, community, target, **x)
+                    else:
+                        seq = hybrid_of(order, sims, links, at, int(k), **x)
+                    out.append((query_id, method, shown_setting(x), seq))
+                yield pd.DataFrame(out, columns=["query_id", "method", "setting", "seq"])
+
+    return ranked.mapInPandas(run, "query_id long, method string, setting string, seq array<string>")

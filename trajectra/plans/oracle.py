@@ -211,6 +211,25 @@ def _pairwise(mask: tuple[int, ...]) -> str:
          JOIN (SELECT query_id, {total} AS v FROM features) b USING (query_id) GROUP BY ALL)"""
 
 
+def _beams_of_settings(target: int = 4) -> dict[str, str]:
+    """`plans`: the best beam (path) of each vector asked (vi) by each setting (i, w1, w2, w3, width)."""
+    parts = {
+        "nbr": "SELECT src, dst, transition_prob FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS n FROM edges) WHERE n <= 30",
+        "live0": "SELECT vi, i, w1, w2, w3, width, [tool] AS path, [community] AS comms, sim AS cum FROM near_ JOIN asked USING (vi) JOIN comm USING (tool) CROSS JOIN settings WHERE rank < least(5, width)",
+    }
+    for n in range(1, target):
+        parts[f"grown{n}"] = f"""SELECT b.*, dst, community, w1 * transition_prob + w2 * s.sim + w3 * (1 - len(list_filter(comms, lambda z: z = community)) / len(path)) AS s
+            FROM live{n - 1} b JOIN nbr ON src = path[len(path)] AND NOT list_contains(path, dst) JOIN near_ s ON s.vi = b.vi AND s.tool = dst JOIN comm m ON m.tool = dst"""
+        parts[f"ended{n}"] = f"""SELECT b.vi, b.i, b.path, b.cum FROM live{n - 1} b LEFT JOIN (SELECT vi, i, path, max(s) AS m FROM grown{n} GROUP BY ALL) g
+            ON g.vi = b.vi AND g.i = b.i AND g.path = b.path WHERE coalesce(m, 0) < 0.05"""
+        parts[f"live{n}"] = f"""SELECT vi, i, w1, w2, w3, width, path, comms, cum FROM (SELECT *, row_number() OVER (PARTITION BY vi, i ORDER BY round(cum, 9) DESC, path) AS r FROM
+            (SELECT vi, i, w1, w2, w3, width, list_append(path, dst) AS path, list_append(comms, community) AS comms, cum + s AS cum FROM grown{n})) WHERE r <= width"""
+    every = " UNION ALL ".join([f"SELECT vi, i, path, cum FROM ended{n}" for n in range(1, target)] + [f"SELECT vi, i, path, cum FROM live{target - 1}"])
+    parts["plans"] = f"""SELECT vi, i, path FROM (SELECT *, row_number() OVER (PARTITION BY vi, i ORDER BY round(score, 9) DESC, path) AS r FROM
+        (SELECT vi, i, path, max(cum / len(path)) AS score FROM ({every}) GROUP BY ALL)) WHERE r = 1"""
+    return parts
+
+
 def _drawn(tools: str, wanted: str, without: str = "") -> dict[str, str]:
     """`drawn`: pairs of tools in the order of a permutation of the pairs' numbers, as many as wanted."""
     return {
@@ -418,10 +437,19 @@ ORACLE_SQL: dict[str, str] = {
         deltas="SELECT a.ordered_precision - b.ordered_precision AS delta, query_id FROM (SELECT * FROM measured WHERE method = 'semantic_links') a JOIN (SELECT * FROM measured WHERE method = 'semantic') b USING (query_id)"),
     "random_order_null": _with("SELECT shuffle, round(avg(ordered_precision), 6) AS ordered_precision, round(avg(kendall_tau), 6) AS kendall_tau FROM (SELECT s.shuffle, m.* FROM m JOIN (SELECT query_id, method, shuffle FROM shuffled) s USING (query_id, method)) GROUP BY shuffle",
         shuffled="""SELECT query_id, shuffle::VARCHAR AS method, shuffle::INT AS shuffle, list_transform(list_sort(list_transform(range(1, len(p) + 1), lambda i: {'h': md5('42:' || shuffle || ':' || query_id || ':' || p[i] || ':' || (i - 1)), 't': p[i]})), lambda y: y.t) AS p, g
-            FROM preds, range(20) r(shuffle) WHERE method = 'semantic'""",
+            FROM preds, range(100) r(shuffle) WHERE method = 'semantic'""",
         m=_measured("shuffled", ["ordered_precision", "kendall_tau"])),
     "pareto": _with("SELECT method, round(set_f1, 6) AS set_f1, round(ordered_precision, 6) AS ordered_precision, NOT EXISTS (SELECT 1 FROM pts b WHERE b.set_f1 >= a.set_f1 AND b.ordered_precision >= a.ordered_precision AND (b.set_f1 > a.set_f1 OR b.ordered_precision > a.ordered_precision)) AS on_frontier FROM pts a",
         pts="SELECT method, round(avg(set_f1), 9) AS set_f1, round(avg(ordered_precision), 9) AS ordered_precision FROM measured GROUP BY method"),
+    "beam_parameter_search": _with("SELECT setting, round(avg(f1 + 0.5::DOUBLE * lcs_r + 0.3::DOUBLE * ordered_precision), 6) AS objective FROM m JOIN settings ON method = i::VARCHAR GROUP BY setting",
+        settings="""SELECT row_number() OVER () AS i, *, 'weights=' || w1 || '/' || w2 || '/' || replace(printf('%g', w3), '0.10', '0.1') || ' width=' || width AS setting FROM
+            (SELECT a AS w1, b AS w2, round(1 - a - b, 3) AS w3, w AS width FROM (VALUES (0.2::DOUBLE), (0.3), (0.4), (0.5)) x(a), (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6)) y(b), (VALUES (3), (5), (8), (10)) z(w) WHERE round(1 - a - b, 3) >= 0.05)""",
+        held="SELECT * FROM q WHERE task_id IN (SELECT task_id FROM splits WHERE is_test)",
+        asked="SELECT DISTINCT vi FROM held",
+        **_beams_of_settings(),
+        tried="SELECT query_id, i::VARCHAR AS method, path AS p, truth AS g FROM held JOIN plans USING (vi)",
+        m="SELECT method, len(list_intersect(p[1:len(g)], g)) / len(g) AS f1, lcs_r, ordered_precision FROM measured_tried JOIN tried USING (query_id, method)",
+        measured_tried=_measured("tried", ["lcs_r", "ordered_precision"])),
     "winloss": _with("SELECT count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties FROM (SELECT round(a.ordered_precision - b.ordered_precision, 9) AS d FROM (SELECT * FROM measured WHERE method = 'semantic_links') a JOIN (SELECT * FROM measured WHERE method = 'semantic') b USING (query_id))"),
     "extreme_deltas": _with("SELECT query_id, round(delta, 6) AS delta, side FROM (SELECT *, 'gain' AS side, row_number() OVER (ORDER BY round(delta, 9) DESC, query_id) AS i FROM deltas WHERE delta > 0 UNION ALL SELECT *, 'loss', row_number() OVER (ORDER BY round(delta, 9), query_id) FROM deltas WHERE delta < 0) WHERE i <= 5",
         deltas="SELECT query_id, a.set_f1 - b.set_f1 AS delta FROM (SELECT * FROM measured WHERE method = 'semantic_strongest') a JOIN (SELECT * FROM measured WHERE method = 'frequency') b USING (query_id)"),
@@ -440,9 +468,11 @@ ORACLE_SQL: dict[str, str] = {
     "stream_session_counts": """
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM
         (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g""",
-    "stream_transitions": """
-        SELECT src, dst, round(sum(c), 6) AS count FROM (SELECT event_type AS src, lead(event_type) OVER w AS dst, 1.0::DOUBLE AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-        UNION ALL SELECT event_type, lead(event_type, 2) OVER w, 0.5::DOUBLE FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst""",
+    "stream_transitions": _with(
+        """SELECT src, dst, round(sum(c), 6) AS count FROM (SELECT event_type AS src, lead(event_type) OVER w AS dst, 1.0::DOUBLE AS c FROM passed WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+        UNION ALL SELECT event_type, lead(event_type, 2) OVER w, 0.5::DOUBLE FROM passed WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst""",
+        passed="SELECT * FROM events WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) * 1000"),
+    "stream_distinct_events": "SELECT event_type, count(DISTINCT event_id) AS n, round(sum(value), 6) AS total FROM events GROUP BY event_type",
 }
 
 for _name, _columns in {

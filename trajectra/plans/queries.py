@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics, scores, text
 from ..operators import evaluation, graph, links, ordering, planning, registered, retrieval, training, trajectory
 from ..sources import tables
-from ..sources.working import working
+from ..sources.working import folder, working
 from ..streaming import events as stream
 
 QUERIES: dict = {}
@@ -758,7 +758,7 @@ def bootstrap_ci(spark, d):
 
 @query
 def random_order_null(spark, d):
-    p = evaluation.random_orders(_predictions(spark, d).where("method = 'semantic'"), 20)
+    p = evaluation.random_orders(_predictions(spark, d).where("method = 'semantic'"), 100)
     rows = p.select("shuffle", metrics.ordered_precision(F.col("p"), F.col("g")).alias("o"), metrics.kendall_tau(F.col("p"), F.col("g")).alias("t"))
     return _six(rows.groupBy("shuffle").agg(F.avg("o").alias("ordered_precision"), F.avg("t").alias("kendall_tau")))
 
@@ -781,19 +781,39 @@ def alpha_best(spark, d):
     return _six(evaluation.best_of(_sweep(spark, d), "alpha", "ordered_precision"))
 
 
+@shared
+def _tuned(spark: SparkSession, d: str) -> DataFrame:
+    """(method, setting, objective) over the test tasks: hits / K + 0.5 LCS recall + 0.3 ordered precision."""
+    parts = trajectory.split(tables.sequences(_t1(spark, d))).where("is_test").select("task_id")
+    held = _queries(spark, d).join(parts, "task_id", "left_semi")
+    asked = held.groupBy("by_k").agg(F.first("vec").alias("vec"), F.first("k").alias("k")).withColumnRenamed("by_k", "query_id")
+    plans = planning.plans_of_settings(asked, _vectors(spark, d), _edges(spark, d), _positions(spark, d), planning.settings())
+    # a task's K is the length of its truth
+    truths = held.groupBy("by_k", F.col("truth").alias("g")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = plans.withColumnRenamed("query_id", "by_k").join(truths, "by_k")
+    p, g = F.col("seq"), F.col("g")
+    hits = F.size(F.array_intersect(F.slice(p, 1, F.greatest(F.size(g), F.lit(1))), g)) / F.size(g)
+    score = hits + 0.5 * metrics.lcs_recall(p, g) + 0.3 * metrics.ordered_precision(p, g)
+    return rows.groupBy("method", "setting").agg((F.sum(score * F.col("_n")) / F.sum("_n")).alias("objective"))
+
+
+@query
+def parameter_search(spark, d):
+    """All settings of best-first search, beams and the hybrid planner by their objective on the test tasks."""
+    return _six(_tuned(spark, d))
+
+
+@query
+def best_parameters(spark, d):
+    """The best setting of each planner; the first by name of several."""
+    best = _tuned(spark, d).groupBy("method").agg(F.min(F.struct((-F.round("objective", 9)).alias("o"), "setting")).alias("b"))
+    return _six(best.select("method", "b.setting", (-F.col("b.o")).alias("objective")))
+
+
 @query
 def beam_parameter_search(spark, d):
-    """Mean of F1 + 0.5 LCS recall + 0.3 ordered precision of beams of three widths and two lengths."""
-    q, v, e = _queries(spark, d), _vectors(spark, d), _edges(spark, d)
-    g, out = q.select("query_id", F.col("truth").alias("g")), None
-    for width in (2, 5):
-        for target in (3, 4):
-            part = _once(q, "by_vec", lambda q, t=target, w=width: planning.beam(q, v, e, target=t, width=w).where("rank = 0"))
-            part = part.select("query_id", F.lit(width).alias("width"), F.lit(target).alias("target"), F.col("seq").alias("p"))
-            out = part if out is None else out.unionByName(part)
-    p, t = F.col("p"), F.col("g")
-    score = metrics.set_f1(p, t) + 0.5 * metrics.lcs_recall(p, t) + 0.3 * metrics.ordered_precision(p, t)
-    return _six(out.join(g, "query_id").groupBy("width", "target").agg(F.avg(score).alias("objective")))
+    """The settings of beams by their objective."""
+    return _six(_tuned(spark, d).where("method = 'beam'").select("setting", "objective"))
 
 
 @query
@@ -845,7 +865,7 @@ def score_distribution(spark, d):
 
 
 def _drained(spark, events: DataFrame, mode: str) -> DataFrame:
-    return stream.drain(events, f"s{uuid.uuid4().hex}", mode)
+    return stream.drain(events, folder(spark, "stream"), mode)
 
 
 @query
@@ -862,10 +882,19 @@ def stream_session_counts(spark, d):
 
 @query
 def stream_transitions(spark, d):
+    """Transitions of the events that the watermark has passed."""
     parts = _drained(spark, stream.transition_parts(stream.read(spark, d)), "append")
     return _six(parts.groupBy("src", "dst").agg(F.sum("count").alias("count")))
 
 
+@query
+def stream_distinct_events(spark, d):
+    """Events by type, of a stream that brings each of them twice."""
+    twice = stream.read(spark, d).unionByName(stream.read(spark, d))
+    once = _drained(spark, stream.distinct_events(twice), "append")
+    return _six(once.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+
+
 # -- figure data, tables and registered functions ----------------------------------------------
 
 

@@ -8,14 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def working(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
-    """keep(df, step): write df once under spark.checkpoint.dir and return the written rows."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under spark.checkpoint.dir."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/trajectra-work"
-    root = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/trajectra-work"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def working(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """keep(df, step): write df once under spark.checkpoint.dir and return the written rows."""
+    root = folder(spark, name)
 
     def keep(df: DataFrame, step: str) -> DataFrame:
         df.write.parquet(f"{root}/{step}")

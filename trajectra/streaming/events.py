@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 DELAY = "1 hour"
 
@@ -37,31 +38,70 @@ def distinct_events(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def transition_parts(events: DataFrame) -> DataFrame:
-    """(src, dst, count) as they arise: 1 for the next event type of a user, 0.5 for the next but one.
+class OrderedTransitions(StatefulProcessor):
+    """The transitions of one user, in the order of time: events are held until the watermark has passed them.
 
-    The state of a user is their last two event types; within a micro-batch events go by time.
+    So an event that comes late, in the same micro-batch or a later one, still stands at its place; a timer at the first event
+    held sees to those after which no more come. What is kept of a user is what is held and the last two event types.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = list(state.get) if state.exists else [None, None]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "before string, last string")
+        self.held = handle.getListState("held", "ts long, event_id long, event_type string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(t), int(i), e) for batch in rows for t, i, e in zip(batch["ts_us"], batch["event_id"], batch["event_type"], strict=True)]
+        yield from self.released([*self.held.get(), *new], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.released(list(self.held.get()), timerValues.getCurrentWatermarkInMs())
+
+    def released(self, events: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        events = sorted(tuple(e) for e in events)
+        ready = [e for e in events if e[0] <= watermark * 1000]
+        rest = events[len(ready) :]
+        last = list(self.last.get()) if self.last.exists() else [None, None]
         out = []
-        for tool in rows["event_type"]:
+        for _, _, kind in ready:
             for back, weight in ((last[1], 1.0), (last[0], 0.5)):
-                if back is not None and back != tool:
-                    out.append((back, tool, weight))
-            last = [last[1], tool]
-        state.update(tuple(last))
-        yield pd.DataFrame(out, columns=["src", "dst", "count"])
+                if back is not None and back != kind:
+                    out.append((back, kind, weight))
+            last = [last[1], kind]
+        if ready:
+            self.last.update((last[0], last[1]))
+        if rest:
+            self.held.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["src", "dst", "count"])
+
+    def close(self) -> None:
+        pass
+
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, "src string, dst string, count double", "before string, last string", "append", GroupStateTimeout.NoTimeout
-    )
+def transition_parts(events: DataFrame) -> DataFrame:
+    """(src, dst, count) as the watermark passes them: 1 for the next event type of a user, 0.5 for the next but one."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.withWatermark("ts", DELAY).withColumn("ts_us", F.unix_micros("ts"))
+    return rows.groupBy("user_id").transformWithStateInPandas(OrderedTransitions(), "src string, dst string, count double", "Append", "EventTime")
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now and was not before, through the stream, as Parquet files of `folder`.
+
+    Every micro-batch is written under its number, over what an earlier try left, and the progress is kept beside it: a run
+    that was cut off, or one with more input, goes on where the last one ended. In complete mode the last batch counts.
+    """
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now, through the stream, as a table in memory; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
