@@ -289,6 +289,12 @@ ORACLE_SQL: dict[str, str] = {
             {'name': 'z' || p_partkey, 'description': ''}, {'name': 'told', 'description': p_type}] AS ts FROM part WHERE p_partkey % 10 <> 3"""),
     "parsed_descriptions": _with("""SELECT p_partkey, 0::INT AS place, p_name AS name, 'of ' || p_type AS description FROM part
         UNION ALL SELECT p_partkey, 1, 'b', 'of b' FROM part WHERE p_partkey % 2 = 0"""),
+    "sample_files": """
+        SELECT (conv_id % 12)::VARCHAR AS file, CASE conv_id % 12 % 3 WHEN 0 THEN 'conversations' WHEN 1 THEN 'process' ELSE 'answer' END AS layout,
+               count(DISTINCT conv_id) AS n_samples, count(*) AS n_turns, count(DISTINCT conv_id) AS n_ids FROM conversations GROUP BY ALL
+        UNION ALL SELECT 'broken', NULL, 0, NULL, 0""",
+    "edge_file": _with("SELECT src, dst, round(weight, 6) AS weight, count, round(pmi, 6) AS pmi, round(transition_prob, 6) AS transition_prob FROM pruned"),
+    "trajectory_file": _with("SELECT task_id, string_agg(tool, '>' ORDER BY pos) AS seq, count(*)::INT AS num_steps, 'G1' AS source_split FROM t2 GROUP BY task_id"),
     "tool_frequency": _with("SELECT * FROM frequency"),
     "tool_registry": """
         SELECT tool, coalesce(arg_min(category, p_partkey) FILTER (category <> ''), '') AS category, coalesce(arg_min(description, p_partkey) FILTER (description <> ''), '') AS description,

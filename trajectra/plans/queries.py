@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, scores, text
 from ..operators import evaluation, graph, links, ordering, planning, registered, retrieval, training, trajectory
-from ..sources import tables
+from ..sources import readers, sinks, tables
 from ..sources.working import folder, working
 from ..streaming import events as stream
 
@@ -264,6 +264,48 @@ def parsed_descriptions(spark, d):
     return p.select("p_partkey", F.posexplode(text.described_apis(line)).alias("place", "t")).select("p_partkey", "place", "t.*")
 
 
+@query
+def sample_files(spark, d):
+    """Samples and turns of files in three layouts, made of the conversations, and of one that is broken."""
+    c = tables.table(spark, d, "conversations")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("from"), t["text"].alias("value")))
+    part = F.col("conv_id") % 12
+    rows = c.groupBy("conv_id").agg(turns.alias("turns")).select(part.alias("part"), "conv_id", F.col("conv_id").cast("string").alias("id"), "turns")
+    one = (
+        F.when(F.col("part") % 3 == 0, F.to_json(F.struct("id", F.col("turns").alias("conversations"))))
+        .when(F.col("part") % 3 == 1, F.to_json(F.struct("id", F.col("turns").alias("process"))))
+        .otherwise(F.to_json(F.struct("id", F.struct(F.col("turns").alias("train_messages")).alias("answer"))))
+    )
+    held = rows.withColumn("one", one).groupBy("part").agg(F.array_sort(F.collect_list("one")).alias("all"))  # a file's samples
+    array = F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))
+    value = F.when(F.col("part") % 4 == 0, F.array_join("all", "\n")).when(F.col("part") % 4 == 1, F.concat(F.lit('{"data": '), array, F.lit("}"))).otherwise(array)
+    files = held.select(F.col("part").cast("string").alias("name"), value.alias("value"))
+    files = files.unionByName(spark.createDataFrame([("broken", '{"data": [')], "name string, value string"))
+    root = folder(spark, "samples")
+    sinks.whole_files(files, "name", "value", root)
+    found = readers.samples(spark, root, "*.txt").withColumn("file", F.regexp_extract("file", "name=([^/]+)", 1))
+    return found.groupBy("file", "layout").agg(F.count("place").alias("n_samples"), F.sum("n_turns").alias("n_turns"), F.count_distinct("id").alias("n_ids"))
+
+
+@query
+def edge_file(spark, d):
+    """The pruned graph, written as a result file and read back."""
+    root = folder(spark, "edges")
+    e = graph.pruned(_edges(spark, d)).withColumnsRenamed({"src": "source", "dst": "target"})
+    sinks.csv(e.select("source", "target", "weight", "count", "pmi", "transition_prob"), root, [F.desc("weight"), "source", "target"], {"weight": 6, "pmi": 6, "transition_prob": 6})
+    return readers.edges(spark, root)
+
+
+@query
+def trajectory_file(spark, d):
+    """The event trajectories, written as JSON lines and read back."""
+    root = folder(spark, "trajectories")
+    seqs = tables.sequences(tables.event_steps(spark, d))
+    sinks.json_lines(seqs.select("task_id", F.col("seq").alias("tool_sequence"), "num_steps", F.lit("G1").alias("source_split")), root)
+    found = readers.trajectories(spark, root)
+    return found.select("task_id", F.array_join("tool_sequence", ">").alias("seq"), "num_steps", "source_split")
+
+
 @query
 def tool_frequency(spark, d):
     return _frequency(spark, d)

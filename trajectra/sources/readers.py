@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +97,63 @@ def inspect(spark: SparkSession, path: str) -> dict:
     return {"layout": layout, "wrapper": wrapper, "schema": rows.schema.treeString(5), "count": n, "mean_length": mean}
 
 
+#: What a sample of each layout has, as the path to its turns.
+LAYOUTS = {"process": ("process",), "answer": ("answer", "train_messages"), "conversations": ("conversations",)}
+_SAMPLE = "file string, place int, layout string, id string, n_turns int, sample string"
+
+
+def _objects(raw: bytes) -> list | None:
+    """The samples of a file: a JSON array, an object that holds one under a wrapper's name, one object, or JSON lines; None if it is none of them."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return None
+    try:
+        whole = json.loads(text)
+    except ValueError:
+        try:
+            return [json.loads(line) for line in text.splitlines() if line.strip()]
+        except ValueError:
+            return None
+    if isinstance(whole, dict):
+        wrapper = next((w for w in WRAPPERS if isinstance(whole.get(w), list)), None)
+        return whole[wrapper] if wrapper else [whole]
+    return whole if isinstance(whole, list) else None
+
+
+def _turns(sample) -> tuple[str | None, int | None]:
+    for layout, path in LAYOUTS.items():
+        at = sample
+        for key in path:
+            at = at.get(key) if isinstance(at, dict) else None
+        if isinstance(at, list):
+            return layout, len(at)
+    return None, None
+
+
+def samples(spark: SparkSession, folder: str, pattern: str = "*.json*") -> DataFrame:
+    """(file, place, layout, id, n_turns, sample): the samples of all files of a folder, whichever of the layouts each has.
+
+    Spark finds the files, wherever they lie, and deals them in groups; a task reads one after the other. A file that cannot
+    be read makes one row of nulls beside its name, an empty one makes none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, raw in zip(batch["path"], batch["content"], strict=True):
+                found = _objects(bytes(raw))
+                rows = [(path, None, None, None, None, None)] if found is None else []
+                for i, s in enumerate(found or []):
+                    layout, n = _turns(s)
+                    key = s.get("id") if isinstance(s, dict) else None
+                    rows.append((path, i, layout, None if key is None else str(key), n, json.dumps(s, ensure_ascii=False)))
+                out = pd.DataFrame(rows, columns=["file", "place", "layout", "id", "n_turns", "sample"])
+                yield out.astype({"place": "Int32", "n_turns": "Int32"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "content").mapInPandas(run, _SAMPLE)
+
+
 def newest(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """(path, modified, bytes): files of a folder, those changed last first; their contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)

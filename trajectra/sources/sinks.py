@@ -27,9 +27,16 @@ def json_object(df: DataFrame, key: str, value: str, path: str, mode: str = "err
     one.coalesce(1).write.mode(mode).text(path)
 
 
+def whole_files(df: DataFrame, name: str, value: str, path: str, mode: str = "errorifexists") -> None:
+    """A file for each row, its value as it is, in a folder `name=...` of its own."""
+    df.select(F.col(name).alias("name"), F.col(value).alias("value")).write.mode(mode).partitionBy("name").text(path)
+
+
 def report(df: DataFrame, title: str, columns: list[str], rows: int = 100) -> str:
-    """A small result as an aligned table; numbers with four decimals."""
-    shown = [[f"{v:.4f}" if isinstance(v, float) else "-" if v is None else str(v) for v in r] for r in df.select(*columns).limit(rows).collect()]
+    """A small result as an aligned table; numbers with four decimals. Of more than `rows` rows the last line says so."""
+    found = df.select(*columns).limit(rows + 1).collect()
+    shown = [[f"{v:.4f}" if isinstance(v, float) else "-" if v is None else str(v) for v in r] for r in found[:rows]]
     widths = [max(len(x) for x in col) for col in zip(columns, *shown, strict=True)]
     line = lambda r: "  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip()
-    return "\n".join([title, line(columns), "  ".join("-" * w for w in widths), *map(line, shown)])
+    more = [f"... more than {rows} rows"] if len(found) > rows else []
+    return "\n".join([title, line(columns), "  ".join("-" * w for w in widths), *map(line, shown), *more])
