@@ -150,3 +150,27 @@ def test_bootstrap_in_plain_code(spark):
     # the spread is that of drawing with replacement
     drawn = [np.mean(rng.choice([x for _, x in deltas], 90)) for _ in range(2000)]
     assert np.std(means) == pytest.approx(np.std(drawn), rel=0.12)
+
+
+def test_plans_of_all_settings(spark):
+    """Beams and hybrid plans by setting against the planners themselves, best-first ones against the search."""
+    rng = random.Random(9)
+    tools = [f"t{i:02}" for i in range(16)]
+    vec = {t: [rng.uniform(-1, 1) for _ in range(3)] for t in tools}
+    vectors = spark.createDataFrame([(t, v, i % 4) for i, (t, v) in enumerate(vec.items())], "tool string, vec array<double>, community int")
+    edges = spark.createDataFrame([(a, b, rng.random(), rng.random()) for a in tools for b in rng.sample(tools, 4) if a != b], "src string, dst string, weight double, transition_prob double")
+    positions = spark.createDataFrame([(t, rng.random()) for t in tools[:12]], "tool string, avg_pos double")
+    asked = [(q, [rng.uniform(-1, 1) for _ in range(3)], 3 + q % 3) for q in range(5)]
+    asked.append((5, asked[0][1], 4))  # the vector of another query with another k
+    queries = spark.createDataFrame(asked, "query_id long, vec array<double>, k int")
+    tried = [("beam", {"weights": (0.3, 0.5, 0.2), "width": 3}), ("hybrid", {"multiple": 2, "alpha": 0.4, "gamma": 0.2}), ("best_first", {"beta": 0.3, "entries": 5})]
+    got = {(r.query_id, r.method): list(r.seq) for r in planning.plans_of_settings(queries, vectors, edges, positions, tried).collect()}
+    beams = planning.beam(queries, vectors, edges, width=3, weights=(0.3, 0.5, 0.2)).where("rank = 0").collect()
+    assert {r.query_id: list(r.seq) for r in beams} == {q: s for (q, m), s in got.items() if m == "beam"}
+    plans = planning.hybrid(queries, vectors, edges, positions, 0.4, 0.2, 2, bridges=False).collect()
+    assert {r.query_id: list(r.seq) for r in plans} == {q: s for (q, m), s in got.items() if m == "hybrid"}
+    searched = planning.best_first(queries, vectors, edges).collect()
+    assert {r.query_id: list(r.seq) for r in searched} == {q: s for (q, m), s in got.items() if m == "best_first"}
+    every = planning.settings()
+    assert [sum(m == x for m, _ in every) for x in ("best_first", "beam", "hybrid")] == [20, 52, 75]
+    assert len(planning.settings(trials=10)) == 30 and planning.settings(10) == planning.settings(10)

@@ -472,9 +472,10 @@ def shown_setting(parameters: dict) -> str:
 
 
 def plans_of_settings(queries: DataFrame, vectors: DataFrame, edges: DataFrame, positions: DataFrame, tried: list[tuple[str, dict]], target: int = 4, neighbours: int = 30) -> DataFrame:
-    """(query_id, method, setting, seq): every query's plan by every setting, in one pass over the queries.
+    """(query_id, method, setting, seq): every query's plan by every setting, in one pass over the different vectors.
 
-    A query's similarities are ranked once and serve all settings; the graph goes to the tasks, up to MAX_EDGES edges.
+    A vector's similarities are ranked once and serve all settings and queries with it; only the hybrid planner looks at a
+    query's k. The graph goes to the tasks, up to MAX_EDGES edges.
     """
     whole = _adjacency(edges, "weight")
     links = {src: dict(out) for src, out in whole.items()}
@@ -482,29 +483,35 @@ def plans_of_settings(queries: DataFrame, vectors: DataFrame, edges: DataFrame,
     near, strongest = _adjacency(best, "transition_prob"), _adjacency(best, "weight")
     at = {r["tool"]: r["avg_pos"] for r in positions.toLocalIterator()} if positions is not None else {}
     community = {r["tool"]: r["community"] for r in vectors.select("tool", "community").toLocalIterator()}
+    # the first query of each vector, and of each vector and k, with the queries that they stand for
+    same_k = queries.groupBy("vec", "k").agg(F.collect_list("query_id").alias("ids"))
+    asked = same_k.groupBy("vec").agg(F.min(F.array_min("ids")).alias("query_id"), F.collect_list(F.struct("k", "ids")).alias("ks"))
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: spread whatever their size
     ranked = (
-        retrieval.ranked(retrieval.similarities(queries, vectors)).groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "tool", "sim"))).alias("c")).join(queries.select("query_id", "k"), "query_id").select("query_id", "k", "c")
+        retrieval.ranked(retrieval.similarities(asked, vectors)).groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "tool", "sim"))).alias("c"))
+        .join(asked.select("query_id", "ks"), "query_id").select("query_id", "ks", "c").repartition(4 * tasks, "query_id")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for query_id, k, c in batch.itertuples(index=False):
+            for _, ks, c in batch.itertuples(index=False):
                 order, sims = [x["tool"] for x in c], {x["tool"]: x["sim"] for x in c}
                 searched: dict = {}
-                out = []
                 for method, x in tried:
-                    if method == "best_first":
+                    if method == "hybrid":
+                        found = [(hybrid_of(order, sims, links, at, int(same["k"]), **x), same["ids"]) for same in ks]
+                    elif method == "beam":
+                        seq = beam_of(order, sims, near, community, target, **x)
+                        found = [(seq, same["ids"]) for same in ks]
+                    else:
                         if x["beta"] not in searched:  # each entry's own plan serves all numbers of entries
                             most = max(y["entries"] for m, y in tried if m == "best_first" and y["beta"] == x["beta"])
                             searched[x["beta"]] = [search(strongest, sims, [e], target, beta=x["beta"]) for e in order[:most]]
                         mean = lambda p: sum(sims.get(t, 0.0) for t in p) / len(p)  # noqa: E731, B023
                         seq = max(searched[x["beta"]][: x["entries"]], key=mean, default=[])
-                    elif method == "beam":
-                        seq = beam_of(order, sims, near, community, target, **x)
-                    else:
-                        seq = hybrid_of(order, sims, links, at, int(k), **x)
-                    out.append((query_id, method, shown_setting(x), seq))
-                yield pd.DataFrame(out, columns=["query_id", "method", "setting", "seq"])
+                        found = [(seq, same["ids"]) for same in ks]
+                    out = [(i, method, shown_setting(x), seq) for seq, ids in found for i in ids]
+                    yield pd.DataFrame(out, columns=["query_id", "method", "setting", "seq"])
 
     return ranked.mapInPandas(run, "query_id long, method string, setting string, seq array<string>")
