@@ -103,9 +103,10 @@ def _frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @shared
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    rows, out = _selected(spark, d), None
+    out = None
     for a in range(0, 11):
-        part = ordering.by_strongest(rows, a / 10).select("query_id", F.lit(a / 10).alias("alpha"), F.col("seq").alias("p"))
+        seqs = _ordered(spark, d, lambda rows, a=a: ordering.by_strongest(rows, a / 10))
+        part = seqs.select("query_id", F.lit(a / 10).alias("alpha"), F.col("seq").alias("p"))
         out = part if out is None else out.unionByName(part)
     g = _queries(spark, d).select("query_id", F.col("truth").alias("g"))
     return out.join(g, "query_id").groupBy("alpha").agg(F.avg(metrics.ordered_precision(F.col("p"), F.col("g"))).alias("ordered_precision"))
@@ -160,19 +161,29 @@ def _communities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @shared
+def _selected_once(spark: SparkSession, d: str) -> DataFrame:
+    """The k most similar tools with their links, for the orderings, of the first query of each vector and k."""
+    v, tp, at, q = _vectors(spark, d), _tp(spark, d), _positions(spark, d), _queries(spark, d)
+    return planning.linked(planning.candidates(q.where("query_id = by_k"), v, F.col("k")), tp, at)
+
+
 def _selected(spark: SparkSession, d: str) -> DataFrame:
-    """Each query's k most similar tools with their links, for the orderings."""
-    v, tp, at = _vectors(spark, d), _tp(spark, d), _positions(spark, d)
-    return _once(_queries(spark, d), "by_k", lambda q: planning.linked(planning.candidates(q, v, F.col("k")), tp, at))
+    """The same for every query."""
+    return _ordered(spark, d, lambda rows: rows)
+
+
+def _ordered(spark: SparkSession, d: str, order) -> DataFrame:
+    """order(candidates) for every query; queries with the same vector and k have the same candidates, and so the same order."""
+    return _once(_queries(spark, d), "by_k", lambda _: order(_selected_once(spark, d)))
 
 
 @shared
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, method, p, g) of four methods."""
-    q, rows = _queries(spark, d), _selected(spark, d)
+    q = _queries(spark, d)
     frequent = retrieval.most_frequent(q, _frequency(spark, d))
     frequent = frequent.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tool"))).alias("s")).select("query_id", F.transform("s", lambda x: x["tool"]).alias("seq"))
-    methods = {"frequency": frequent, "semantic": ordering.by_similarity(rows), "semantic_links": ordering.by_links(rows), "semantic_strongest": ordering.by_strongest(rows)}
+    methods = {"frequency": frequent, "semantic": _ordered(spark, d, ordering.by_similarity), "semantic_links": _ordered(spark, d, ordering.by_links), "semantic_strongest": _ordered(spark, d, ordering.by_strongest)}
     out = None
     for name, seqs in methods.items():
         part = seqs.select("query_id", F.lit(name).alias("method"), F.col("seq").alias("p"))
@@ -623,46 +634,46 @@ def plan_fallback(spark, d):
 
 @query
 def order_semantic(spark, d):
-    return planning.steps_of(ordering.by_similarity(_selected(spark, d)))
+    return planning.steps_of(_ordered(spark, d, ordering.by_similarity))
 
 
 @query
 def order_greedy_tp(spark, d):
-    return planning.steps_of(ordering.by_links(_selected(spark, d)))
+    return planning.steps_of(_ordered(spark, d, ordering.by_links))
 
 
 @query
 def order_greedy_maxtp(spark, d):
-    return planning.steps_of(ordering.by_strongest(_selected(spark, d)))
+    return planning.steps_of(_ordered(spark, d, ordering.by_strongest))
 
 
 @query
 def order_optimal_perm(spark, d):
-    return planning.steps_of(ordering.by_permutation(_selected(spark, d)))
+    return planning.steps_of(_ordered(spark, d, ordering.by_permutation))
 
 
 @query
 def order_hybrid_rerank(spark, d):
-    return planning.steps_of(ordering.by_permutation(_selected(spark, d), alpha=0.7))
+    return planning.steps_of(_ordered(spark, d, lambda rows: ordering.by_permutation(rows, alpha=0.7)))
 
 
 @query
 def order_pairwise_fixed_weights(spark, d):
-    return _six(ordering.by_pairs(_selected(spark, d), PAIR_WEIGHTS))
+    return _six(_ordered(spark, d, lambda rows: ordering.by_pairs(rows, PAIR_WEIGHTS)))
 
 
 @query
 def order_masked(spark, d):
-    rows, out = _selected(spark, d), None
+    out = None
     for name, mask in MASKS.items():
-        part = ordering.by_pairs(rows, PAIR_WEIGHTS, mask).select(F.lit(name).alias("mask"), "query_id", "pos", "tool")
+        part = _ordered(spark, d, lambda rows, mask=mask: ordering.by_pairs(rows, PAIR_WEIGHTS, mask)).select(F.lit(name).alias("mask"), "query_id", "pos", "tool")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query
 def pair_features(spark, d):
-    return _six(ordering.features(_selected(spark, d)).withColumnRenamed("f_rank", "rank_share"))
+    return _six(_ordered(spark, d, ordering.features).withColumnRenamed("f_rank", "rank_share"))
 
 
 @query
@@ -682,7 +693,7 @@ def pair_model_accuracy(spark, d):
 @query
 def order_pairwise_net(spark, d):
     """The candidates' orders by a net trained on the training tasks."""
-    return _six(ordering.by_net(_selected(spark, d), _pair_net(spark, d)))
+    return _six(_ordered(spark, d, lambda rows: ordering.by_net(rows, _pair_net(spark, d))))
 
 
 @query
@@ -763,7 +774,8 @@ def metrics_lcs(spark, d):
 
 @query
 def rollup_grouping_sets(spark, d):
-    return _six(evaluation.rollup(_measured(spark, d), ["set_f1", "ordered_precision", "transition_acc"]))
+    names = {"set_f1": metrics.set_f1, "ordered_precision": metrics.ordered_precision, "transition_acc": metrics.transition_accuracy}
+    return _six(evaluation.rollup(evaluation.measured(_predictions(spark, d), names), list(names)))
 
 
 @query
@@ -882,7 +894,7 @@ def invariant_set_integrity(spark, d):
 @query
 def invariant_parity(spark, d):
     """Sorted selection is the retrieval itself: rows in which they differ."""
-    a = planning.steps_of(ordering.by_similarity(_selected(spark, d)))
+    a = planning.steps_of(_ordered(spark, d, ordering.by_similarity))
     b = _top_k(spark, d).select("query_id", F.col("rank").alias("step"), "tool")
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("violations"))
 
