@@ -174,3 +174,16 @@ def test_plans_of_all_settings(spark):
     every = planning.settings()
     assert [sum(m == x for m, _ in every) for x in ("best_first", "beam", "hybrid")] == [20, 52, 75]
     assert len(planning.settings(trials=10)) == 30 and planning.settings(10) == planning.settings(10)
+
+
+def test_nearest_tools_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20, 3))[rng.integers(0, 20, 40)]  # some are equal
+    vectors = spark.createDataFrame([(f"t{i:02}", [float(v) for v in row]) for i, row in enumerate(x)], "tool string, vec array<double>")
+    for top in (1, 5, 60):
+        got = {(r.src, r.dst): r.sim for r in graph.knn(vectors, working(spark, "test"), top).collect()}
+        want = {}
+        for i in range(40):
+            best = sorted((-round(float(x[i] @ x[j]), 9), f"t{j:02}") for j in range(40) if j != i and x[i] @ x[j] > 0)[:top]
+            want |= {(f"t{i:02}", n): pytest.approx(-s, abs=1e-8) for s, n in best}
+        assert got == want

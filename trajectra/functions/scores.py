@@ -32,6 +32,3 @@ def position_score(expected: Column, position: Column) -> Column:
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
-
-def score_or(x: Column, default: float = 0.0) -> Column:
-    return F.coalesce(x, F.lit(default))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from . import retrieval
 
 
 def transitions(steps: DataFrame, skip_weight: float = 0.5) -> DataFrame:
@@ -42,13 +44,24 @@ def top_neighbours(edges: DataFrame, n: int = 30) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def knn(vectors: DataFrame, top_k: int = 20) -> DataFrame:
-    """(src, dst, sim): each tool's top_k most similar others with a similarity above 0; ties by name."""
-    a = vectors.select(F.col("tool").alias("src"), F.col("vec").alias("_a"))
-    b = vectors.select(F.col("tool").alias("dst"), F.col("vec").alias("_b"))
-    sims = a.join(b, F.col("src") != F.col("dst")).select("src", "dst", scores.dot(F.col("_a"), F.col("_b")).alias("sim"))
+def knn(vectors: DataFrame, keep: Callable[[DataFrame, str], DataFrame], top_k: int = 20) -> DataFrame:
+    """(src, dst, sim): each tool's top_k most similar others with a similarity above 0; ties by name.
+
+    Blocks of tools meet as matrix products, and what cannot be among a tool's best of a block does not leave it.
+    """
+
+    def nearest(src: list, x: np.ndarray, dst: list, y: np.ndarray) -> Iterator[tuple]:
+        sims, size = x @ y.T, top_k + 1  # the tool itself may be one of them
+        # ties are settled on rounded values, so what is a little below the last stays, too
+        least = np.partition(sims, -size, axis=1)[:, -size, None] - 1e-8 if size < len(dst) else np.zeros((len(src), 1))
+        i, j = np.nonzero((sims >= least) & (sims > 0))
+        for a in range(0, len(i), 200_000):
+            m, n = i[a : a + 200_000], j[a : a + 200_000]
+            yield [src[k] for k in m], [dst[k] for k in n], sims[m, n]
+
+    sims = retrieval.blocks_met(vectors, vectors, nearest, keep).where("src <> dst").withColumnRenamed("score", "sim")
     w = Window.partitionBy("src").orderBy(F.desc(F.round("sim", 9)), "dst")
-    return sims.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= top_k) & (F.col("sim") > 0)).drop("_n")
+    return sims.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top_k).drop("_n")
 
 
 def fused(edges: DataFrame, sims: DataFrame, alpha: float = 0.7, threshold: float = 0.6) -> DataFrame:

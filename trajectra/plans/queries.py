@@ -452,14 +452,18 @@ def loo_tp(spark, d):
     return _six(rows.select("task_id", "a", "b", tp.alias("tp")))
 
 
+def _knn(spark: SparkSession, d: str) -> DataFrame:
+    return graph.knn(_vectors(spark, d), working(spark, "knn"))
+
+
 @query
 def knn_graph(spark, d):
-    return _six(graph.knn(_vectors(spark, d)))
+    return _six(_knn(spark, d))
 
 
 @query
 def fused_graph(spark, d):
-    return _six(graph.fused(graph.pruned(_edges(spark, d)), graph.knn(_vectors(spark, d)), threshold=0.3))
+    return _six(graph.fused(graph.pruned(_edges(spark, d)), _knn(spark, d), threshold=0.3))
 
 
 @query
@@ -506,7 +510,7 @@ def label_prop(spark, d):
 @query
 def weak_components(spark, d):
     """Components of the nearest-neighbour graph of one neighbour."""
-    return graph.weak_components(graph.knn(_vectors(spark, d), top_k=1), working(spark, "components"))
+    return graph.weak_components(graph.knn(_vectors(spark, d), working(spark, "knn"), top_k=1), working(spark, "components"))
 
 
 @query
