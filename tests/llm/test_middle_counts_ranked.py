@@ -221,3 +221,19 @@ def test_blocks_are_skipped():
         want = want[total[want] > 0]
         assert best.ids.tolist() == want.tolist() and best.score.tolist() == total[want].tolist()
     assert sum(seen) < 0.6 * sum(30 * [len(docs)])
+
+
+def test_ids_and_texts_as_columns(spark, cases):
+    """The columns that byte-level encoding and the token files give beside their digests."""
+    from trajectra.llm import bpe, tokenfile
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.with_decoded(bpe.with_ids(cases.where("doc_id <> 10"), path, pattern), path, pattern).collect()
+    enc = bpe.encoding(path, pattern)
+    assert all(r.ids == enc.encode_ordinary(r.text or "") and r.decoded == (r.text or "") for r in rows) and len(rows) > 5
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/ids"
+    tokenfile.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), block_tokens=3000)
+    got = {r.doc_id: r for r in tokenfile.read(spark, folder).collect()}
+    for r in docs.collect():
+        assert list(got[r.doc_id].ids) == [*enc.encode_ordinary(r.text or ""), 2] and got[r.doc_id].n_tokens == len(got[r.doc_id].ids)
