@@ -179,6 +179,41 @@ def test_neighbours_select_in_clusters():
     assert neighbours.perturbations(2, 5) == [(), (0,), (1,), (0, 1), (2,)]
 
 
+def test_candidates_are_merged_and_compared_once(spark, monkeypatch):
+    """Against a plain search of the same buckets, in small shards and blocks, by product and by gathering."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 6))
+    x = centres[rng.integers(0, 12, 700)] + 0.3 * rng.standard_normal((700, 6))
+    x[50], x[51:60] = x[100], x[200]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    t = neighbours.Tables(6, 2, 2, 1.0, 5)
+    unit = neighbours._unit(x)
+    places = t.places(unit)
+    mask = t.found([t.key(i, t.visits(p[::50])) for i, p in enumerate(places)], t.sorted(t.keys(places)))
+    for q in range(len(mask)):
+        want = set()
+        for i in range(2):
+            visits = {tuple(v) for v in t.visits(places[i, 50 * q : 50 * q + 1])[0].tolist()}
+            want |= {j for j in range(700) if tuple(np.floor(places[i, j]).tolist()) in visits}
+        assert set(np.flatnonzero(mask[q]).tolist()) == want
+    assert 0.01 < mask.mean() < 0.6
+    want = {}
+    for n, q in enumerate(range(0, 700, 50)):
+        found = [j for j in np.flatnonzero(mask[n]).tolist() if j != q]
+        if len(np.flatnonzero(mask[n])) <= 5:
+            found = [j for j in range(700) if j != q]
+        want[q] = sorted((-neighbours.cosine(x[q], x[j]), j) for j in found)[:5]
+    monkeypatch.setattr(neighbours, "fit", lambda *a: t)
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
+    for shard, dense in ((8192, 0), (90, 10**9)):
+        monkeypatch.setattr(neighbours, "SHARD", shard)
+        monkeypatch.setattr(neighbours, "DENSE", dense)
+        got = {}
+        for r in neighbours.nearest(rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert got == want
+
+
 def test_neighbours_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [0.0, 1.0]), (50, [1.0, 0.0]), (None, [1.0, 1.0]), (8, [1.0])]
@@ -380,6 +415,62 @@ def test_fuzzy_and_repetitive_passages_are_candidates(spark):
     assert all(r.end - r.begin >= 50 for r in found)
 
 
+def test_packed_seeds():
+    rng = np.random.default_rng(4)
+    for n, nodes in ((0, 1), (1, 1), (2000, 3), (3000, 2000)):
+        sig, place = rng.integers(0, 2**64, n, np.uint64), rng.integers(0, 2**16, n).astype(np.uint16)
+        node = rng.integers(0, 2**40, nodes, np.uint64)[rng.integers(0, nodes, n)]
+        bucket = setjoin.bucket_of(sig, 3)
+        got = [(b, *x) for b, p in passages._packed(sig, node, bucket, place) for x in zip(*(c.tolist() for c in passages._opened(p)), strict=True)]
+        assert sorted(got) == sorted(zip(bucket.tolist(), (sig & np.uint64(2**32 - 1)).tolist(), node.tolist(), place.tolist(), strict=True))
+
+
+def _edited(rng, words, every, kind):
+    """One word in `every` is replaced, left out or followed by another."""
+    out, first = [], rng.integers(0, every)
+    for i, w in enumerate(words):
+        what = kind if i % every == first else "none"
+        if what == "any":
+            what = rng.choice(["replaced", "left out", "added"])
+        out += {"none": [w], "replaced": [f"e{rng.integers(0, 10**9)}"], "left out": [], "added": [w, f"e{rng.integers(0, 10**9)}"]}[what]
+    return out
+
+
+def test_fuzzy_passages_against_all_pairs(spark):
+    """Planted passages with edits every 5 to 8 words, in corpora of common words of three sizes: every pair that aligns is found."""
+    for size in (60, 240, 960):
+        rng = np.random.default_rng(size)
+        common = lambda n: [f"c{x}" for x in (rng.zipf(1.3, n) % 3000)]  # noqa: E731, B023
+        texts = [common(rng.integers(60, 200)) for _ in range(size)]
+        for k in range(0, 40, 2):
+            p = common(64)
+            texts[k] = common(40) + p + common(50)
+            texts[k + 1] = common(50) + _edited(rng, p, 5 + k // 2 % 4, "any" if k % 8 >= 4 and k // 2 % 4 > 0 else "replaced") + common(40)
+        vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+        hashed = [np.array([vocabulary[w] for w in t], np.uint64) for t in texts]
+        got = {r.doc_id: (r.begin, r.end, r.partner_id) for r in passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+        aligned = [k for k in range(0, 40, 2) if passages.align(hashed[k], hashed[k + 1])]
+        missed = [k for k in aligned if got.get(k, (0, 0, -1))[2] != k + 1 or got.get(k + 1, (0, 0, -1))[2] != k]
+        print(f"{size} texts: {len(aligned) - len(missed)} of {len(aligned)} planted fuzzy passages found")
+        assert len(aligned) >= 15 and not missed
+        assert not [d for d in got if d >= 40]  # texts without a planted passage are left alone
+
+
+def test_passages_of_repeated_rows_and_long_texts(spark):
+    rng = np.random.default_rng(8)
+    p = [f"p{i}" for i in range(60)]
+    own = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    long = own(100_000) + p + own(50_000)
+    two, three = (2, " ".join(own(30) + p)), (3, " ".join(own(10) + p))
+    rows = [(1, " ".join(long)), two, two, three, three, (None, " ".join(p + own(5)))]
+    rows += [rows[-1], (5, None), (6, "")]
+    found = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit("n"), "begin": F.lit(0)}))
+    rows_ = found.collect()
+    got = Counter((r.doc_id, r.begin, r.end) for r in rows_)
+    assert got == {(1, 100_000, 100_060): 1, (2, 30, 90): 1, (3, 10, 70): 1, (None, 0, 60): got[(None, 0, 60)]} and got[(None, 0, 60)] >= 1
+    assert all(r.partner_id in {1, 2, 3} - {r.doc_id} for r in rows_)
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     extra = spark.createDataFrame([(900, "lone words here"), (901, ""), (902, None), (None, "two blanks"), (900, "lone words here")], "item_id long, text string")

@@ -307,8 +307,8 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Packer:
     """Collects signatures of nodes and packs them, PACK at a time, by the bucket that `bucket` gives them."""
 
-    def __init__(self, bucket, schema: pa.Schema):
-        self.bucket, self.schema, self.held, self.n = bucket, schema, [], 0
+    def __init__(self, bucket, schema: pa.Schema, packed=pack):
+        self.bucket, self.schema, self.packed, self.held, self.n = bucket, schema, packed, [], 0
 
     def add(self, sig: np.ndarray, node: np.ndarray, place: np.ndarray = np.empty(0, np.uint16)) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(sig), PACK):
@@ -321,7 +321,7 @@ class Packer:
         if self.n:
             sig, node, place = (np.concatenate([h[i] for h in self.held]) for i in range(3))
             self.held, self.n = [], 0
-            blocks = pack(sig, node, self.bucket(sig), place)
+            blocks = self.packed(sig, node, self.bucket(sig), place)
             cols = {"bucket": pa.array([b for b, _ in blocks], pa.int32()), "payload": pa.array([p for _, p in blocks], pa.binary())}
             yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(blocks), f.type)) for f in self.schema], schema=self.schema)
 
@@ -390,6 +390,8 @@ class _Bucket:
     """
 
     SQL = "node long, pivot long, shared long, grp long"
+    #: How blocks are packed and opened.
+    packed, opened = staticmethod(pack), staticmethod(_unpack)
 
     def __init__(self):
         self.held, self.n, self.before = [], 0, None
@@ -402,7 +404,7 @@ class _Bucket:
 
     def _sorted(self, last: bool) -> tuple[np.ndarray, ...]:
         """What is held by signature and node, each once: signature, node, whether a row was made of it, place."""
-        parts = [_unpack(p) for p in self.held]
+        parts = [self.opened(p) for p in self.held]
         parts = [(s, n, np.zeros(len(s), bool), p if len(p) else np.zeros(len(s), np.uint16)) for s, n, p in parts] + ([self.before] if self.before else [])
         self.held, self.n = [], 0
         sig, node, out, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -477,13 +479,13 @@ def meet(blocks: DataFrame, buckets: int, kind: type[_Bucket] = _Bucket) -> Data
     @common.lean
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = 0
-        packer = Packer(lambda sig: current * fine + (sig % np.uint64(fine)).astype(np.int64), _BLOCK)
+        packer = Packer(lambda sig: current * fine + (sig % np.uint64(fine)).astype(np.int64), _BLOCK, kind.packed)
         for batch in batches:
             for b, payload in zip(batch["bucket"].to_pylist(), batch["payload"], strict=True):
                 if b != current:
                     yield from packer.rest()
                     current = b
-                yield from packer.add(*_unpack(payload.as_buffer().to_pybytes()))
+                yield from packer.add(*kind.opened(payload.as_buffer().to_pybytes()))
         yield from packer.rest()
 
     dealt = blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket").mapInArrow(finer, "bucket int, payload binary")
