@@ -8,10 +8,11 @@ distances. Candidates of all tables are merged and ranked by exact cosines.
 
 M, L, w and T are chosen on a bounded sample (SAMPLE vectors): the cheapest setting whose recall
 among the sample's own neighbours reaches TARGET; where none does, every query is compared with all
-vectors. All vectors are indexed. Large buckets are split, by their estimated size; a query visits
-every part, and a task streams over the vectors of a part and holds only the queries that visit it.
-Equal vectors are indexed once, with the k + 1 smallest of their ids, which are all that any query can
-return. A query that finds fewer than k candidates is compared with all vectors instead.
+vectors. All vectors are indexed, in shards of SHARD vectors with the buckets that each vector is in. A block of QUERIES
+queries meets every shard: there, what its buckets hold is merged over all tables first, and then each candidate is
+compared once. Shards are of one size however the vectors lie, so no bucket makes a task longer, and a task keeps the best
+of its blocks' queries only. Equal vectors are indexed once, with the k + 1 smallest of their ids, which are all that any
+query can return. A query that finds fewer than k candidates meets all shards once more, compared with all they hold.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do those of another length than the commonest; a null vec_id takes no part; rows that repeat
@@ -22,10 +23,10 @@ empty table returns no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 from math import fsum, sqrt
 
 import numpy as np
@@ -33,16 +34,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import Scratch, mix
 
 SAMPLE = 4_000
 #: Queries of the sample on which settings are compared.
 TRIALS = 100
-TARGET = 0.96
+TARGET = 0.95
 #: Tables, functions, widths and visits that are tried.
 GRID = (2, 4, 8, 16), (2, 4, 8, 12), (0.75, 1.0, 1.5, 2.0), 256
-#: Rows of a bucket's part, and queries compared with all vectors at a time.
-PART, BLOCK = 2_048, 2_000
+#: Vectors of a shard, queries of a block, and candidate pairs that are gathered at a time.
+SHARD, QUERIES, PAIRS = 8_192, 256, 200_000
+#: Vectors that may be compared by a product of matrices in the time that one is gathered and compared on its own.
+DENSE = 16
 #: Costs in vectors compared: of a visit, and of a vector in one more table, shared by the queries.
 VISIT, DEAL = 20, 5_000
 SEED = 20_240_601
@@ -91,8 +95,8 @@ class Tables:
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((tables, functions, dim))
         self.b = rng.random((tables, functions)) * width
-        self.width, self.probes, self.parts = width, probes, {}
-        #: Measured on the sample: recall, and the share of all vectors that a query is compared with.
+        self.width, self.probes = width, probes
+        #: Measured on the sample: recall, and the share of all vectors that a query is compared with, each once.
         self.recall = self.share = 0.0
 
     def places(self, unit: np.ndarray) -> np.ndarray:
@@ -106,6 +110,27 @@ class Tables:
             h = mix(h * np.uint64(31) + codes[..., m].astype(np.int64).view(np.uint64))
         return h.view(np.int64)
 
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        """(tables, rows): the buckets that vectors at `places` are in."""
+        return np.stack([self.key(i, np.floor(p)) for i, p in enumerate(places)])
+
+    @staticmethod
+    def sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each table, the order of its rows by bucket, and the buckets in that order."""
+        order = np.argsort(keys, axis=1, kind="stable")
+        return order, np.take_along_axis(keys, order, 1)
+
+    @staticmethod
+    def found(visited: list[np.ndarray], held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """(queries, rows): the candidates of queries that visit buckets (queries, visits) of each table, merged over the tables."""
+        mask = np.zeros((len(visited[0]), held[0].shape[1]), bool)
+        for seen, order, keys in zip(visited, *held, strict=True):
+            low, high = (np.searchsorted(keys, seen.ravel(), side=side) for side in ("left", "right"))
+            n = high - low
+            row = np.repeat(np.repeat(np.arange(len(seen)), seen.shape[1]), n)
+            mask[row, order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] = True
+        return mask
+
     def visits(self, place: np.ndarray) -> np.ndarray:
         """(rows, visits, functions): the hash values of the buckets that queries at `place` visit, likeliest first."""
         base = np.floor(place)
@@ -148,16 +173,16 @@ def fit(sample: np.ndarray, rows: int, k: int = 5) -> Tables | None:
                     enough = np.flatnonzero(recall >= TARGET)
                     if len(enough):
                         p = int(enough[0])
-                        cost = work[p] * rows + VISIT * (table + 1) * (p + 1) + DEAL * (table + 1)
+                        cost = min(work[p], 1.0) * rows + VISIT * (table + 1) * (p + 1) + DEAL * (table + 1)
                         if best is None or cost < best[0]:
                             best = (cost, table + 1, functions, width, p + 1, float(recall[p]), float(work[p]))
     if best is None:
         return None
     t = Tables(dim, *best[1:5])
-    t.recall, t.share = best[5:]
-    for table, codes in enumerate(np.floor(t.places(sample))):
-        for key, count in zip(*np.unique(t.key(table, codes), return_counts=True), strict=True):
-            t.parts[int(key)] = max(1, -(-int(count) * rows // n // PART))
+    t.recall = best[5]
+    places = t.places(sample)
+    mask = t.found([t.key(i, t.visits(places[i, : len(queries)])) for i in range(len(places))], t.sorted(t.keys(places)))
+    t.share = float(mask.mean())
     return t
 
 
@@ -171,80 +196,104 @@ def cosine(x: np.ndarray, y: np.ndarray) -> float:
     return fsum(x * y) / (sqrt(fsum(x * x)) * sqrt(fsum(y * y)))
 
 
-_DEAL = "key long, part int, kind int, cid long, ids array<long>, x binary"
 _FOUND = "q long, cid long, ids array<long>, score double"
 
 
-def _deal(rows: DataFrame, tables: Tables, kind: int) -> DataFrame:
-    """A row for each bucket part that a vector is in (kind 1) or a query visits (kind 0)."""
+def _shards(classes: DataFrame, tables: Tables | None) -> DataFrame:
+    """Shards of at most SHARD vectors: cids, ids, x, and the bucket of each in every table; write them before use."""
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["embedding"].to_numpy())
-            places = tables.places(_unit(x))
-            out, raws = [], [v.astype("<f8").tobytes() for v in x]
-            ids = [None] * len(x) if kind == 0 else batch["ids"].tolist()
-            for t in range(len(places)):
-                keys = tables.key(t, tables.visits(places[t]) if kind == 0 else np.floor(places[t])[:, None, :])
-                for i, cid in enumerate(batch["cid"].tolist()):
-                    for key in keys[i].tolist():
-                        parts = tables.parts.get(key, 1)
-                        for part in range(parts) if kind == 0 else [cid % parts]:
-                            out.append((key, part, kind, cid, ids[i], raws[i]))
-            yield pd.DataFrame(out, columns=["key", "part", "kind", "cid", "ids", "x"])
-
-    return rows.select("cid", "ids", "embedding").mapInPandas(deal, _DEAL)
-
-
-def _best(q_ids: np.ndarray, q: np.ndarray, cids: np.ndarray, ids: list, x: np.ndarray, k: int) -> list[tuple]:
-    """The k nearest of x to each query, with all that tie with the last of them."""
-    out = []
-    uq, ux = _unit(q), _unit(x)
-    for i in range(0, len(q), 512):
-        sims = uq[i : i + 512] @ ux.T
-        last = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -2.0)
-        for r, c in zip(*np.nonzero(sims >= last[:, None] - 1e-9), strict=True):
-            out.append((int(q_ids[i + r]), int(cids[c]), ids[c], cosine(q[i + r], x[c])))
-    return out
-
+            for i in range(0, len(batch), SHARD):
+                part = batch.iloc[i : i + SHARD]
+                x = np.stack(part["embedding"].to_numpy()).astype("<f8")
+                keys = tables.keys(tables.places(_unit(x))) if tables else np.empty((0, len(x)), np.int64)
+                yield pd.DataFrame({"cids": [part["cid"].to_numpy()], "ids": [part["ids"].tolist()], "x": [x.tobytes()], "keys": [keys.tobytes()]})
 
-def _floats(rows: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+    return classes.select("cid", "ids", "embedding").mapInPandas(run, "cids array<long>, ids array<array<long>>, x binary, keys binary")
 
 
-def _visit(dealt: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each bucket part to each query that visits it."""
+def _packed(asked: DataFrame) -> DataFrame:
+    """Blocks of at most QUERIES queries (cid, embedding): q_uid, q_cids, q_x; write them before use."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, q_ids, qs = None, [], []
         for batch in batches:
-            for (key, part, kind), g in batch.groupby(["key", "part", "kind"], sort=True):
-                if (key, part) != at:
-                    at, q_ids, qs = (key, part), [], []
-                if kind == 0:
-                    q_ids.append(g["cid"].to_numpy())
-                    qs.append(_floats(g["x"]))
-                elif qs:
-                    found = _best(np.concatenate(q_ids), np.concatenate(qs), g["cid"].to_numpy(), g["ids"].tolist(), _floats(g["x"]), k)
-                    yield pd.DataFrame(found, columns=["q", "cid", "ids", "score"])
+            for i in range(0, len(batch), QUERIES):
+                part = batch.iloc[i : i + QUERIES]
+                x = np.stack(part["embedding"].to_numpy()).astype("<f8")
+                yield pd.DataFrame({"q_uid": [uuid.uuid4().hex], "q_cids": [part["cid"].to_numpy()], "q_x": [x.tobytes()]})
+
+    return asked.select("cid", "embedding").mapInPandas(run, "q_uid string, q_cids array<long>, q_x binary")
+
+
+def _scored(ux: np.ndarray, uy: np.ndarray, mask: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k nearest candidates of each query, with all that tie with the last of them about as near."""
+    if mask is None or DENSE * int(mask.sum()) >= mask.size:
+        sims = ux @ uy.T
+        if mask is not None:
+            sims[~mask] = -np.inf
+    else:
+        sims = np.full(mask.shape, -np.inf)
+        row, col = np.nonzero(mask)
+        for i in range(0, len(row), PAIRS):
+            a, b = row[i : i + PAIRS], col[i : i + PAIRS]
+            sims[a, b] = np.einsum("ij,ij->i", ux[a], uy[b])
+    last = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -2.0)
+    return np.nonzero(sims >= np.maximum(last, -2.0)[:, None] - 1e-9)
 
-    keys = ["key", "part", "kind"]
-    return dealt.repartition("key", "part").sortWithinPartitions(*keys).mapInPandas(run, _FOUND)
 
+class _Best:
+    """The best candidates of the queries of one block so far."""
 
-def _all(classes: DataFrame, queries: list, k: int) -> DataFrame:
-    """The k nearest of each batch of all vectors to the given queries."""
-    q_ids, q = np.array([r["cid"] for r in queries]), np.array([r["embedding"] for r in queries])
+    def __init__(self, row, tables: Tables | None, k: int):
+        self.uid, self.k, self.found = row.q_uid, k, {int(c): [] for c in row.q_cids}
+        self.cids = list(self.found)
+        self.x = np.frombuffer(row.q_x, "<f8").reshape(len(self.cids), -1)
+        self.unit = _unit(self.x)
+        self.visited = [tables.key(i, tables.visits(p)) for i, p in enumerate(tables.places(self.unit))] if tables else None
 
+    def meet(self, shard: _Open) -> None:
+        mask = None if self.visited is None else Tables.found(self.visited, shard.held)
+        for q, c in zip(*(x.tolist() for x in _scored(self.unit, shard.unit, mask, self.k)), strict=True):
+            self.found[self.cids[q]].append((-cosine(self.x[q], shard.x[c]), shard.ids[c][0], int(shard.cids[c]), shard.ids[c]))
+        for cid, rows in self.found.items():
+            if len(rows) > 4 * self.k:
+                self.found[cid] = sorted(rows, key=lambda r: r[:2])[: self.k]
+
+    def rows(self) -> pd.DataFrame:
+        out = [(cid, r[2], r[3], -r[0]) for cid, rows in self.found.items() for r in sorted(rows, key=lambda r: r[:2])[: self.k]]
+        return pd.DataFrame(out, columns=["q", "cid", "ids", "score"])
+
+
+class _Open:
+    """A shard, opened."""
+
+    def __init__(self, row, tables: Tables | None):
+        self.cids, self.ids, self.raw = row.cids, [list(i) for i in row.ids], row.x
+        self.x = np.frombuffer(row.x, "<f8").reshape(len(self.cids), -1)
+        self.unit = _unit(self.x)
+        self.held = tables.sorted(np.frombuffer(row.keys, np.int64).reshape(-1, len(self.cids))) if tables else None
+
+
+def _met(blocks: DataFrame, shards: DataFrame, tables: Tables | None, k: int) -> DataFrame:
+    """The k best candidates of every query in what a task meets; without tables, all vectors are candidates."""
+
+    @common.lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                found = _best(q_ids, q, b["cid"].to_numpy(), b["ids"].tolist(), np.stack(b["embedding"].to_numpy()), k)
-                yield pd.DataFrame(found, columns=["q", "cid", "ids", "score"])
+        best, shard = None, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if best is None or best.uid != row.q_uid:
+                    if best:
+                        yield best.rows()
+                    best = _Best(row, tables, k)
+                if shard is None or shard.raw != row.x:
+                    shard = _Open(row, tables)
+                best.meet(shard)
+        if best:
+            yield best.rows()
 
-    return classes.select("cid", "ids", "embedding").mapInPandas(run, _FOUND)
+    return blocks.crossJoin(shards).mapInPandas(run, _FOUND)
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -263,30 +312,22 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("cid"), "cid").select("embedding").limit(SAMPLE).collect()
     tables = fit(_unit(np.array([r["embedding"] for r in sample])), n, k) if sample else None
-    if tables:
-        dealt = _deal(asked, tables, 0).unionByName(_deal(classes, tables, 1))
-        found = scratch.keep(_visit(dealt, k + 1), "found")
-    else:
-        found = classes.sparkSession.createDataFrame([], _FOUND)
+    shards = scratch.keep(_shards(classes, tables), "shards")
 
     def ranked(found: DataFrame) -> DataFrame:
         best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
-        once = found.groupBy("q", "cid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-        return once.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("q", "score", "ids")
-
-    top = scratch.keep(ranked(found), "top")
-    have = top.groupBy("q").agg(F.sum(F.size("ids")).alias("_have")).where(F.col("_have") > k).select(F.col("q").alias("cid"))
-    short = asked.join(have, "cid", "left_anti")
-    block: list = []
-    rest = None
-    for r in chain(short.toLocalIterator(), [None]):
-        if r is not None:
-            block.append(r)
-        if block and (r is None or len(block) == BLOCK):
-            part, block = ranked(_all(classes, block, k + 1)), []
-            rest = part if rest is None else rest.unionByName(part)
-    if rest is not None:
-        top = top.join(have.withColumnRenamed("cid", "q"), "q", "left_semi").unionByName(rest)
+        once = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)  # a vector is in one shard
+        return once.select("q", "score", "ids")
+
+    tasks = common.partitions(vectors.sparkSession)
+    dealt = lambda queries, name: scratch.keep(_packed(queries.repartition(tasks, "cid")), name)
+    top = scratch.keep(ranked(_met(dealt(asked, "asked"), shards, tables, k + 1)), "top")
+    if tables:
+        have = top.groupBy("q").agg(F.sum(F.size("ids")).alias("_have")).where(F.col("_have") > k).select(F.col("q").alias("cid"))
+        short = scratch.keep(asked.join(have, "cid", "left_anti"), "short")
+        if short.limit(1).count():
+            rest = ranked(_met(dealt(short, "asked-again"), shards, None, k + 1))
+            top = top.join(have.withColumnRenamed("cid", "q"), "q", "left_semi").unionByName(rest)
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         queries.join(top, "q").select("query_id", "score", F.explode("ids").alias("vec_id"))
