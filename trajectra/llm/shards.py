@@ -7,8 +7,9 @@ the count of shards and slot the quotient, so shard counts differ by one at most
 gaps. Where a row lands follows from its number, n, the key and the count of shards alone.
 
 Edge cases: a null text has size 1 and crc32 0; a null doc_id comes first; rows that agree in all
-four sort columns can't be told apart and take neighbouring numbers in either order; an empty table
-returns no rows.
+four sort columns can't be told apart and take neighbouring numbers in either order; texts of any length are
+measured whole, and do not travel with their rows; only doc_id and the text are looked at, whatever other columns are
+named; an empty table returns no rows.
 """
 
 from __future__ import annotations
