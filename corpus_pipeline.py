@@ -8,6 +8,11 @@ Every stage takes (spark, docs, sf_dir). The first four return the columns of `d
    texts without words are in no group and stay.
 4. decontamination: documents that hold a window of a benchmark item go.
 5. byte_bpe: what is left, encoded and decoded.
+
+Edge cases: a null text counts as empty and stays null; empty texts are scored like others, and those that stay have no
+lines, no near-duplicates and no windows; rows with equal doc_id are separate documents, and rows that repeat doc_id and
+text are near-duplicates of each other; texts of any length go through whole; columns of the input that are named as an operator's
+own pass through unchanged; an empty table gives empty tables.
 """
 
 from __future__ import annotations

@@ -297,3 +297,19 @@ def test_result_files(spark, tmp_path):
     (tmp_path / "two.csv").write_text("method\n")
     names = [r.path.rsplit("/", 1)[-1] for r in readers.newest(spark, str(tmp_path), "*.csv").collect()]
     assert names == ["two.csv", "one.csv"]
+
+
+def test_first_rows_and_prompts(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z")], "k string, n int, v string")
+    assert sorted((r.k, r.v) for r in trajectory.first_of_key(rows, "k", F.col("n")).collect()) == [("a", "y"), ("b", "z")]
+    one = spark.createDataFrame([("do it", ["t1", "t2"], [("ex", ["a", "b"])])], "task string, tools array<string>, ex array<struct<task: string, seq: array<string>>>")
+    prompt = one.select(text.few_shot_prompt(F.col("task"), F.col("tools"), F.col("ex"))).first()[0]
+    assert prompt.startswith("Task: ex\nAnswer: a -> b\n\nTask: do it\nTools: t1, t2")
+    assert one.select(text.shown_plan(F.array(F.lit("get_for_x"), F.lit("put")), F.lit("beam"), F.lit(0.5))).first()[0] == "[beam] get -> put (0.5000)"
+
+
+def test_hashed_tfidf_as_an_encoder(spark):
+    docs = spark.createDataFrame([(1, "get weather data"), (2, "get stock price"), (3, "send email"), (4, None)], "doc_id int, text string")
+    model = retrieval.hashed_tfidf(docs)
+    vec = {r.doc_id: r.vec.toArray() for r in model.transform(docs.where("text IS NOT NULL")).collect()}
+    assert all(abs((v @ v) - 1) < 1e-9 for v in vec.values()) and vec[1] @ vec[2] > vec[1] @ vec[3]

@@ -368,6 +368,10 @@ ORACLE_SQL: dict[str, str] = {
         l0="SELECT DISTINCT a AS tool, a AS community FROM links_",
         **{f"l{i}": f"SELECT a AS tool, arg_min(community, (-round(s, 9), community)) AS community FROM (SELECT a, community, sum(w) AS s FROM links_ JOIN l{i - 1} ON b = tool GROUP BY ALL) GROUP BY a" for i in (1, 2, 3)},
     ),
+    "weak_components": _with("SELECT tool, least(tool, min(o)) AS component FROM reach GROUP BY tool",
+        nearest="SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS n FROM knn) WHERE n = 1",
+        ways="SELECT src AS a, dst AS b FROM nearest UNION SELECT dst, src FROM nearest",
+        reach="SELECT a AS tool, b AS o FROM ways UNION SELECT reach.tool, ways.b FROM reach JOIN ways ON ways.a = reach.o"),
     "shortest_path_hops": _with("SELECT (SELECT min(src) FROM e) AS src, dst, min(h)::INT AS hops FROM reach GROUP BY dst",
         e="SELECT src, dst FROM edges WHERE count >= 1 AND weight >= 0.05",
         reach="SELECT (SELECT min(src) FROM e) AS dst, 0 AS h UNION SELECT e.dst, h + 1 FROM reach JOIN e ON e.src = reach.dst WHERE h <= (SELECT count(DISTINCT src) FROM e)"),
