@@ -415,6 +415,31 @@ def test_fuzzy_and_repetitive_passages_are_candidates(spark):
     assert all(r.end - r.begin >= 50 for r in found)
 
 
+def test_runs_against_all_places():
+    rng = np.random.default_rng(1)
+    for n, m, words_ in ((0, 9, 3), (4, 4, 1), (40, 60, 2), (60, 50, 3), (120, 90, 30)):
+        for _ in range(20):
+            a, b = (rng.integers(0, words_, x).astype(np.uint64) for x in (n, m))
+            want = []
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                        size = 0
+                        while i + size < len(a) and j + size < len(b) and a[i + size] == b[j + size]:
+                            size += 1
+                        if size >= passages.K:
+                            want.append([i, j, size])
+            assert passages.runs(a, b).tolist() == want
+
+
+def test_repeated_lines_in_linear_time():
+    line = np.arange(10, dtype=np.uint64)
+    a, b = np.tile(line, 20_000), np.r_[np.tile(line, 15_000), np.arange(100, 400, dtype=np.uint64)]
+    began = time.time()
+    found = passages.align(a, b)
+    assert any(s[0] == 0 and s[1] >= 150_000 for s in found) and time.time() - began < 60
+
+
 def test_packed_seeds():
     rng = np.random.default_rng(4)
     for n, nodes in ((0, 1), (1, 1), (2000, 3), (3000, 2000)):
