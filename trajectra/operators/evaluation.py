@@ -34,6 +34,19 @@ def means(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in values])
 
 
+def shown_means(rows: DataFrame, methods: list[tuple[str, str]], buckets: list[str], values: list[str], places: int = 6) -> DataFrame:
+    """(place, label, bucket, n, values): means of the given methods (name, label) in their order, by the buckets in theirs.
+
+    Other methods and buckets are left out; a method without rows in a bucket has n = 0. Values are rounded row by row first.
+    """
+    spark = rows.sparkSession
+    wanted = [(i * len(buckets) + j, m, label, b) for i, (m, label) in enumerate(methods) for j, b in enumerate(buckets)]
+    order = spark.createDataFrame(wanted, "place int, method string, label string, bucket string")  # as long as the two lists
+    kept = rows.where(F.col("method").isin([m for m, _ in methods]) & F.col("bucket").isin(buckets))
+    found = kept.groupBy("method", "bucket").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.round(v, places)).alias(v) for v in values])
+    return F.broadcast(order).join(found, ["method", "bucket"], "left").select("place", "label", "bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *values)
+
+
 def paired(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """(query_id, delta): method a less method b on the queries that both have."""
     x = rows.where(F.col("method") == a).select("query_id", F.col(value).alias("_x"))

@@ -27,6 +27,13 @@ def by_links(rows: DataFrame) -> DataFrame:
     return planning.named(planning.greedy(rows, score, F.size("c") - 1))
 
 
+def by_matrix(cands: DataFrame, scored: DataFrame) -> DataFrame:
+    """From the most similar candidate (query_id, tool, sim, rank, k) on, the greatest score (src, dst, score) from the last one; ties by rank."""
+    links = scored.select("src", "dst", F.col("score").alias("w"))
+    score = lambda x, acc: F.get(x["into"], planning._last(acc))
+    return planning.named(planning.greedy(planning.linked(cands, links), score, F.size("c") - 1))
+
+
 def by_strongest(rows: DataFrame, alpha: float = 0.7) -> DataFrame:
     """alpha * the strongest link from any earlier tool + (1 - alpha) * similarity; similarity alone at first."""
     score = lambda x, acc: alpha * planning._strongest(x, acc) + (1 - alpha) * x["sim"]

@@ -158,6 +158,13 @@ def coverage(new: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def uncovered(new: DataFrame, known: DataFrame, n: int = 10) -> DataFrame:
+    """(place, tool, n_tasks): the first n tools by name of `new` that `known` lacks, and in how many tasks they are."""
+    rows = new.select("task_id", "tool").distinct().join(known.select("tool").distinct(), "tool", "left_anti")
+    top = rows.groupBy("tool").agg(F.count(F.lit(1)).alias("n_tasks")).orderBy("tool").limit(n)
+    return top.select((F.row_number().over(Window.orderBy("tool")) - 1).alias("place"), "tool", "n_tasks")  # n rows
+
+
 def overlap(test: DataFrame, train: DataFrame, key: str) -> DataFrame:
     """Test rows whose key occurs in training, and those that are left without them."""
     seen = train.select(key).distinct()

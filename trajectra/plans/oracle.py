@@ -311,6 +311,14 @@ ORACLE_SQL: dict[str, str] = {
     "coverage_report": _with("""
         SELECT count(*) AS n_tools, count(b.tool) AS covered, count(*) - count(b.tool) AS uncovered, round(coalesce(100.0::DOUBLE * count(b.tool) / nullif(count(*), 0), 0), 6) AS pct
         FROM (SELECT DISTINCT tool FROM t1 JOIN splits USING (task_id) WHERE is_test) a LEFT JOIN (SELECT DISTINCT tool FROM t1 JOIN splits USING (task_id) WHERE NOT is_test) b ON a.tool = b.tool"""),
+    "coverage_examples": _with("SELECT (row_number() OVER (ORDER BY tool) - 1)::INT AS place, tool, n_tasks FROM rare ORDER BY tool LIMIT 10",
+        rare="SELECT tool, count(DISTINCT task_id) AS n_tasks FROM t1 WHERE tool NOT IN (SELECT unnest([src, dst]) FROM pruned) GROUP BY tool"),
+    "order_by_matrix": _with(_STEPS.format("o_matrix"),
+        matrix="SELECT a.tool AS src, b.tool AS dst, list_inner_product(a.vec, b.vec) AS transition_prob FROM vectors a JOIN vectors b ON a.tool <> b.tool",
+        selected="{linked:top:matrix}", o_matrix="{greedy:selected:x.links[acc[len(acc)] + 1]:len(c) - 1}"),
+    "shown_table": _with("""SELECT (o.i * 4 + b.j)::INT AS place, label, o_bucket AS bucket, count(m.query_id) AS n, """ + ", ".join(f"round(avg(round({v}, 6)), 6) AS {v}" for v in ("set_f1", "ordered_precision", "kendall_tau"))
+        + """ FROM (VALUES (0, 'semantic_strongest', 'Strongest link'), (1, 'semantic', 'Similarity'), (2, 'frequency', 'Most frequent')) o(i, o_method, label)
+        CROSS JOIN (VALUES (0, '5+'), (1, '3-4'), (2, '1-2'), (3, 'none')) b(j, o_bucket) LEFT JOIN measured m ON m.method = o_method AND m.bucket = o_bucket GROUP BY ALL"""),
     "train_test_overlap": _with("""
         SELECT CASE WHEN k IN (SELECT array_to_string(seq, '>') FROM splits WHERE NOT is_test) THEN 'seen' ELSE 'new' END AS part, count(*) AS n
         FROM (SELECT array_to_string(seq, '>') AS k FROM splits WHERE is_test) GROUP BY 1"""),

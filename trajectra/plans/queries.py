@@ -362,6 +362,13 @@ def coverage_report(spark, d):
     return _six(trajectory.coverage(steps.where("is_test"), steps.where("NOT is_test")))
 
 
+@query
+def coverage_examples(spark, d):
+    """The first ten tools that the pruned graph does not cover, and in how many orders they are."""
+    ends = graph.pruned(_edges(spark, d)).select(F.explode(F.array("src", "dst")).alias("tool"))
+    return trajectory.uncovered(_t1(spark, d), ends)
+
+
 @query
 def train_test_overlap(spark, d):
     """Test sequences that training has, and has not."""
@@ -651,6 +658,18 @@ def order_greedy_maxtp(spark, d):
     return planning.steps_of(_ordered(spark, d, ordering.by_strongest))
 
 
+@query
+def order_by_matrix(spark, d):
+    """The candidates ordered by the similarity of each tool to the one before it, as a score matrix."""
+    v, q = _vectors(spark, d), _queries(spark, d)
+    cands = working(spark, "matrix")(planning.candidates(q.where("query_id = by_k"), v, F.col("k")), "candidates")
+    a, b = cands.select("query_id", F.col("tool").alias("src")), cands.select("query_id", F.col("tool").alias("dst"))
+    pairs = a.join(b, "query_id").where("src <> dst").select("src", "dst").distinct()
+    x, y = v.select(F.col("tool").alias("src"), F.col("vec").alias("_x")), v.select(F.col("tool").alias("dst"), F.col("vec").alias("_y"))
+    scored = pairs.join(x, "src").join(y, "dst").select("src", "dst", scores.dot(F.col("_x"), F.col("_y")).alias("score"))
+    return planning.steps_of(_once(q, "by_k", lambda _: ordering.by_matrix(cands, scored)))
+
+
 @query
 def order_optimal_perm(spark, d):
     return planning.steps_of(_ordered(spark, d, ordering.by_permutation))
@@ -787,6 +806,13 @@ def by_length(spark, d):
     return _six(evaluation.means(_measured(spark, d), ["method", "bucket"], VALUES))
 
 
+@query
+def shown_table(spark, d):
+    """Three of the methods, in the order of a result table and with its labels, by length."""
+    shown = [("semantic_strongest", "Strongest link"), ("semantic", "Similarity"), ("frequency", "Most frequent")]
+    return _six(evaluation.shown_means(_measured(spark, d), shown, ["5+", "3-4", "1-2", "none"], ["set_f1", "ordered_precision", "kendall_tau"]))
+
+
 @query
 def first_tool_table(spark, d):
     return _six(evaluation.means(_measured(spark, d), ["method"], ["first_tool_acc", "ordered_precision", "set_f1"]))
