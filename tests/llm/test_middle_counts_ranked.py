@@ -237,3 +237,19 @@ def test_ids_and_texts_as_columns(spark, cases):
     got = {r.doc_id: r for r in tokenfile.read(spark, folder).collect()}
     for r in docs.collect():
         assert list(got[r.doc_id].ids) == [*enc.encode_ordinary(r.text or ""), 2] and got[r.doc_id].n_tokens == len(got[r.doc_id].ids)
+
+
+def test_working_folders_go_when_told(spark, monkeypatch):
+    import os
+
+    from trajectra.llm.common import Scratch
+
+    monkeypatch.setattr(Scratch, "made", set())  # other tests' folders stay
+    one, two = Scratch(spark, "one"), Scratch(spark, "two")
+    for s in (one, two):
+        assert s.keep(spark.range(2), "rows").count() == 2
+    path = lambda s: s.root.removeprefix("file://")
+    one.close()
+    assert not os.path.exists(path(one)) and os.path.isdir(path(two))
+    Scratch.close_all(spark)
+    assert not os.path.exists(path(two)) and not Scratch.made

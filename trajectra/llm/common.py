@@ -34,8 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Working tables of one operator call, in a folder of its own under the shared one."""
 
+    #: Folders of this process that are still there, as far as known.
+    made: set[str] = set()
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.add(self.root)
 
     def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write df once and return the written rows; this cuts lineage and survives lost executors."""
@@ -51,6 +55,20 @@ class Scratch:
         gc.collect()
         jvm.System.gc()  # lets Spark delete the shuffle files of plans that are no longer held
 
+    def close(self) -> None:
+        """Delete the whole folder; results that read it must have been written or collected before."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        Scratch.made.discard(self.root)
+
+    @classmethod
+    def close_all(cls, spark: SparkSession) -> None:
+        """Delete the folders of all operator calls of this process, when nothing that they returned is read any more."""
+        for root in sorted(cls.made):
+            scratch = cls.__new__(cls)
+            scratch.spark, scratch.root = spark, root
+            scratch.close()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
