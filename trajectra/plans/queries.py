@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics, scores, text
 from ..operators import evaluation, graph, links, ordering, planning, registered, retrieval, training, trajectory
 from ..sources import readers, sinks, tables
-from ..sources.working import folder, working
+from ..sources.working import clear, folder, working
 from ..streaming import events as stream
 
 QUERIES: dict = {}
@@ -57,6 +57,14 @@ def fitted(f):
     return once
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop what the session keeps of shared inputs and trained models, and delete its working tables."""
+    for kept in (_kept, _fitted):
+        for key in [k for k in kept if k[0] == spark.sparkContext.applicationId]:
+            del kept[key]
+    clear(spark)
+
+
 def _six(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, counts to bigint, ranks stay."""
     return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
@@ -262,7 +270,7 @@ def parsed_tool_lists(spark, d):
     third = F.format_string("""{'name': 'z%s'}, {'description': 'no name'}, {'name': 'Finish', 'description': 'f'}""", F.col("p_partkey").cast("string"))
     told = F.format_string("""{'name': 'told', 'description': 'This is the subfunction for tool "t", you can use this tool.The description of this function is: "%s"'}""", "p_type")
     rows = F.when(F.col("p_partkey") % 10 == 3, "[{'name': broken").otherwise(F.concat(F.lit("["), F.concat_ws(", ", first, second, third, told), F.lit("]")))
-    said = F.concat(F.lit("You are AutoGPT.\nSpecifically, you have access to the following APIs: "), rows)
+    said = F.concat(F.lit("You are an agent.\nSpecifically, you have access to the following APIs: "), rows)
     return p.select("p_partkey", F.posexplode(text.tool_list(said)).alias("place", "t")).select("p_partkey", "place", "t.*")
 
 

@@ -8,6 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of this process that are still there, as far as known.
+_made: set[str] = set()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the working folders of this process, when nothing that was read from them is needed any more."""
+    for root in sorted(_made):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made.discard(root)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A folder of its own under spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,7 +27,9 @@ def folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/trajectra-work"
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.add(root)
+    return root
 
 
 def working(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
