@@ -89,6 +89,19 @@ def transition_parts(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(OrderedTransitions(), "src string, dst string, count double", "Append", "EventTime")
 
 
+def end(spark: SparkSession, folder: str, last: DataFrame | None = None, after: str = "2 hours") -> None:
+    """The folder of a stream's end: no row, or with `last` (ts), one of no user later than its greatest ts by more than the delay.
+
+    Read beside the events of a stream that is over, that row moves the watermark past the last of them, so none stays held.
+    """
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = spark.createDataFrame([], schema)
+    if last is not None:
+        late = last.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")).where("ts IS NOT NULL")  # one row
+        rows = late.select(*[F.col(c).cast(t) if c == "ts" else F.lit("" if t == "string" else -1).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.coalesce(1).write.mode("append").parquet(folder)
+
+
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All that is there now and was not before, through the stream, as Parquet files of `folder`.
 
