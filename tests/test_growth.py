@@ -1,11 +1,16 @@
 """Steps that many queries share: the same results with less work a task."""
 
+import hashlib
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from trajectra.functions import metrics
+from trajectra.functions import digests, metrics
+from trajectra.operators import evaluation, training
 from trajectra.plans import queries
+from trajectra.sources.working import folder
+from trajectra.streaming import events
 
 
 def _lcs(p, g):
@@ -42,3 +47,69 @@ def test_only_first_queries_carry_vectors(spark):
     q = queries._queries(spark, "/root/testdata/sf0.001")
     assert q.where("(vec IS NOT NULL) <> (query_id = by_k)").count() == 0
     assert q.count() == q.select("query_id").distinct().count() and q.where("by_k < by_vec OR query_id < by_k").count() == 0
+
+
+def test_digests_of_many_messages():
+    """Heads and tails of different lengths, up to one block and beyond it."""
+    for heads, tails in (([b"42:%d:" % c for c in range(0, 1200, 7)], [b"9", b"10", b"123456", b""]), ([b"x" * 40], [b"y" * 15]), ([b"x" * 41, b"z"], [b"y" * 15])):
+        assert digests.md5(heads, tails).tobytes() == b"".join(hashlib.md5(h + t).digest() for t in tails for h in heads)
+
+
+def test_random_orders_of_the_rows_that_they_change(spark):
+    """Rows with fewer than two common names are counted, not shuffled; the means are those of shuffling all."""
+    rows = [(i, "m", list(p), list(g)) for i, (p, g) in enumerate([("abc", "cab"), ("abcd", "dxc"), ("ab", "xy"), ("a", "a"), ("", "a"), ("aab", "ba")])]
+    df = spark.createDataFrame(rows, "query_id long, method string, p array<string>, g array<string>")
+    names = {"o": metrics.ordered_precision, "t": metrics.kendall_tau}
+    got = {r.shuffle: (round(r.o, 9), round(r.t, 9)) for r in evaluation.random_order_means(df, names, 20).collect()}
+    every = evaluation.random_orders(df, 20).select("shuffle", *[f(F.col("p"), F.col("g")).alias(n) for n, f in names.items()])
+    want = {r.shuffle: (round(r.o, 9), round(r.t, 9)) for r in every.groupBy("shuffle").agg(F.avg("o").alias("o"), F.avg("t").alias("t")).collect()}
+    assert got == want and len(got) == 20
+
+
+def test_a_closed_stream_holds_nothing_back(spark):
+    """The events of the last hour count once the stream has ended; nothing does in a stream without events."""
+    source, close, sink = (folder(spark, n) for n in ("events", "stream-end", "stream"))
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=20 * i), 1, f"e{i}", 1.0, "{}") for i in range(5)]
+    whole = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    whole.coalesce(1).write.parquet(source)
+    events.end(spark, close)
+    parts = events.transition_parts(events.read(spark, source, "*.parquet").unionByName(events.read(spark, close, "*.parquet")))
+    assert events.drain(parts, sink).agg(F.sum("count").alias("n")).first().n == 1.0  # of the first two
+    events.end(spark, close, whole)
+    assert events.drain(parts, sink).agg(F.sum("count").alias("n")).first().n == 4 + 3 * 0.5
+    events.end(spark, close, whole.limit(0))
+
+
+def test_own_pairs_are_made_in_their_rows(spark):
+    """Pairs of a task come from one row of its tools' features, so nothing is shuffled for them."""
+    own = queries._own_features(spark, "/root/testdata/sf0.001")
+    pairs = training.paired(own)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 2 * training.after_pairs(own).count() > 0
+
+
+def test_search_holds_only_steps_that_may_be_settled():
+    """The heap leaves out what costs more than a known path; the plans are those of a search that holds all."""
+    import heapq
+
+    from trajectra.operators import planning
+
+    rng, names = random.Random(3), "abcdefghij"
+    for _ in range(30):
+        adjacency = {a: [(b, rng.choice((0.1, 0.2, 0.5, 0.9))) for b in names if b != a and rng.random() < 0.6] for a in names}
+        sims = {a: rng.random() for a in names}
+        heap, settled, pushed = [(0.0, ("a",))], {}, 1
+        while heap:
+            cost, path = heapq.heappop(heap)
+            if path[-1] in settled:
+                continue
+            settled[path[-1]] = path
+            if len(path) < 8 and not (len(path) >= 3 and max(sims[t] for t in path[-3:]) < 0.05):
+                for to, w in adjacency[path[-1]]:
+                    if to not in settled:
+                        heapq.heappush(heap, (cost + 1 / (w + 1e-6) + 0.3 * (1 - sims[to]), (*path, to)))
+        found = planning.search(adjacency, sims, ["a"], 4)
+        mean = lambda p: sum(sims[t] for t in p) / len(p)
+        lengths = {len(p) for p in settled.values()}
+        want = next(n for n in (4, 5, 3, 6, 2, 7) if n in lengths) if lengths & {2, 3, 4, 5, 6, 7} else 1
+        assert mean(found) == max(mean(p) for p in settled.values() if len(p) == want)
