@@ -4,12 +4,14 @@ import hashlib
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from trajectra.functions import digests, metrics
-from trajectra.operators import evaluation, training
+from trajectra.operators import evaluation, graph, training, trajectory
 from trajectra.plans import queries
-from trajectra.sources.working import folder
+from trajectra.sources import tables
+from trajectra.sources.working import folder, working
 from trajectra.streaming import events
 
 
@@ -113,3 +115,16 @@ def test_search_holds_only_steps_that_may_be_settled():
         lengths = {len(p) for p in settled.values()}
         want = next(n for n in (4, 5, 3, 6, 2, 7) if n in lengths) if lengths & {2, 3, 4, 5, 6, 7} else 1
         assert mean(found) == max(mean(p) for p in settled.values() if len(p) == want)
+
+
+def test_sequences_are_brought_together_once(spark):
+    """Transitions and positions of sequences are those of steps, with no other exchange than by what is counted."""
+    rows = [(t, i, x) for t, seq in enumerate(["abcab", "a", "bb", "cacb", "abc"]) for i, x in enumerate(seq)]
+    steps = spark.createDataFrame(rows, "task_id long, pos int, tool string")
+    keep = working(spark, "test")
+    seqs = keep(tables.sequences(steps), "seqs")
+    for found, want in ((graph.transitions_of(seqs), graph.transitions(steps)), (trajectory.mean_positions_of(seqs), trajectory.mean_positions(steps))):
+        key = [c for c, t in want.dtypes if t == "string"]
+        assert found.orderBy(*key).collect() == want.orderBy(*key).collect()
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert queries._edges.__wrapped__(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
