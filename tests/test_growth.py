@@ -128,3 +128,11 @@ def test_sequences_are_brought_together_once(spark):
         assert found.orderBy(*key).collect() == want.orderBy(*key).collect()
         assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert queries._edges.__wrapped__(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+
+
+def test_categories_are_made_once_a_row(spark):
+    """A fold over p does not make g's categories again: each array of categories is written once in the expression of a row."""
+    df = spark.createDataFrame([(["a_for_x", "b_for_y"], ["c_for_y", "d_for_x", "e_for_y"])], "p array<string>, g array<string>")
+    found = df.select(metrics.category_lcs_recall(F.col("p"), F.col("g")).alias("r"))
+    assert found.first().r == pytest.approx(2 / 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("substring_index") == 2
