@@ -469,6 +469,22 @@ def _share_enough_seeds(a, b):
     return any(len(u) >= passages.LEAST_SEEDS and np.ptp(u) >= passages.LEAST_UNITS for u in near)
 
 
+def test_seeds_in_parts(spark, docs, monkeypatch):
+    """The parts that are shuffled one after the other hold each seed once, a third each, and give the same passages."""
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 300, 6000).astype(np.uint64)
+    counts = np.array([0, 2000, 5, 3995])
+    whole, parts = passages.seeds_of(h, counts), [passages.seeds_of(h, counts, i, 3) for i in range(3)]
+    rows = lambda found: sorted(zip(*(x.tolist() for x in found), strict=True))
+    assert rows(whole) == sorted(r for p in parts for r in rows(p)) and len(set(rows(whole))) == len(whole[0])
+    assert rows(x[whole[2] == 1] for x in whole[:2]) == rows(passages.seeds(h[:2000]))
+    assert max(len(p[0]) for p in parts) < 0.4 * len(whole[0])
+    ordered = lambda: sorted(map(tuple, passages.repeated(docs).collect()), key=str)
+    expected = ordered()
+    monkeypatch.setattr(passages, "PART", 1000)
+    assert expected and ordered() == expected
+
+
 def test_every_fuzzy_passage_shares_seeds():
     """Of 300 passages of each kind, with an edit every 5 to 7 words, none that aligns lacks the seeds of a candidate."""
     rng, aligned = np.random.default_rng(0), 0
