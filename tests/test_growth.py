@@ -136,3 +136,13 @@ def test_categories_are_made_once_a_row(spark):
     found = df.select(metrics.category_lcs_recall(F.col("p"), F.col("g")).alias("r"))
     assert found.first().r == pytest.approx(2 / 3)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("substring_index") == 2
+
+
+def _reads_of_queries(df):
+    """How often a plan reads the table of all queries with their truths or keys."""
+    return sum("Relation" in line and "by_k#" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_masks_come_to_the_queries_in_one_join(spark):
+    found = queries.order_masked(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["mask", "query_id", "pos", "tool"] and _reads_of_queries(found) == 1
