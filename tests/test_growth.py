@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajectra.functions import digests, metrics
-from trajectra.operators import evaluation, graph, training, trajectory
+from trajectra.operators import evaluation, graph, ordering, training, trajectory
 from trajectra.plans import queries
 from trajectra.sources import tables
 from trajectra.sources.working import folder, working
@@ -146,3 +146,14 @@ def _reads_of_queries(df):
 def test_masks_come_to_the_queries_in_one_join(spark):
     found = queries.order_masked(spark, "/root/testdata/sf0.001")
     assert found.columns == ["mask", "query_id", "pos", "tool"] and _reads_of_queries(found) == 1
+
+
+def test_alphas_come_to_the_queries_in_one_join(spark):
+    d = "/root/testdata/sf0.001"
+    found = queries._sweep.__wrapped__(spark, d)
+    assert _reads_of_queries(found) == 1
+    truths, got = queries._queries(spark, d).select("query_id", F.col("truth").alias("g")), {r.alpha: r.ordered_precision for r in found.collect()}
+    for a in (0.0, 0.3, 1.0):  # each alpha by itself
+        p = queries._ordered(spark, d, lambda rows, a=a: ordering.by_strongest(rows, a)).join(truths, "query_id")
+        assert got[a] == pytest.approx(p.agg(F.avg(metrics.ordered_precision(F.col("seq"), F.col("g")))).first()[0])
+    assert len(got) == 11
