@@ -157,3 +157,13 @@ def test_alphas_come_to_the_queries_in_one_join(spark):
         p = queries._ordered(spark, d, lambda rows, a=a: ordering.by_strongest(rows, a)).join(truths, "query_id")
         assert got[a] == pytest.approx(p.agg(F.avg(metrics.ordered_precision(F.col("seq"), F.col("g")))).first()[0])
     assert len(got) == 11
+
+
+def test_deltas_need_no_other_method(spark, tmp_path):
+    """Only the two methods and the metric that are compared are worked out, and they agree with the table of all."""
+    (tmp_path / "sf").symlink_to("/root/testdata/sf0.001")
+    d = str(tmp_path / "sf")
+    found = sorted(map(tuple, queries.extreme_deltas(spark, d).collect()))
+    assert not {k[2] for k in queries._kept if k[1] == d} & {"_measured", "_predictions"}
+    of_all = evaluation.extremes(evaluation.paired(queries._measured(spark, d), "semantic_strongest", "frequency", "set_f1"))
+    assert found and found == sorted(map(tuple, queries._six(of_all).collect()))
