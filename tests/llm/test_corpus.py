@@ -432,6 +432,34 @@ def test_runs_against_all_places():
             assert passages.runs(a, b).tolist() == want
 
 
+def test_covered_words_without_all_chains(monkeypatch):
+    """What passages cover is the same as by chaining all runs, but K-mers are hashed once a text, and most runs are not chained."""
+    rng = np.random.default_rng(2)
+    common = lambda n: [f"c{x}" for x in rng.zipf(1.4, n) % 500]
+    lines = [common(9) for _ in range(4)] + [common(70)]
+    texts = []
+    for k in range(12):
+        p = common(130)
+        texts.append(common(60) + p + common(80) + [w for x in rng.integers(0, 5, 12) for w in lines[x]])
+        texts.append(_edited(rng, texts[-1], 6 + k, "any") if k % 3 == 0 else common(200) + _edited(rng, p, 9, "replaced") + [w for x in rng.integers(0, 5, 9) for w in lines[x]])
+    counted, chained, grams, chains = [], [], passages.common.grams, passages.chains
+    monkeypatch.setattr(passages.common, "grams", lambda h, k: counted.append(len(h)) or grams(h, k))
+    kmers = passages.Kmers.of_texts(pa.array([" ".join(t) for t in texts]))
+    monkeypatch.setattr(passages, "chains", lambda found: chained.append(len(found)) or chains(found))
+    pairs = [(a, b) for i, a in enumerate(kmers) for b in kmers[:i]]
+    got = [passages.covered(a, b) for a, b in pairs]
+    assert len(counted) == 1
+    few = sum(chained)
+    chained.clear()
+    monkeypatch.setattr(passages, "hopeful", lambda found, *_, **__: found)
+    found = [passages.align(a, b) for a, b in pairs]
+    for sides, each in zip(got, found, strict=True):
+        for side, spans in enumerate(sides):
+            assert {w for x, y in spans for w in range(x, y)} == {w for f in each for w in range(f[2 * side], f[2 * side + 1])}
+            assert all(x[1] < y[0] for x, y in zip(spans[:-1], spans[1:], strict=True))
+    assert sum(map(len, found)) > 50 and few < 0.6 * sum(chained), (few, sum(chained))
+
+
 def test_repeated_lines_in_linear_time():
     line = np.arange(10, dtype=np.uint64)
     a, b = np.tile(line, 20_000), np.r_[np.tile(line, 15_000), np.arange(100, 400, dtype=np.uint64)]
