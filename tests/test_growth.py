@@ -162,3 +162,10 @@ def test_deltas_need_no_other_method(spark, tmp_path):
     assert not {k[2] for k in queries._kept if k[1] == d} & {"_measured", "_predictions"}
     of_all = evaluation.extremes(evaluation.paired(queries._measured(spark, d), "semantic_strongest", "frequency", "set_f1"))
     assert found and found == sorted(map(tuple, queries._six(of_all).collect()))
+
+
+def test_plans_and_truths_are_not_broadcast(spark):
+    """Plans with the settings that make them are small as files and large in memory, so they are merged with the truths."""
+    found = queries._tuned.__wrapped__(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in found.splitlines() if "Join" in line and "[by_k#" in line]
+    assert len(joins) >= 3 and all("SortMergeJoin" in line for line in joins)
