@@ -169,3 +169,23 @@ def test_plans_and_truths_are_not_broadcast(spark):
     found = queries._tuned.__wrapped__(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in found.splitlines() if "Join" in line and "[by_k#" in line]
     assert len(joins) >= 3 and all("SortMergeJoin" in line for line in joins)
+
+
+def test_registered_folds_stand_behind_a_test():
+    """The functions registered for SQL fold over sequences that share a name only, and their LCS is a row of bits, as the column functions'."""
+    from trajectra.operators import registered
+
+    for name in ("seq_jaccard", "seq_set_f1", "seq_lcs", "seq_lcs_recall", "seq_ordered_overlap", "seq_ordered_precision"):
+        assert "arrays_overlap(p, g)" in registered.FUNCTIONS[name][1]
+
+
+def test_registered_lcs_of_bits_and_of_numbers(spark):
+    from trajectra.operators import registered
+
+    rng = random.Random(6)
+    rows = [([rng.choice("abcdef") for _ in range(rng.randrange(9))], [rng.choice("abcdefgh") for _ in range(n)]) for n in (0, 1, 5, 30, 61, 62, 63, 70) for _ in range(4)]
+    rows += [(["x", "y"], ["a", "b"]), (["a", None], [None, "a"]), ([], [])]
+    registered.register(spark)
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p array<string>, g array<string>").createOrReplaceTempView("some_sequences")
+    found = {r.i: r.n for r in spark.sql("SELECT i, seq_lcs(p, g) AS n FROM some_sequences").collect()}
+    assert found == {i: _lcs(p, g) for i, (p, g) in enumerate(rows)}
