@@ -189,3 +189,15 @@ def test_registered_lcs_of_bits_and_of_numbers(spark):
     spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p array<string>, g array<string>").createOrReplaceTempView("some_sequences")
     found = {r.i: r.n for r in spark.sql("SELECT i, seq_lcs(p, g) AS n FROM some_sequences").collect()}
     assert found == {i: _lcs(p, g) for i, (p, g) in enumerate(rows)}
+
+
+def test_greedy_choices_are_made_once_a_vector(spark):
+    """A query of any k takes the first of its vector's longest choice, which is what it would get by itself."""
+    from trajectra.operators import planning
+
+    d = "/root/testdata/sf0.001"
+    found, q = queries.select_hybrid_greedy(spark, d), queries._queries(spark, d)
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    alone = planning.steps_of(planning.select_greedy(q.where("query_id = by_k"), queries._vectors(spark, d), queries._tp(spark, d)))
+    want = q.select("query_id", "by_k").join(alone.withColumnRenamed("query_id", "by_k"), "by_k").select("query_id", "step", "tool")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
