@@ -201,3 +201,40 @@ def test_greedy_choices_are_made_once_a_vector(spark):
     alone = planning.steps_of(planning.select_greedy(q.where("query_id = by_k"), queries._vectors(spark, d), queries._tp(spark, d)))
     want = q.select("query_id", "by_k").join(alone.withColumnRenamed("query_id", "by_k"), "by_k").select("query_id", "step", "tool")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_own_pairs_without_a_shuffle(spark):
+    """Pairs that look up links and vectors in arrays are those that are joined, to six decimals; nothing is shuffled for them."""
+    d = "/root/testdata/sf0.001"
+    found = queries.pair_training_rows(spark, d)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = queries._six(training.paired(queries._own_features(spark, d)))
+    assert found.dtypes == want.dtypes
+    rows = lambda df: sorted((*r[:4], *(round(x, 5) + 0.0 for x in r[4:])) for r in map(tuple, df.collect()))
+    assert rows(found) == rows(want) != []
+
+
+def test_a_graph_too_large_for_a_task_is_joined(spark, monkeypatch):
+    from trajectra.operators import own
+
+    d = "/root/testdata/sf0.001"
+    asked = queries._queries(spark, d).where("query_id = by_vec").select("query_id", "vec")
+    assert own.lookup(queries._vectors(spark, d), queries._tp(spark, d), queries._positions(spark, d), asked, most=10) is None
+    want = queries.pair_training_rows(spark, d).count()
+    monkeypatch.setattr(queries, "_looked_up", lambda spark, d: None)
+    assert queries.pair_training_rows(spark, d).count() == want
+
+
+def test_blocks_of_own_pairs(spark):
+    """Blocks hold the training tasks' pairs, in single precision, whatever the runs of tasks; a net of them is as good as one of pairs."""
+    from trajectra.operators import own
+
+    d = "/root/testdata/sf0.001"
+    look, tasks = queries._looked_up(spark, d), queries._of_part(spark, d, False)
+    blocks = own.blocks(tasks, look, working(spark, "test"), size=100, batches=4).collect()
+    pairs = training.after_pairs(queries._own_features(spark, d).where("NOT is_test"))
+    assert sum(len(b.label) for b in blocks) == 2 * pairs.count() and {b.part for b in blocks} == {"train", "val"}
+    assert all(len(b.x) == 4 * 8 * len(b.label) // 2 and sum(b.label) * 2 == len(b.label) for b in blocks)
+    old = training.pair_net(pairs, working(spark, "test"), epochs=3, batches=2, rate=1e-2, turned=True)
+    new = own.net(tasks, look, working(spark, "test"), epochs=3, batches=2, rate=1e-2)
+    assert new.history[-1]["val_loss"] == pytest.approx(old.history[-1]["val_loss"], abs=0.02)
