@@ -231,7 +231,9 @@ def test_blocks_of_own_pairs(spark):
 
     d = "/root/testdata/sf0.001"
     look, tasks = queries._looked_up(spark, d), queries._of_part(spark, d, False)
-    blocks = own.blocks(tasks, look, working(spark, "test"), size=100, batches=4).collect()
+    kept = own.blocks(tasks, look, working(spark, "test"), size=100, batches=4)
+    assert "PartitionFilters: [isnotnull(batch" in kept.where("batch = 1")._jdf.queryExecution().executedPlan().toString()
+    blocks = kept.collect()
     pairs = training.after_pairs(queries._own_features(spark, d).where("NOT is_test"))
     assert sum(len(b.label) for b in blocks) == 2 * pairs.count() and {b.part for b in blocks} == {"train", "val"}
     assert all(len(b.x) == 4 * 8 * len(b.label) // 2 and sum(b.label) * 2 == len(b.label) for b in blocks)
